@@ -11,9 +11,10 @@
    threshold, given the matches so far, falls under ``miss``.
 4. Survivors are confirmed on their full shingle sets.
 5. Confirmed links are closed to components.  Where a bucket still holds more
-   than one component, further rounds with other centres follow; what then
-   remains is compared in full, block against block, so no link between
-   different texts of a bucket is skipped.
+   than one component, its members of different components are compared too:
+   in small buckets pair by pair, in large ones (after further rounds with
+   other centres) block against block with the sets at hand, so no link that
+   would join components is skipped and no table of a group's pairs arises.
 """
 
 from collections.abc import Iterator
@@ -38,7 +39,9 @@ CENTRE_ROUNDS = 4
 #: Buckets of up to so many members are compared by a join, larger ones in blocks.
 SMALL_BUCKET = 12
 #: Members of a bucket's smaller components in a block, and members of the bucket that a task compares with them.
-BLOCK, AGAINST = 256, 4096
+BLOCK, AGAINST = 2048, 4096
+#: Bytes of signatures and sets on each side of such a comparison, about.
+BLOCK_BYTES = 32 << 20
 #: Ids that are broadcast at most (8 bytes each) to pick texts for confirmation; beyond it the texts are joined by id.
 BROADCAST_IDS = 1_000_000
 
@@ -150,18 +153,44 @@ def _prune_pairs(values: int, least: list[tuple[int, int]]):
     return run
 
 
-def _prune_blocks(values: int, least: list[tuple[int, int]]):
-    """Pairs of one block and the members it is held against that differ in component and stay plausible."""
+def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All 64-bit values of a binary column, and each row's bounds among them."""
+    _, offsets, data = column.buffers()
+    bounds = np.frombuffer(offsets, dtype=np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64) // 8
+    return np.frombuffer(data, dtype=np.uint64), bounds
+
+
+def _link_blocks(rows: int, values: int, least: list[tuple[int, int]], percent: int):
+    """Links that join components, among one block of a bucket's members and those it is held against.
+
+    A pair that meets in an earlier band is left to that band's bucket.
+    """
 
     def run(table: pa.Table) -> pa.Table:
-        ids, component, left = (table.column(x).to_numpy() for x in ("id", "component", "left"))
-        signature = _matrix(table.column("signature").combine_chunks(), values)
-        out, others = [np.zeros((2, 0), dtype=np.int64)], np.flatnonzero(~left)
+        table = table.combine_chunks()
+        ids, label, left = (table.column(x).to_numpy().copy() for x in ("id", "component", "left"))
+        signature = _matrix(table.column("signature").chunk(0), values)
+        shingles, bounds = _lists(table.column("shingles").chunk(0))
+        sizes, band = np.diff(bounds), table.column("band")[0].as_py()
+        earlier = np.zeros((len(ids), band), dtype=np.uint64)
+        for k in range(rows):
+            earlier = bytesvec.mix(earlier * np.uint64(3) + signature[:, k : k + band * rows : rows])
+        out, others = [], np.flatnonzero(~left)
         for i in np.flatnonzero(left):
-            j = others[component[others] != component[i]]
+            j = others[(label[others] != label[i]) & (100 * np.minimum(sizes[others], sizes[i]) >= percent * np.maximum(sizes[others], sizes[i]))]
+            j = j[~(earlier[j] == earlier[i]).any(axis=1)]
             j = j[_plausible(np.broadcast_to(signature[i], (len(j), values)), signature[j], least)]
-            out.append(np.stack([np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])]))
-        a, b = np.unique(np.concatenate(out, axis=1), axis=1)
+            own = shingles[bounds[i] : bounds[i + 1]]
+            for one in j:
+                if label[one] == label[i]:
+                    continue
+                other = shingles[bounds[one] : bounds[one + 1]]
+                at = np.minimum(np.searchsorted(own, other), len(own) - 1)
+                shared = int((own[at] == other).sum())
+                if 100 * shared >= percent * (len(own) + len(other) - shared):
+                    out.append((min(ids[i], ids[one]), max(ids[i], ids[one])))
+                    label[label == label[one]] = label[i]
+        a, b = np.array(out, dtype=np.int64).reshape(-1, 2).T
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run
@@ -193,6 +222,13 @@ class _Search:
     def features(self) -> DataFrame:
         return self.texts.mapInArrow(_features(self.width, self.values), "id long, n long, f1 long, f2 long, signature binary")
 
+    def sets(self, ids: DataFrame) -> DataFrame:
+        """Full shingle sets of some ids."""
+        wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+        # An id that occurs in several rows (possible only for damaged input) stands for the first of its sets.
+        found = self.texts.join(wanted, "id", "left_semi").mapInArrow(_sets(self.width), "id long, shingles binary")
+        return durable(found.groupBy("id").agg(F.min("shingles").alias("shingles")))
+
     def band_keys(self) -> Column:
         part = lambda k: F.xxhash64(F.substring("signature", 1 + 4 * self.rows * k, 4 * self.rows), F.lit(k))
         return F.array(*(part(k) for k in range(self.bands)))
@@ -205,11 +241,7 @@ class _Search:
 
     def confirmed(self, pairs: DataFrame) -> DataFrame:
         """Pairs whose full shingle sets reach the threshold."""
-        ids = durable(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-        wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-        # An id that occurs in several rows (possible only for damaged input) stands for the first of its texts.
-        sets = self.texts.join(wanted, "id", "left_semi").mapInArrow(_sets(self.width), "id long, shingles binary")
-        sets = durable(sets.groupBy("id").agg(F.min("shingles").alias("shingles")))
+        sets = self.sets(durable(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()))
         one, other = (sets.select(F.col("id").alias(x), F.col("shingles").alias(f"shingles_{x}")) for x in "ab")
         joined = pairs.join(one, "a").join(other, "b").select("a", "b", "shingles_a", "shingles_b")
         sizes = joined.mapInArrow(_shared, "a long, b long, shared long, n_a long, n_b long")
@@ -217,8 +249,8 @@ class _Search:
 
 
 def _mixed_buckets(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members ``(key, id, component, size)`` of the buckets of three and more that hold more than one component."""
-    labelled = members.join(labels, "id", "left").select("key", "id", F.coalesce("component_id", "id").alias("component"))
+    """Members ``(key, band, id, component, size)`` of the buckets of three and more that hold more than one component."""
+    labelled = members.join(labels, "id", "left").select("key", "band", "id", F.coalesce("component_id", "id").alias("component"))
     mixed = labelled.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("size"))
     return labelled.join(mixed.where("x <> y AND size > 2").select("key", "size"), "key")
 
@@ -230,19 +262,23 @@ def _crossing_pairs(members: DataFrame) -> DataFrame:
     return one.join(other, "key").where("a < b AND of_a <> of_b").select("a", "b").distinct()
 
 
-def _blocks(members: DataFrame, signatures: DataFrame) -> DataFrame:
+def _blocks(members: DataFrame, signatures: DataFrame, sets: DataFrame) -> DataFrame:
     """Blocks of each bucket's members outside its largest component, and the bucket's members that each is held against."""
-    parts = members.groupBy("key", "component").agg(F.count("*").alias("n"))
+    members = members.join(signatures, "id").join(sets, "id").withColumn("bytes", F.octet_length("shingles") + F.octet_length("signature"))
+    parts = members.groupBy("key", "component").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+    largest = F.max(F.struct("n", "bytes", "component"))
+    needed = lambda n, rows, size: F.ceil(F.greatest(n / F.lit(rows), size / F.lit(BLOCK_BYTES))).cast("int")
     sizes = parts.groupBy("key").agg(
-        F.max(F.struct("n", "component")).getField("component").alias("largest"),
-        F.ceil((F.sum("n") - F.max("n")) / F.lit(BLOCK)).cast("int").alias("blocks"),
-        F.ceil(F.sum("n") / F.lit(AGAINST)).cast("int").alias("parts"),
+        largest.getField("component").alias("largest"),
+        needed(F.sum("n") - F.max("n"), BLOCK, F.sum("bytes") - largest.getField("bytes")).alias("blocks"),
+        needed(F.sum("n"), AGAINST, F.sum("bytes")).alias("parts"),
     )
-    dealt = members.join(sizes, "key").join(signatures, "id")
+    dealt = members.join(sizes, "key")
     span = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     draw = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
-    lefts = dealt.where("component <> largest").select("key", draw("blocks").alias("i"), span("parts").alias("j"), "id", "component", "signature", F.lit(True).alias("left"))
-    rights = dealt.select("key", span("blocks").alias("i"), draw("parts").alias("j"), "id", "component", "signature", F.lit(False).alias("left"))
+    own = ["band", "id", "component", "signature", "shingles"]
+    lefts = dealt.where("component <> largest").select("key", draw("blocks").alias("i"), span("parts").alias("j"), *own, F.lit(True).alias("left"))
+    rights = dealt.select("key", span("blocks").alias("i"), draw("parts").alias("j"), *own, F.lit(False).alias("left"))
     return lefts.unionByName(rights)
 
 
@@ -268,7 +304,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, miss: fl
     classes = durable(classes)
     signatures = classes.select(F.col("representative").alias("id"), "signature").groupBy("id").agg(F.min("signature").alias("signature"))
 
-    keyed = signatures.select("id", F.explode(search.band_keys()).alias("key"))
+    keyed = signatures.select("id", F.posexplode(search.band_keys()).alias("band", "key"))
     crowded = keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key")
     members = durable(keyed.join(crowded, "key", "left_semi"))
     meeting = durable(signatures.join(members.select("id").distinct(), "id", "left_semi"))
@@ -288,21 +324,22 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, miss: fl
         if largest is None:
             break
         if largest > AGAINST and turn < CENTRE_ROUNDS:
-            pairs = search.plausible(centre_pairs(turn, remaining).join(tested, ["a", "b"], "left_anti"), meeting)
+            pairs = centre_pairs(turn, remaining)
         else:
-            pairs = search.plausible(_crossing_pairs(remaining.where(F.col("size") <= SMALL_BUCKET)).join(tested, ["a", "b"], "left_anti"), meeting)
-            if largest > SMALL_BUCKET:
-                blocks = _blocks(remaining.where(F.col("size") > SMALL_BUCKET), meeting).groupBy("key", "i", "j")
-                crossing = blocks.applyInArrow(_prune_blocks(search.values, search.least), "a long, b long").distinct()
-                pairs = pairs.unionByName(crossing.join(tested, ["a", "b"], "left_anti")).distinct()
-        pairs = durable(pairs)
-        found = durable(search.confirmed(pairs))
+            pairs = _crossing_pairs(remaining.where(F.col("size") <= SMALL_BUCKET))
+        pairs = durable(pairs.join(tested, ["a", "b"], "left_anti"))
+        found = search.confirmed(durable(search.plausible(pairs, meeting)))
+        if SMALL_BUCKET < largest and (largest <= AGAINST or turn == CENTRE_ROUNDS):
+            large = durable(remaining.where(F.col("size") > SMALL_BUCKET))
+            blocks = _blocks(large, meeting, search.sets(durable(large.select("id").distinct()))).groupBy("key", "i", "j")
+            found = found.unionByName(blocks.applyInArrow(_link_blocks(search.rows, search.values, search.least, percent), "a long, b long"))
+        found = durable(found)
         if not found.isEmpty():
             links = links.unionByName(found)
             labels = durable(connected_components(links))
         if largest <= AGAINST:
             break
-        tested = tested.unionByName(pairs)
+        tested = durable(tested.unionByName(pairs))
 
     component = F.coalesce("component_id", "representative")
     classes = classes.join(labels.withColumnRenamed("id", "representative"), "representative", "left").select("f1", "f2", "n", component.alias("component_id"))
