@@ -1,0 +1,318 @@
+"""A SPARQL subset, compiled to DataFrame operations; Catalyst orders and runs the joins.
+
+SELECT with basic graph patterns, GRAPH, OPTIONAL, FILTER, DISTINCT, ORDER BY,
+LIMIT and OFFSET; INSERT DATA and DELETE DATA.  Unbound variables are null.
+"""
+
+import re
+from dataclasses import dataclass, field
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from mnemoframe.operators.quads import assert_quads, retract
+
+_TOKEN = re.compile(
+    r"""\s+|\#[^\n]*|(?P<iri><[^<>\s]+>)|(?P<var>[?$]\w+)|(?P<text>"(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*')|(?P<number>[+-]?\d+(?:\.\d+)?)|(?P<name>\w*:[\w\-/.]*\w|\w+:|:\w+)|(?P<word>[A-Za-z]+)|(?P<sign><=|>=|!=|&&|\|\||[{}().,;=<>!*])"""
+)
+_UNSUPPORTED = {"UNION", "BIND", "HAVING", "GROUP", "MINUS", "VALUES", "CONSTRUCT", "ASK", "DESCRIBE", "COUNT", "SUM", "AVG", "MIN", "MAX"}
+
+
+class UnsupportedSparql(ValueError):
+    """The text is no query of the subset."""
+
+
+@dataclass
+class Var:
+    name: str
+
+
+@dataclass
+class Group:
+    patterns: list = field(default_factory=list)  # (subject, predicate, object, graph)
+    optionals: list = field(default_factory=list)
+    filters: list = field(default_factory=list)
+
+
+class _Parser:
+    def __init__(self, text: str) -> None:
+        self.tokens, at, self.prefixes = [], 0, {}
+        while at < len(text):
+            m = _TOKEN.match(text, at)
+            if m is None:
+                raise UnsupportedSparql(f"unexpected {text[at : at + 10]!r}")
+            at = m.end()
+            if m.lastgroup:
+                self.tokens.append((m.lastgroup, m.group()))
+        self.at = 0
+
+    def peek(self) -> tuple[str, str]:
+        return self.tokens[self.at] if self.at < len(self.tokens) else ("end", "")
+
+    def take(self, *expected: str) -> str:
+        kind, value = self.peek()
+        if expected and value.upper() not in expected:
+            raise UnsupportedSparql(f"expected {' or '.join(expected)}, found {value!r}")
+        self.at += 1
+        return value
+
+    def accept(self, *words: str) -> bool:
+        if self.peek()[1].upper() in words and self.peek()[0] in ("word", "sign"):
+            self.at += 1
+            return True
+        return False
+
+    def prologue(self) -> None:
+        while self.accept("PREFIX"):
+            name = self.take()
+            self.prefixes[name.rstrip(":")] = self.take()[1:-1]
+
+    def term(self):
+        kind, value = self.peek()
+        self.at += 1
+        if kind == "iri":
+            return value[1:-1]
+        if kind == "var":
+            return Var(value[1:])
+        if kind == "text":
+            return re.sub(r"\\(.)", lambda m: {"n": "\n", "t": "\t", "r": "\r"}.get(m[1], m[1]), value[1:-1])
+        if kind == "number":
+            return value
+        if kind == "name":
+            prefix, _, local = value.partition(":")
+            if prefix not in self.prefixes:
+                raise UnsupportedSparql(f"unknown prefix {prefix!r}")
+            return self.prefixes[prefix] + local
+        if value == "a":
+            return "rdf:type"
+        if value.lower() in ("true", "false"):
+            return value.lower()
+        raise UnsupportedSparql(f"{value!r} is no term")
+
+    def triples(self, group: Group, graph) -> None:
+        s = self.term()
+        while True:
+            p = self.term()
+            group.patterns.append((s, p, self.term(), graph))
+            while self.accept(","):
+                group.patterns.append((s, p, self.term(), graph))
+            if not self.accept(";"):
+                break
+        self.accept(".")
+
+    def group(self, graph=None) -> Group:
+        group = Group()
+        self.take("{")
+        while not self.accept("}"):
+            word = self.peek()[1].upper()
+            if word in _UNSUPPORTED:
+                raise UnsupportedSparql(word)
+            if self.accept("GRAPH"):
+                inner = self.group(self.term())
+                group.patterns += inner.patterns
+                group.filters += inner.filters
+                group.optionals += inner.optionals
+            elif self.accept("OPTIONAL"):
+                group.optionals.append(self.group(graph))
+            elif self.accept("FILTER"):
+                group.filters.append(self.condition())
+            else:
+                self.triples(group, graph)
+            self.accept(".")
+        return group
+
+    def condition(self):
+        left = self.operand()
+        if self.peek()[1] in ("&&", "||"):
+            return (self.take(), left, self.condition())
+        return left
+
+    def operand(self):
+        if self.accept("!"):
+            return ("!", self.operand())
+        if self.accept("("):
+            inner = self.condition()
+            self.take(")")
+            return inner
+        word = self.peek()[1].upper()
+        if self.peek()[0] == "word" and word in ("CONTAINS", "REGEX", "BOUND", "STRSTARTS", "STRENDS"):
+            self.take()
+            self.take("(")
+            terms = [self.term()]
+            while self.accept(","):
+                terms.append(self.term())
+            self.take(")")
+            return (word, *terms)
+        if self.peek()[0] == "word" and word not in ("TRUE", "FALSE", "A"):
+            raise UnsupportedSparql(word)
+        number = self.peek()[0] == "number"
+        left = self.term()
+        sign = self.take("=", "!=", "<", ">", "<=", ">=")
+        right_number = self.peek()[0] == "number"
+        return (sign, (left, number), (self.term(), right_number))
+
+    def select(self) -> dict:
+        self.prologue()
+        self.take("SELECT")
+        out: dict = {"distinct": self.accept("DISTINCT"), "variables": [], "order": [], "limit": None, "offset": 0}
+        while not self.accept("WHERE"):
+            if self.peek()[1] == "{":
+                break
+            if self.accept("*"):
+                out["variables"] = None
+            elif self.peek()[0] == "var":
+                out["variables"].append(self.term().name)
+            else:
+                raise UnsupportedSparql(f"{self.peek()[1]!r} in SELECT")
+        out["where"] = self.group()
+        while self.peek()[0] != "end":
+            if self.accept("ORDER"):
+                self.take("BY")
+                while self.peek()[0] == "var" or self.peek()[1].upper() in ("ASC", "DESC"):
+                    descending = self.accept("DESC") or (self.accept("ASC") and False)
+                    closing = self.accept("(")
+                    out["order"].append((self.term().name, descending))
+                    if closing:
+                        self.take(")")
+            elif self.accept("LIMIT"):
+                out["limit"] = int(self.take())
+            elif self.accept("OFFSET"):
+                out["offset"] = int(self.take())
+            else:
+                raise UnsupportedSparql(self.peek()[1])
+        return out
+
+
+def _pattern(quads: DataFrame, pattern: tuple) -> DataFrame:
+    """One triple pattern: constants filter, variables become columns, a repeated variable must be equal."""
+    seen: dict[str, str] = {}
+    places = zip("spog", pattern, strict=True)
+    for column, term in places:
+        if term is None:
+            continue
+        if not isinstance(term, Var):
+            quads = quads.where(F.col(column) == term)
+        elif term.name in seen:
+            quads = quads.where(F.col(seen[term.name]) == F.col(column))
+        else:
+            seen[term.name] = column
+    return quads.select(*(F.col(c).alias(v) for v, c in seen.items()))
+
+
+def _basic(quads: DataFrame, patterns: list) -> DataFrame | None:
+    """The natural join of all patterns, each joined where it shares a variable if possible."""
+    left, out = [(p, _pattern(quads, p)) for p in patterns], None
+    tests = [df for _, df in left if not df.columns]
+    left = [df for _, df in left if df.columns]
+    while left:
+        k = next((i for i, df in enumerate(left) if out is not None and set(df.columns) & set(out.columns)), 0)
+        part = left.pop(k)
+        shared = [c for c in part.columns if out is not None and c in out.columns]
+        out = part if out is None else out.join(part, shared) if shared else out.crossJoin(part)
+    for test in tests:
+        # A pattern without variables holds or fails as a whole.
+        found = test.limit(1).agg(F.count("*").alias("_found"))
+        out = found.where("_found > 0").select() if out is None else out.join(F.broadcast(found), F.col("_found") > 0).drop("_found")
+    return out
+
+
+def _optional(left: DataFrame, right: DataFrame, unbound: set[str]) -> DataFrame:
+    """Left outer join on shared variables; the left may have left those in ``unbound`` without a value."""
+    shared = [c for c in right.columns if c in left.columns]
+    renamed = right.select(*(F.col(c).alias(f"_{c}") if c in shared else F.col(c) for c in right.columns))
+    on: Column = F.lit(True)
+    for c in shared:
+        equal = F.col(c) == F.col(f"_{c}")
+        on = on & (equal | F.col(c).isNull() if c in unbound else equal)
+    out = left.join(renamed, on, "left")
+    for c in shared:
+        out = out.withColumn(c, F.coalesce(F.col(c), F.col(f"_{c}"))).drop(f"_{c}")
+    return out
+
+
+def _value(term, columns: list[str]) -> Column:
+    if isinstance(term, Var):
+        return F.col(term.name) if term.name in columns else F.lit(None).cast("string")
+    return F.lit(term)
+
+
+def _number(value: Column) -> Column:
+    return F.when(value.rlike(r"^[+-]?\d+(\.\d+)?([eE][+-]?\d+)?$"), value.try_cast("double"))
+
+
+def _condition(tree, columns: list[str]) -> Column:
+    sign = tree[0]
+    if sign == "&&":
+        return _condition(tree[1], columns) & _condition(tree[2], columns)
+    if sign == "||":
+        return _condition(tree[1], columns) | _condition(tree[2], columns)
+    if sign == "!":
+        return ~_condition(tree[1], columns)
+    if sign == "BOUND":
+        return _value(tree[1], columns).isNotNull()
+    if sign in ("CONTAINS", "STRSTARTS", "STRENDS"):
+        a, b = (_value(t, columns) for t in tree[1:3])
+        return F.coalesce({"CONTAINS": a.contains, "STRSTARTS": a.startswith, "STRENDS": a.endswith}[sign](b), F.lit(False))
+    if sign == "REGEX":
+        try:
+            re.compile(tree[2])
+        except re.error:
+            return F.lit(False)
+        flag = "(?i)" if len(tree) > 3 and "i" in tree[3] else ""
+        return F.coalesce(_value(tree[1], columns).rlike(flag + tree[2]), F.lit(False))
+    (a, a_number), (b, b_number) = tree[1:]
+    x, y = _value(a, columns), _value(b, columns)
+    # Values of variables count as numbers where they look like one; text literals never do.
+    nx = _number(x) if isinstance(a, Var) or a_number else F.lit(None).cast("double")
+    ny = _number(y) if isinstance(b, Var) or b_number else F.lit(None).cast("double")
+    if sign in ("=", "!="):
+        equal = F.when(nx.isNotNull() | ny.isNotNull(), nx.eqNullSafe(ny)).otherwise(x.eqNullSafe(y))
+        return equal if sign == "=" else ~equal
+    compare = {"<": lambda p, q: p < q, ">": lambda p, q: p > q, "<=": lambda p, q: p <= q, ">=": lambda p, q: p >= q}[sign]
+    return F.coalesce(F.when(nx.isNotNull() & ny.isNotNull(), compare(nx, ny)).when(nx.isNull() & ny.isNull(), compare(x, y)).otherwise(F.lit(False)), F.lit(False))
+
+
+def _evaluate(quads: DataFrame, group: Group) -> DataFrame:
+    out = _basic(quads, group.patterns)
+    if out is None:
+        out = quads.sparkSession.range(1).select()
+    unbound: set[str] = set()
+    for optional in group.optionals:
+        right = _evaluate(quads, optional)
+        new = set(right.columns) - set(out.columns)
+        out = _optional(out, right, unbound)
+        unbound |= new
+    for condition in group.filters:
+        out = out.where(_condition(condition, out.columns))
+    return out
+
+
+def run(quads: DataFrame, text: str) -> DataFrame:
+    """Solutions of a SELECT query over ``(g, s, p, o)`` quads, a column for each variable."""
+    query = _Parser(text).select()
+    out = _evaluate(quads, query["where"])
+    wanted = query["variables"] if query["variables"] is not None else out.columns
+    order = [F.coalesce(F.col(v), F.lit("")) if v in out.columns else F.lit("") for v, _ in query["order"]]
+    order = [c.desc() if descending else c.asc() for c, (_, descending) in zip(order, query["order"], strict=True)]
+    shown = [(F.col(v) if v in out.columns else F.lit(None).cast("string")).alias(v) for v in wanted]
+    if query["distinct"]:
+        out = out.select(*shown).distinct()
+        out = out.orderBy(*order) if order else out
+    else:
+        out = (out.orderBy(*order) if order else out).select(*shown)
+    if query["offset"]:
+        out = out.offset(query["offset"])
+    return out if query["limit"] is None else out.limit(query["limit"])
+
+
+def update(quads: DataFrame, text: str) -> DataFrame:
+    """The quads after INSERT DATA or DELETE DATA; plain triples belong to the graph ``default``."""
+    parser = _Parser(text)
+    parser.prologue()
+    insert = parser.take("INSERT", "DELETE").upper() == "INSERT"
+    parser.take("DATA")
+    patterns = parser.group().patterns
+    if any(isinstance(t, Var) for p in patterns for t in p):
+        raise UnsupportedSparql("a variable in DATA")
+    rows = quads.sparkSession.createDataFrame([(g or "default", s, p, o) for s, p, o, g in patterns], "g string, s string, p string, o string")
+    return assert_quads(quads, rows) if insert else retract(quads, rows)

@@ -1,0 +1,104 @@
+"""The engine's relations, derived from the test tables.
+
+Each view is one portable SELECT over tables or other views in braces, so the
+same text defines it for Spark and, as a common table expression, for the SQL
+oracle.
+"""
+
+import re
+
+from pyspark.sql import DataFrame, SparkSession
+
+#: All scores and ages refer to this moment; nothing reads the clock.
+AS_OF = "2024-02-01 00:00:00"
+
+VIEWS = {
+    "quads": """
+        SELECT 'geo' AS g, concat('nation/', n_nationkey) AS s, 'inRegion' AS p, concat('region/', n_regionkey) AS o FROM {nation}
+        UNION ALL SELECT 'geo', concat('nation/', n_nationkey), 'name', n_name FROM {nation}
+        UNION ALL SELECT 'geo', concat('region/', r_regionkey), 'name', r_name FROM {region}
+        UNION ALL SELECT 'default', concat('customer/', c_custkey), 'inNation', concat('nation/', c_nationkey) FROM {customer}
+        UNION ALL SELECT 'default', concat('customer/', c_custkey), 'segment', c_mktsegment FROM {customer}
+        UNION ALL SELECT 'default', concat('order/', o_orderkey), 'placedBy', concat('customer/', o_custkey) FROM {orders}
+        UNION ALL SELECT 'default', concat('order/', o_orderkey), 'status', o_orderstatus FROM {orders}
+        UNION ALL SELECT 'default', concat('supplier/', s_suppkey), 'inNation', concat('nation/', s_nationkey) FROM {supplier}""",
+    "geo_ontology": """
+        SELECT s, CASE WHEN p = 'inRegion' OR p = 'inNation' THEN p ELSE p END AS p, o FROM {quads} WHERE p IN ('inRegion', 'inNation') AND s NOT LIKE 'customer/%'
+        UNION ALL SELECT 'inRegion', 'rdfs:subPropertyOf', 'locatedIn'
+        UNION ALL SELECT 'inNation', 'rdfs:subPropertyOf', 'locatedIn'
+        UNION ALL SELECT 'locatedIn', 'rdf:type', 'owl:TransitiveProperty'
+        UNION ALL SELECT 'inNation', 'rdfs:domain', 'Located'
+        UNION ALL SELECT 'Located', 'rdfs:subClassOf', 'Thing'
+        UNION ALL SELECT 'Thing', 'rdfs:subClassOf', 'Top'""",
+    "contexts": """
+        SELECT concat('ctx-', d.doc_id) AS id, d.doc_id AS seq, d.source AS node, d.lang AS genre,
+               CASE WHEN d.doc_id % 3 = 0 THEN 'signal' WHEN d.doc_id % 3 = 1 THEN 'resource' ELSE 'memory' END AS type,
+               split_part(d.text, chr(10), 1) AS title, d.text AS content,
+               coalesce(CAST(l.quality AS DOUBLE), 0.5) AS sn_ratio,
+               TIMESTAMP '2024-01-01 00:00:00' + INTERVAL '1' MINUTE * d.doc_id AS modified_at
+        FROM {documents} d LEFT JOIN {labels} l ON d.doc_id = l.doc_id""",
+    "edges": """
+        SELECT DISTINCT concat('order/', l_orderkey) AS source_id, concat('part/', l_partkey) AS target_id, 'mentioned_in' AS relation, 1.0 AS weight
+        FROM {lineitem} WHERE l_orderkey % 97 = 0
+        UNION ALL SELECT DISTINCT concat('part/', l_partkey), concat('supplier/', l_suppkey), 'lives_in', 1.0 FROM {lineitem} WHERE l_orderkey % 485 = 0""",
+    "trade": """
+        SELECT DISTINCT concat('n', c.c_nationkey) AS source_id, concat('n', s.s_nationkey) AS target_id
+        FROM {lineitem} l JOIN {orders} o ON l.l_orderkey = o.o_orderkey JOIN {customer} c ON o.o_custkey = c.c_custkey JOIN {supplier} s ON l.l_suppkey = s.s_suppkey
+        WHERE l.l_orderkey < 60""",
+    "entities": "SELECT DISTINCT l_orderkey AS context_id, concat('part/', l_partkey) AS name FROM {lineitem}",
+    "routed": """
+        SELECT id, node, CASE WHEN seq % 4 = 0 THEN concat('src', seq % 7) WHEN seq % 4 = 1 THEN node ELSE concat('src', (seq + 3) % 11) END AS destination FROM {contexts}""",
+    "signals": """
+        SELECT event_id AS id, ts AS time, concat('app.', event_type, CASE WHEN event_id % 2 = 0 THEN '.created' ELSE '' END) AS type,
+               concat('user/', user_id) AS agent, value AS latency, props AS data,
+               CASE WHEN event_id % 5 <> 0 THEN event_id - 1 END AS parent_id, CAST(floor(event_id / 5) AS BIGINT) AS correlation_id
+        FROM {events}""",
+    "memories": """
+        SELECT concat('mem-', conv_id, '-', turn) AS id, conv_id AS root_id, turn + 1 AS version, role AS audience, text AS content,
+               CASE WHEN turn % 3 = 0 THEN 'fact' WHEN turn % 3 = 1 THEN 'decision' ELSE 'preference' END AS category,
+               CASE WHEN turn > 0 THEN concat('mem-', conv_id, '-', turn - 1) END AS parent_id
+        FROM {conversations}""",
+    "seeded": """
+        SELECT doc_id, lang, concat(CASE doc_id % 12
+            WHEN 0 THEN 'We decided: the budget is approved.' WHEN 1 THEN 'Could you send the invoice?' WHEN 2 THEN 'You must meet the requirement: latency under 20 ms.'
+            WHEN 3 THEN 'I will finish by friday, action item noted.' WHEN 4 THEN 'We are worried about the risk and the blocker.' WHEN 5 THEN 'Looking back, lessons learned from the postmortem.'
+            WHEN 6 THEN 'First, we met. Finally, meeting notes were sent.' WHEN 7 THEN 'def run: import os' WHEN 8 THEN 'We should vote on the proposal:'
+            WHEN 9 THEN 'The test suite did fail with a timeout error.' WHEN 10 THEN 'See the reference: related: spec.' ELSE 'Plain words only.' END, ' ', substr(text, 1, 400)) AS text
+        FROM {documents}""",
+}
+_NAME = re.compile(r"\{(\w+)\}")
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A derived view, or a test table."""
+    if name not in VIEWS:
+        return table(spark, sf_dir, name)
+    needs = {x: view(spark, sf_dir, x) for x in set(_NAME.findall(VIEWS[name]))}
+    return spark.sql(VIEWS[name], **needs)
+
+
+def oracle(sql: str) -> str:
+    """``sql`` for the oracle, with the views that it names in braces as common table expressions before it."""
+    order: list[str] = []
+
+    def visit(text: str) -> None:
+        for name in _NAME.findall(text):
+            if name in VIEWS and name not in order:
+                visit(VIEWS[name])
+                order.append(name)
+
+    visit(sql)
+    plain = lambda text: _NAME.sub(r"\1", text).strip()
+    body = plain(sql)
+    if not order:
+        return body
+    heads = ", ".join(f"{name} AS ({plain(VIEWS[name])})" for name in order)
+    if body.upper().startswith("WITH RECURSIVE"):
+        return f"WITH RECURSIVE {heads}, {body[len('WITH RECURSIVE') :].strip()}"
+    if body.upper().startswith("WITH "):
+        return f"WITH {heads}, {body[5:].strip()}"
+    return f"WITH {heads} {body}"
