@@ -25,9 +25,10 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     if network is None:
         return docs.where(F.col("text").rlike(r"\p{L}"))
     least = min(LEAST_OVER_CHANCE / len(network.languages), 1.0)
-    found = langid.identify(docs.withColumnsRenamed({c: f"own_{c}" for c in docs.columns}).withColumn("text", F.col("own_text")), network)
-    kept = found.where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= least))
-    return kept.select(*(F.col(f"own_{c}").alias(c) for c in docs.columns))
+    own = {c: f"own_{c}" for c in docs.columns if c in ("lang_pred", "score")}
+    found = langid.identify(docs.withColumnsRenamed(own), network)
+    kept = found.where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= least)).drop("lang_pred", "score")
+    return kept.withColumnsRenamed({new: old for old, new in own.items()})
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

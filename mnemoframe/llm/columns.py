@@ -1,8 +1,19 @@
-"""Names and schemas for operators that pass a table's own columns through."""
+"""Operators that score each text and pass a table's own columns through."""
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DataType, StructField, StructType
+from pyspark.sql.types import DataType, StringType, StructField, StructType
+
+#: Rows of an Arrow batch: whole texts are long, and an executor holds several batches at once.
+BATCH_ROWS = 1000
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Let Python tasks of this session take BATCH_ROWS rows at a time."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
 def fresh(df: DataFrame, name: str) -> str:
@@ -18,6 +29,24 @@ def named(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
-def with_fields(df: DataFrame, fields: dict[str, DataType]) -> StructType:
-    """The schema of ``df`` with further nullable fields."""
-    return StructType([*df.schema.fields, *(StructField(k, v) for k, v in fields.items())])
+def scored(docs: DataFrame, score: Callable[[pa.Array], Iterator[tuple[int, list[pa.Array]]]], fields: dict[str, DataType], keep_text: bool = True) -> DataFrame:
+    """``docs`` with further columns that ``score`` makes from the texts, block by block: the block's first row, and its columns.
+
+    Without ``keep_text`` the text itself isn't sent back.
+    """
+    bounded_batches(docs.sparkSession)
+    own = keep_text and isinstance(docs.schema["text"].dataType, StringType)
+    passing = [c for c in docs.columns if keep_text or c != "text"]
+    shape = StructType([*docs.select(*map(named, passing)).schema.fields, *(StructField(k, v) for k, v in fields.items())])
+    sent = [named(c) for c in passing]
+    if not own:
+        sent.append(F.col("text").cast("string").alias(fresh(docs, "_text")))
+    at = passing.index("text") if own else len(passing)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, found in score(batch.column(at)):
+                kept = [batch.column(k).slice(first, len(found[0])) for k in range(len(passing))]
+                yield pa.RecordBatch.from_arrays([*kept, *found], [f.name for f in shape])
+
+    return docs.select(*sent).mapInArrow(run, shape)

@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .columns import bounded_batches
+
 #: Edits allowed, as a share of an item's characters.
 ERROR_RATE = 0.05
 #: Characters of items that one automaton holds; a larger benchmark is searched in several passes.
@@ -167,6 +169,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_
     reported; other columns are not read.  Without documents or items the
     result is empty.
     """
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = None
     for items in _item_blocks(benchmark, block_chars):
@@ -186,6 +189,7 @@ def _clean(items: list[tuple[int, str]], error_rate: float):
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """The rows of ``docs``, all columns, whose text holds no benchmark item within the error budget (see ``find_leaks``)."""
+    bounded_batches(docs.sparkSession)
     for items in _item_blocks(benchmark, block_chars):
         docs = docs.mapInArrow(_clean(items, error_rate), docs.schema)
     return docs

@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bytesvec
+from .columns import bounded_batches
 
 STRATA, LANES, DENSE = 8, 16, 4
 #: Words of a piece of a paragraph, on average.
@@ -202,6 +203,7 @@ def compare_with_edits(docs: DataFrame, id_column: str = "doc_id", text_column:
     to the end of the range before it too, so no order over all rows passes
     through one task.
     """
+    bounded_batches(docs.sparkSession)
     spark = docs.sparkSession
     rows = docs.select(F.col(id_column).cast("long").alias("id"), F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("key", F.coalesce("id", F.lit(-(2**63))))

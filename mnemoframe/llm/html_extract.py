@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .columns import bounded_batches
+
 FEATURES = ["words", "density", "words_before", "density_before", "words_after", "density_after", "in_article", "in_furniture", "heading"]
 
 #: Labelled blocks: the values of FEATURES, then 1 for article and 0 for the rest.
@@ -220,5 +222,6 @@ def extract_text(pages: DataFrame, id_column: str = "page_id", html_column: str
     give repeated results; other columns are not read; an empty table gives an
     empty result.
     """
+    bounded_batches(pages.sparkSession)
     rows = pages.select(F.col(id_column).cast("long").alias("page_id"), F.col("url").cast("string"), F.col(html_column).cast("string").alias("html"))
     return rows.mapInArrow(_extract, "page_id long, url string, text string, n_chars long").withColumnRenamed("page_id", id_column)

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType
 
 from . import bytesvec
-from .columns import fresh, named, with_fields
+from .columns import scored
 from .samples import per_class
 
 UNDETERMINED = "und"
@@ -207,37 +207,41 @@ def learnt(docs: DataFrame, for_training: Column | None = None) -> Network | Non
     return train(*_sampled_segments([row["text"].encode() for row in rows], [languages.index(row["lang"]) for row in rows]), languages)
 
 
+def _has_letter(block: bytesvec.Block) -> np.ndarray:
+    """Whether each text has a letter; texts without an ASCII letter are decoded to see."""
+    lower = bytesvec.LOWER_ASCII[block.data]
+    counts = np.concatenate([[0], np.cumsum((lower >= 97) & (lower <= 122))])
+    found = np.diff(counts[block.offsets]) > 0
+    for i in np.flatnonzero(~found & (np.diff(block.offsets) > 0)):
+        found[i] = any(c.isalpha() for c in block.text_bytes(i).decode("utf-8", "replace"))
+    return found
+
+
 def _scorer(network: Network):
-    """Replaces the last two columns, a text and whether it has a letter, by the language and its score."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            passing = batch.num_columns - 2
-            letters = batch.column(passing + 1).fill_null(False).to_numpy(zero_copy_only=False)
-            names = [*batch.schema.names[:passing], "lang_pred", "score"]
-            for block in bytesvec.blocks(batch.column(passing)):
-                has_letter = letters[block.first : block.first + len(block)]
-                probabilities = document_probabilities(network, block.data, block.offsets)
-                best = probabilities.argmax(axis=1)
-                score = np.where(has_letter, np.clip(probabilities[np.arange(len(block)), best], 0, 1), 0.0)
-                found = [network.languages[k] if has else UNDETERMINED for k, has in zip(best, has_letter, strict=True)]
-                kept = [batch.column(k).slice(block.first, len(block)) for k in range(passing)]
-                yield pa.RecordBatch.from_arrays([*kept, pa.array(found, pa.string()), pa.array(score)], names)
+    """Each text's language and its score."""
+
+    def run(texts: pa.Array) -> Iterator[tuple[int, list[pa.Array]]]:
+        for block in bytesvec.blocks(texts):
+            has_letter = _has_letter(block)
+            probabilities = document_probabilities(network, block.data, block.offsets)
+            best = probabilities.argmax(axis=1)
+            score = np.where(has_letter, np.clip(probabilities[np.arange(len(block)), best], 0, 1), 0.0)
+            found = [network.languages[k] if has else UNDETERMINED for k, has in zip(best, has_letter, strict=True)]
+            yield block.first, [pa.array(found, pa.string()), pa.array(score)]
 
     return run
 
 
-def identify(docs: DataFrame, network: Network | None) -> DataFrame:
+def identify(docs: DataFrame, network: Network | None, keep_text: bool = True) -> DataFrame:
     """``docs`` with ``lang_pred`` (a learnt language) and ``score`` (its mean probability, 0 to 1).
 
     A null text, or one without a letter, gives ``und`` and score 0; so does
     every text where there is no network.  Ties go to the language that sorts
     first.  Repeated rows are each scored alike; an empty table stays empty.
-    Columns that are already called ``lang_pred`` or ``score`` are replaced.
+    Columns that are already called ``lang_pred`` or ``score`` are replaced;
+    without ``keep_text`` the text is left out.
     """
     docs = docs.drop("lang_pred", "score")
     if network is None:
-        return docs.withColumns({"lang_pred": F.lit(UNDETERMINED), "score": F.lit(0.0)})
-    text, letters = fresh(docs, "_text"), fresh(docs, "_letters")
-    prepared = docs.select(*map(named, docs.columns), F.col("text").cast("string").alias(text), F.col("text").rlike(r"\p{L}").alias(letters))
-    return prepared.mapInArrow(_scorer(network), with_fields(docs, {"lang_pred": StringType(), "score": DoubleType()}))
+        return (docs if keep_text else docs.drop("text")).withColumns({"lang_pred": F.lit(UNDETERMINED), "score": F.lit(0.0)})
+    return scored(docs, _scorer(network), {"lang_pred": StringType(), "score": DoubleType()}, keep_text)

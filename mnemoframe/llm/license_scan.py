@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytesvec
+from .columns import bounded_batches
 from .license_rules import GATE, Rule, rules
 
 #: Phrases whose places are counted, and their labels.
@@ -139,6 +140,7 @@ def scan_licenses(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     to the earlier rule.  Repeated rows give repeated results, whole texts are
     read, other columns are ignored, an empty table gives an empty result.
     """
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text"))
     spans = "array<struct<label:string, start:int, end:int, priority:int>>"
     out = rows.mapInArrow(_scan, f"id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans {spans}")

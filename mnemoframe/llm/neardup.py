@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bytesvec
-from .columns import fresh
+from .columns import bounded_batches, fresh
 from .components import connected_components
 from .durable import durable
 
@@ -297,6 +297,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, miss: fl
     ``kept`` true.  Ties need no rule: components don't depend on the order of
     rows.  Other columns are not read.  An empty table gives an empty result.
     """
+    bounded_batches(docs.sparkSession)
     texts = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text"))
     search = _Search(texts.where("id IS NOT NULL"), width, percent, miss)
     features = durable(search.features())

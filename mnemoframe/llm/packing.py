@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .columns import bounded_batches
 from .durable import durable
 
 CAPACITY = 1024
@@ -274,6 +275,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id:
     packed each.  Ties among pieces of a length go by id, piece and checksum.
     Other columns are not read; an empty table gives an empty result.
     """
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
     pieces = durable(rows.mapInArrow(_pieces(tokenizer_path, capacity, end_id), "doc_id long, piece int, start long, length long, ids_crc32 long"))
     histogram = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}

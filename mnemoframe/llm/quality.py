@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from . import bytesvec
-from .columns import fresh, named, with_fields
+from .columns import bounded_batches, fresh, scored
 from .durable import durable
 from .samples import per_class
 
@@ -71,21 +71,18 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _weigh(log_ratio: np.ndarray):
-    """Replaces the last column, a text, by its weight."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            passing = batch.num_columns - 1
-            for block in bytesvec.blocks(batch.column(passing)):
-                grams, bounds = _grams(block)
-                sizes = np.diff(bounds)
-                full = np.flatnonzero(sizes)
-                sums = np.zeros(len(block))
-                if len(full):
-                    sums[full] = np.add.reduceat(log_ratio[grams], bounds[:-1][full])
-                weights = np.round(sums / (sizes + NEUTRAL), 9)
-                kept = [batch.column(k).slice(block.first, len(block)) for k in range(passing)]
-                yield pa.RecordBatch.from_arrays([*kept, pa.array(weights, mask=sizes == 0)], batch.schema.names)
+    """Each text's weight, null without n-grams."""
+
+    def run(texts: pa.Array) -> Iterator[tuple[int, list[pa.Array]]]:
+        for block in bytesvec.blocks(texts):
+            grams, bounds = _grams(block)
+            sizes = np.diff(bounds)
+            full = np.flatnonzero(sizes)
+            sums = np.zeros(len(block))
+            if len(full):
+                sums[full] = np.add.reduceat(log_ratio[grams], bounds[:-1][full])
+            weights = np.round(sums / (sizes + NEUTRAL), 9)
+            yield block.first, [pa.array(weights, mask=sizes == 0)]
 
     return run
 
@@ -100,12 +97,6 @@ class Sampler:
     seed: int
 
 
-def _weighed(docs: DataFrame, log_ratio: np.ndarray, name: str) -> DataFrame:
-    """``docs`` with the column ``name`` for each document's weight, null without n-grams."""
-    prepared = docs.select(*map(named, docs.columns), F.col("text").cast("string").alias(name))
-    return prepared.mapInArrow(_weigh(log_ratio), with_fields(docs, {name: DoubleType()}))
-
-
 def _key(weight: str, seed: int) -> Column:
     """Weight plus Gumbel noise drawn from a hash of the id; null without n-grams."""
     uniform = (F.xxhash64(F.lit(seed), F.col("doc_id").cast("long")).cast("double") + F.lit(2.0**63 + 1)) / F.lit(2.0**64 + 2**13)
@@ -156,6 +147,7 @@ def fit(docs: DataFrame, labels: DataFrame, seed: int = 17) -> tuple[Sampler, Da
     bad = sorted({r["doc_id"] for r in sample if r["quality"] == 0})
     fitted, checked = good[0::2], good[1::2]
     spark = docs.sparkSession
+    bounded_batches(spark)
     marks = spark.createDataFrame([(i,) for i in fitted], "doc_id long").withColumn("_target", F.lit(True))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     marked = texts.join(F.broadcast(marks), "doc_id", "left").select(F.coalesce("_target", F.lit(False)), "text")
@@ -168,7 +160,7 @@ def fit(docs: DataFrame, labels: DataFrame, seed: int = 17) -> tuple[Sampler, Da
         log_ratio = np.log(smoothed[1] / smoothed[1].sum()) - np.log(smoothed[0] / smoothed[0].sum())
     else:
         log_ratio = np.zeros(BUCKETS)
-    weights = durable(_weighed(texts, log_ratio, "_weight").select("doc_id", "_weight", _key("_weight", seed).alias("key")))
+    weights = durable(scored(texts, _weigh(log_ratio), {"_weight": DoubleType()}, keep_text=False).select("doc_id", "_weight", _key("_weight", seed).alias("key")))
     present = weights.where("key IS NOT NULL")
     sides = {1: checked, 0: bad}
     classes = spark.createDataFrame([(i, q) for q, ids in sides.items() for i in ids], "doc_id long, quality int")
@@ -198,4 +190,4 @@ def good_documents(docs: DataFrame, labels: DataFrame, seed: int = 17) -> DataFr
     """The rows of ``docs``, all columns, that ``classify_quality`` keeps."""
     sampler, _ = fit(docs, labels, seed)
     name = fresh(docs, "_weight")
-    return _weighed(docs, sampler.log_ratio, name).where(_key(name, seed) >= F.lit(sampler.cut)).drop(name)
+    return scored(docs, _weigh(sampler.log_ratio), {name: DoubleType()}).where(_key(name, seed) >= F.lit(sampler.cut)).drop(name)

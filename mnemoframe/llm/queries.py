@@ -21,8 +21,7 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
     network = langid.learnt(docs, F.col("lang").isNotNull() & ~held_out)
-    found = langid.identify(docs.select("doc_id", held_out.alias("held_out"), "text"), network)
-    return found.select("doc_id", "held_out", "lang_pred", "score")
+    return langid.identify(docs.select("doc_id", held_out.alias("held_out"), "text"), network, keep_text=False)
 
 
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
