@@ -44,11 +44,14 @@ def _units(block: bytesvec.Block) -> bytesvec.Words:
         return words
     hashes = bytesvec.span_hashes(data, words.starts, words.ends)
     ends_unit = hashes % np.uint64(PIECE_WORDS) == 0
-    ends_unit[1:] |= hashes[1:] == hashes[:-1]
+    full = np.diff(words.bounds) > 0
+    repeats = np.zeros(len(hashes), dtype=bool)
+    repeats[1:] = hashes[1:] == hashes[:-1]
+    repeats[words.bounds[:-1][full]] = False  # a text's first word has none before it
+    ends_unit |= repeats
     line = np.searchsorted(np.flatnonzero((data == 10) | (data == 13)), words.starts)
     ends_unit[:-1] |= line[1:] != line[:-1]
-    last = words.bounds[1:][np.diff(words.bounds) > 0] - 1
-    ends_unit[last] = True
+    ends_unit[words.bounds[1:][full] - 1] = True
     ends = np.flatnonzero(ends_unit)
     starts = np.concatenate([[0], ends[:-1] + 1])
     return bytesvec.Words(words.starts[starts], words.ends[ends], np.searchsorted(words.starts[starts], offsets))

@@ -113,7 +113,8 @@ def _keyword(pattern: str) -> str:
 
 
 def _spaced(pattern: str) -> str:
-    return re.sub(r"(?<!\\) ", r"\\s+", pattern)
+    pattern = pattern.replace("[- ]", r"[-\s]")
+    return re.sub(r" (\??)", lambda m: r"\s*" if m[1] else r"\s+", pattern)
 
 
 def rules() -> list[Rule]:
