@@ -104,7 +104,7 @@ _SEED = ("node string",)
 query("GR12_impact", "edges", sql=f"{_BFS} SELECT node, min(depth) AS depth FROM walk GROUP BY node")(lambda e: G.impact(e, e.sparkSession.createDataFrame([("order/388",)], *_SEED)))
 query("GR15_impact_scores", "edges", sql=f"""{_BFS}, v AS (SELECT node, min(depth) AS depth FROM walk GROUP BY node),
     ends AS (SELECT source_id AS f, target_id AS t, relation FROM {{edges}} UNION ALL SELECT target_id, source_id, relation FROM {{edges}})
-    SELECT y.node, y.depth, round(sum(CASE relation WHEN 'mentioned_in' THEN 1.0 ELSE 0.6 END * CASE y.depth WHEN 1 THEN 1.0 WHEN 2 THEN 0.5 ELSE 0.25 END), 3) AS score
+    SELECT y.node, y.depth, round(sum(CAST(CASE relation WHEN 'mentioned_in' THEN 1.0 ELSE 0.6 END AS DOUBLE) * CASE y.depth WHEN 1 THEN 1.0 WHEN 2 THEN 0.5 ELSE 0.25 END), 3) AS score
     FROM ends JOIN v x ON f = x.node JOIN v y ON t = y.node WHERE y.depth > 0 AND x.depth = y.depth - 1 GROUP BY 1, 2""")(
     lambda e: G.impact_scores(e, e.sparkSession.createDataFrame([("order/388",)], *_SEED))
 )

@@ -27,8 +27,8 @@ query("ME09_recall", "memories")(lambda m: M.recall(m, ["ing", "ers", "there", "
 ORACLES["ME09_recall"] = oracle("""SELECT id, score, used FROM (SELECT *, CAST(sum(cost) OVER (ORDER BY score DESC, id) AS BIGINT) AS used FROM (
     SELECT id, round(o / 4.0 * 0.5 + exp(-(0.693 / 48.0) * version * 12.0) * 0.3 + CASE category WHEN 'decision' THEN 1.0 WHEN 'preference' THEN 0.9 ELSE 0.5 END * 0.2, 6) AS score, greatest(length(content) // 4, 1) AS cost
     FROM (SELECT *, len(list_intersect(@K, ['ing', 'ers', 'there', 'tion'])) AS o FROM {memories}) WHERE o > 0)) WHERE used <= 400""").replace("@K", _KW)
-query("ME11_importance", "memories", sql="""SELECT id, round(least(CASE category WHEN 'decision' THEN 1.0 WHEN 'preference' THEN 0.9 ELSE 0.5 END + CASE WHEN strlen(content) > 500 THEN 0.1 WHEN strlen(content) > 200 THEN 0.05 ELSE 0 END
-    + CASE WHEN regexp_matches(content, '[A-Z][a-z]+[A-Z]|[a-z]+_[a-z]+|->|=>|\\(\\)|def |fn ') THEN 0.05 ELSE 0 END, 1.0), 4) AS importance FROM {memories}""")(
+query("ME11_importance", "memories", sql="""SELECT id, round(least(CAST(CASE category WHEN 'decision' THEN 1.0 WHEN 'preference' THEN 0.9 ELSE 0.5 END + CASE WHEN strlen(content) > 500 THEN 0.1 WHEN strlen(content) > 200 THEN 0.05 ELSE 0 END
+    + CASE WHEN regexp_matches(content, '[A-Z][a-z]+[A-Z]|[a-z]+_[a-z]+|->|=>|\\(\\)|def |fn ') THEN 0.05 ELSE 0 END AS DOUBLE), 1.0), 4) AS importance FROM {memories}""")(
     lambda m: m.select("id", F.round(M.importance(F.col("category"), F.col("content")), 4).alias("importance"))
 )
 _HITS = {k: " + ".join(f"contains(lower(text), '{w}')::INT" for w in v.split()) for k, v in M.CATEGORY_SIGNALS.items()}
