@@ -1,6 +1,7 @@
 """Signals: envelope analysis, routing patterns, journal, subscriptions, rate limits, percentiles."""
 
 import re
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -68,31 +69,112 @@ def percentiles(samples: DataFrame, key: str, value: str, order: str, last: int
     return held.select(key, at(0.5).alias("p50"), at(0.95).alias("p95"), at(0.99).alias("p99"))
 
 
+def _in_time_order(events: DataFrame, key: list[str], step: Callable) -> DataFrame:
+    """``(id, allowed)``, where ``step(state, time)`` gives a key's next state and whether the event is allowed.
+
+    A key's events arrive in order in Arrow batches of bounded size; nothing
+    but the state of the key at hand is held, however many events it has.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, state = None, None
+        for pdf in batches:
+            out = []
+            for *own, t in zip(*(pdf[k] for k in key), pdf["time"], strict=True):
+                if own != at:
+                    at, state = own, None
+                state, ok = step(state, t)
+                out.append(ok)
+            yield pdf[["id"]].assign(allowed=out)
+
+    ordered = events.select("id", "time", *key).repartition(*key).sortWithinPartitions(*key, "time", "id")
+    return ordered.mapInPandas(run, "id long, allowed boolean")
+
+
 def cooled_down(events: DataFrame, key: list[str], seconds: int = 3600) -> DataFrame:
     """Events that are let through: the first of a key, then each that comes ``seconds`` or more after the last one let through."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, last, kept = pdf.sort_values(["time", "id"]), None, []
-        for t in pdf["time"]:
-            ok = last is None or (t - last).total_seconds() >= seconds
-            last = t if ok else last
-            kept.append(ok)
-        return pdf[kept][["id"]]
+    def step(last, t):
+        ok = last is None or (t - last).total_seconds() >= seconds
+        return (t if ok else last), ok
 
-    return events.groupBy(*key).applyInPandas(run, "id long")
+    return _in_time_order(events, key, step).where("allowed").select("id")
 
 
 def rate_limited(events: DataFrame, key: str, capacity: float, per_second: float) -> DataFrame:
     """``(id, allowed)`` of a token bucket for each key, refilled with time and advanced on refusal too."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, tokens, last, out = pdf.sort_values(["time", "id"]), capacity, None, []
-        for t in pdf["time"]:
-            if last is not None:
-                tokens = min(capacity, tokens + (t - last).total_seconds() * per_second)
-            last, ok = t, tokens >= 1
-            tokens -= 1 if ok else 0
-            out.append(ok)
-        return pdf[["id"]].assign(allowed=out)
-
-    return events.groupBy(key).applyInPandas(run, "id long, allowed boolean")
+    def step(state, t):
+        last, tokens = state or (t, capacity)
+        tokens = min(capacity, tokens + (t - last).total_seconds() * per_second)
+        ok = tokens >= 1
+        return (t, tokens - 1 if ok else tokens), ok
+
+    return _in_time_order(events, [key], step)
+
+
+# What a segment of a signal's type says of genre and structure, and its last one of the action.
+GENRE_OF = {"error": "error", "alert": "alert", "progress": "progress", "task": "brief", "spec": "spec", "report": "report", "review": "pr", "chat": "chat", "decision": "adr"}
+STRUCTURE_OF = {
+    "error": "error_report", "alert": "alert_template", "progress": "progress_update", "task": "task_brief", "spec": "specification",
+    "report": "report_template", "review": "review_template", "chat": "conversation", "decision": "decision_record",
+}
+ACTION_OF = {
+    "completed": "inform", "created": "inform", "started": "inform", "failed": "inform", "request": "direct", "command": "direct", "dispatch": "direct",
+    "decided": "decide", "approved": "commit", "committed": "commit", "merged": "commit", "expressed": "express", "acknowledged": "express",
+}
+
+
+def _looked_up(table: dict[str, str], key: Column, default: str) -> Column:
+    return F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for item in table.items() for x in item)), key), F.lit(default))
+
+
+def dimensions(data: Column, type_: Column) -> dict[str, Column]:
+    """Mode, genre, action, format and structure that a text signal's type and data imply."""
+    segments = F.split(F.coalesce(type_, F.lit("")), r"\.")
+    known = F.try_element_at(F.filter(segments, lambda s: s.isin(list(GENRE_OF))), F.lit(1))
+    code, text = code_like(data), data.isNotNull()
+    return {
+        "mode": F.when(text & code, "code").otherwise("linguistic"),
+        "genre": _looked_up(GENRE_OF, known, "chat"),
+        "action": _looked_up(ACTION_OF, F.element_at(segments, -1), "inform"),
+        "format": F.when(~text, "json").when(code, "code").when(occurs(data, ["#", "**", "- "]), "markdown").otherwise("cli"),
+        "structure": _looked_up(STRUCTURE_OF, known, "default"),
+    }
+
+
+def topic_regex(pattern: str) -> str:
+    """A topic pattern as a regular expression: ``*`` is one segment, ``**`` one or more, whatever follows it."""
+    out = []
+    for part in pattern.split("."):
+        if part == "**":
+            out.append(".*")
+            break
+        out.append("[^.]*" if part == "*" else re.escape(part))
+    return "^" + re.escape(".").join(out) + "$"
+
+
+def subscribed(signals: DataFrame, patterns: list[str]) -> DataFrame:
+    """``(id, pattern)`` for each (bounded list of) topic pattern that a signal's type matches."""
+    matches = F.array(*(F.when(F.col("type").rlike(topic_regex(p)), F.lit(p)) for p in patterns))
+    return signals.select("id", F.explode(F.filter(matches, lambda x: x.isNotNull())).alias("pattern"))
+
+
+def surfaced(pages: DataFrame, subscriptions: DataFrame, least: float = 0.5) -> DataFrame:
+    """``(id, subscription, score)`` of pages ``(id, slug, body, audience)`` that reach a subscription ``(subscription, scope, value)``.
+
+    Subscriptions are a bounded table and go to every task; each page meets
+    each of them, which is what the score asks for.
+    """
+    topic = F.lower("value")
+    score = (
+        F.when(F.col("scope") == "workspace", 1.0)
+        .when((F.col("scope") == "node") & F.contains("slug", "value"), 1.0)
+        .when((F.col("scope") == "topic") & (topic != "") & F.contains("slug", topic), 1.0)
+        .when((F.col("scope") == "topic") & (topic != "") & F.contains(F.lower("body"), topic), 0.7)
+        .when((F.col("scope") == "audience") & (F.coalesce("audience", F.lit("default")) == F.col("value")), 1.0)
+        .otherwise(0.0)
+    )
+    rows = [tuple(r) for r in subscriptions.select("subscription", "scope", "value").collect()]
+    each = F.explode(F.array(*(F.struct(F.lit(s).alias("subscription"), F.lit(k).alias("scope"), F.lit(v).alias("value")) for s, k, v in rows)))
+    return pages.withColumn("to", each).select("*", "to.*").select("id", "subscription", score.alias("score")).where(F.col("score") >= least)

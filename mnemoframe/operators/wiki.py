@@ -1,0 +1,36 @@
+"""Wiki pages: directives, links and integrity."""
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+# Verbs that a page may use, and its size limit in bytes.
+VERBS = ["cite", "include", "expand", "search", "table", "trace", "recent"]
+MOST_BYTES = 50_000
+_DIRECTIVE, _LINK = r"\{\{\s*([a-z_]+)\s*:\s*([^}]*?)\s*\}\}", r"\[\[([^\]]+)\]\]"
+
+
+def _all(body: Column, pattern: str, group: int) -> Column:
+    return F.regexp_extract_all(body, F.lit(pattern), F.lit(group))
+
+
+def directives(pages: DataFrame, id_column: str = "doc_id", body: str = "body") -> DataFrame:
+    """``(doc_id, verb, argument)``: a row for each directive, and for each link with the verb ``wikilink``."""
+    found = F.arrays_zip(_all(F.col(body), _DIRECTIVE, 1).alias("verb"), _all(F.col(body), _DIRECTIVE, 2).alias("argument"))
+    links = pages.select(id_column, F.lit("wikilink").alias("verb"), F.explode(_all(F.col(body), _LINK, 1)).alias("argument"))
+    return pages.select(id_column, F.explode(found).alias("d")).select(id_column, "d.verb", "d.argument").unionByName(links)
+
+
+def whitelisted(body: Column) -> Column:
+    """Whether all directives use known verbs; links always do."""
+    return F.forall(_all(body, _DIRECTIVE, 1), lambda v: v.isin(VERBS))
+
+
+def problems(pages: DataFrame, sources: DataFrame, id_column: str = "doc_id", body: str = "body") -> DataFrame:
+    """``(doc_id, problem, detail)``: unknown verbs, citations of sources that don't exist (``uri``), and pages without text or too large."""
+    found = directives(pages, id_column, body)
+    unknown = found.where(~F.col("verb").isin([*VERBS, "wikilink"])).select(id_column, F.lit("invalid_verb").alias("problem"), F.col("verb").alias("detail"))
+    cites = found.where("verb = 'cite'").select(id_column, F.col("argument").alias("uri"))
+    broken = cites.join(sources.select("uri").distinct(), "uri", "left_anti").select(id_column, F.lit("broken_cite").alias("problem"), F.col("uri").alias("detail"))
+    size = F.octet_length(F.coalesce(F.col(body), F.lit("")))
+    sized = pages.where((size == 0) | (size > MOST_BYTES)).select(id_column, F.when(size == 0, "empty").otherwise("too_large").alias("problem"), size.cast("string").alias("detail"))
+    return unknown.unionByName(broken).unionByName(sized)

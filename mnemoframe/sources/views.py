@@ -58,6 +58,10 @@ VIEWS = {
                CASE WHEN turn % 3 = 0 THEN 'fact' WHEN turn % 3 = 1 THEN 'decision' ELSE 'preference' END AS category,
                CASE WHEN turn > 0 THEN concat('mem-', conv_id, '-', turn - 1) END AS parent_id
         FROM {conversations}""",
+    "wiki": """
+        SELECT doc_id, concat('**Acme Widget** costs $', doc_id % 3, '. ', chr(123), chr(123), 'cite: doc/', doc_id % 7, chr(125), chr(125), chr(10), chr(10), 'See [[page ', doc_id % 5, ']] and ',
+               chr(123), chr(123), CASE WHEN doc_id % 4 = 0 THEN 'shout' ELSE 'expand' END, ' : part ', doc_id % 6, chr(125), chr(125), chr(10), chr(10), text) AS body
+        FROM {documents}""",
     "seeded": """
         SELECT doc_id, lang, concat(CASE doc_id % 12
             WHEN 0 THEN 'We decided: the budget is approved.' WHEN 1 THEN 'Could you send the invoice?' WHEN 2 THEN 'You must meet the requirement: latency under 20 ms.'
