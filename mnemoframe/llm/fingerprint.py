@@ -8,10 +8,11 @@ vectors modulo powers of two.  So the order of units
 doesn't matter, and units can be added or taken away without the rest.
 
 The vector has a count (modulo 2**32), four dense lanes (modulo 2**64) that
-every unit changes, and STRATA * LANES sparse lanes (a value and a count, both
-modulo 2**16) of which a unit changes one: its stratum holds a share of all
-units that halves from one stratum to the next.  Equality compares the whole;
-likeness compares lanes of strata that are sparse enough for the texts' sizes.
+every unit changes, and STRATA * LANES sparse lanes (a value modulo 2**16 and a
+count modulo 2**32) of which a unit changes one: its stratum holds a share of
+all units that halves from one stratum to the next.  Equality compares the
+whole; likeness compares lanes of strata that are sparse enough for the texts'
+distinct units.
 """
 
 import base64
@@ -27,10 +28,12 @@ from pyspark.sql import functions as F
 from . import bytesvec
 from .columns import bounded_batches
 
-STRATA, LANES, DENSE = 8, 16, 4
+#: The sparsest strata still fit 2 * LANES * 2**(STRATA - 1) distinct units, as many as a string of 2**31 bytes can hold.
+STRATA, LANES, DENSE = 26, 16, 4
 #: Words of a piece of a paragraph, on average.
 PIECE_WORDS = 4
 _SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+_SPARSE_SALT = np.uint64(0x13198A2E03707345)
 _SALTS = np.array([0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0, 0x082EFA98EC4E6C89], dtype=np.uint64)
 #: Rows of a range of ids that one task reads in order, and ranges at most.
 RANGE_ROWS, MOST_RANGES = 20_000, 50_000
@@ -58,9 +61,9 @@ def _units(block: bytesvec.Block) -> bytesvec.Words:
 
 
 def vectors(column: pa.Array) -> dict[str, np.ndarray]:
-    """The fingerprints' parts for each text of a column: ``count``, ``dense``, and ``sparse`` with the lanes' values, then their counts."""
+    """The fingerprints' parts for each text of a column: ``count``, ``dense``, and the sparse lanes' ``values`` and ``counts``."""
     n = len(column)
-    out = {"count": np.zeros(n, dtype=np.uint32), "dense": np.zeros((n, DENSE), dtype=np.uint64), "sparse": np.zeros((n, 2 * STRATA * LANES), dtype=np.uint16)}
+    out = {"count": np.zeros(n, dtype=np.uint32), "dense": np.zeros((n, DENSE), dtype=np.uint64), "values": np.zeros((n, STRATA * LANES), dtype=np.uint16), "counts": np.zeros((n, STRATA * LANES), dtype=np.uint32)}
     for block in bytesvec.blocks(column):
         units = _units(block)
         hashes = bytesvec.span_hashes(block.data, units.starts, units.ends)
@@ -70,31 +73,37 @@ def vectors(column: pa.Array) -> dict[str, np.ndarray]:
         if len(full):
             for k in range(DENSE):
                 out["dense"][block.first + full, k] = np.add.reduceat(bytesvec.mix(hashes ^ _SALTS[k]), units.bounds[full])
-        low = hashes & np.uint64((1 << (STRATA - 1)) - 1)
+        # Mixed again, as a unit of one word has that word's hash, whose low bits cut the units.
+        spread = bytesvec.mix(hashes ^ _SPARSE_SALT)
+        low = spread & np.uint64((1 << (STRATA - 1)) - 1)
         lowest = np.where(low == 0, np.uint64(1 << (STRATA - 1)), low & (~low + np.uint64(1)))
         stratum = np.log2(lowest.astype(np.float64)).astype(np.int64)
-        lane = stratum * LANES + ((hashes >> np.uint64(8)) % np.uint64(LANES)).astype(np.int64)
-        value = ((hashes >> np.uint64(16)) & np.uint64(0xFFFF)).astype(np.uint16) | np.uint16(1)
-        np.add.at(out["sparse"], (of, lane), value)
-        np.add.at(out["sparse"], (of, lane + STRATA * LANES), np.uint16(1))
+        lane = stratum * LANES + ((spread >> np.uint64(32)) % np.uint64(LANES)).astype(np.int64)
+        value = ((spread >> np.uint64(48)) & np.uint64(0xFFFF)).astype(np.uint16) | np.uint16(1)
+        np.add.at(out["values"], (of, lane), value)
+        np.add.at(out["counts"], (of, lane), np.uint32(1))
     return out
 
 
+#: Parts of a fingerprint in their order, with the bytes of a number and how many there are.
+_PARTS = (("count", 4, 1), ("dense", 8, DENSE), ("values", 2, STRATA * LANES), ("counts", 4, STRATA * LANES))
+
+
 def as_text(v: dict[str, np.ndarray]) -> list[str]:
     """Fingerprints in base 64."""
-    rows = np.hstack([v["count"].astype(">u4").view(np.uint8).reshape(-1, 4), v["dense"].astype(">u8").view(np.uint8).reshape(-1, 8 * DENSE), v["sparse"].astype(">u2").view(np.uint8).reshape(-1, 4 * STRATA * LANES)])
+    rows = np.hstack([v[k].astype(f">u{size}").view(np.uint8).reshape(len(v["count"]), -1) for k, size, _ in _PARTS])
     return [base64.b64encode(row.tobytes()).decode() for row in np.ascontiguousarray(rows)]
 
 
 def parse(fingerprints: list[str]) -> dict[str, np.ndarray]:
     """The parts that ``as_text`` wrote."""
     raw = np.frombuffer(b"".join(map(base64.b64decode, fingerprints)), dtype=np.uint8).reshape(len(fingerprints), -1)
-    cut = lambda a, b, kind: np.ascontiguousarray(raw[:, a:b]).view(kind)
-    return {
-        "count": cut(0, 4, ">u4").reshape(-1).astype(np.uint32),
-        "dense": cut(4, 4 + 8 * DENSE, ">u8").astype(np.uint64),
-        "sparse": cut(4 + 8 * DENSE, raw.shape[1], ">u2").astype(np.uint16),
-    }
+    out, at = {}, 0
+    for k, size, numbers in _PARTS:
+        part = np.ascontiguousarray(raw[:, at : at + size * numbers]).view(f">u{size}").astype(f"u{size}")
+        out[k] = part.reshape(-1) if numbers == 1 else part
+        at += size * numbers
+    return out
 
 
 def fingerprint(text: str) -> str:
@@ -107,23 +116,29 @@ def combine(one: str, other: str, sign: int = 1) -> str:
     return as_text({k: a[k] + b[k] if sign > 0 else a[k] - b[k] for k in a})[0]
 
 
+def _first_stratum(counts: np.ndarray) -> np.ndarray:
+    """The first stratum from which on a text has about two distinct units a lane or fewer, by the lanes that are occupied."""
+    free = 1 - (counts != 0).reshape(len(counts), STRATA, LANES).mean(axis=2)
+    with np.errstate(divide="ignore"):
+        distinct = np.cumsum(-LANES * np.log(free)[:, ::-1], axis=1)[:, ::-1]
+    return np.minimum((distinct > 2 * LANES).sum(axis=1), STRATA - 1)
+
+
 def likeness(a: dict[str, np.ndarray], b: dict[str, np.ndarray]) -> np.ndarray:
     """Mean agreement of the lanes in use, 0 to 1; 1 for equal fingerprints.
 
     Lanes whose values stand in the ratio of their counts hold the same units,
     perhaps repeated more often in one text; they agree by the smaller count
-    over the larger.  Others don't agree.  Only strata count in which the
-    larger text has about two units a lane or fewer.
+    over the larger.  Others don't agree.  Only strata count from which on
+    each text has about two distinct units a lane or fewer; repeats of a unit
+    don't matter for that.
     """
-    equal = (a["count"] == b["count"]) & (a["dense"] == b["dense"]).all(axis=1) & (a["sparse"] == b["sparse"]).all(axis=1)
-    larger = np.maximum(np.maximum(a["count"], b["count"]), 1).astype(np.float64)
-    first = np.clip(np.ceil(np.log2(larger / (2 * LANES))), 0, STRATA - 1)
+    equal = np.logical_and.reduce([(a[k] == b[k]).reshape(len(a[k]), -1).all(axis=1) for k in a])
+    first = np.maximum(_first_stratum(a["counts"]), _first_stratum(b["counts"]))
     counted = np.repeat(np.arange(STRATA), LANES)[None, :] >= first[:, None]
-    lanes = STRATA * LANES
-    value_a, value_b, count_a, count_b = a["sparse"][:, :lanes], b["sparse"][:, :lanes], a["sparse"][:, lanes:], b["sparse"][:, lanes:]
-    used = ((count_a != 0) | (count_b != 0)) & counted
-    same = used & (value_a * count_b == value_b * count_a)
-    shares = np.where(same, np.minimum(count_a, count_b) / np.maximum(np.maximum(count_a, count_b), 1), 0.0)
+    used = ((a["counts"] != 0) | (b["counts"] != 0)) & counted
+    same = used & (a["values"] * b["counts"].astype(np.uint16) == b["values"] * a["counts"].astype(np.uint16))
+    shares = np.where(same, np.minimum(a["counts"], b["counts"]) / np.maximum(np.maximum(a["counts"], b["counts"]), 1), 0.0)
     return np.where(equal, 1.0, shares.sum(axis=1) / np.maximum(used.sum(axis=1), 1))
 
 
