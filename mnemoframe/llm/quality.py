@@ -22,7 +22,7 @@ from .durable import durable
 from .samples import per_class
 
 BUCKETS = 1 << 14
-#: Labelled documents of each class that are read at most; half fit the target model, half the size of the sample.
+#: Labelled documents of each class that are read at most; half of the good ones fit the target model, the others and the bad ones the size of the sample.
 LABELLED = 6000
 #: N-grams of ratio 1 that are added to each document, so that chance decides little over short ones.
 NEUTRAL = 30
@@ -122,12 +122,15 @@ def kth_largest(keys: DataFrame, k: int) -> float:
             return sorted((r[0] for r in keys.where(F.col("key").between(low, high)).select("key").collect()), reverse=True)[k - 1]
 
 
-def _share_threshold(good: np.ndarray, bad: np.ndarray) -> float:
-    """The weight that separates the classes at the least cost; ties go to the middle of the widest such gap."""
+def _share_threshold(good: np.ndarray, bad: np.ndarray, stands_for: tuple[float, float] = (1.0, 1.0)) -> float:
+    """The weight that separates the classes at the least cost; ties go to the middle of the widest such gap.
+
+    ``stands_for`` is how many labels of all each good and each bad value stands for.
+    """
     values = np.unique(np.concatenate([good, bad]))
     cuts = np.concatenate([[values[0] - 1], (values[1:] + values[:-1]) / 2])
-    costs = COST_OF_REJECTION * np.searchsorted(np.sort(good), cuts) + len(bad) - np.searchsorted(np.sort(bad), cuts)
-    best = np.flatnonzero(costs == costs.min())
+    costs = COST_OF_REJECTION * stands_for[0] * np.searchsorted(np.sort(good), cuts) + stands_for[1] * (len(bad) - np.searchsorted(np.sort(bad), cuts))
+    best = np.flatnonzero(np.isclose(costs, costs.min(), rtol=1e-9, atol=0))
     gaps = np.concatenate([[0], values[1:] - values[:-1]])
     return float(cuts[best[np.argmax(gaps[best])]])
 
@@ -138,10 +141,13 @@ def fit(docs: DataFrame, labels: DataFrame, seed: int = 17) -> tuple[Sampler, Da
     The raw model counts all documents; the target model those of a bounded
     sample with ``quality`` 1.  The sample's size k is the number of documents
     whose weight reaches the threshold that best separates labelled documents
-    outside the target model, so no share is fixed beforehand.  Without
-    labels of both kinds every document with an n-gram stays.
+    outside the target model, so no share is fixed beforehand.  Each of these
+    counts as the labels of its class that it stands for, so that the cut
+    follows all labels' ratio whatever was sampled.  Without labels of both
+    kinds every document with an n-gram stays.
     """
-    wanted = labels.where("doc_id IS NOT NULL AND quality IN (0, 1)").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
+    wanted = labels.where("doc_id IS NOT NULL AND quality IN (0, 1)").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).distinct()
+    labelled = {r["quality"]: r["count"] for r in wanted.groupBy("quality").count().collect()}
     sample = per_class(wanted, "quality", F.xxhash64("doc_id"), LABELLED)
     good = sorted({r["doc_id"] for r in sample if r["quality"] == 1})
     bad = sorted({r["doc_id"] for r in sample if r["quality"] == 0})
@@ -167,7 +173,8 @@ def fit(docs: DataFrame, labels: DataFrame, seed: int = 17) -> tuple[Sampler, Da
     seen = present.join(F.broadcast(classes), "doc_id").select("quality", "_weight").collect()
     by_class = {q: np.array([r["_weight"] for r in seen if r["quality"] == q]) for q in (0, 1)}
     if len(by_class[0]) and len(by_class[1]):
-        k = present.where(F.col("_weight") >= _share_threshold(by_class[1], by_class[0])).count()
+        stands_for = labelled[1] / len(checked), labelled[0] / len(bad)
+        k = present.where(F.col("_weight") >= _share_threshold(by_class[1], by_class[0], stands_for)).count()
     else:
         k = present.count()
     cut = kth_largest(present, k) if k else float("inf")
