@@ -100,7 +100,7 @@ def lexical(urls: DataFrame) -> DataFrame:
 
 @dataclass
 class Trees:
-    """Trees as nested tuples ``(feature, cut, left, right)`` or leaf values, and blocked shares by suffix class."""
+    """Trees as nested tuples ``(feature, cut, left, right)`` or leaf values, and all labelled rows' blocked shares by suffix class."""
 
     base: float
     trees: list
@@ -134,36 +134,63 @@ def _apply_tree(tree, x: np.ndarray) -> np.ndarray:
     return out
 
 
-def boost(x: np.ndarray, blocked: np.ndarray, base_rate: float | None = None) -> tuple[float, list]:
-    """Gradient boosting with logistic loss and second-order leaf values."""
-    rate = min(max(float(blocked.mean()) if base_rate is None else base_rate, 0.01), 0.99)
+def boost(x: np.ndarray, blocked: np.ndarray, weight: np.ndarray) -> tuple[float, list]:
+    """Gradient boosting with logistic loss and second-order leaf values; a row counts as its weight."""
+    rate = min(max(float(np.average(blocked, weights=weight)), 0.01), 0.99)
     base, trees = float(np.log(rate / (1 - rate))), []
     margin = np.full(len(x), base)
     for _ in range(TREES):
         p = 1 / (1 + np.exp(-margin))
-        trees.append(_fit_tree(x, blocked - p, p * (1 - p), DEPTH))
+        trees.append(_fit_tree(x, weight * (blocked - p), weight * p * (1 - p), DEPTH))
         margin += _apply_tree(trees[-1], x)
     return base, trees
 
 
+PARTS = ("suffix", "second", "section")
+#: Folds of urls; a training row's shares are those of the other folds.
+FOLDS = 5
+
+
+def _statistics(rows: DataFrame) -> dict[str, np.ndarray]:
+    """For each part, all labelled rows and the blocked ones by fold and class."""
+    classes = F.array(*(F.col(f"{part}_class") for part in PARTS))
+    counted = rows.select("blocked", "fold", F.posexplode(classes).alias("part", "class")).groupBy("part", "fold", "class").agg(F.count("*").alias("n"), F.sum("blocked").alias("b"))
+    out = {part: np.zeros((2, FOLDS, SUFFIX_CLASSES)) for part in PARTS}
+    for r in counted.collect():
+        out[PARTS[r["part"]]][:, r["fold"], r["class"]] = r["n"], r["b"]
+    return out
+
+
 def learn(labelled: DataFrame) -> Trees | None:
     """Trees from rows with url, host, path and ``blocked`` (0 or 1); None where one of the classes is missing.
 
-    Fits on at most TRAIN_URLS rows of each class.  A suffix's blocked share
-    is smoothed, and each training row's own label is left out of it.
+    Blocked shares, over all and by class of suffix, count every row.  Only
+    the trees are grown on at most TRAIN_URLS rows of each class, which weigh
+    as the classes do among all rows.  A suffix's blocked share is smoothed, and
+    each training row's fold is left out of it (were it the row's own label
+    alone, the difference would tell the label).
     """
-    rows = per_class(lexical(labelled), "blocked", F.xxhash64("url"), TRAIN_URLS)
+    labelled = lexical(labelled.where("blocked IS NOT NULL")).withColumn("fold", F.pmod(F.crc32("url"), F.lit(FOLDS)).cast("int"))
+    found = _statistics(labelled)
+    total, all_blocked = found[PARTS[0]].sum(axis=(1, 2))
+    if not 0 < all_blocked < total:
+        return None
+    rows = per_class(labelled, "blocked", F.xxhash64("url"), TRAIN_URLS)
     blocked = np.array([r["blocked"] for r in rows], dtype=float)
     if len(set(blocked)) < 2:
         return None
-    overall, shares, columns = float(blocked.mean()), {}, []
-    for name in ("suffix", "second", "section"):
-        classes = np.array([r[f"{name}_class"] for r in rows])
-        n, b = (np.bincount(classes, w, SUFFIX_CLASSES) for w in (np.ones(len(rows)), blocked))
-        shares[name] = {int(k): float((b[k] + 2 * overall) / (n[k] + 2)) for k in np.flatnonzero(n)}
-        columns.append((b[classes] - blocked + 2 * overall) / (n[classes] + 1))
+    folds = np.array([r["fold"] for r in rows])
+    overall, shares, columns = float(all_blocked / total), {}, []
+    for part in PARTS:
+        classes = np.array([r[f"{part}_class"] for r in rows])
+        n, b = found[part].sum(axis=1)
+        own_n, own_b = found[part][:, folds, classes]
+        shares[part] = {int(k): float((b[k] + 2 * overall) / (n[k] + 2)) for k in np.flatnonzero(n)}
+        columns.append((b[classes] - own_b + 2 * overall) / (n[classes] - own_n + 2))
     x = np.column_stack([[float(r[f] or 0) for r in rows] for f in FEATURES[:-3]] + columns)
-    base, trees = boost(x, blocked)
+    # Of mean 1; all are 1 where no row was left out.
+    weight = np.where(blocked == 1, overall / blocked.mean(), (1 - overall) / (1 - blocked.mean()))
+    base, trees = boost(x, blocked, weight)
     return Trees(base, trees, shares | {"": {-1: overall}})
 
 
@@ -176,7 +203,7 @@ def _as_expression(tree, features: list[str]) -> Column:
 def blocked_probability(urls: DataFrame, model: Trees, name: str = "blocked_score") -> DataFrame:
     """Adds the trees' probability to rows that ``lexical`` has prepared."""
     overall = model.shares[""][-1]
-    for part in ("suffix", "second", "section"):
+    for part in PARTS:
         table = F.create_map(*(F.lit(v) for item in model.shares[part].items() for v in item))
         urls = urls.withColumn(f"{part}_blocked", F.coalesce(F.try_element_at(table, F.col(f"{part}_class")), F.lit(overall)))
     margin = sum((_as_expression(t, FEATURES) for t in model.trees), F.lit(model.base))
