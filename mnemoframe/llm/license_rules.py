@@ -89,8 +89,6 @@ FORMS = [
     (r"license\s*[:=]\s*[\"']?(?:the )?{}", 4, 0.9),
     (r"{}", 0, 0.8),
 ]
-#: A text without any of these words has no detection: no rule is tried.
-GATE = ("licen", "copyright", "spdx", "permission", "redistribut", "public domain", "all rights", "propriet", "warrant", "creativecommons", "creative commons", "gpl", "apache", "bsd", "mozilla", "mpl", "cddl", "epl", "cc0", "cc-by", "cc by", "ofl", "odbl", "psf", "wtfpl", "eupl", "cecill", "osl", "afl", "ms-pl", "ms-rl", "php", "advertising", "beer", "gfdl", "berkeley", "unencumbered", "source versions", "for good", "unauthorized", "openssl", "opendatacommons", "endorse", "consortium", "bsl11", "eclipse.org", "gnu", "mit")
 
 
 @dataclass(frozen=True)
@@ -113,7 +111,7 @@ def _keyword(pattern: str) -> str:
 
 
 def _spaced(pattern: str) -> str:
-    pattern = pattern.replace("[- ]", r"[-\s]")
+    pattern = pattern.replace("[- ]", r"(?:-|\s+)")
     return re.sub(r" (\??)", lambda m: r"\s*" if m[1] else r"\s+", pattern)
 
 
@@ -122,7 +120,21 @@ def rules() -> list[Rule]:
     out = []
     for label, (priority, names, wordings, links) in LICENSES.items():
         for name in names:
-            out += [Rule(label, priority + more, confidence, _keyword(name), re.compile(rf"(?<![a-z0-9]){_spaced(form.format(f'(?:{name})'))}(?![a-z0-9])")) for form, more, confidence in FORMS]
-        out += [Rule(label, priority + 3, 0.95, _keyword(x), re.compile(_spaced(x))) for x in wordings]
+            out += [Rule(label, priority + more, confidence, _keyword(name), re.compile(rf"(?<![a-z0-9]){_spaced(form.format(f'(?:{name})'))}(?![a-z0-9])", re.DOTALL)) for form, more, confidence in FORMS]
+        out += [Rule(label, priority + 3, 0.95, _keyword(x), re.compile(_spaced(x), re.DOTALL)) for x in wordings]
         out += [Rule(label, priority + 2, 0.9, _keyword(x), re.compile(_spaced(x))) for x in links]
     return sorted(out, key=lambda r: -r.priority)
+
+
+def _gate() -> tuple[str, ...]:
+    """The rules' keywords without those that hold another one."""
+    keywords = sorted({r.keyword for r in rules()}, key=lambda k: (len(k), k))
+    kept: list[str] = []
+    for k in keywords:
+        if not any(x in k for x in kept):
+            kept.append(k)
+    return tuple(kept)
+
+
+#: A text without any of these words has no detection: no rule is tried.  None holds white space.
+GATE = _gate()
