@@ -1,6 +1,7 @@
 """Cut lineage so that a lost executor never forces a long recomputation."""
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -15,6 +16,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and read it from there."""
+    """Write ``df`` to the shared checkpoint folder and read it from there.
+
+    What is read has its real size for the planner.  A checkpoint() instead
+    keeps the estimate of the plan that made it, which grows from round to
+    round of an iteration until planning itself takes the time.
+    """
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    folder = f"{df.sparkSession.sparkContext.getCheckpointDir()}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)

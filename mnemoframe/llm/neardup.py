@@ -11,10 +11,17 @@
    threshold, given the matches so far, falls under ``miss``.
 4. Survivors are confirmed on their full shingle sets.
 5. Confirmed links are closed to components.  Where a bucket still holds more
-   than one component, its members of different components are compared too:
-   in small buckets pair by pair, in large ones (after further rounds with
-   other centres) block against block with the sets at hand, so no link that
-   would join components is skipped and no table of a group's pairs arises.
+   than one component, further rounds with other centres merge what they can.
+6. Documents that still share a mixed bucket, directly or over others, form a
+   family.  Each document of a family stands once in it, however many buckets
+   it shares.  Members outside the family's largest component are held against
+   the members of like set size, block against block, with signatures and sets
+   at hand: the Bayesian test prunes, full sets confirm, and only links that
+   join components leave a task.  So no link that would join components is
+   skipped, and no table of a group's pairs arises.
+
+Shingles are compared by 64-bit hashes, and sets are taken as equal if they
+have the same size and the same two 64-bit sums over them.
 """
 
 from collections.abc import Iterator
@@ -34,14 +41,14 @@ from .durable import durable
 MISS = 1e-6
 #: Signature values that are compared at once.
 STEP = 16
-#: Rounds with one centre a bucket, before the rest is compared block against block.
-CENTRE_ROUNDS = 4
-#: Buckets of up to so many members are compared by a join, larger ones in blocks.
-SMALL_BUCKET = 12
-#: Members of a bucket's smaller components in a block, and members of the bucket that a task compares with them.
+#: Rounds with one centre a bucket, while a mixed bucket has more than AGAINST members.
+CENTRE_ROUNDS = 5
+#: Members of a family outside its largest component in a block, and members that a task holds against them.
 BLOCK, AGAINST = 2048, 4096
-#: Bytes of signatures and sets on each side of such a comparison, about.
+#: Bytes of signatures and sets on each side of such a comparison, about; a longer document is a block of its own.
 BLOCK_BYTES = 32 << 20
+#: Set values that are looked up at once.
+LOOKUP = 1 << 20
 #: Ids that are broadcast at most (8 bytes each) to pick texts for confirmation; beyond it the texts are joined by id.
 BROADCAST_IDS = 1_000_000
 
@@ -160,36 +167,51 @@ def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, dtype=np.uint64), bounds
 
 
-def _link_blocks(rows: int, values: int, least: list[tuple[int, int]], percent: int):
-    """Links that join components, among one block of a bucket's members and those it is held against.
+def _intersections(own: np.ndarray, shingles: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of one sorted set with others, given by their places in a flat array."""
+    out, ends = np.zeros(len(starts), dtype=np.int64), np.cumsum(sizes)
+    first = 0
+    while first < len(starts):
+        last = max(int(np.searchsorted(ends, (ends[first - 1] if first else 0) + LOOKUP, side="right")), first + 1)
+        length = sizes[first:last]
+        bounds = np.concatenate([[0], np.cumsum(length)])
+        values = shingles[np.repeat(starts[first:last] - bounds[:-1], length) + np.arange(bounds[-1])]
+        found = own[np.minimum(np.searchsorted(own, values), len(own) - 1)] == values
+        out[first:last] = np.add.reduceat(found.astype(np.int64), bounds[:-1])
+        first = last
+    return out
 
-    A pair that meets in an earlier band is left to that band's bucket.
-    """
+
+def _link_cells(values: int, least: list[tuple[int, int]], percent: int):
+    """Links that join components, among the members of each family and size class in a cell."""
 
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        ids, label, left = (table.column(x).to_numpy().copy() for x in ("id", "component", "left"))
+        ids, component, family, size_class, left, outer = (table.column(x).to_numpy() for x in ("id", "component", "family", "size_class", "left", "outer"))
         signature = _matrix(table.column("signature").chunk(0), values)
         shingles, bounds = _lists(table.column("shingles").chunk(0))
-        sizes, band = np.diff(bounds), table.column("band")[0].as_py()
-        earlier = np.zeros((len(ids), band), dtype=np.uint64)
-        for k in range(rows):
-            earlier = bytesvec.mix(earlier * np.uint64(3) + signature[:, k : k + band * rows : rows])
-        out, others = [], np.flatnonzero(~left)
-        for i in np.flatnonzero(left):
-            j = others[(label[others] != label[i]) & (100 * np.minimum(sizes[others], sizes[i]) >= percent * np.maximum(sizes[others], sizes[i]))]
-            j = j[~(earlier[j] == earlier[i]).any(axis=1)]
-            j = j[_plausible(np.broadcast_to(signature[i], (len(j), values)), signature[j], least)]
-            own = shingles[bounds[i] : bounds[i + 1]]
-            for one in j:
-                if label[one] == label[i]:
-                    continue
-                other = shingles[bounds[one] : bounds[one + 1]]
-                at = np.minimum(np.searchsorted(own, other), len(own) - 1)
-                shared = int((own[at] == other).sum())
-                if 100 * shared >= percent * (len(own) + len(other) - shared):
+        sizes = np.diff(bounds)
+        order = np.lexsort((size_class, family))
+        same = (family[order][1:] == family[order][:-1]) & (size_class[order][1:] == size_class[order][:-1])
+        out = []
+        for rows in np.split(order, np.flatnonzero(~same) + 1):
+            lefts, others = rows[left[rows]], rows[~left[rows]]
+            label, own_label = component[others], component[lefts]
+            for k, i in enumerate(lefts):
+                # A pair of two members outside the largest component is met from both sides; the smaller id compares.
+                j = np.flatnonzero((label != own_label[k]) & (~outer[others] | (ids[others] > ids[i])))
+                n = sizes[others[j]]
+                j = j[100 * np.minimum(n, sizes[i]) >= percent * np.maximum(n, sizes[i])]
+                j = j[_plausible(np.broadcast_to(signature[i], (len(j), values)), signature[others[j]], least)]
+                at = others[j]
+                shared = _intersections(shingles[bounds[i] : bounds[i + 1]], shingles, bounds[at], sizes[at])
+                j = j[100 * shared >= percent * (sizes[i] + sizes[at] - shared)]
+                joined, first = np.unique(label[j], return_index=True)
+                for one in others[j[first]]:
                     out.append((min(ids[i], ids[one]), max(ids[i], ids[one])))
-                    label[label == label[one]] = label[i]
+                into = own_label[k]
+                label[np.isin(label, joined)] = into
+                own_label[np.isin(own_label, joined)] = into
         a, b = np.array(out, dtype=np.int64).reshape(-1, 2).T
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
@@ -249,36 +271,51 @@ class _Search:
 
 
 def _mixed_buckets(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members ``(key, band, id, component, size)`` of the buckets of three and more that hold more than one component."""
-    labelled = members.join(labels, "id", "left").select("key", "band", "id", F.coalesce("component_id", "id").alias("component"))
+    """Members ``(key, id, component, size)`` of the buckets of three and more that hold more than one component."""
+    labelled = members.join(labels, "id", "left").select("key", "id", F.coalesce("component_id", "id").alias("component"))
     mixed = labelled.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("size"))
     return labelled.join(mixed.where("x <> y AND size > 2").select("key", "size"), "key")
 
 
-def _crossing_pairs(members: DataFrame) -> DataFrame:
-    """All pairs of different components in small buckets."""
-    one = members.select("key", F.col("id").alias("a"), F.col("component").alias("of_a"))
-    other = members.select("key", F.col("id").alias("b"), F.col("component").alias("of_b"))
-    return one.join(other, "key").where("a < b AND of_a <> of_b").select("a", "b").distinct()
-
-
-def _blocks(members: DataFrame, signatures: DataFrame, sets: DataFrame) -> DataFrame:
-    """Blocks of each bucket's members outside its largest component, and the bucket's members that each is held against."""
-    members = members.join(signatures, "id").join(sets, "id").withColumn("bytes", F.octet_length("shingles") + F.octet_length("signature"))
-    parts = members.groupBy("key", "component").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
-    largest = F.max(F.struct("n", "bytes", "component"))
-    needed = lambda n, rows, size: F.ceil(F.greatest(n / F.lit(rows), size / F.lit(BLOCK_BYTES))).cast("int")
-    sizes = parts.groupBy("key").agg(
-        largest.getField("component").alias("largest"),
-        needed(F.sum("n") - F.max("n"), BLOCK, F.sum("bytes") - largest.getField("bytes")).alias("blocks"),
-        needed(F.sum("n"), AGAINST, F.sum("bytes")).alias("parts"),
-    )
-    dealt = members.join(sizes, "key")
+def _centre_pairs(members: DataFrame, turn: int) -> DataFrame:
+    """Each member of a bucket with one centre of it, if they are of different components."""
+    draw = F.col("id") if turn == 0 else F.xxhash64("id", F.lit(turn))
+    centres = members.groupBy("key").agg(F.min(F.struct(draw.alias("draw"), "id", "component")).alias("centre"))
+    pairs = members.join(centres, "key").where("component <> centre.component")
+    return pairs.select(F.least("id", "centre.id").alias("a"), F.greatest("id", "centre.id").alias("b")).distinct()
+
+
+def _families(mixed: DataFrame) -> DataFrame:
+    """``(id, component, family)`` of the members of mixed buckets: a family's members share buckets, directly or over others."""
+    centres = mixed.groupBy("key").agg(F.min("id").alias("centre"))
+    chained = connected_components(mixed.join(centres, "key").select(F.col("id").alias("a"), F.col("centre").alias("b")))
+    return mixed.select("id", "component").distinct().join(chained.withColumnRenamed("component_id", "family"), "id")
+
+
+def _cells(families: DataFrame, sizes: DataFrame, values: int, percent: int) -> DataFrame:
+    """Cells ``(cell, i, j)`` of members to compare: those outside a family's largest component (``left``), and all of like set size.
+
+    Sets that reach the threshold have sizes within a factor, so their size
+    classes are equal or adjacent.  Cells that need no blocks are put together.
+    """
+    step = -log(percent / 100) * 1.0001 if percent < 100 else 1.0
+    members = families.join(sizes, "id").select("id", "component", "family", F.floor(F.log(F.col("n")) / F.lit(step)).cast("int").alias("size_class"), (8 * F.col("n") + 4 * values).alias("bytes"))
+    counted = members.groupBy("family", "component").agg(F.count("*").alias("n"))
+    largest = counted.groupBy("family").agg(F.max(F.struct("n", "component")).getField("component").alias("largest"))
+    members = durable(members.join(largest, "family").withColumn("outer", F.col("component") != F.col("largest")).drop("largest"))
+    lefts = members.where("outer").withColumn("left", F.lit(True))
+    rights = members.withColumn("size_class", F.explode(F.array(*(F.col("size_class") + d for d in (-1, 0, 1))))).withColumn("left", F.lit(False))
+    parts = lambda rows, most, name: rows.groupBy("family", "size_class").agg(F.ceil(F.greatest(F.count("*") / F.lit(most), F.sum("bytes") / F.lit(BLOCK_BYTES))).cast("int").alias(name), F.count("*").alias(f"{name}_rows"), F.sum("bytes").alias(f"{name}_bytes"))
+    plan = durable(parts(lefts, BLOCK, "blocks").join(parts(rights, AGAINST, "against"), ["family", "size_class"]))
+    alone = plan.where("blocks = 1 AND against = 1").agg(F.sum("blocks_bytes") + F.sum("against_bytes"), F.sum("blocks_rows") + F.sum("against_rows")).first()
+    bins = max(ceil((alone[0] or 0) / BLOCK_BYTES), ceil((alone[1] or 0) / AGAINST), 1)
+    address = F.xxhash64("family", "size_class")
+    plan = plan.select("family", "size_class", "blocks", "against", F.when(F.expr("blocks = 1 AND against = 1"), F.pmod(address, F.lit(bins))).otherwise(address).alias("cell"))
     span = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     draw = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
-    own = ["band", "id", "component", "signature", "shingles"]
-    lefts = dealt.where("component <> largest").select("key", draw("blocks").alias("i"), span("parts").alias("j"), *own, F.lit(True).alias("left"))
-    rights = dealt.select("key", span("blocks").alias("i"), draw("parts").alias("j"), *own, F.lit(False).alias("left"))
+    own = ["id", "component", "family", "size_class", "outer", "left"]
+    lefts = lefts.join(plan, ["family", "size_class"]).select("cell", draw("blocks").alias("i"), span("against").alias("j"), *own)
+    rights = rights.join(plan, ["family", "size_class"]).select("cell", span("blocks").alias("i"), draw("against").alias("j"), *own)
     return lefts.unionByName(rights)
 
 
@@ -310,37 +347,27 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, miss: fl
     members = durable(keyed.join(crowded, "key", "left_semi"))
     meeting = durable(signatures.join(members.select("id").distinct(), "id", "left_semi"))
 
-    def centre_pairs(turn: int, remaining: DataFrame) -> DataFrame:
-        draw = F.col("id") if turn == 0 else F.xxhash64("id", F.lit(turn))
-        centres = remaining.groupBy("key").agg(F.min(F.struct(draw.alias("draw"), "id", "component")).alias("centre"))
-        pairs = remaining.join(centres, "key").where("component <> centre.component")
-        return pairs.select(F.least("id", "centre.id").alias("a"), F.greatest("id", "centre.id").alias("b")).distinct()
-
-    tested = durable(centre_pairs(0, members.withColumn("component", F.col("id"))))
+    tested = durable(_centre_pairs(members.withColumn("component", F.col("id")), 0))
     links = durable(search.confirmed(durable(search.plausible(tested, meeting))))
     labels = durable(connected_components(links))
+    mixed = durable(_mixed_buckets(members, labels))
     for turn in range(1, CENTRE_ROUNDS + 1):
-        remaining = durable(_mixed_buckets(members, labels))
-        largest = remaining.agg(F.max("size")).first()[0]
-        if largest is None:
-            break
-        if largest > AGAINST and turn < CENTRE_ROUNDS:
-            pairs = centre_pairs(turn, remaining)
-        else:
-            pairs = _crossing_pairs(remaining.where(F.col("size") <= SMALL_BUCKET))
-        pairs = durable(pairs.join(tested, ["a", "b"], "left_anti"))
-        found = search.confirmed(durable(search.plausible(pairs, meeting)))
-        if SMALL_BUCKET < largest and (largest <= AGAINST or turn == CENTRE_ROUNDS):
-            large = durable(remaining.where(F.col("size") > SMALL_BUCKET))
-            blocks = _blocks(large, meeting, search.sets(durable(large.select("id").distinct()))).groupBy("key", "i", "j")
-            found = found.unionByName(blocks.applyInArrow(_link_blocks(search.rows, search.values, search.least, percent), "a long, b long"))
-        found = durable(found)
-        if not found.isEmpty():
-            links = links.unionByName(found)
-            labels = durable(connected_components(links))
-        if largest <= AGAINST:
+        largest = mixed.agg(F.max("size")).first()[0]
+        if largest is None or largest <= AGAINST:
             break
+        pairs = durable(_centre_pairs(mixed, turn).join(tested, ["a", "b"], "left_anti"))
+        links = durable(links.unionByName(search.confirmed(durable(search.plausible(pairs, meeting)))))
         tested = durable(tested.unionByName(pairs))
+        labels = durable(connected_components(links))
+        mixed = durable(_mixed_buckets(members, labels))
+    if largest is not None:
+        families = durable(_families(mixed))
+        sets = search.sets(families.select("id"))
+        cells = _cells(families, sets.select("id", (F.octet_length("shingles") / 8).cast("long").alias("n")), search.values, percent)
+        cells = cells.join(meeting, "id").join(sets, "id").groupBy("cell", "i", "j")
+        found = durable(cells.applyInArrow(_link_cells(search.values, search.least, percent), "a long, b long"))
+        if not found.isEmpty():
+            labels = durable(connected_components(links.unionByName(found)))
 
     component = F.coalesce("component_id", "representative")
     classes = classes.join(labels.withColumnRenamed("id", "representative"), "representative", "left").select("f1", "f2", "n", component.alias("component_id"))
@@ -352,11 +379,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, miss: fl
 def one_per_group(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs``, all columns, with one document of each group of near duplicates: that of the smallest id.
 
-    Of rows that repeat an id with equal texts' sets, the one whose text sorts
-    first stays.  Rows without a shingle or without an id all stay.
+    An id's rows go if none of them is kept; so a row stays that shares its id
+    with a copy of another document but has a text of its own.  Of rows that
+    repeat an id with equal texts' sets, the one whose text sorts first stays.
+    Rows without a shingle or without an id all stay.
     """
     found = durable(near_duplicates(docs, width, percent))
-    removed = durable(found.where("NOT kept").select("doc_id").distinct())
+    removed = durable(found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("kept").alias("kept")).where("NOT kept").select("doc_id"))
     few = removed.count() <= BROADCAST_IDS
     kept = docs.join(F.broadcast(removed) if few else removed, docs["doc_id"].cast("long") == removed["doc_id"], "left_anti")
     repeated = durable(found.where("doc_id IS NOT NULL").groupBy("doc_id", "component_id").agg(F.count("*").alias("n"), F.max("n_shingles").alias("shingles")).where("n > 1 AND shingles > 0").select("doc_id").distinct())

@@ -3,6 +3,7 @@
 import itertools
 import re
 
+import numpy as np
 import pytest
 
 from mnemoframe.llm import neardup
@@ -67,8 +68,7 @@ def test_chain_of_versions_is_one_component(spark):
 
 
 def test_large_mixed_buckets(spark, monkeypatch):
-    """Many near copies of one text: buckets go through the block comparison and lose no link."""
-    monkeypatch.setattr(neardup, "SMALL_BUCKET", 3)
+    """Many near copies of one text: families go through the block comparison and lose no link."""
     monkeypatch.setattr(neardup, "BLOCK", 8)
     monkeypatch.setattr(neardup, "AGAINST", 16)
     words, texts = prose(9, 160).split(), []
@@ -81,6 +81,38 @@ def test_large_mixed_buckets(spark, monkeypatch):
     assert found(neardup.near_duplicates(docs, 3, 85)) == brute(texts, 3, 85)
 
 
+@pytest.mark.parametrize("block,against,size", [(4, 7, 1 << 20), (2048, 4096, 3000)])
+def test_unlinked_members_and_sizes(spark, monkeypatch, block, against, size):
+    """Families of copies around the threshold and of several lengths, whatever the blocks."""
+    monkeypatch.setattr(neardup, "BLOCK", block)
+    monkeypatch.setattr(neardup, "AGAINST", against)
+    monkeypatch.setattr(neardup, "BLOCK_BYTES", size)
+    words, texts = prose(21, 120).split(), []
+    for k in range(70):
+        changed = list(words[: 120 - 3 * (k % 9)])
+        for j in range(2 + k % 7):
+            changed[(k * 37 + j * 13) % len(changed)] = f"x{k % 35}y{j}"
+        texts.append((1000 - 7 * k, " ".join(changed)))
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    assert found(neardup.near_duplicates(docs, 3, 85)) == brute(texts, 3, 85)
+
+
+def test_intersections_in_pieces(monkeypatch):
+    monkeypatch.setattr(neardup, "LOOKUP", 5)
+    sets = [np.array(x, dtype=np.uint64) for x in ([1, 2, 3, 9], [2], [4, 5, 6, 7, 8, 9, 10], [1, 9], [100])]
+    flat, sizes = np.concatenate(sets), np.array([len(x) for x in sets])
+    starts = np.cumsum(sizes) - sizes
+    got = neardup._intersections(sets[0], flat, starts, sizes)
+    assert got.tolist() == [len(set(sets[0].tolist()) & set(x.tolist())) for x in sets]
+    assert neardup._intersections(sets[0], flat, starts[:0], sizes[:0]).tolist() == []
+
+
+def test_one_id_with_a_copy_and_a_text_of_its_own(spark):
+    docs = spark.createDataFrame([(1, BASE), (2, BASE), (2, prose(77, 90)), (3, BASE + " tail")], "doc_id long, text string")
+    kept = neardup.one_per_group(docs, 5, 80).collect()
+    assert (2, prose(77, 90)) in {(r["doc_id"], r["text"]) for r in kept} and {r["doc_id"] for r in kept} == {1, 2}
+
+
 def test_empty_table(spark):
     assert neardup.near_duplicates(nothing(spark)).collect() == []
     assert neardup.one_per_group(nothing(spark)).collect() == []
