@@ -15,7 +15,9 @@ from .samples import per_class
 ALLOW, BLOCK = "allow", "block"
 #: Labelled URLs of each class that fitting reads at most.
 TRAIN_URLS = 3000
-TREES, DEPTH, RATE, LEAST_LEAF, CUTS = 30, 3, 0.3, 10, 24
+TREES, DEPTH, RATE, LEAST_LEAF, CUTS = 40, 3, 0.2, 10, 24
+#: Share of the features that each tree may use, so that no one feature which tells the labels apart hides what the others say.
+FEATURE_SHARE = 0.4
 #: Characters whose shares make the entropy; others count as one class.
 _ALPHABET = "abcdefghijklmnopqrstuvwxyz0123456789-._~/:?#=&%+"
 #: Hash classes of host suffixes, for which shares of blocked URLs are kept.
@@ -107,23 +109,26 @@ class Trees:
     shares: dict[str, dict[int, float]]
 
 
-def _fit_tree(x: np.ndarray, gradient: np.ndarray, hessian: np.ndarray, depth: int):
+def _fit_tree(x: np.ndarray, gradient: np.ndarray, hessian: np.ndarray, depth: int, usable: np.ndarray):
     value = float(gradient.sum() / (hessian.sum() + 1.0)) * RATE
     if depth == 0 or len(x) < 2 * LEAST_LEAF:
         return value
     best, total_g, total_h = (1e-6, None, None), gradient.sum(), hessian.sum()
-    for k in range(x.shape[1]):
-        for cut in np.unique(np.quantile(x[:, k], np.linspace(0, 1, CUTS + 2)[1:-1])):
+    for k in usable:
+        values = np.unique(x[:, k])
+        # Cuts lie half-way between values, so that a value never seen goes with the nearer ones.
+        between = (values[1:] + values[:-1]) / 2
+        for cut in between if len(between) <= CUTS else between[np.linspace(0, len(between) - 1, CUTS).astype(int)]:
             left = x[:, k] <= cut
             if LEAST_LEAF <= left.sum() <= len(x) - LEAST_LEAF:
                 g, h = gradient[left].sum(), hessian[left].sum()
                 gain = g**2 / (h + 1) + (total_g - g) ** 2 / (total_h - h + 1) - total_g**2 / (total_h + 1)
                 if gain > best[0]:
-                    best = gain, k, float(cut)
+                    best = gain, int(k), float(cut)
     if best[1] is None:
         return value
     left = x[:, best[1]] <= best[2]
-    return best[1], best[2], _fit_tree(x[left], gradient[left], hessian[left], depth - 1), _fit_tree(x[~left], gradient[~left], hessian[~left], depth - 1)
+    return best[1], best[2], _fit_tree(x[left], gradient[left], hessian[left], depth - 1, usable), _fit_tree(x[~left], gradient[~left], hessian[~left], depth - 1, usable)
 
 
 def _apply_tree(tree, x: np.ndarray) -> np.ndarray:
@@ -134,14 +139,15 @@ def _apply_tree(tree, x: np.ndarray) -> np.ndarray:
     return out
 
 
-def boost(x: np.ndarray, blocked: np.ndarray, weight: np.ndarray) -> tuple[float, list]:
-    """Gradient boosting with logistic loss and second-order leaf values; a row counts as its weight."""
+def boost(x: np.ndarray, blocked: np.ndarray, weight: np.ndarray, seed: int = 11) -> tuple[float, list]:
+    """Gradient boosting with logistic loss and second-order leaf values, a random part of the features for each tree; a row counts as its weight."""
+    rng, part = np.random.default_rng(seed), max(1, round(FEATURE_SHARE * x.shape[1]))
     rate = min(max(float(np.average(blocked, weights=weight)), 0.01), 0.99)
     base, trees = float(np.log(rate / (1 - rate))), []
     margin = np.full(len(x), base)
     for _ in range(TREES):
         p = 1 / (1 + np.exp(-margin))
-        trees.append(_fit_tree(x, weight * (blocked - p), weight * p * (1 - p), DEPTH))
+        trees.append(_fit_tree(x, weight * (blocked - p), weight * p * (1 - p), DEPTH, np.sort(rng.permutation(x.shape[1])[:part])))
         margin += _apply_tree(trees[-1], x)
     return base, trees
 
@@ -164,11 +170,12 @@ def _statistics(rows: DataFrame) -> dict[str, np.ndarray]:
 def learn(labelled: DataFrame) -> Trees | None:
     """Trees from rows with url, host, path and ``blocked`` (0 or 1); None where one of the classes is missing.
 
-    Blocked shares, over all and by class of suffix, count every row.  Only
-    the trees are grown on at most TRAIN_URLS rows of each class, which weigh
-    as the classes do among all rows.  A suffix's blocked share is smoothed, and
-    each training row's fold is left out of it (were it the row's own label
-    alone, the difference would tell the label).
+    Both classes weigh the same, whatever their sizes: rules say nothing of
+    how common bad urls are where no rule applies, so without evidence a url
+    scores one half.  Blocked shares by class of suffix count every row.  Only
+    the trees are grown on at most TRAIN_URLS rows of each class.  A suffix's
+    blocked share is smoothed, and each training row's fold is left out of it
+    (were it the row's own label alone, the difference would tell the label).
     """
     labelled = lexical(labelled.where("blocked IS NOT NULL")).withColumn("fold", F.pmod(F.crc32("url"), F.lit(FOLDS)).cast("int"))
     found = _statistics(labelled)
@@ -180,15 +187,17 @@ def learn(labelled: DataFrame) -> Trees | None:
     if len(set(blocked)) < 2:
         return None
     folds = np.array([r["fold"] for r in rows])
-    overall, shares, columns = float(all_blocked / total), {}, []
+    overall, shares, columns = 0.5, {}, []
+    of_blocked, of_allowed = total / 2 / all_blocked, total / 2 / (total - all_blocked)
     for part in PARTS:
         classes = np.array([r[f"{part}_class"] for r in rows])
-        n, b = found[part].sum(axis=1)
-        own_n, own_b = found[part][:, folds, classes]
+        blocked_rows = found[part][1] * of_blocked
+        weighted = np.stack([blocked_rows + (found[part][0] - found[part][1]) * of_allowed, blocked_rows])
+        n, b = weighted.sum(axis=1)
+        own_n, own_b = weighted[:, folds, classes]
         shares[part] = {int(k): float((b[k] + 2 * overall) / (n[k] + 2)) for k in np.flatnonzero(n)}
         columns.append((b[classes] - own_b + 2 * overall) / (n[classes] - own_n + 2))
     x = np.column_stack([[float(r[f] or 0) for r in rows] for f in FEATURES[:-3]] + columns)
-    # Of mean 1; all are 1 where no row was left out.
     weight = np.where(blocked == 1, overall / blocked.mean(), (1 - overall) / (1 - blocked.mean()))
     base, trees = boost(x, blocked, weight)
     return Trees(base, trees, shares | {"": {-1: overall}})
