@@ -1,10 +1,11 @@
 """Quality classification by importance resampling over hashed n-grams.
 
 Two bag-of-n-grams models, of target text (documents labelled good) and of raw
-text (all documents), give each document an importance weight: the mean log
-ratio of its n-grams' probabilities.  Documents are sampled without
-replacement by Gumbel top-k: noise is added to the weights, and the k largest
-sums stay (Xie et al., 2023).
+text (all documents), give each document an importance weight: the sum of the
+log ratios of its n-grams' probabilities.  Documents are sampled without
+replacement in proportion to the weights' exponentials by Gumbel top-k:
+standard Gumbel noise is added to the log weights, and the k largest sums stay
+(Xie et al., 2023).
 """
 
 from collections.abc import Iterator
@@ -24,10 +25,6 @@ from .samples import per_class
 BUCKETS = 1 << 14
 #: Labelled documents of each class that are read at most; half of the good ones fit the target model, the others and the bad ones the size of the sample.
 LABELLED = 6000
-#: N-grams of ratio 1 that are added to each document, so that chance decides little over short ones.
-NEUTRAL = 30
-#: Scale of the Gumbel noise, in nats for each n-gram.
-TEMPERATURE = 0.005
 #: Rejecting a good document counts as so many accepted bad ones when the size of the sample is fitted.
 COST_OF_REJECTION = 5
 _BINS, _FEW = 4096, 10_000
@@ -71,7 +68,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _weigh(log_ratio: np.ndarray):
-    """Each text's weight, null without n-grams."""
+    """Each text's log importance weight, null without n-grams."""
 
     def run(texts: pa.Array) -> Iterator[tuple[int, list[pa.Array]]]:
         for block in bytesvec.blocks(texts):
@@ -81,8 +78,7 @@ def _weigh(log_ratio: np.ndarray):
             sums = np.zeros(len(block))
             if len(full):
                 sums[full] = np.add.reduceat(log_ratio[grams], bounds[:-1][full])
-            weights = np.round(sums / (sizes + NEUTRAL), 9)
-            yield block.first, [pa.array(weights, mask=sizes == 0)]
+            yield block.first, [pa.array(np.round(sums, 9), mask=sizes == 0)]
 
     return run
 
@@ -98,9 +94,9 @@ class Sampler:
 
 
 def _key(weight: str, seed: int) -> Column:
-    """Weight plus Gumbel noise drawn from a hash of the id; null without n-grams."""
+    """Log weight plus standard Gumbel noise drawn from a hash of the id; null without n-grams."""
     uniform = (F.xxhash64(F.lit(seed), F.col("doc_id").cast("long")).cast("double") + F.lit(2.0**63 + 1)) / F.lit(2.0**64 + 2**13)
-    return F.col(weight) - F.lit(TEMPERATURE) * F.log(-F.log(uniform))
+    return F.col(weight) - F.log(-F.log(uniform))
 
 
 def kth_largest(keys: DataFrame, k: int) -> float:
@@ -135,16 +131,17 @@ def _share_threshold(good: np.ndarray, bad: np.ndarray, stands_for: tuple[float,
     return float(cuts[best[np.argmax(gaps[best])]])
 
 
-def fit(docs: DataFrame, labels: DataFrame, seed: int = 17) -> tuple[Sampler, DataFrame]:
+def fit(docs: DataFrame, labels: DataFrame, seed: int = 17, share: float | None = None) -> tuple[Sampler, DataFrame]:
     """A sampler for ``docs``, and all documents' weights: ``(doc_id, _weight, key)``.
 
     The raw model counts all documents; the target model those of a bounded
-    sample with ``quality`` 1.  The sample's size k is the number of documents
+    sample with ``quality`` 1.  The sample's size k is ``share`` of the
+    documents with an n-gram.  Without ``share`` it is the number of documents
     whose weight reaches the threshold that best separates labelled documents
-    outside the target model, so no share is fixed beforehand.  Each of these
-    counts as the labels of its class that it stands for, so that the cut
-    follows all labels' ratio whatever was sampled.  Without labels of both
-    kinds every document with an n-gram stays.
+    outside the target model; which documents make up the sample is still
+    drawn.  Each label counts as the labels of its class that it stands for,
+    so that the size follows all labels' ratio whatever was read.  Without
+    labels of both kinds every document with an n-gram stays.
     """
     wanted = labels.where("doc_id IS NOT NULL AND quality IN (0, 1)").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).distinct()
     labelled = {r["quality"]: r["count"] for r in wanted.groupBy("quality").count().collect()}
@@ -168,33 +165,40 @@ def fit(docs: DataFrame, labels: DataFrame, seed: int = 17) -> tuple[Sampler, Da
         log_ratio = np.zeros(BUCKETS)
     weights = durable(scored(texts, _weigh(log_ratio), {"_weight": DoubleType()}, keep_text=False).select("doc_id", "_weight", _key("_weight", seed).alias("key")))
     present = weights.where("key IS NOT NULL")
-    sides = {1: checked, 0: bad}
-    classes = spark.createDataFrame([(i, q) for q, ids in sides.items() for i in ids], "doc_id long, quality int")
-    seen = present.join(F.broadcast(classes), "doc_id").select("quality", "_weight").collect()
-    by_class = {q: np.array([r["_weight"] for r in seen if r["quality"] == q]) for q in (0, 1)}
-    if len(by_class[0]) and len(by_class[1]):
-        stands_for = labelled[1] / len(checked), labelled[0] / len(bad)
-        k = present.where(F.col("_weight") >= _share_threshold(by_class[1], by_class[0], stands_for)).count()
+    if share is not None:
+        k = round(share * present.count())
     else:
-        k = present.count()
+        sides = {1: checked, 0: bad}
+        classes = spark.createDataFrame([(i, q) for q, ids in sides.items() for i in ids], "doc_id long, quality int")
+        seen = present.join(F.broadcast(classes), "doc_id").select("quality", "_weight").collect()
+        by_class = {q: np.array([r["_weight"] for r in seen if r["quality"] == q]) for q in (0, 1)}
+        if len(by_class[0]) and len(by_class[1]):
+            stands_for = labelled[1] / len(checked), labelled[0] / len(bad)
+            k = present.where(F.col("_weight") >= _share_threshold(by_class[1], by_class[0], stands_for)).count()
+        else:
+            k = present.count()
     cut = kth_largest(present, k) if k else float("inf")
     return Sampler(log_ratio, cut, k, seed), weights
 
 
-def classify_quality(docs: DataFrame, labels: DataFrame, seed: int = 17) -> DataFrame:
-    """``(doc_id, weight, key, kept)`` for every document; ``kept`` marks the Gumbel top-k sample.
+def classify_quality(docs: DataFrame, labels: DataFrame, seed: int = 17, share: float | None = None) -> DataFrame:
+    """``(doc_id, weight, key, kept)`` for every document; ``weight`` is logarithmic, ``kept`` marks the Gumbel top-k sample.
 
     A null text, or one without a token, has null weight and key and is not
     kept.  Equal keys (rows that repeat an id and a text) are kept or rejected
     together.  Only ``doc_id`` and ``text``, and of the labels ``doc_id`` and
     ``quality``, are read; an empty table gives an empty result.
     """
-    sampler, weights = fit(docs, labels, seed)
+    sampler, weights = fit(docs, labels, seed, share)
     return weights.select("doc_id", F.col("_weight").alias("weight"), "key", F.coalesce(F.col("key") >= F.lit(sampler.cut), F.lit(False)).alias("kept"))
 
 
-def good_documents(docs: DataFrame, labels: DataFrame, seed: int = 17) -> DataFrame:
-    """The rows of ``docs``, all columns, that ``classify_quality`` keeps."""
-    sampler, _ = fit(docs, labels, seed)
+def good_documents(docs: DataFrame, labels: DataFrame, seed: int = 17, share: float | None = None) -> DataFrame:
+    """The rows of ``docs``, all columns, that ``classify_quality`` keeps.
+
+    Texts are weighed once to find the cut and once to apply it: weighing them
+    again costs less than writing or shuffling all texts.
+    """
+    sampler, _ = fit(docs, labels, seed, share)
     name = fresh(docs, "_weight")
     return scored(docs, _weigh(sampler.log_ratio), {name: DoubleType()}).where(_key(name, seed) >= F.lit(sampler.cut)).drop(name)
