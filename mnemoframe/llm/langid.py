@@ -181,30 +181,36 @@ def document_probabilities(network: Network, data: np.ndarray, offsets: np.ndarr
     return sums / np.maximum(lengths, 1)[:, None]
 
 
-def _sampled_segments(texts: list[bytes], labels: list[int], seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """Up to TRAIN_SEGMENTS evenly drawn segments of each text; shorter texts are repeated to fill one."""
-    rng, rows, of = np.random.default_rng(seed), [], []
-    for text, label in zip(texts, labels, strict=True):
-        data = np.frombuffer(text if len(text) >= SEGMENT else text * (SEGMENT // len(text) + 1), dtype=np.uint8)
-        for start in rng.integers(0, len(data) - SEGMENT + 1, min(TRAIN_SEGMENTS, max(1, len(text) // SEGMENT))):
-            rows.append(data[start : start + SEGMENT])
-            of.append(label)
-    return np.array(rows), np.array(of)
+def _drawn_segments(text: Column, draw: Column) -> Column:
+    """Up to TRAIN_SEGMENTS segments of a text's bytes at places that ``draw`` decides; a shorter text is its only one."""
+    data = F.encode(text, "UTF-8")
+    n = F.octet_length(text)
+    count = F.least(F.lit(TRAIN_SEGMENTS), F.greatest(F.lit(1), F.floor(n / F.lit(SEGMENT)))).cast("int")
+    starts = F.greatest(n - F.lit(SEGMENT), F.lit(0)) + F.lit(1)
+    return F.transform(F.sequence(F.lit(1), count), lambda k: F.substring(data, (F.pmod(F.xxhash64(draw, k), starts.cast("long")) + F.lit(1)).cast("int"), F.lit(SEGMENT)))
+
+
+def _filled(segments: list[bytes]) -> np.ndarray:
+    """Segments as rows of bytes; shorter ones are repeated to fill one."""
+    return np.array([np.frombuffer((s * (SEGMENT // len(s) + 1))[:SEGMENT], dtype=np.uint8) for s in segments])
 
 
 def learnt(docs: DataFrame, for_training: Column | None = None) -> Network | None:
     """A network for the languages named in ``lang``, or None where no labelled row has a text with a letter.
 
-    Reads ``text`` and ``lang`` of at most TRAIN_DOCUMENTS documents for each
-    language, those with the smallest hashes of their ids and texts.
+    Reads TRAIN_SEGMENTS segments of at most TRAIN_DOCUMENTS documents for each
+    language, those with the smallest hashes of their ids and texts.  Segments
+    are cut in the tasks: the driver gets a few hundred bytes a document.
     """
     labelled = docs if for_training is None else docs.where(for_training)
-    labelled = labelled.where(F.col("text").rlike(r"\p{L}")).select(F.col("lang").cast("string").alias("lang"), "text", F.xxhash64("doc_id", "text").alias("hash"))
+    labelled = labelled.where(F.col("text").rlike(r"\p{L}")).select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), F.xxhash64("doc_id", "text").alias("hash"))
+    labelled = labelled.select("lang", "hash", _drawn_segments(F.col("text"), F.col("hash")).alias("segments"))
     rows = per_class(labelled, "lang", F.col("hash"), TRAIN_DOCUMENTS)
     if not rows:
         return None
     languages = sorted({row["lang"] for row in rows})
-    return train(*_sampled_segments([row["text"].encode() for row in rows], [languages.index(row["lang"]) for row in rows]), languages)
+    segments = [(bytes(s), languages.index(row["lang"])) for row in rows for s in row["segments"]]
+    return train(_filled([s for s, _ in segments]), np.array([k for _, k in segments]), languages)
 
 
 def _has_letter(block: bytesvec.Block) -> np.ndarray:

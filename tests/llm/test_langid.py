@@ -3,6 +3,8 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from mnemoframe.llm import langid
@@ -79,3 +81,44 @@ def test_long_text_is_the_mean_over_positions():
     sizes = [min(langid.SEGMENT, len(data) - s) for s in range(0, len(data), langid.SEGMENT)]
     parts = [langid.document_probabilities(network, data[s : s + langid.SEGMENT], np.array([0, n])) * n for s, n in zip(range(0, len(data), langid.SEGMENT), sizes, strict=True)]
     assert np.allclose(whole, sum(parts) / len(data), atol=1e-5)
+
+
+def test_predictions_equal_a_plain_loop():
+    """Every position's label, one document, one segment and one step at a time."""
+    network = langid.new_network(["a", "b", "c"], hidden=3, seed=8)
+    texts = ["é", "some words of a text " * 5, "x" * 64, "", None, "Zeilen\nund Wörter " * 9]
+
+    def states(way, data):
+        state, out, h = np.zeros(3), [], 3
+        for byte in data:
+            x, r = network.inputs[way][:, byte].astype(float), network.recurrent[way].astype(float) @ state
+            reset, update = ((1 + np.tanh(x[k : k + h] + r[k : k + h])) / 2 for k in (0, h))
+            candidate = np.tanh(x[2 * h :] + reset * r[2 * h :])
+            state = update * state + (1 - update) * candidate
+            out.append(state)
+        return out
+
+    def plain(text):
+        data = (text or "").encode()
+        sums = np.zeros(3)
+        for start in range(0, len(data), langid.SEGMENT):
+            piece = data[start : start + langid.SEGMENT]
+            for ahead, back in zip(states(0, piece), states(1, piece[::-1])[::-1], strict=True):
+                logits = network.out.astype(float) @ np.concatenate([ahead, back]) + network.bias
+                sums += np.exp(logits) / np.exp(logits).sum()
+        return sums / max(len(data), 1)
+
+    for first, (languages, scores) in langid._scorer(network)(pa.array(texts)):
+        for k, (language, score) in enumerate(zip(languages.to_pylist(), scores.to_pylist(), strict=True)):
+            wanted = plain(texts[first + k])
+            if texts[first + k]:
+                assert language == network.languages[wanted.argmax()] and score == pytest.approx(wanted.max(), abs=1e-5)
+            else:
+                assert (language, score) == ("und", 0.0)
+
+
+def test_segments_are_bounded_and_from_the_text(spark):
+    text = "".join(chr(97 + k % 26) + "ü" for k in range(4000))
+    row = spark.createDataFrame([(text, 5), ("ab", 6)], "text string, draw long").select("text", langid._drawn_segments(F.col("text"), F.col("draw")).alias("s")).collect()
+    assert len(row[0]["s"]) == langid.TRAIN_SEGMENTS and all(len(s) == langid.SEGMENT and bytes(s) in text.encode() for s in row[0]["s"])
+    assert [bytes(s) for s in row[1]["s"]] == [b"ab"] and langid._filled([b"ab"]).tobytes() == b"ab" * 32
