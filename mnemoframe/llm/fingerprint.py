@@ -1,18 +1,20 @@
 """Homomorphic multiset fingerprints of documents.
 
-A text is a multiset of units: its paragraphs (lines), cut further after words
-whose own hash says so, so that a change moves no cut but those beside it.
-White space between words of a unit counts, around units it doesn't.  Each
-unit is hashed to a wide vector, and a fingerprint is the sum of its units'
-vectors modulo powers of two.  So the order of units
-doesn't matter, and units can be added or taken away without the rest.
-
-The vector has a count (modulo 2**32), four dense lanes (modulo 2**64) that
-every unit changes, and STRATA * LANES sparse lanes (a value modulo 2**16 and a
-count modulo 2**32) of which a unit changes one: its stratum holds a share of
-all units that halves from one stratum to the next.  Equality compares the
-whole; likeness compares lanes of strata that are sparse enough for the texts'
-distinct units.
+A text is a multiset of paragraphs (lines).  Each paragraph is hashed to a wide
+vector, and a fingerprint is the sum of its paragraphs' vectors modulo powers
+of two.  So the order of paragraphs doesn't matter, and paragraphs can be added
+or taken away without the rest.  White space between words of a paragraph
+counts, around paragraphs it doesn't.
+
+The vector has a count (modulo 2**32) and four dense lanes (modulo 2**64) of
+the paragraph's own hash, so texts with other paragraphs, or with the same
+words in another order within a paragraph, differ.  Beside them are
+STRATA * LANES sparse lanes (a value modulo 2**16 and a count modulo 2**32) for
+likeness, so that an edit within a paragraph costs no more than its own words:
+the paragraph is cut into pieces after words whose own hash says so, and each
+piece changes one lane: its stratum holds a share of all pieces that halves
+from one stratum to the next.  Equality compares the whole; likeness compares
+lanes of strata that are sparse enough for the texts' distinct pieces.
 """
 
 import base64
@@ -35,29 +37,33 @@ PIECE_WORDS = 4
 _SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 _SPARSE_SALT = np.uint64(0x13198A2E03707345)
 _SALTS = np.array([0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0, 0x082EFA98EC4E6C89], dtype=np.uint64)
-#: Rows of a range of ids that one task reads in order, and ranges at most.
-RANGE_ROWS, MOST_RANGES = 20_000, 50_000
+#: Rows of a range of ids that one task reads in order; ranges at most (8 bytes each on the driver), beyond which they hold more rows.
+RANGE_ROWS, MOST_RANGES = 20_000, 200_000
 
 
-def _units(block: bytesvec.Block) -> bytesvec.Words:
-    """Spans of words within a line, each to the next word whose hash says so or that repeats the one before, or to the line's end."""
+def _units(block: bytesvec.Block) -> tuple[bytesvec.Words, bytesvec.Words]:
+    """Spans of paragraphs, and of their pieces: words to the next one whose hash says so or that repeats the one before, or to the line's end."""
     data, offsets = block.data, block.offsets
     words = bytesvec.runs(bytesvec.NOT_SPACE[data], offsets)
     if not len(words.starts):
-        return words
+        return words, words
     hashes = bytesvec.span_hashes(data, words.starts, words.ends)
-    ends_unit = hashes % np.uint64(PIECE_WORDS) == 0
     full = np.diff(words.bounds) > 0
+    line = np.searchsorted(np.flatnonzero((data == 10) | (data == 13)), words.starts)
+    ends_line = np.ones(len(hashes), dtype=bool)
+    ends_line[:-1] = line[1:] != line[:-1]
+    ends_line[words.bounds[1:][full] - 1] = True
     repeats = np.zeros(len(hashes), dtype=bool)
     repeats[1:] = hashes[1:] == hashes[:-1]
     repeats[words.bounds[:-1][full]] = False  # a text's first word has none before it
-    ends_unit |= repeats
-    line = np.searchsorted(np.flatnonzero((data == 10) | (data == 13)), words.starts)
-    ends_unit[:-1] |= line[1:] != line[:-1]
-    ends_unit[words.bounds[1:][full] - 1] = True
-    ends = np.flatnonzero(ends_unit)
-    starts = np.concatenate([[0], ends[:-1] + 1])
-    return bytesvec.Words(words.starts[starts], words.ends[ends], np.searchsorted(words.starts[starts], offsets))
+    ends_piece = ends_line | repeats | (hashes % np.uint64(PIECE_WORDS) == 0)
+
+    def spans(ends_unit: np.ndarray) -> bytesvec.Words:
+        ends = np.flatnonzero(ends_unit)
+        starts = words.starts[np.concatenate([[0], ends[:-1] + 1])]
+        return bytesvec.Words(starts, words.ends[ends], np.searchsorted(starts, offsets))
+
+    return spans(ends_line), spans(ends_piece)
 
 
 def vectors(column: pa.Array) -> dict[str, np.ndarray]:
@@ -65,15 +71,16 @@ def vectors(column: pa.Array) -> dict[str, np.ndarray]:
     n = len(column)
     out = {"count": np.zeros(n, dtype=np.uint32), "dense": np.zeros((n, DENSE), dtype=np.uint64), "values": np.zeros((n, STRATA * LANES), dtype=np.uint16), "counts": np.zeros((n, STRATA * LANES), dtype=np.uint32)}
     for block in bytesvec.blocks(column):
-        units = _units(block)
-        hashes = bytesvec.span_hashes(block.data, units.starts, units.ends)
-        of = block.first + np.repeat(np.arange(len(block)), np.diff(units.bounds))
-        np.add.at(out["count"], of, 1)
-        full = np.flatnonzero(np.diff(units.bounds))
+        paragraphs, pieces = _units(block)
+        hashes = bytesvec.span_hashes(block.data, paragraphs.starts, paragraphs.ends)
+        out["count"][block.first : block.first + len(block)] = np.diff(paragraphs.bounds)
+        full = np.flatnonzero(np.diff(paragraphs.bounds))
         if len(full):
             for k in range(DENSE):
-                out["dense"][block.first + full, k] = np.add.reduceat(bytesvec.mix(hashes ^ _SALTS[k]), units.bounds[full])
-        # Mixed again, as a unit of one word has that word's hash, whose low bits cut the units.
+                out["dense"][block.first + full, k] = np.add.reduceat(bytesvec.mix(hashes ^ _SALTS[k]), paragraphs.bounds[full])
+        hashes = bytesvec.span_hashes(block.data, pieces.starts, pieces.ends)
+        of = block.first + np.repeat(np.arange(len(block)), np.diff(pieces.bounds))
+        # Mixed again, as a piece of one word has that word's hash, whose low bits cut the pieces.
         spread = bytesvec.mix(hashes ^ _SPARSE_SALT)
         low = spread & np.uint64((1 << (STRATA - 1)) - 1)
         lowest = np.where(low == 0, np.uint64(1 << (STRATA - 1)), low & (~low + np.uint64(1)))
@@ -111,7 +118,7 @@ def fingerprint(text: str) -> str:
 
 
 def combine(one: str, other: str, sign: int = 1) -> str:
-    """The fingerprint of both texts' units together, or (sign -1) of the first's without the second's."""
+    """The fingerprint of both texts' paragraphs together, or (sign -1) of the first's without the second's."""
     a, b = parse([one]), parse([other])
     return as_text({k: a[k] + b[k] if sign > 0 else a[k] - b[k] for k in a})[0]
 
@@ -184,22 +191,24 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield emit(ids, texts, following)
 
 
-def _cuts(rows: DataFrame, ranges: int) -> list[float]:
-    """Cuts between ranges of keys that hold about equally many rows."""
+def _cuts(rows: DataFrame, ranges: int) -> list[int]:
+    """Keys that end ranges of about equally many rows, smallest first: Spark's own range partitioning of the keys alone."""
     if ranges < 2:
         return []
-    shares = [k / ranges for k in range(1, ranges)]
-    return sorted(set(rows.select(F.col("key").cast("double").alias("key")).approxQuantile("key", shares, 0.2 / ranges)))
+    ends = rows.select("key").repartitionByRange(ranges, "key").groupBy(F.spark_partition_id().alias("part")).agg(F.max("key").alias("key"))
+    return sorted({r["key"] for r in ends.collect()})[:-1]
 
 
-def _range(key: Column, cuts: list[float]) -> Column:
+def _range(key: Column, cuts: list[int]) -> Column:
     """The range of a key, 0 for the largest keys: the number of cuts that aren't under it, found in two steps."""
     if not cuts:
         return F.lit(0)
+    # One string for each table, which the optimiser folds to one value: a literal for each cut would swell the plan.
+    table = lambda values: F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
     step = isqrt(len(cuts)) + 1
-    groups = [cuts[i : i + step] for i in range(0, len(cuts), step)]
-    group = F.size(F.filter(F.array(*(F.lit(g[-1]) for g in groups[:-1])).cast("array<double>"), lambda c: c < key))
-    within = F.element_at(F.array(*(F.array(*map(F.lit, g)) for g in groups)), group + 1)
+    steps = cuts[step - 1 :: step]
+    group = F.size(F.filter(table(steps), lambda c: c < key)) if steps else F.lit(0)
+    within = F.slice(table(cuts), group * F.lit(step) + 1, F.lit(step))
     under = group * F.lit(step) + F.size(F.filter(within, lambda c: c < key))
     return (F.lit(len(cuts)) - under).cast("int")
 
@@ -212,21 +221,22 @@ def compare_with_edits(docs: DataFrame, id_column: str = "doc_id", text_column:
     last ``n_chars // 3`` code points replaced by as many first ones (or all)
     of the next document by descending id; the first follows the last.
 
-    A null text is empty: no unit, a fingerprint of zeros, which is like
+    A null text is empty: no paragraph, a fingerprint of zeros, which is like
     nothing but another empty one.  Rows of equal ids follow one another in
     the order of their texts; a null id comes last.  A single row is its own
     next.  Other columns are not read; an empty table gives an empty result.
 
     Rows are dealt to ranges of ids once, and the head of each range is sent
     to the end of the range before it too, so no order over all rows passes
-    through one task.
+    through one task.  Rows of one id belong to one range, which is read as a
+    stream.
     """
     bounded_batches(docs.sparkSession)
     spark = docs.sparkSession
     rows = docs.select(F.col(id_column).cast("long").alias("id"), F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("key", F.coalesce("id", F.lit(-(2**63))))
     wanted = max(rows.count() // RANGE_ROWS + 1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows = rows.withColumn("range", _range(F.col("key").cast("double"), _cuts(rows, min(wanted, MOST_RANGES))))
+    rows = rows.withColumn("range", _range(F.col("key"), _cuts(rows, min(wanted, MOST_RANGES))))
     tops = sorted(tuple(r) for r in rows.groupBy("range").agg(F.max("key")).collect())
     heads = [(r, top, tops[i - 1][0]) for i, (r, top) in enumerate(tops)]
     heads = spark.createDataFrame(heads, "range int, top long, goes_to int")
