@@ -7,13 +7,21 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StringType, StructField, StructType
 
-#: Rows of an Arrow batch: whole texts are long, and an executor holds several batches at once.
-BATCH_ROWS = 1000
+#: Rows and bytes of an Arrow batch at most (one longer row is a batch of its own): whole texts are long, and an executor holds several batches at once.
+BATCH_ROWS, BATCH_BYTES = 1000, 32 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Let Python tasks of this session take BATCH_ROWS rows at a time."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """Let Python tasks of this session take BATCH_ROWS rows or BATCH_BYTES at a time, unless it already bounds them closer.
+
+    The setting is read when a query starts, after the operator has returned,
+    so it stays; it changes no query's result.
+    """
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        setting = f"spark.sql.execution.arrow.{name}"
+        own = spark.conf.get(setting)
+        if not own.isdigit() or not 0 < int(own) <= most:
+            spark.conf.set(setting, str(most))
 
 
 def fresh(df: DataFrame, name: str) -> str:

@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from .durable import durable
 
-#: Parts in which each shard's slots are numbered; a part is ordered by one task, and bounds the table of offsets to shards * parts rows.
-SLOT_PARTS = 1024
+#: Rows of a part of a shard, about, and parts of a shard at least; a part's slots are ordered by one task.
+SLOT_ROWS, LEAST_PARTS = 50_000, 1024
 
 
 @dataclass(frozen=True)
@@ -81,8 +81,9 @@ def assign_shards(docs: DataFrame, shards: int = 16, id_column: str = "doc_id",
 
     Equal ids go to the same shard, each with a slot of its own; a null id is
     a key like any other.  Only the id and the text are read.  A hot text,
-    source or shard is no single task's load: slots are counted in
-    SLOT_PARTS parts of a shard before they are numbered.
+    source or shard is no single task's load: slots are counted in parts of a
+    shard before they are numbered, and the number of parts follows that of
+    the rows.
     """
     text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
     rows = docs.select(
@@ -94,10 +95,11 @@ def assign_shards(docs: DataFrame, shards: int = 16, id_column: str = "doc_id",
         {
             "shard": place(F.col("doc_id"), shard_tree(shards)).cast("int"),
             "grown_shard": place(F.col("doc_id"), shard_tree(shards + 1)).cast("int"),
-            "part": F.pmod(F.xxhash64(F.lit("slot"), "doc_id", "text_crc32"), F.lit(SLOT_PARTS)).cast("int"),
         }
     )
     rows = durable(rows)
+    parts = max(LEAST_PARTS, rows.count() // (SLOT_ROWS * shards) + 1)
+    rows = rows.withColumn("part", F.pmod(F.xxhash64(F.lit("slot"), "doc_id", "text_crc32"), F.lit(parts)).cast("int"))
     counts = rows.groupBy("shard", "part").agg(F.count("*").alias("n"))
     before = counts.selectExpr("shard", "part", "sum(n) OVER (PARTITION BY shard ORDER BY part) - n AS before")
     numbered = rows.selectExpr("*", "row_number() OVER (PARTITION BY shard, part ORDER BY doc_id, text_crc32, size) - 1 AS place")
