@@ -1,5 +1,7 @@
 """The pipeline's stages: each one's decisions, columns, and awkward input."""
 
+import pyspark.sql.functions as F
+
 import corpus_pipeline
 from mnemoframe.llm import decontam
 from tests.llm.fixtures import documents, nothing
@@ -36,6 +38,16 @@ def test_stages_in_turn(spark, small):
     assert {r["doc_id"] for r in packed.select("doc_id").collect()} == ids
 
 
+def test_language_fills_nulls_and_rejects_mixtures(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet").limit(120)
+    own = {r["doc_id"]: r["lang"] for r in docs.collect()}
+    blind = docs.withColumn("lang", F.when(F.col("doc_id") % 4 != 0, F.col("lang")))
+    strange = spark.createDataFrame([(-1, "12 34", None, "web", 5), (-2, None, "en", "web", None)], docs.schema)
+    rows = {r["doc_id"]: r["lang"] for r in corpus_pipeline.language_id(spark, blind.unionByName(strange), small).collect()}
+    assert not {-1, -2} & set(rows) and len(rows) > 0.9 * len(own) and None not in rows.values()
+    assert sum(lang == own[i] for i, lang in rows.items()) > 0.95 * len(rows)
+
+
 def test_awkward_tables(spark, tmp_path):
     folder = folder_with(spark, tmp_path, documents(spark, clash=("kept", "score", "key")))
     assert corpus_pipeline.run(spark, folder).count() > 0
