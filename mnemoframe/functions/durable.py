@@ -1,13 +1,21 @@
-"""Checkpoints for iterative operators, in the folder that the cluster shares."""
+"""Durable intermediate results of iterative operators, in the folder that the cluster shares."""
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to ``spark.checkpoint.dir`` (a local folder only where none is set) and read from there."""
+    """``df`` written to ``spark.checkpoint.dir`` (a local folder only where none is set, as in tests) and read from there.
+
+    A written table has its real size for the planner, where a checkpoint()
+    keeps the estimate of the plan that made it; joined round by round such an
+    estimate grows until planning itself takes the time.
+    """
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="mnemoframe-"))
-    return df.checkpoint(eager=True)
+    folder = f"{spark.sparkContext.getCheckpointDir()}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)

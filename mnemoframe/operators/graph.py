@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from mnemoframe.functions.durable import checkpointed
 
-#: Members of a context whose pairs are made by one join row block; see ``cooccurrence``.
+#: Rounds after which an iteration that still moves raises an error.
 MOST_ROUNDS = 60
 
 
@@ -24,19 +24,36 @@ def hubs(edges: DataFrame, sigmas: float = 2.0) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """``(node, component)``: the smallest node reachable.  Neighbours' minima spread, and labels jump to their labels' labels."""
-    ends = edges.select(F.col("source_id").alias("a"), F.col("target_id").alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
-    both = checkpointed(ends.unionByName(ends.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = checkpointed(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")))
+    """``(node, component, size)``: the smallest node reachable, and how many nodes reach it.
+
+    Alternates two steps until the links form stars: every larger neighbour of
+    a node is linked to the smallest node around it, then every smaller one.
+    The number of rounds grows with the logarithm of the longest path, and no
+    round holds more links than there are edges and nodes.  Raises where
+    MOST_ROUNDS rounds don't settle; rows with a null end are left out.
+    """
+    ends = edges.select(F.greatest("source_id", "target_id").alias("u"), F.least("source_id", "target_id").alias("v")).where("source_id IS NOT NULL AND target_id IS NOT NULL")
+    alone = ends.where("u = v").select(F.col("u").alias("node"))
+    links = checkpointed(ends.where("u <> v").distinct())
     for _ in range(MOST_ROUNDS):
-        near = both.join(labels.select(F.col("a").alias("b"), F.col("label").alias("seen")), "b").groupBy("a").agg(F.min("seen").alias("seen"))
-        jump = labels.select(F.col("a").alias("label"), F.col("label").alias("further"))
-        new = labels.join(jump, "label").join(near, "a").select("a", F.least("label", "further", "seen").alias("label"), (F.least("further", "seen") < F.col("label")).alias("moved"))
-        new = checkpointed(new)
-        labels = new.select("a", "label")
-        if new.where("moved").isEmpty():
+        both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        upward = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        least = upward.groupBy("u").agg(F.min("v").alias("m"))
+        moved = upward.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        new = moved.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+        links = checkpointed(new)
+        forked = links.groupBy("u").count().where("count > 1").select("u")
+        chained = links.select(F.col("v").alias("u")).join(links, "u", "left_semi").select("u")
+        if forked.unionByName(chained).isEmpty():
             break
-    return labels.select(F.col("a").alias("node"), F.col("label").alias("component"))
+    else:
+        raise RuntimeError(f"components did not settle in {MOST_ROUNDS} rounds")
+    roots = links.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+    labels = links.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+    single = alone.distinct().join(labels, "node", "left_anti").select("node", F.col("node").alias("component"))
+    labels = labels.unionByName(single)
+    return labels.join(labels.groupBy("component").agg(F.count("*").alias("size")), "component").select("node", "component", "size")
 
 
 def open_triangles(edges: DataFrame) -> DataFrame:
@@ -47,17 +64,39 @@ def open_triangles(edges: DataFrame) -> DataFrame:
     return pairs.join(joined, ["b", "c"], "left_anti").select(F.col("source_id").alias("a"), "b", "c")
 
 
-def cooccurrence(entities: DataFrame, least: int = 2) -> DataFrame:
-    """Pairs of names that share at least ``least`` contexts.
+def pairs_sharing(rows: DataFrame, item: str, group: str, least: int = 2) -> DataFrame:
+    """``(a, b, shared)``: pairs ``a < b`` of items that share at least ``least`` groups.
 
-    Names that occur in fewer contexts are dropped before the self-join, since
-    no pair of theirs can qualify.
+    Items in fewer groups are dropped first.  A pair that shares two groups
+    shares one that isn't the largest group of ``a``; so each item leaves its
+    largest group out of the self-join, and whether the partner is in it is
+    looked up afterwards.  A group that holds a large share of all items is the
+    largest of most of its members, so its pairs are hardly ever made.
     """
-    named = entities.select("context_id", "name").distinct()
-    frequent = named.groupBy("name").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("name")
-    kept = named.join(frequent, "name", "left_semi")
-    pairs = kept.select("context_id", F.col("name").alias("a")).join(kept.select("context_id", F.col("name").alias("b")), "context_id").where("a < b")
-    return pairs.groupBy("a", "b").agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
+    named = rows.select(F.col(item).alias("i"), F.col(group).alias("g")).where("i IS NOT NULL AND g IS NOT NULL").distinct()
+    common = named.groupBy("i").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("i")
+    named = named.join(common, "i", "left_semi")
+    sizes = named.groupBy("g").agg(F.count("*").alias("size"))
+    largest = named.join(sizes, "g").groupBy("i").agg(F.max(F.struct("size", "g")).getField("g").alias("g"))
+    if least < 2:
+        largest = largest.limit(0)
+    rest = named.join(largest, ["i", "g"], "left_anti").select(F.col("i").alias("a"), "g")
+    met = rest.join(named.select(F.col("i").alias("b"), "g"), "g").where("a < b").groupBy("a", "b").agg(F.count("*").alias("n"))
+    looked = met.join(largest.select(F.col("i").alias("a"), "g"), "a", "left")
+    also = named.select(F.col("i").alias("b"), "g", F.lit(1).alias("one"))
+    shared = looked.join(also, ["b", "g"], "left").select("a", "b", (F.col("n") + F.coalesce("one", F.lit(0))).alias("shared"))
+    return shared.where(F.col("shared") >= least)
+
+
+def cooccurrence(entities: DataFrame, least: int = 2) -> DataFrame:
+    """Pairs of names that share at least ``least`` contexts."""
+    return pairs_sharing(entities, "name", "context_id", least)
+
+
+def shared_entity_weights(entities: DataFrame, least: int = 2) -> DataFrame:
+    """Pairs of contexts that share at least ``least`` names, weighted by a fifth of their number, 1 at most."""
+    found = pairs_sharing(entities, "context_id", "name", least)
+    return found.select("a", "b", F.round(F.least(F.col("shared") / 5.0, F.lit(1.0)), 2).alias("weight"))
 
 
 def reflection_gaps(entities: DataFrame, edges: DataFrame, least: int = 2) -> DataFrame:
@@ -67,6 +106,19 @@ def reflection_gaps(entities: DataFrame, edges: DataFrame, least: int = 2) -> Da
     return gaps.withColumn("confidence", F.least(F.col("shared") / F.lit(5.0), F.lit(1.0)))
 
 
+def three_hops(entities: DataFrame) -> DataFrame:
+    """``(seed, target, n)``: ways from one name to another over a third within a context.
+
+    A context of m names joins each ordered pair in m - 2 ways, so one
+    self-join and the context's size give what three would.
+    """
+    named = entities.select("context_id", "name").distinct()
+    sizes = named.groupBy("context_id").agg(F.count("*").alias("m")).where("m > 2")
+    kept = named.join(sizes, "context_id")
+    pairs = kept.select("context_id", "m", F.col("name").alias("seed")).join(named.select("context_id", F.col("name").alias("target")), "context_id").where("seed <> target")
+    return pairs.groupBy("seed", "target").agg(F.sum(F.col("m") - 2).alias("n"))
+
+
 def shared_contexts(entities: DataFrame, a: str, b: str) -> DataFrame:
     """Contexts that mention both names."""
     found = entities.where(F.col("name").isin(a, b)).groupBy("context_id").agg(F.countDistinct("name").alias("n"))
@@ -118,15 +170,19 @@ def impact_scores(edges: DataFrame, seeds: DataFrame, depth: int = 3) -> DataFra
     return arrivals.groupBy("node", "depth").agg(F.round(F.sum(weight), 3).alias("score"))
 
 
-def ancestors(parents: DataFrame, most: int = 64) -> DataFrame:
-    """``(id, ancestor, steps)`` along ``(id, parent_id)``, doubling the path each round; a missing parent ends a chain."""
+def ancestors(parents: DataFrame) -> DataFrame:
+    """``(id, ancestor, steps)`` along ``(id, parent_id)``, doubling the path each round; a missing parent ends a chain.
+
+    Raises where chains don't end within 2**MOST_ROUNDS steps, as on a cycle.
+    """
     base = checkpointed(parents.where("parent_id IS NOT NULL").join(parents.select(F.col("id").alias("parent_id")), "parent_id", "left_semi").select("id", F.col("parent_id").alias("ancestor"), F.lit(1).alias("steps")))
     found, jump = base, base
-    length = 1
-    while length < most and not jump.isEmpty():
+    for _ in range(MOST_ROUNDS):
+        if jump.isEmpty():
+            return found
+        # jump holds the steps of exactly 2**k, found all of up to 2**k; those of 2**k + 1 to 2**(k + 1) follow.
         onward = jump.select(F.col("id").alias("ancestor"), F.col("ancestor").alias("next"), F.col("steps").alias("more"))
         further = found.join(onward, "ancestor").select("id", F.col("next").alias("ancestor"), (F.col("steps") + F.col("more")).alias("steps"))
         found = checkpointed(found.unionByName(further).distinct())
         jump = checkpointed(jump.join(onward, "ancestor").select("id", F.col("next").alias("ancestor"), (F.col("steps") + F.col("more")).alias("steps")))
-        length *= 2
-    return found
+    raise RuntimeError("parents form a cycle")

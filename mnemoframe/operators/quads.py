@@ -39,3 +39,11 @@ def agent_facts(quads: DataFrame, agent: str, most: int = 100) -> DataFrame:
     """An agent's facts: the predicate, all its objects in order, and whether they name other resources."""
     facts = quads.where(F.col("s") == agent).select("p", "o").distinct().orderBy("p", "o").limit(most)
     return facts.groupBy("p").agg(F.concat_ws(",", F.sort_array(F.collect_list("o"))).alias("objects"), F.max(F.col("o").contains("/")).alias("relates"))
+
+
+def prompt_text(quads: DataFrame) -> DataFrame:
+    """Each subject's facts as a text for a prompt: a headline, then a line for each fact in order."""
+    facts = quads.select("s", "p", "o").distinct()
+    lines = F.sort_array(F.collect_list(F.struct("p", "o")))
+    text = F.concat_ws("\n", F.transform(lines, lambda x: F.concat(F.lit("- "), x["p"], F.lit(": "), x["o"])))
+    return facts.groupBy("s").agg(text.alias("lines")).select("s", F.concat(F.lit("## "), "s", F.lit("\n"), "lines").alias("prompt"))

@@ -28,12 +28,7 @@ query("AG33_breakdowns", "contexts", sql="""SELECT 'node' AS kind, node AS value
     UNION ALL SELECT 'genre', genre, count(*) FROM {contexts} GROUP BY genre""")(
     lambda c: c.select(F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.col(k).alias("value")) for k in ("node", "type", "genre")))).alias("x")).groupBy("x.kind", "x.value").agg(F.count("*").alias("n"))
 )
-query("AG35_shared_entity_weights", "entities", sql="SELECT a.context_id AS a, b.context_id AS b, round(least(count(*) / 5.0, 1.0), 2) AS weight FROM {entities} a JOIN {entities} b ON a.name = b.name AND a.context_id < b.context_id GROUP BY 1, 2 HAVING count(*) >= 2")(
-    lambda e: (
-        e.select("name", F.col("context_id").alias("a")).join(e.select("name", F.col("context_id").alias("b")), "name").where("a < b")
-        .groupBy("a", "b").agg(F.count("*").alias("shared")).where("shared >= 2").select("a", "b", F.round(F.least(F.col("shared") / 5.0, F.lit(1.0)), 2).alias("weight"))
-    )
-)
+query("AG35_shared_entity_weights", "entities", sql="SELECT a.context_id AS a, b.context_id AS b, round(least(count(*) / 5.0, 1.0), 2) AS weight FROM {entities} a JOIN {entities} b ON a.name = b.name AND a.context_id < b.context_id GROUP BY 1, 2 HAVING count(*) >= 2")(G.shared_entity_weights)
 query("AG25_series_features", "events", sql="""SELECT user_id, count(*) AS n, min(value) AS low, max(value) AS high, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS deviation, max_by(value, event_id) AS last,
     CASE WHEN covar_pop(CAST(event_id AS DOUBLE), value) > 0 THEN 'up' WHEN covar_pop(CAST(event_id AS DOUBLE), value) < 0 THEN 'down' ELSE 'flat' END AS trend FROM {events} GROUP BY user_id""")(
     lambda e: e.groupBy("user_id").agg(
@@ -75,9 +70,8 @@ query("JN17_names_per_context", "entities", sql="SELECT context_id, string_agg(n
 query("JN18_latest_version", "memories", sql="SELECT root_id, version, id FROM (SELECT *, row_number() OVER (PARTITION BY root_id ORDER BY version DESC) AS r FROM {memories}) WHERE r = 1")(
     lambda m: m.groupBy("root_id").agg(F.max("version").alias("version"), F.max_by("id", "version").alias("id"))
 )
-query("JN20_three_hops", "edges", sql="SELECT a.source_id AS x, count(*) AS paths FROM {edges} a JOIN {edges} b ON a.target_id = b.source_id GROUP BY 1")(
-    lambda e: e.select(F.col("source_id").alias("x"), F.col("target_id").alias("y")).join(e.select(F.col("source_id").alias("y")), "y").groupBy("x").agg(F.count("*").alias("paths"))
-)
+query("JN20_three_hops", "entities", sql="""SELECT x.name AS seed, z.name AS target, count(*) AS n FROM {entities} x JOIN {entities} y ON x.context_id = y.context_id AND x.name <> y.name
+    JOIN {entities} z ON y.context_id = z.context_id AND z.name <> y.name AND z.name <> x.name GROUP BY 1, 2 ORDER BY n DESC, seed, target LIMIT 20""")(lambda e: G.top(G.three_hops(e), "n", 20, "seed", "target"))
 query("JN28_shared_contexts", "entities", sql="SELECT context_id FROM {entities} WHERE name IN ('part/260', 'part/625') GROUP BY context_id HAVING count(DISTINCT name) = 2")(lambda e: G.shared_contexts(e, "part/260", "part/625"))
 query("JN29_recent_names", "entities", "orders", sql="""SELECT name, count(*) AS n, max(o_orderdate) AS latest FROM {entities} JOIN {orders} ON context_id = o_orderkey WHERE o_orderdate >= TIMESTAMP '1997-01-01 00:00:00'
     GROUP BY name ORDER BY n DESC, name LIMIT 8""")(
@@ -93,11 +87,12 @@ query("GR03_edges_for", "edges", sql="SELECT source_id, target_id, relation, wei
 query("GR05_subgraph", "edges", sql="SELECT source_id, target_id, relation, weight FROM {edges} WHERE source_id = 'order/388' OR target_id = 'order/388'")(lambda e: G.subgraph(e, "order/388"))
 query("GR06_open_triangles", "trade", sql="""SELECT a.source_id AS a, a.target_id AS b, b.target_id AS c FROM {trade} a JOIN {trade} b ON a.source_id = b.source_id AND a.target_id < b.target_id
     WHERE NOT EXISTS (SELECT 1 FROM {trade} t WHERE (t.source_id = a.target_id AND t.target_id = b.target_id) OR (t.source_id = b.target_id AND t.target_id = a.target_id))""")(G.open_triangles)
-_REACH = """WITH RECURSIVE both_ways AS (SELECT source_id AS a, target_id AS b FROM {edges} WHERE relation = 'mentioned_in' UNION SELECT target_id, source_id FROM {edges} WHERE relation = 'mentioned_in'),
-    reach AS (SELECT a, a AS b FROM both_ways UNION SELECT r.a, w.b FROM reach r JOIN both_ways w ON r.b = w.a)"""
-query("GR07_components", "edges", sql=f"{_REACH} SELECT a AS node, min(b) AS component FROM reach GROUP BY a")(lambda e: G.components(e.where("relation = 'mentioned_in'")))
-query("GR09_reflection_gaps", "entities", "trade", sql="""SELECT a.name AS a, b.name AS b, count(*) AS shared, least(count(*) / 5.0, 1.0) AS confidence FROM {entities} a JOIN {entities} b ON a.context_id = b.context_id AND a.name < b.name
-    GROUP BY 1, 2 HAVING count(*) >= 2""")(G.reflection_gaps)
+_REACH = """WITH RECURSIVE both_ways AS (SELECT source_id AS a, target_id AS b FROM {edges} UNION SELECT target_id, source_id FROM {edges}),
+    reach(node, component) USING KEY (node) AS (SELECT DISTINCT a, a FROM both_ways
+        UNION (SELECT r.node, min(n.component) FROM recurring.reach r JOIN both_ways ON a = r.node JOIN reach n ON n.node = b WHERE n.component < r.component GROUP BY r.node))"""
+query("GR07_components", "edges", sql=f"{_REACH} SELECT node, component, count(*) OVER (PARTITION BY component) AS size FROM reach")(G.components)
+query("GR09_reflection_gaps", "entities", "related", sql="""SELECT a.name AS a, b.name AS b, count(*) AS shared, least(count(*) / 5.0, 1.0) AS confidence FROM {entities} a JOIN {entities} b ON a.context_id = b.context_id AND a.name < b.name
+    WHERE NOT EXISTS (SELECT 1 FROM {related} WHERE (source_id = a.name AND target_id = b.name) OR (source_id = b.name AND target_id = a.name)) GROUP BY 1, 2 HAVING count(*) >= 2""")(G.reflection_gaps)
 _BFS = """WITH RECURSIVE both_ways AS (SELECT source_id AS a, target_id AS b FROM {edges} UNION SELECT target_id, source_id FROM {edges}),
     walk AS (SELECT 'order/388' AS node, 0 AS depth UNION SELECT b, depth + 1 FROM walk JOIN both_ways ON node = a WHERE depth < 3)"""
 _SEED = ("node string",)

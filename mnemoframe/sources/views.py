@@ -23,7 +23,7 @@ VIEWS = {
         UNION ALL SELECT 'default', concat('order/', o_orderkey), 'status', o_orderstatus FROM {orders}
         UNION ALL SELECT 'default', concat('supplier/', s_suppkey), 'inNation', concat('nation/', s_nationkey) FROM {supplier}""",
     "geo_ontology": """
-        SELECT s, CASE WHEN p = 'inRegion' OR p = 'inNation' THEN p ELSE p END AS p, o FROM {quads} WHERE p IN ('inRegion', 'inNation') AND s NOT LIKE 'customer/%'
+        SELECT s, p, o FROM {quads} WHERE p IN ('inRegion', 'inNation')
         UNION ALL SELECT 'inRegion', 'rdfs:subPropertyOf', 'locatedIn'
         UNION ALL SELECT 'inNation', 'rdfs:subPropertyOf', 'locatedIn'
         UNION ALL SELECT 'locatedIn', 'rdf:type', 'owl:TransitiveProperty'
@@ -39,12 +39,16 @@ VIEWS = {
         FROM {documents} d LEFT JOIN {labels} l ON d.doc_id = l.doc_id""",
     "edges": """
         SELECT DISTINCT concat('order/', l_orderkey) AS source_id, concat('part/', l_partkey) AS target_id, 'mentioned_in' AS relation, 1.0 AS weight
-        FROM {lineitem} WHERE l_orderkey % 97 = 0
-        UNION ALL SELECT DISTINCT concat('part/', l_partkey), concat('supplier/', l_suppkey), 'lives_in', 1.0 FROM {lineitem} WHERE l_orderkey % 485 = 0""",
+        FROM {lineitem}
+        UNION ALL SELECT DISTINCT concat('part/', l_partkey), concat('supplier/', l_suppkey), 'lives_in', 1.0 FROM {lineitem}""",
     "trade": """
-        SELECT DISTINCT concat('n', c.c_nationkey) AS source_id, concat('n', s.s_nationkey) AS target_id
-        FROM {lineitem} l JOIN {orders} o ON l.l_orderkey = o.o_orderkey JOIN {customer} c ON o.o_custkey = c.c_custkey JOIN {supplier} s ON l.l_suppkey = s.s_suppkey
-        WHERE l.l_orderkey < 60""",
+        SELECT source_id, target_id FROM (SELECT source_id, target_id, quantity, avg(quantity) OVER () AS mean FROM (
+            SELECT concat('n', c.c_nationkey) AS source_id, concat('n', s.s_nationkey) AS target_id, sum(l.l_quantity) AS quantity
+            FROM {lineitem} l JOIN {orders} o ON l.l_orderkey = o.o_orderkey JOIN {customer} c ON o.o_custkey = c.c_custkey JOIN {supplier} s ON l.l_suppkey = s.s_suppkey
+            GROUP BY 1, 2) pairs) weighed WHERE quantity > mean""",
+    "related": """
+        SELECT DISTINCT concat('part/', x.l_partkey) AS source_id, concat('part/', y.l_partkey) AS target_id
+        FROM {lineitem} x JOIN {lineitem} y ON x.l_orderkey = y.l_orderkey AND y.l_linenumber = x.l_linenumber + 1 WHERE x.l_returnflag = 'R'""",
     "entities": "SELECT DISTINCT l_orderkey AS context_id, concat('part/', l_partkey) AS name FROM {lineitem}",
     "routed": """
         SELECT id, node, CASE WHEN seq % 4 = 0 THEN concat('src', seq % 7) WHEN seq % 4 = 1 THEN node ELSE concat('src', (seq + 3) % 11) END AS destination FROM {contexts}""",
@@ -67,9 +71,24 @@ VIEWS = {
             WHEN 0 THEN 'We decided: the budget is approved.' WHEN 1 THEN 'Could you send the invoice?' WHEN 2 THEN 'You must meet the requirement: latency under 20 ms.'
             WHEN 3 THEN 'I will finish by friday, action item noted.' WHEN 4 THEN 'We are worried about the risk and the blocker.' WHEN 5 THEN 'Looking back, lessons learned from the postmortem.'
             WHEN 6 THEN 'First, we met. Finally, meeting notes were sent.' WHEN 7 THEN 'def run: import os' WHEN 8 THEN 'We should vote on the proposal:'
-            WHEN 9 THEN 'The test suite did fail with a timeout error.' WHEN 10 THEN 'See the reference: related: spec.' ELSE 'Plain words only.' END, ' ', substr(text, 1, 400)) AS text
+            WHEN 9 THEN 'The test suite did fail with a timeout error.' WHEN 10 THEN 'See the reference: related: spec.' ELSE 'Plain words only.' END, ' ', text) AS text
         FROM {documents}""",
 }
+#: Triples of the store with a schema for one inference rule each.
+ONTOLOGIES = {
+    "range": ("inRegion", [("inRegion", "rdfs:range", "Region")]),
+    "subproperty": ("inRegion", [("inRegion", "rdfs:subPropertyOf", "locatedIn"), ("locatedIn", "rdfs:subPropertyOf", "placedIn")]),
+    "same_property": ("inRegion", [("inRegion", "owl:equivalentProperty", "regionOf")]),
+    "inverse": ("placedBy", [("placedBy", "owl:inverseOf", "placed")]),
+    "symmetric": ("inRegion", [("inRegion", "rdf:type", "owl:SymmetricProperty")]),
+    "has_value": ("inRegion", [("European", "owl:onProperty", "inRegion"), ("European", "owl:hasValue", "region/3"), ("atlantis", "rdf:type", "European")]),
+    "same_class": ("inRegion", [("inRegion", "rdfs:domain", "Nation"), ("Nation", "owl:equivalentClass", "Country")]),
+    "same_as": ("name", [("nation/1", "owl:sameAs", "land/1"), ("land/1", "owl:sameAs", "earth/1")]),
+}
+VIEWS |= {
+    f"onto_{name}": " UNION ALL ".join([f"SELECT s, p, o FROM {{quads}} WHERE p = '{predicate}'", *(f"SELECT '{s}', '{p}', '{o}'" for s, p, o in schema)])
+    for name, (predicate, schema) in ONTOLOGIES.items()
+}
 _NAME = re.compile(r"\{(\w+)\}")
 
 
