@@ -186,3 +186,34 @@ def ancestors(parents: DataFrame) -> DataFrame:
         found = checkpointed(found.unionByName(further).distinct())
         jump = checkpointed(jump.join(onward, "ancestor").select("id", F.col("next").alias("ancestor"), (F.col("steps") + F.col("more")).alias("steps")))
     raise RuntimeError("parents form a cycle")
+
+
+def built_edges(contexts: DataFrame, mentions: DataFrame, versions: DataFrame) -> DataFrame:
+    """All edges of the store, each once: mentions, homes, references from entities to nodes, and versions that replace others."""
+    edge = lambda df, s, t, relation, weight: df.select(F.col(s).alias("source_id"), F.col(t).alias("target_id"), F.lit(relation).alias("relation"), F.lit(weight).alias("weight"))
+    homes = contexts.where("node IS NOT NULL")
+    named = mentions.join(homes.select(F.col("id").alias("context_id"), "node"), "context_id")
+    made = edge(mentions, "context_id", "name", "mentioned_in", 1.0).unionByName(edge(homes, "id", "node", "lives_in", 1.0))
+    made = made.unionByName(edge(versions.where("parent_id IS NOT NULL"), "id", "parent_id", "supersedes", 1.0)).unionByName(edge(named, "name", "node", "cross_ref", 0.8))
+    return made.distinct()
+
+
+def _shares(mentions: DataFrame, contexts: DataFrame) -> DataFrame:
+    """``(name, node, n, share)``: a node's contexts that mention a name, also as a share of all the node's contexts."""
+    totals = contexts.groupBy("node").agg(F.count("*").alias("total"))
+    counts = mentions.join(contexts.select(F.col("id").alias("context_id"), "node"), "context_id").groupBy("name", "node").agg(F.count("*").alias("n"))
+    return counts.join(totals, "node").select("name", "node", "n", (F.col("n") / F.col("total")).alias("share"))
+
+
+def critical_dependencies(mentions: DataFrame, contexts: DataFrame, like: str) -> DataFrame:
+    """Nodes more than half of whose contexts' number are mentions of names like ``like``."""
+    named = mentions.where(F.contains("name", F.lit(like))).withColumn("name", F.lit(like))
+    found = _shares(named, contexts).where("share > 0.5")
+    return found.select("node", F.lit("mentioned_in").alias("relation"), F.round("share", 3).alias("weight"))
+
+
+def severities(mentions: DataFrame, contexts: DataFrame) -> DataFrame:
+    """``(name, severity)`` of losing each name, by the contexts and nodes that mention it and those that depend on it."""
+    reach = _shares(mentions, contexts).groupBy("name").agg(F.sum("n").alias("contexts"), F.count("*").alias("nodes"), F.count_if(F.col("share") > 0.5).alias("critical"))
+    level = F.when(F.col("critical") >= 3, "critical").when((F.col("critical") >= 1) | (F.col("nodes") >= 5), "high").when((F.col("nodes") >= 3) | (F.col("contexts") > 15), "medium").otherwise("low")
+    return reach.select("name", level.alias("severity"))

@@ -1,0 +1,215 @@
+"""Queries of context assembly, memory search, wiki upkeep, graph building, scenarios, compliance and envelopes."""
+
+from pyspark.sql import functions as F
+
+from mnemoframe.operators import assembly as A
+from mnemoframe.operators import envelopes as E
+from mnemoframe.operators import graph as G
+from mnemoframe.operators import store as S
+from mnemoframe.plans.catalog import query
+from mnemoframe.sources.views import AS_OF
+
+_top = lambda c, n: c.select("id", F.col("sn_ratio").alias("score")).orderBy(F.desc("score"), "id").limit(n)
+_HITS = "hits AS (SELECT id, sn_ratio AS score FROM {contexts} ORDER BY score DESC, id LIMIT %d)"
+query("RT02_sanitised", "region", sql="""SELECT r_regionkey, CASE WHEN r_regionkey = 0 THEN '*' ELSE concat('a ', r_regionkey, ' b') END AS query FROM {region}""")(
+    lambda r: r.sparkSession.createDataFrame([(k, A.sanitised('"(*)^' if k == 0 else f'a* "{k}" (b)')) for k in range(5)], "r_regionkey int, query string")
+)
+query("RT05_FA01_listed", "contexts", sql="SELECT id, modified_at FROM {contexts} WHERE node = 'src8' AND type = 'memory' ORDER BY modified_at DESC, id LIMIT 50")(lambda c: A.listed(c, "mem://src8/memory/x").select("id", "modified_at"))
+query("RT09_graph_boost", "contexts", "mentions", "edges", sql="""WITH c AS (SELECT DISTINCT target_id AS name FROM {edges} WHERE contains(lower(source_id), 'order/1') OR contains(lower(source_id), 'supplier/2') UNION SELECT source_id FROM {edges} WHERE contains(lower(target_id), 'order/1') OR contains(lower(target_id), 'supplier/2')),
+    n AS (SELECT context_id, count(DISTINCT name) AS n FROM {mentions} WHERE name IN (SELECT name FROM c) GROUP BY 1) SELECT id, round(sn_ratio * (1 + 0.1 * coalesce(n, 0)), 4) AS score FROM {contexts} LEFT JOIN n ON id = context_id""")(
+    lambda c, m, e: A.graph_boost(c.select("id", F.col("sn_ratio").alias("score")), m, e, "Order/1 Supplier/2")
+)
+_INVENTORY = """inv AS (SELECT concat('# Inventory', chr(10), string_agg(line, chr(10) ORDER BY line)) AS text FROM (SELECT concat('- ', node, ' (', sum(n), '): ', string_agg(concat(type, ' ', n), ', ' ORDER BY concat(type, ' ', n))) AS line FROM (SELECT node, type, count(*) AS n FROM {contexts} GROUP BY 1, 2) GROUP BY node))"""
+query("RT28_inventory", "contexts", sql=f"WITH {_INVENTORY} SELECT substr(text, 1, 12000) AS text FROM inv")(A.inventory)
+query("RT13_tiers", "contexts", sql=f"""WITH {_INVENTORY}, {_HITS % 20}, f AS (SELECT id, score, content, trim(regexp_replace(regexp_replace(content, '(?m)^#+ +', '', 'g'), '[ \\t\\n\\r]+', ' ', 'g')) AS t FROM {{contexts}} JOIN hits USING (id)),
+    s AS (SELECT id, score, CASE WHEN length(t) <= 500 THEN t ELSE concat(regexp_replace(substr(t, 1, 500), ' [^ ]*$', ''), '…') END AS text FROM f), b AS (SELECT id, score, content AS text FROM f ORDER BY score DESC, id LIMIT 5),
+    l1 AS (SELECT *, sum(length(text) // 4) OVER (ORDER BY score DESC, id) AS spent FROM s), l2 AS (SELECT *, sum(length(text) // 4) OVER (ORDER BY score DESC, id) AS spent FROM b)
+    SELECT 'l0' AS tier, NULL AS id, substr(text, 1, 12000) AS text FROM inv UNION ALL SELECT 'l1', id, text FROM l1 WHERE spent <= 10000 UNION ALL SELECT 'l2', id, text FROM l2 WHERE spent <= 50000""")(lambda c: A.tiers(_top(c, 20), c))
+query("RT14_grep", "contexts", "chunks", sql=f"""WITH {_HITS % 40} SELECT chunk_id, round(score * CASE idx WHEN 0 THEN 1.0 ELSE 0.95 END, 6) AS score, nullif(trim(substr(text, greatest(coalesce(nullif(strpos(lower(text), 'the'), 0), 1) - 50, 1), 200), ' '), '') AS snippet
+    FROM {{chunks}} JOIN hits ON context_id = id WHERE intent = 'specify' ORDER BY score DESC, chunk_id LIMIT 10""")(
+    lambda c, k: A.grep(_top(c, 40), k.withColumn("scale", F.when(F.col("idx") == 0, "section").otherwise("paragraph")), "the", 10, "specify")
+)
+query("RT29_recent_decisions", "contexts", sql=f"SELECT id, modified_at FROM {{contexts}} WHERE type = 'signal' AND modified_at >= TIMESTAMP '{AS_OF}' - INTERVAL '30' DAY ORDER BY modified_at DESC, id LIMIT 5")(
+    lambda c: c.where(f"type = 'signal' AND modified_at >= TIMESTAMP '{AS_OF}' - INTERVAL '30' DAY").select("id", "modified_at").orderBy(F.desc("modified_at"), "id").limit(5)
+)
+_FEATURES = "SELECT vec_id, embedding, CASE WHEN vec_id % 5 <> 0 THEN list_distinct([concat('e', vec_id % 3), concat('e', vec_id % 4), 'e9']) END AS entities, CASE WHEN vec_id % 3 <> 0 THEN concat('i', vec_id % 2) END AS intent, CASE WHEN vec_id % 7 <> 0 THEN concat('n', vec_id % 4) END AS node_id, [concat('r', vec_id % 2)] AS ancestors FROM {embeddings}"
+query("CL02_composite_similarity", "embeddings", sql=f"""WITH f AS ({_FEATURES}), p AS (SELECT x.vec_id, x.entities IS NOT NULL AND y.entities IS NOT NULL AS e, x.intent IS NOT NULL AND y.intent IS NOT NULL AS i, x.node_id IS NOT NULL AND y.node_id IS NOT NULL AS n,
+    (list_cosine_similarity(CAST(x.embedding AS DOUBLE[]), CAST(y.embedding AS DOUBLE[])) + 1) / 2 AS c, len(list_intersect(x.entities, y.entities)) / len(list_distinct(list_concat(x.entities, y.entities))) AS j, CAST(x.intent = y.intent AS DOUBLE) AS m, CASE WHEN x.node_id = y.node_id THEN 1.0 WHEN x.ancestors = y.ancestors THEN 0.5 ELSE 0.0 END AS a
+    FROM f x JOIN f y ON y.vec_id = 7) SELECT vec_id, round((0.6 * c + CASE WHEN e THEN 0.2 * j ELSE 0 END + CASE WHEN i THEN 0.15 * m ELSE 0 END + CASE WHEN n THEN 0.05 * a ELSE 0 END) / (0.6 + CASE WHEN e THEN 0.2 ELSE 0 END + CASE WHEN i THEN 0.15 ELSE 0 END + CASE WHEN n THEN 0.05 ELSE 0 END), 6) AS similarity FROM p""")(
+    lambda e: _similar_to(e, 7)
+)
+
+
+def _similar_to(vectors, vec_id):
+    name = lambda prefix, n: F.concat(F.lit(prefix), F.col("vec_id") % n)
+    features = vectors.select("vec_id", F.struct(
+        "embedding", F.when(F.col("vec_id") % 5 != 0, F.array_distinct(F.array(name("e", 3), name("e", 4), F.lit("e9")))).alias("entities"), F.when(F.col("vec_id") % 3 != 0, name("i", 2)).alias("intent"),
+        F.when(F.col("vec_id") % 7 != 0, name("n", 4)).alias("node_id"), F.array(name("r", 2)).alias("node_ancestors"),
+    ).alias("a"))
+    one = features.where(F.col("vec_id") == vec_id).select(F.col("a").alias("b"))
+    return features.join(F.broadcast(one), F.lit(True)).select("vec_id", F.round(A.composite_similarity("a", "b"), 6).alias("similarity"))
+
+
+query("JN08_chunk_intents", "contexts", "chunks", sql="SELECT id, chunk_id, coalesce(intent, 'none') AS intent FROM {contexts} JOIN {chunks} ON id = context_id WHERE node = 'src8'")(
+    lambda c, k: k.join(c.where("node = 'src8'").select(F.col("id").alias("context_id")), "context_id").select(F.col("context_id").alias("id"), "chunk_id", F.coalesce("intent", F.lit("none")).alias("intent"))
+)
+query("JN07_vectors_of_contexts", "embeddings", "contexts", sql="SELECT id, vec_id, label FROM {embeddings} JOIN {contexts} ON vec_id = seq WHERE type = 'resource' AND node = 'src8'")(
+    lambda e, c: e.join(c.where("type = 'resource' AND node = 'src8'").select("id", F.col("seq").alias("vec_id")), "vec_id").select("id", "vec_id", "label")
+)
+query("JN14_broken_supersedes", "versions", sql="SELECT id FROM {versions} WHERE parent_id IS NOT NULL AND parent_id NOT IN (SELECT id FROM {versions} WHERE audience <> 'user')")(
+    lambda v: v.where("parent_id IS NOT NULL").join(v.where("audience <> 'user'").select(F.col("id").alias("parent_id")), "parent_id", "left_anti").select("id")
+)
+query("JN19_cited_contexts", "citations", "chunks", "contexts", sql="SELECT DISTINCT slug, id, node FROM {citations} c JOIN {chunks} k ON c.chunk_id = k.chunk_id JOIN {contexts} x ON k.context_id = x.id")(
+    lambda c, k, x: c.join(k.select("chunk_id", F.col("context_id").alias("id")), "chunk_id").join(x.select("id", "node"), "id").select("slug", "id", "node").distinct()
+)
+query("JN21_three_way", "chunks", "citations", sql="SELECT k.chunk_id, intent, count(slug) AS pages FROM {chunks} k LEFT JOIN {citations} c ON k.chunk_id = c.chunk_id GROUP BY 1, 2")(
+    lambda k, c: k.join(c.groupBy("chunk_id").agg(F.count("*").alias("pages")), "chunk_id", "left").select("chunk_id", "intent", F.coalesce("pages", F.lit(0)).alias("pages"))
+)
+query("JN22_CO10_skills", "customer", "part", sql="""SELECT c_custkey AS principal, concat('skill/', c_nationkey) AS skill, level FROM (SELECT c_custkey, c_nationkey, CASE c_custkey % 4 WHEN 0 THEN 'novice' WHEN 1 THEN 'skilled' WHEN 2 THEN 'expert' ELSE 'guru' END AS level FROM {customer}) WHERE level IN ('expert', 'guru')""")(
+    lambda c, p: (
+        c.select(F.col("c_custkey").alias("principal"), F.concat(F.lit("skill/"), "c_nationkey").alias("skill"), F.element_at(F.array(*map(F.lit, ("novice", "skilled", "expert", "guru"))), (F.col("c_custkey") % 4 + 1).cast("int")).alias("level"))
+        .join(F.broadcast(c.sparkSession.createDataFrame(list(enumerate(("novice", "skilled", "expert", "guru"))), "rank int, level string")), "level").where("rank >= 2").select("principal", "skill", "level")
+    )
+)
+query("JN24_workspaces_of", "customer", "nation", sql="SELECT n_name AS workspace, c_custkey AS principal FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey WHERE c_mktsegment = 'BUILDING'")(
+    lambda c, n: c.where("c_mktsegment = 'BUILDING'").join(n, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("n_name").alias("workspace"), F.col("c_custkey").alias("principal"))
+)
+query("JN25_CO06_holds", "holds", "contexts", sql="SELECT principal, count(*) AS held FROM {holds} JOIN {contexts} ON context_id = id WHERE released_at IS NULL GROUP BY principal")(
+    lambda h, c: h.where("released_at IS NULL").join(c.select(F.col("id").alias("context_id")), "context_id").groupBy("principal").agg(F.count("*").alias("held"))
+)
+query("CO06_is_held", "contexts", "holds", sql="SELECT id, id IN (SELECT context_id FROM {holds} WHERE released_at IS NULL) AS held FROM {contexts}")(
+    lambda c, h: c.select("id").join(h.where("released_at IS NULL").select(F.col("context_id").alias("id"), F.lit(True).alias("held")).distinct(), "id", "left").select("id", F.coalesce("held", F.lit(False)).alias("held"))
+)
+query("CO07_erasure_preview", "contexts", "chunks", "mentions", "holds", sql="""WITH w AS (SELECT id FROM {contexts} WHERE node = 'src8' AND id NOT IN (SELECT context_id FROM {holds} WHERE released_at IS NULL)) SELECT 'contexts' AS section, count(*) AS n FROM {contexts} WHERE id IN (SELECT id FROM w)
+    UNION ALL SELECT 'chunks', count(*) FROM {chunks} WHERE context_id IN (SELECT id FROM w) UNION ALL SELECT 'mentions', count(*) FROM {mentions} WHERE context_id IN (SELECT id FROM w)""")(
+    lambda c, k, m, h: S.cascade(
+        {"contexts": c.withColumn("owner", F.col("id")), "chunks": k.withColumn("owner", F.col("context_id")), "mentions": m.withColumn("owner", F.col("context_id"))},
+        S.delete(c.where("node = 'src8'").select("id"), h.where("released_at IS NULL").select(F.col("context_id").alias("id")), "id"),
+    )
+)
+query("CO08_subject_export", "customer", "orders", "documents", sql="""SELECT 'identity' AS section, concat('customer/', c_custkey) AS item FROM {customer} WHERE c_custkey = 7 UNION ALL SELECT 'orders', concat('order/', o_orderkey) FROM {orders} WHERE o_custkey = 7
+    UNION ALL SELECT 'mentions', concat('doc/', doc_id) FROM (SELECT doc_id FROM {documents} WHERE contains(lower(text), 'rerean') ORDER BY doc_id LIMIT 100)""")(
+    lambda c, o, d: (
+        c.where("c_custkey = 7").select(F.lit("identity").alias("section"), F.concat(F.lit("customer/"), "c_custkey").alias("item"))
+        .unionByName(o.where("o_custkey = 7").select(F.lit("orders").alias("section"), F.concat(F.lit("order/"), "o_orderkey").alias("item")))
+        .unionByName(d.where("contains(lower(text), 'rerean')").orderBy("doc_id").limit(100).select(F.lit("mentions").alias("section"), F.concat(F.lit("doc/"), "doc_id").alias("item")))
+    )
+)
+
+_words = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), "[^a-z]+"), lambda w: F.length(w) >= 4))
+query("ME10_memory_search", "memories", sql="""WITH k AS (SELECT id, category, version, list_distinct(list_filter(regexp_split_to_array(lower(content), '[^a-z]+'), lambda w: length(w) >= 4)) AS words FROM {memories}),
+    s AS (SELECT id, len(list_intersect(words, ['that', 'from', 'with'])) / 3.0 * 0.5 + 1.0 / version * 0.3 + CASE category WHEN 'decision' THEN 0.9 WHEN 'fact' THEN 0.6 ELSE 0.5 END * 0.2 AS score FROM k) SELECT id, round(score, 3) AS score FROM s WHERE score > 0.05 ORDER BY score DESC, id LIMIT 10""")(
+    lambda m: (
+        m.select("id", (F.size(F.array_intersect(_words(F.col("content")), F.array(*map(F.lit, ("that", "from", "with"))))) / 3.0 * 0.5 + 1.0 / F.col("version") * 0.3 + F.when(F.col("category") == "decision", 0.9).when(F.col("category") == "fact", 0.6).otherwise(0.5) * 0.2).alias("s"))
+        .where("s > 0.05").orderBy(F.desc(F.round("s", 3)), "id").limit(10).select("id", F.round("s", 3).alias("score"))
+    )
+)
+query("ME12_key_value_search", "part", sql="SELECT p_partkey FROM {part} WHERE contains(lower(concat_ws(' ', p_name, p_brand, p_type)), 'steel') OR contains(lower(concat_ws(' ', p_name, p_brand, p_type)), 'brand#3')")(
+    lambda p: p.where(F.exists(F.array(F.lit("steel"), F.lit("brand#3")), lambda t: F.contains(F.lower(F.concat_ws(" ", "p_name", "p_brand", "p_type")), t))).select("p_partkey")
+)
+query("ME13_recall_similar", "conversations", sql="""WITH k AS (SELECT conv_id, turn, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda w: length(w) >= 4)) AS w FROM {conversations} WHERE role = 'user'), q AS (SELECT w AS q FROM k WHERE conv_id = (SELECT min(conv_id) FROM k) ORDER BY turn LIMIT 1)
+    SELECT conv_id, turn, round(CASE WHEN len(list_distinct(list_concat(w, q))) > 0 THEN len(list_intersect(w, q)) / len(list_distinct(list_concat(w, q))) ELSE 0 END, 4) AS likeness FROM k, q ORDER BY likeness DESC, conv_id, turn LIMIT 20""")(
+    lambda c: _recall(c.where("role = 'user'").select("conv_id", "turn", _words(F.col("text")).alias("w")))
+)
+
+
+def _recall(episodes):
+    asked = episodes.orderBy("conv_id", "turn").limit(1).select(F.col("w").alias("q"))
+    likeness = F.round(S.overlap(F.col("w"), F.col("q")), 4)
+    return episodes.join(F.broadcast(asked), F.lit(True)).select("conv_id", "turn", likeness.alias("likeness")).orderBy(F.desc("likeness"), "conv_id", "turn").limit(20)
+
+
+query("ME15_filter", "memories", sql="SELECT id FROM {memories} WHERE category IN ('fact', 'decision') AND audience = 'user' AND version >= 2 AND length(content) >= 40")(lambda m: m.where("category IN ('fact', 'decision') AND audience = 'user' AND version >= 2 AND length(content) >= 40").select("id"))
+query("ME16_injection", "memories", sql="""WITH s AS (SELECT id, content, round(0.3 * CASE category WHEN 'decision' THEN 0.9 WHEN 'fact' THEN 0.6 ELSE 0.5 END + 0.5 * CAST(contains(lower(content), 'that') AS INT) + 0.2 / version, 6) AS score FROM {memories}), t AS (SELECT * FROM s ORDER BY score DESC, id LIMIT 20)
+    SELECT id, score FROM (SELECT *, sum(strlen(content)) OVER (ORDER BY score DESC, id) AS bytes FROM t) WHERE bytes <= 4000""")(
+    lambda m: A.within(
+        m.select("id", F.repeat(F.lit("x"), F.octet_length("content") * 4).alias("text"), F.round(0.3 * F.when(F.col("category") == "decision", 0.9).when(F.col("category") == "fact", 0.6).otherwise(0.5) + 0.5 * F.contains(F.lower("content"), F.lit("that")).cast("int") + 0.2 / F.col("version"), 6).alias("score"))
+        .orderBy(F.desc("score"), "id").limit(20), 4000).select("id", "score")
+)
+query("AG26_topics", "conversations", sql="""WITH w AS (SELECT conv_id, turn, role, unnest(list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda w: length(w) >= 4))) AS topic FROM {conversations})
+    SELECT topic, sum(CASE WHEN role = 'user' THEN 2 ELSE 1 END) AS weight FROM w GROUP BY topic HAVING sum(CASE WHEN role = 'user' THEN 2 ELSE 1 END) >= 2 ORDER BY weight DESC, topic LIMIT 15""")(
+    lambda c: c.select("role", F.explode(_words(F.col("text"))).alias("topic")).groupBy("topic").agg(F.sum(F.when(F.col("role") == "user", 2).otherwise(1)).alias("weight")).where("weight >= 2").orderBy(F.desc("weight"), "topic").limit(15)
+)
+query("AG19_severities", "signals", sql="SELECT CASE WHEN contains(type, 'error') THEN 'critical' WHEN latency > 50 THEN 'warning' ELSE 'info' END AS severity, count(*) AS n FROM {signals} GROUP BY 1")(
+    lambda s: s.groupBy(F.when(F.contains("type", F.lit("error")), "critical").when(F.col("latency") > 50, "warning").otherwise("info").alias("severity")).agg(F.count("*").alias("n"))
+)
+query("AG21_confident_topics", "signals", sql="SELECT agent, type, round(sum(latency) / 100.0, 6) AS confidence, count(*) AS n FROM {signals} GROUP BY 1, 2 HAVING round(sum(latency) / 100.0, 6) >= 1.5")(
+    lambda s: s.groupBy("agent", "type").agg(F.round(F.sum("latency") / 100.0, 6).alias("confidence"), F.count("*").alias("n")).where("confidence >= 1.5")
+)
+query("AG24_histogram", "signals", sql="SELECT type, CAST(least(floor(latency / 10), 9) AS BIGINT) AS bucket, count(*) AS n FROM {signals} GROUP BY 1, 2")(lambda s: s.groupBy("type", F.least(F.floor(F.col("latency") / 10), F.lit(9)).cast("long").alias("bucket")).agg(F.count("*").alias("n")))
+query("AG27_tool_windows", "signals", sql="""SELECT agent, win, count(*) AS n, CAST(floor(avg(latency)) AS BIGINT) AS duration, round(avg(CAST(NOT contains(type, 'error') AS INT)), 4) AS success FROM (SELECT *, (row_number() OVER (PARTITION BY agent ORDER BY id) - 1) // 5 AS win FROM {signals}) GROUP BY 1, 2""")(
+    lambda s: s.selectExpr("*", "(row_number() OVER (PARTITION BY agent ORDER BY id) - 1) div 5 AS win").groupBy("agent", "win").agg(F.count("*").alias("n"), F.floor(F.avg("latency")).alias("duration"), F.round(F.avg((~F.contains("type", F.lit("error"))).cast("int")), 4).alias("success"))
+)
+query("AG31_counts", "versions", "curated", sql="SELECT 'memories' AS kind, count(*) AS n, count(*) FILTER (is_latest) AS latest FROM {versions} UNION ALL SELECT 'wiki', count(*), count(DISTINCT (slug, audience)) FROM {curated}")(
+    lambda v, w: v.agg(F.lit("memories").alias("kind"), F.count("*").alias("n"), F.count_if("is_latest").alias("latest")).unionByName(w.agg(F.lit("wiki").alias("kind"), F.count("*").alias("n"), F.countDistinct("slug", "audience").alias("latest")))
+)
+query("AG34_dominant_intent", "chunks", sql="SELECT context_id, arg_min(intent, idx) AS intent FROM {chunks} WHERE intent IS NOT NULL GROUP BY context_id")(lambda k: k.where("intent IS NOT NULL").groupBy("context_id").agg(F.min_by("intent", "idx").alias("intent")))
+
+query("WK01_latest", "curated", sql="SELECT slug, audience, max(version) AS version, arg_max(body, version) AS body FROM {curated} GROUP BY 1, 2")(lambda w: w.groupBy("slug", "audience").agg(F.max("version").alias("version"), F.max_by("body", "version").alias("body")))
+query("WK01_upsert", "curated", sql="SELECT slug, version, body FROM {curated} WHERE NOT (version = 1 AND audience = 0) UNION ALL SELECT slug, version, 'new' FROM {curated} WHERE version = 1 AND audience = 0")(
+    lambda w: S.upsert(w, w.where("version = 1 AND audience = 0").withColumn("body", F.lit("new")), "slug", "audience", "version").select("slug", "version", "body")
+)
+query("WK06_schema", "wiki", sql="SELECT doc_id, 'missing section' AS issue FROM {wiki} WHERE NOT contains(body, '## ') UNION ALL SELECT doc_id, 'too long' FROM {wiki} WHERE strlen(body) > 2000")(
+    lambda w: w.select("doc_id", F.explode(F.filter(F.array(F.when(~F.contains("body", F.lit("## ")), "missing section"), F.when(F.octet_length("body") > 2000, "too long")), lambda x: x.isNotNull())).alias("issue"))
+)
+_STALE = f"""SELECT DISTINCT w.slug FROM (SELECT slug, max(curated_at) AS curated_at FROM {{curated}} GROUP BY slug) w JOIN {{citations}} c ON w.slug = c.slug JOIN {{chunks}} k ON c.chunk_id = k.chunk_id JOIN {{contexts}} x ON k.context_id = x.id
+    WHERE w.curated_at < TIMESTAMP '{AS_OF}' - INTERVAL '7' DAY AND EXISTS (SELECT 1 FROM {{contexts}} y WHERE y.node = x.node AND y.modified_at > w.curated_at)"""
+query("WK10_stale_pages", "curated", "citations", "chunks", "contexts", sql=_STALE)(
+    lambda w, c, k, x: (
+        w.groupBy("slug").agg(F.max("curated_at").alias("curated_at")).where(f"curated_at < TIMESTAMP '{AS_OF}' - INTERVAL '7' DAY").join(c.select("slug", "chunk_id").distinct(), "slug").join(k.select("chunk_id", F.col("context_id").alias("id")), "chunk_id")
+        .join(x.select("id", "node"), "id").join(x.groupBy("node").agg(F.max("modified_at").alias("latest")), "node").where("latest > curated_at").select("slug").distinct()
+    )
+)
+query("WK11_new_citations", "curated", "citations", sql="SELECT c.slug, chunk_id FROM {citations} c JOIN (SELECT slug, max(curated_at) AS curated_at FROM {curated} GROUP BY slug) w ON c.slug = w.slug WHERE cited_at > curated_at")(
+    lambda w, c: c.join(w.groupBy("slug").agg(F.max("curated_at").alias("curated_at")), "slug").where("cited_at > curated_at").select("slug", "chunk_id")
+)
+
+query("GR01_GR02_edges", "contexts", "mentions", "versions", sql="""SELECT context_id AS source_id, name AS target_id, 'mentioned_in' AS relation, 1.0 AS weight FROM {mentions} UNION SELECT id, node, 'lives_in', 1.0 FROM {contexts} WHERE node IS NOT NULL UNION SELECT id, parent_id, 'supersedes', 1.0 FROM {versions} WHERE parent_id IS NOT NULL
+    UNION SELECT name, n, 'cross_ref', 0.8 FROM {mentions} JOIN (SELECT id, node AS n FROM {contexts}) x ON id = context_id WHERE n IS NOT NULL""")(lambda c, m, v: G.built_edges(c, m, v))
+query("GR14_seeds", "mentions", "contexts", sql="SELECT id FROM (SELECT context_id AS id FROM {mentions} WHERE contains(name, 'part/1') UNION SELECT id FROM {contexts} WHERE node = 'src8') ORDER BY id LIMIT 50")(
+    lambda m, c: m.where("contains(name, 'part/1')").select(F.col("context_id").alias("id")).unionByName(c.where("node = 'src8'").select("id")).distinct().orderBy("id").limit(50)
+)
+query("GR16_critical_dependencies", "mentions", "contexts", sql="""WITH t AS (SELECT node, count(*) AS total FROM {contexts} GROUP BY node), n AS (SELECT node, count(*) AS n FROM {contexts} JOIN {mentions} ON id = context_id WHERE contains(name, 'part/1') GROUP BY node)
+    SELECT node, 'mentioned_in' AS relation, round(CAST(n AS DOUBLE) / total, 3) AS weight FROM n JOIN t USING (node) WHERE CAST(n AS DOUBLE) / total > 0.5""")(lambda m, c: G.critical_dependencies(m, c, "part/1"))
+query("GR17_severity", "mentions", "contexts", sql="""WITH t AS (SELECT node, count(*) AS total FROM {contexts} GROUP BY node), n AS (SELECT name, node, count(*) AS n FROM {contexts} JOIN {mentions} ON id = context_id GROUP BY 1, 2),
+    a AS (SELECT name, sum(n) AS contexts, count(*) AS nodes, count(*) FILTER (CAST(n AS DOUBLE) / total > 0.5) AS critical FROM n JOIN t USING (node) GROUP BY name)
+    SELECT name, CASE WHEN critical >= 3 THEN 'critical' WHEN critical >= 1 OR nodes >= 5 THEN 'high' WHEN nodes >= 3 OR contexts > 15 THEN 'medium' ELSE 'low' END AS severity FROM a""")(lambda m, c: G.severities(m, c))
+query("GR19_affected", "mentions", sql="""SELECT name, count(DISTINCT context_id) AS n FROM {mentions} WHERE context_id IN (SELECT context_id FROM {mentions} WHERE name = 'part/7') AND name <> 'part/7' GROUP BY name ORDER BY n DESC, name LIMIT 10""")(
+    lambda m: m.join(m.where("name = 'part/7'").select("context_id").distinct(), "context_id", "left_semi").where("name <> 'part/7'").groupBy("name").agg(F.countDistinct("context_id").alias("n")).orderBy(F.desc("n"), "name").limit(10)
+)
+query("GR20_node_ancestors", "nation", "region", sql="""SELECT concat('nation/', n_nationkey) AS id, concat('region/', n_regionkey) AS ancestor, 1 AS steps FROM {nation} UNION ALL SELECT concat('nation/', n_nationkey), 'world', 2 FROM {nation} UNION ALL SELECT concat('region/', r_regionkey), 'world', 1 FROM {region}""")(
+    lambda n, r: G.ancestors(
+        n.select(F.concat(F.lit("nation/"), "n_nationkey").alias("id"), F.concat(F.lit("region/"), "n_regionkey").alias("parent_id"))
+        .unionByName(r.select(F.concat(F.lit("region/"), "r_regionkey").alias("id"), F.lit("world").alias("parent_id"))).unionByName(n.sparkSession.createDataFrame([("world", None)], "id string, parent_id string"))
+    )
+)
+query("GR21_children", "nation", sql="SELECT n_regionkey AS parent, count(*) AS children, string_agg(n_name, ',' ORDER BY n_name) AS names FROM {nation} GROUP BY 1")(lambda n: n.groupBy(F.col("n_regionkey").alias("parent")).agg(F.count("*").alias("children"), F.concat_ws(",", F.sort_array(F.collect_list("n_name"))).alias("names")))
+query("GR23_visual_edges", "entities", "related", sql="""SELECT a.name AS a, b.name AS b, 'shared_entity' AS kind FROM {entities} a JOIN {entities} b ON a.context_id = b.context_id AND a.name < b.name GROUP BY 1, 2 HAVING count(*) >= 2
+    UNION SELECT least(source_id, target_id), greatest(source_id, target_id), 'cross_ref' FROM {related} WHERE source_id <> target_id""")(
+    lambda e, r: G.cooccurrence(e).select("a", "b", F.lit("shared_entity").alias("kind")).unionByName(r.where("source_id <> target_id").select(F.least("source_id", "target_id").alias("a"), F.greatest("source_id", "target_id").alias("b"), F.lit("cross_ref").alias("kind")).distinct())
+)
+query("HD12_reweave", "contexts", "mentions", sql=f"""WITH s AS (SELECT id, round(least((epoch(TIMESTAMP '{AS_OF}') - epoch(modified_at)) / 86400.0 / 30, 1), 4) AS staleness FROM {{contexts}} WHERE id IN (SELECT context_id FROM {{mentions}} WHERE name = 'part/7') OR contains(lower(content), 'rerean'))
+    SELECT id, staleness FROM s WHERE staleness > 0 ORDER BY staleness DESC, id LIMIT 10""")(
+    lambda c, m: (
+        c.where("contains(lower(content), 'rerean')").select("id", "modified_at").unionByName(c.select("id", "modified_at").join(m.where("name = 'part/7'").select(F.col("context_id").alias("id")), "id", "left_semi")).distinct()
+        .select("id", F.round(F.least((F.unix_timestamp(F.lit(AS_OF).cast("timestamp")) - F.unix_timestamp("modified_at")) / 86400.0 / 30, F.lit(1.0)), 4).alias("staleness")).where("staleness > 0").orderBy(F.desc("staleness"), "id").limit(10)
+    )
+)
+
+_AGE = f"epoch(TIMESTAMP '{AS_OF}') - epoch(time) > 86400"
+_MISSING = "(CAST(mode IS NULL AS INT) + CAST(genre IS NULL AS INT) + CAST(signal_type IS NULL AS INT) + CAST(format IS NULL AS INT) + CAST(structure IS NULL AS INT))"
+query("SG04_failure_modes", "envelopes", sql=" UNION ALL ".join(f"SELECT id, '{name}' AS failure FROM {{envelopes}} WHERE {test}" for name, test in {
+    "routing_failure": "source IS NULL", "bandwidth_overload": "strlen(data) > 100000", "fidelity_failure": "sn_ratio < 0.3", "variety_failure": f"{_MISSING} = 5", "structure_failure": f"{_MISSING} BETWEEN 1 AND 4", "genre_mismatch": "genre = 'note' AND contains(type, 'error')",
+    "herniation_failure": "parent_id IS NOT NULL AND correlation_id IS NULL", "bridge_failure": "extensions > 20", "decay_failure": _AGE, "feedback_failure": "signal_type = 'direct' AND correlation_id IS NULL AND parent_id IS NULL", "adversarial_noise": "extensions > 50"}.items()))(
+    lambda e: E.failures(e, AS_OF, F.when(F.contains("type", F.lit("error")), "alert").otherwise("chat"))
+)
+query("SG05_constraints", "envelopes", sql=f"""SELECT id, coalesce(strlen(data), 0) <= 8 AS shannon, {_MISSING} = 0 AS ashby, coalesce(contains(type, '.'), false) AND NOT (parent_id IS NOT NULL AND correlation_id IS NULL) AS beer, parent_id IS NOT NULL OR id IN (SELECT parent_id FROM {{envelopes}} WHERE parent_id IS NOT NULL) AS wiener FROM {{envelopes}}""")(
+    lambda e: E.constraints(e, 8)
+)
+query("SG06_validation", "envelopes", sql="""SELECT id, 'type is required' AS error FROM {envelopes} WHERE coalesce(type, '') = '' UNION ALL SELECT id, 'specversion is required' FROM {envelopes} WHERE specversion = '' UNION ALL SELECT id, 'invalid mode: smell' FROM {envelopes} WHERE mode = 'smell'
+    UNION ALL SELECT id, 'invalid signal_type: shout' FROM {envelopes} WHERE signal_type = 'shout' UNION ALL SELECT id, 'sn_ratio must be between 0 and 1' FROM {envelopes} WHERE sn_ratio < 0 OR sn_ratio > 1""")(E.errors)
+query("SG08_chain_child", "envelopes", sql="SELECT id AS parent_id, coalesce(correlation_id, id) AS correlation_id FROM {envelopes}")(lambda e: e.select(*E.child()))
+query("SX09_category", "seeded", sql="""SELECT doc_id, CASE WHEN contains(lower(text), 'contradict') THEN 'contradictions' WHEN contains(slug, 'decision') OR contains(lower(text), 'decision') THEN 'recent_actions' WHEN contains(slug, 'schedule') THEN 'schedules' WHEN contains(slug, 'owner') THEN 'ownership' WHEN contains(slug, 'spec') THEN 'professional_knowledge' ELSE 'unassigned' END AS category
+    FROM (SELECT *, CASE doc_id % 5 WHEN 0 THEN 'Schedule-a' WHEN 1 THEN 'the-owner' WHEN 2 THEN 'spec-1' ELSE 'x' END AS name, lower(CASE doc_id % 5 WHEN 0 THEN 'Schedule-a' WHEN 1 THEN 'the-owner' WHEN 2 THEN 'spec-1' ELSE 'x' END) AS slug FROM {seeded})""")(
+    lambda s: s.select("doc_id", E.category(F.when(F.col("doc_id") % 5 == 0, "Schedule-a").when(F.col("doc_id") % 5 == 1, "the-owner").when(F.col("doc_id") % 5 == 2, "spec-1").otherwise("x"), F.col("text")).alias("category"))
+)

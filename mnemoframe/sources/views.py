@@ -73,6 +73,35 @@ VIEWS = {
             WHEN 6 THEN 'First, we met. Finally, meeting notes were sent.' WHEN 7 THEN 'def run: import os' WHEN 8 THEN 'We should vote on the proposal:'
             WHEN 9 THEN 'The test suite did fail with a timeout error.' WHEN 10 THEN 'See the reference: related: spec.' ELSE 'Plain words only.' END, ' ', text) AS text
         FROM {documents}""",
+    "notes": """
+        SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN text ELSE concat('---', chr(10), 'title: Note ', doc_id, chr(10), 'mode: ', lang, chr(10), '---', chr(10), 'Intro words.', chr(10), chr(10), '# Head ', doc_id, chr(10),
+            'First line.', chr(10), text, chr(10), chr(10), '```sql', chr(10), 'SELECT ', doc_id, chr(10), '# no heading', chr(10), '```', chr(10), '## Tail', chr(10), chr(10), 'We must meet the deadline.') END AS text
+        FROM {documents}""",
+    "payloads": """
+        SELECT page_id AS external_id, CASE WHEN page_id % 9 <> 0 THEN concat('Page ', page_id) END AS title, html, CASE WHEN page_id % 4 = 0 THEN 'soon' ELSE concat('2024-01-0', 1 + page_id % 9, ' 10:00:00') END AS created,
+               CASE WHEN page_id % 3 <> 0 THEN url END AS url
+        FROM {pages}""",
+    "sheets": "SELECT o_orderkey AS doc_id, concat('key, status ,total', chr(10), o_orderkey, ',', o_orderstatus, ', ', CAST(floor(o_totalprice) AS BIGINT), chr(10), chr(10), 'x, y', chr(10)) AS text FROM {orders}",
+    "mentions": """
+        SELECT concat('ctx-', doc_id) AS context_id, concat('part/', 1 + doc_id % 40) AS name FROM {documents} UNION SELECT concat('ctx-', doc_id), concat('part/', 1 + doc_id * 7 % 60) FROM {documents}""",
+    "versions": """
+        SELECT concat('m', conv_id, '-', turn) AS id, text AS content, turn + 1 AS version, CASE WHEN turn > 0 THEN concat('m', conv_id, '-', turn - 1) END AS parent_id,
+               turn = max(turn) OVER (PARTITION BY conv_id) AS is_latest, role AS audience, conv_id AS root_id FROM {conversations}""",
+    "chunks": """
+        SELECT concat('ctx-', doc_id, ':par-', idx) AS chunk_id, concat('ctx-', doc_id) AS context_id, idx, body AS text, CASE WHEN (doc_id + idx) % 3 <> 0 THEN CASE WHEN (doc_id + idx) % 2 = 0 THEN 'specify' ELSE 'measure' END END AS intent
+        FROM (SELECT doc_id, CAST(0 AS BIGINT) AS idx, split_part(text, chr(10), 1) AS body FROM {documents} UNION ALL SELECT doc_id, CAST(1 AS BIGINT), split_part(text, chr(10), 2) FROM {documents}) parts""",
+    "citations": """
+        SELECT concat('page/', p_partkey % 50) AS slug, concat('ctx-', p_partkey % 150, ':par-', p_partkey % 2) AS chunk_id, TIMESTAMP '2024-01-01 00:00:00' + INTERVAL '1' HOUR * (p_partkey % 90) AS cited_at FROM {part}""",
+    "curated": """
+        SELECT concat('page/', p_partkey) AS slug, p_partkey % 3 AS audience, CAST(v AS BIGINT) AS version, TIMESTAMP '2024-01-01 00:00:00' + INTERVAL '1' HOUR * (p_partkey % 40 + v) AS curated_at, concat('# Page ', p_partkey, chr(10), p_name) AS body
+        FROM {part}, (SELECT 1 AS v UNION ALL SELECT 2 UNION ALL SELECT 3) versions WHERE p_partkey % 4 >= v""",
+    "holds": "SELECT concat('ctx-', c_custkey) AS context_id, concat('user/', c_nationkey) AS principal, CASE WHEN c_custkey % 3 = 0 THEN TIMESTAMP '2024-01-05 00:00:00' END AS released_at FROM {customer}",
+    "envelopes": """
+        SELECT event_id AS id, CASE WHEN event_id % 13 <> 0 THEN concat('app.', event_type) END AS type, CASE WHEN event_id % 6 <> 0 THEN concat('user/', user_id) END AS source, CASE WHEN event_id % 17 = 0 THEN '' ELSE '1.0' END AS specversion,
+               CASE WHEN event_id % 4 <> 0 THEN 'linguistic' WHEN event_id % 8 = 0 THEN 'smell' END AS mode, CASE WHEN event_id % 3 <> 0 THEN 'note' END AS genre, CASE event_id % 5 WHEN 0 THEN NULL WHEN 1 THEN 'direct' WHEN 2 THEN 'shout' ELSE 'inform' END AS signal_type,
+               CASE WHEN event_id % 4 <> 0 THEN 'markdown' END AS format, CASE WHEN event_id % 12 <> 0 THEN 'default' END AS structure, value / 50.0 AS sn_ratio, props AS data, CAST(event_id % 60 AS INT) AS extensions, ts AS time,
+               CASE WHEN event_id % 7 <> 0 THEN event_id - 1 END AS parent_id, CASE WHEN event_id % 3 = 0 THEN CAST(floor(event_id / 5) AS BIGINT) END AS correlation_id
+        FROM {events}""",
 }
 #: Triples of the store with a schema for one inference rule each.
 ONTOLOGIES = {
