@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from mnemoframe.functions.text import ascii_borders
+
 # Patterns of personal data (offsets and word rules are those of ASCII bytes).
 PII = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}",
@@ -54,6 +56,18 @@ def find_pii(text: str | None) -> list[tuple[str, int, int]]:
     return sorted(out, key=lambda x: (x[1], -x[2], x[0]))
 
 
+#: Kinds whose matches need no check beyond the pattern.
+PLAIN_KINDS = ("email", "ssn", "ipv4", "url")
+
+
+def pii_counts(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """``(doc_id, kind, n)``: matches of the plain kinds in each text that has any; built-in expressions only."""
+    text = F.coalesce(F.col(text_column), F.lit(""))
+    counts = F.array(*(F.struct(F.lit(kind).alias("kind"), F.size(F.regexp_extract_all(text, F.lit(f"({ascii_borders(PII[kind])})"), F.lit(1))).cast("long").alias("n")) for kind in PLAIN_KINDS))
+    found = docs.select(F.col(id_column).alias("doc_id"), F.explode(F.filter(counts, lambda x: x["n"] > 0)).alias("x"))
+    return found.select("doc_id", "x.kind", "x.n")
+
+
 def scan_pii(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """A row for each match.  Texts are read in Arrow batches; a null text has none."""
 

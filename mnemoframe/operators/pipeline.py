@@ -105,18 +105,21 @@ def route(signals: DataFrame, rules: DataFrame) -> DataFrame:
 def greedy_clusters(vectors: DataFrame, threshold: float = 0.65) -> DataFrame:
     """Greedy clustering in order of ids, within each partition key ``label``: join the most similar running-mean centroid or start one.
 
-    Similarity is the cosine mapped to 0-1.  A label's vectors arrive in
-    order in Arrow batches; only centroids are kept in memory.
+    Similarity is the cosine mapped to 0-1.  The order of arrival decides, so
+    a label's vectors pass one task: they arrive in Arrow batches, and only
+    the centroids are kept in memory, whose number the data set.  A label that
+    holds too many is to be cut into finer ones by the caller.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        label, centroids, counts = None, np.zeros((0, 0)), []
+        label, store, counts = None, np.zeros((0, 0)), []
         for pdf in batches:
             out = []
             for lab, vec_id, vector in zip(pdf["label"], pdf["vec_id"], pdf["embedding"], strict=True):
                 v = np.asarray(vector, dtype=float)
                 if lab != label:
-                    label, centroids, counts = lab, np.zeros((0, len(v))), []
+                    label, store, counts = lab, np.zeros((8, len(v))), []
+                centroids = store[: len(counts)]
                 best, score = -1, -1.0
                 if len(counts):
                     norms = np.linalg.norm(centroids, axis=1) * np.linalg.norm(v)
@@ -127,7 +130,10 @@ def greedy_clusters(vectors: DataFrame, threshold: float = 0.65) -> DataFrame:
                     counts[best] += 1
                     centroids[best] += (v - centroids[best]) / counts[best]
                 else:
-                    centroids, best = np.vstack([centroids, v]), len(counts)
+                    best = len(counts)
+                    if best == len(store):
+                        store = np.vstack([store, np.zeros_like(store)])
+                    store[best] = v
                     counts.append(1)
                 out.append((vec_id, lab, best))
             yield pd.DataFrame(out, columns=["vec_id", "label", "cluster"])

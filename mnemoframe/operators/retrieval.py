@@ -51,11 +51,12 @@ def decay(modified_at: Column, as_of: str, half_life_hours: float = HALF_LIFE_HO
     return F.coalesce(F.exp(F.lit(-math.log(2) / half_life_hours) * hours), F.lit(UNDATED_DECAY))
 
 
-def search(contexts: DataFrame, text: str, as_of: str, limit: int = 10) -> DataFrame:
-    """Contexts by BM25 times decay times quality, best first."""
+def search(contexts: DataFrame, text: str, as_of: str, limit: int | None = 10) -> DataFrame:
+    """Contexts by BM25 times decay times quality, best first; all of them without a limit."""
     scored = bm25(contexts, text).join(contexts.select("id", "sn_ratio", "modified_at"), "id")
     score = F.round(F.col("bm25") * decay(F.col("modified_at"), as_of) * (0.5 + 0.5 * F.col("sn_ratio")), 4)
-    return scored.select("id", score.alias("score")).orderBy(F.desc("score"), "id").limit(limit)
+    scored = scored.select("id", score.alias("score"))
+    return scored if limit is None else scored.orderBy(F.desc("score"), "id").limit(limit)
 
 
 def cosine(a: Column, b: Column) -> Column:

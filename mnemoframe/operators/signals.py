@@ -62,8 +62,14 @@ def correlated(signals: DataFrame) -> DataFrame:
 
 
 def percentiles(samples: DataFrame, key: str, value: str, order: str, last: int = 1000) -> DataFrame:
-    """Nearest-rank p50, p95 and p99 of each key's last ``last`` samples (index ``round(p * (n - 1))``)."""
-    recent = samples.withColumn("back", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))).where(F.col("back") <= last)
+    """Nearest-rank p50, p95 and p99 of each key's last ``last`` samples (index ``round(p * (n - 1))``).
+
+    Parts of a key give their own last samples first, so a hot key's rows are
+    never ordered in one task.
+    """
+    parts = samples.withColumn("part", F.pmod(F.xxhash64(order), F.lit(64)))
+    late = parts.withColumn("back", F.row_number().over(Window.partitionBy(key, "part").orderBy(F.desc(order)))).where(F.col("back") <= last)
+    recent = late.withColumn("back", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))).where(F.col("back") <= last)
     held = recent.groupBy(key).agg(F.sort_array(F.collect_list(value)).alias("v"))
     at = lambda p: F.element_at("v", (F.round((F.size("v") - 1) * F.lit(p)) + 1).cast("int"))
     return held.select(key, at(0.5).alias("p50"), at(0.95).alias("p95"), at(0.99).alias("p99"))

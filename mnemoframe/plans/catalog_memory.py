@@ -56,9 +56,10 @@ query("CO01_acl", "contexts", sql="""WITH grants AS (SELECT id AS uri, concat('g
         c.sparkSession.createDataFrame([("user-1", "group-2"), ("user-1", "group-3"), ("user-2", "group-4")], "principal string, `group` string"), "user-1", "read",
     )
 )
-query("CO02_pii", "documents", sql=r"SELECT doc_id, len(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{{2,}}')) AS email FROM {documents} WHERE regexp_matches(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{{2,}}')".replace("{{", "{").replace("}}", "}"))(
-    lambda d: C.scan_pii(d).where("kind = 'email'").groupBy("doc_id").agg(F.count("*").alias("email"))
-)
+_KINDS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "ipv4": r"\b(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3,3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\b", "url": r"https?://[^\s<>\"'']+"}
+query("CO02_pii", "documents", sql=" UNION ALL ".join(f"SELECT doc_id, '{kind}' AS kind, n FROM (SELECT doc_id, len(regexp_extract_all(text, '{pattern}')) AS n FROM {{documents}}) WHERE n > 0" for kind, pattern in _KINDS.items())
+    # The oracle's engine has no lookaheads, so invalid areas are taken out by plain tests.
+    + r""" UNION ALL SELECT doc_id, 'ssn', count(*) FROM (SELECT doc_id, unnest(regexp_extract_all(text, '\b\d{3,3}-\d{2,2}-\d{4,4}\b')) AS x FROM {documents}) WHERE NOT (x[1:3] IN ('000', '666') OR x[1:1] = '9' OR x[5:6] = '00' OR x[8:11] = '0000') GROUP BY doc_id""")(C.pii_counts)
 query("CO02_pii_spans", "documents")(C.scan_pii)
 query("CO03_luhn", "orders", sql="""WITH d AS (SELECT o_orderkey, CAST(o_orderkey * 7919 + 4000000000000 AS VARCHAR) AS digits FROM {orders}), n AS (SELECT o_orderkey, unnest(range(1, length(digits) + 1)) AS i, length(digits) AS m, digits FROM d),
     v AS (SELECT o_orderkey, i, m, CAST(substr(digits, CAST(m - i + 1 AS INT), 1) AS INT) AS x FROM n) SELECT o_orderkey, sum(CASE WHEN i % 2 = 1 THEN x WHEN x > 4 THEN x * 2 - 9 ELSE x * 2 END) % 10 = 0 AS valid FROM v GROUP BY o_orderkey""")(

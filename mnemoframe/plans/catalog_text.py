@@ -26,13 +26,13 @@ query("RT06_vector_top_k", "embeddings", sql=f"SELECT e.vec_id, round({_COS}, 6)
 )
 query("RT07_hybrid", "contexts", "embeddings", sql=f"""{_BM25}, t AS (SELECT id, {_SCORE} AS score FROM hits), v AS (SELECT concat('ctx-', e.vec_id) AS id, round({_COS}, 6) AS similarity FROM {{embeddings}} e, {{embeddings}} t WHERE t.vec_id = 7 ORDER BY 2 DESC, e.vec_id LIMIT 30)
     SELECT coalesce(t.id, v.id) AS id, round(0.6 * coalesce(score, 0) / (SELECT max(score) FROM t) + 0.4 * coalesce(similarity, 0), 6) AS score FROM t FULL JOIN v ON t.id = v.id""")(
-    lambda c, e: R.blend(R.search(c, "hation rerean", AS_OF, 1_000_000), R.nearest(e, e.where("vec_id = 7"), -1.0, 30).select(F.concat(F.lit("ctx-"), "vec_id").alias("id"), "similarity"))
+    lambda c, e: R.blend(R.search(c, "hation rerean", AS_OF, None), R.nearest(e, e.where("vec_id = 7"), -1.0, 30).select(F.concat(F.lit("ctx-"), "vec_id").alias("id"), "similarity"))
 )
 query("RT12_rank_fusion", "contexts", sql="""WITH a AS (SELECT id, row_number() OVER (ORDER BY sn_ratio DESC, id) AS r FROM {contexts} ORDER BY sn_ratio DESC, id LIMIT 50), b AS (SELECT id, row_number() OVER (ORDER BY length(content) DESC, id) AS r FROM {contexts} ORDER BY length(content) DESC, id LIMIT 50)
     SELECT id, round(sum(1.0 / (60 + r)), 6) AS score FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY id""")(
     lambda c: R.fuse_ranks(c.select("id", F.col("sn_ratio").alias("score")).orderBy(F.desc("score"), "id").limit(50), c.select("id", F.length("content").cast("double").alias("score")).orderBy(F.desc("score"), "id").limit(50))
 )
-query("RT10_budget", "contexts")(lambda c: R.within_budget(c.where("genre = 'es'").select("id", "content", F.col("sn_ratio").alias("score")).orderBy(F.desc("score"), "id").limit(20), 3000))
+query("RT10_budget", "contexts")(lambda c: R.within_budget(c.select("id", "content", F.col("sn_ratio").alias("score")).orderBy(F.desc("score"), "id").limit(20), 3000))
 query("RT11_truncate", "contexts", sql="SELECT id, CASE WHEN length(content) > 400 THEN concat(substr(content, 1, 400), '…') ELSE content END AS text FROM {contexts}")(lambda c: c.select("id", R.truncated(F.col("content"), 100).alias("text")))
 query("RT15_snippet", "documents", sql="""SELECT doc_id, nullif(trim(substr(text, greatest(coalesce(nullif(strpos(lower(text), 'rerean'), 0), nullif(strpos(lower(text), 'hation'), 0), 1) - 50, 1), 200), ' '), '') AS snippet FROM {documents}""")(
     lambda d: d.select("doc_id", R.snippet(F.col("text"), "rerean hation").alias("snippet"))
@@ -42,7 +42,7 @@ query("RT16_wiki_first", "part", sql="""WITH p AS (SELECT p_partkey, p_name, reg
         + CASE WHEN lower(p_name) = 'red widget' THEN 40 WHEN contains(lower(p_name), 'red widget') THEN 10 ELSE 0 END AS score FROM p) SELECT p_partkey, score FROM s WHERE score > 0""")(
     lambda p: p.select("p_partkey", R.page_score(slug(F.col("p_name")), F.col("p_name"), "Red Widget").alias("score")).where("score > 0")
 )
-query("RT18_slugify", "documents", sql="SELECT doc_id, regexp_replace(regexp_replace(lower(substr(text, 1, 60)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM {documents}")(lambda d: d.select("doc_id", slug(F.substring("text", 1, 60)).alias("slug")))
+query("RT18_slugify", "documents", sql="SELECT doc_id, regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM {documents}")(lambda d: d.select("doc_id", slug(F.col("text")).alias("slug")))
 
 
 def _case(rules, default, text="text"):
