@@ -173,13 +173,15 @@ def impact_scores(edges: DataFrame, seeds: DataFrame, depth: int = 3) -> DataFra
 def ancestors(parents: DataFrame) -> DataFrame:
     """``(id, ancestor, steps)`` along ``(id, parent_id)``, doubling the path each round; a missing parent ends a chain.
 
-    Raises where chains don't end within 2**MOST_ROUNDS steps, as on a cycle.
+    Raises on a cycle of parents, as soon as one has been walked round.
     """
     base = checkpointed(parents.where("parent_id IS NOT NULL").join(parents.select(F.col("id").alias("parent_id")), "parent_id", "left_semi").select("id", F.col("parent_id").alias("ancestor"), F.lit(1).alias("steps")))
     found, jump = base, base
     for _ in range(MOST_ROUNDS):
         if jump.isEmpty():
             return found
+        if not found.where("id = ancestor").isEmpty():
+            break
         # jump holds the steps of exactly 2**k, found all of up to 2**k; those of 2**k + 1 to 2**(k + 1) follow.
         onward = jump.select(F.col("id").alias("ancestor"), F.col("ancestor").alias("next"), F.col("steps").alias("more"))
         further = found.join(onward, "ancestor").select("id", F.col("next").alias("ancestor"), (F.col("steps") + F.col("more")).alias("steps"))

@@ -69,6 +69,8 @@ def test_components_of_paths_stars_and_loops(spark):
 
 def test_cycles_of_parents_raise(spark):
     assert rows(graph.ancestors(spark.createDataFrame([(1, None), (2, 1), (3, 2), (9, 8)], "id long, parent_id long"))) == [(2, 1, 1), (3, 1, 2), (3, 2, 1)]
+    with pytest.raises(RuntimeError, match="cycle"):
+        graph.ancestors(spark.createDataFrame([(1, 3), (2, 1), (3, 2), (4, None)], "id long, parent_id long"))
 
 
 @pytest.mark.parametrize("least", [1, 2, 3])
