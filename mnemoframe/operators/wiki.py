@@ -6,6 +6,10 @@ from pyspark.sql import functions as F
 # Verbs that a page may use, and its size limit in bytes.
 VERBS = ["cite", "include", "expand", "search", "table", "trace", "recent"]
 MOST_BYTES = 50_000
+#: Bytes before a citation in which its claims stand (fixed value, counted in characters here).
+CLAIM_REACH = 200
+_CITE = r"\{\{\s*cite\s*:\s*([^}]+?)\s*\}\}"
+_ENTITY, _VALUE = r"\*\*([^*\n]+)\*\*", r"(\$[\d,]+(?:\.\d+)?[KMB]?|[\d,]+(?:\.\d+)?%|\d{4}-\d{2}-\d{2})"
 _DIRECTIVE, _LINK = r"\{\{\s*([a-z_]+)\s*:\s*([^}]*?)\s*\}\}", r"\[\[([^\]]+)\]\]"
 
 
@@ -34,3 +38,49 @@ def problems(pages: DataFrame, sources: DataFrame, id_column: str = "doc_id", bo
     size = F.octet_length(F.coalesce(F.col(body), F.lit("")))
     sized = pages.where((size == 0) | (size > MOST_BYTES)).select(id_column, F.when(size == 0, "empty").otherwise("too_large").alias("problem"), size.cast("string").alias("detail"))
     return unknown.unionByName(broken).unionByName(sized)
+
+
+def claims(pages: DataFrame, id_column: str = "doc_id", body: str = "body") -> DataFrame:
+    """``(doc_id, place, entity, attr, value, uri)``: bold entities with prices, shares and dates of the same line, shortly before a citation.
+
+    ``place`` counts a page's citations from 1; ``attr`` is ``date`` or ``numeric``.
+    """
+    cites, uris = _all(F.col(body), _CITE, 0), _all(F.col(body), _CITE, 1)
+    parts = F.arrays_zip(F.slice(F.split(body, _CITE), F.lit(1), F.size(cites)).alias("before"), cites.alias("cite"), uris.alias("uri"))
+    # One pass over a page's citations carries the text's last characters along.
+    start = F.struct(F.lit("").alias("tail"), F.array().cast("array<struct<place:int,passage:string,uri:string>>").alias("out"))
+
+    def step(state: Column, part: Column) -> Column:
+        passage = F.right(F.concat(state["tail"], part["before"]), F.lit(CLAIM_REACH))
+        found = F.struct((F.size(state["out"]) + 1).alias("place"), passage.alias("passage"), part["uri"].alias("uri"))
+        return F.struct(F.right(F.concat(passage, part["cite"]), F.lit(CLAIM_REACH)).alias("tail"), F.concat(state["out"], F.array(found)).alias("out"))
+
+    passages = pages.select(id_column, F.explode(F.aggregate(parts, start, step, lambda s: s["out"])).alias("x"))
+    lines = passages.select(id_column, "x.place", "x.uri", F.explode(F.split("x.passage", "\n")).alias("line"))
+    pairs = lines.select(id_column, "place", "uri", "line", F.explode(_all(F.col("line"), _ENTITY, 1)).alias("entity"))
+    pairs = pairs.select(id_column, "place", "uri", F.lower("entity").alias("entity"), F.explode(_all(F.col("line"), _VALUE, 1)).alias("value"))
+    attr = F.when(F.col("value").rlike(r"\d{4}-\d{2}-\d{2}"), "date").otherwise("numeric")
+    return pairs.select(id_column, "place", "entity", attr.alias("attr"), "value", "uri")
+
+
+def _clashes(pages: DataFrame) -> DataFrame:
+    plain = F.lower(F.regexp_replace("value", ",", ""))
+    found = claims(pages).groupBy("doc_id", "entity", "attr").agg(F.countDistinct(plain).alias("n"), F.max(F.struct("place", "value")).getField("value").alias("value"))
+    return found.where("n >= 2")
+
+
+def contradictions(pages: DataFrame) -> DataFrame:
+    """``(doc_id, entity, attr, n)``: entities of a page with two or more values of one kind, commas and case aside."""
+    return _clashes(pages).select("doc_id", "entity", "attr", "n")
+
+
+def resolved(pages: DataFrame) -> DataFrame:
+    """The value that stays of each contradiction where newer citations win: that of the last one."""
+    return _clashes(pages).select("doc_id", "entity", "attr", "value")
+
+
+def cited_claims(pages: DataFrame, id_column: str = "doc_id", body: str = "body") -> DataFrame:
+    """``(doc_id, claim, uri)``: each line with citations, without them, once for each source."""
+    lines = pages.select(id_column, F.explode(F.split(body, "\n")).alias("line"))
+    claim = F.trim(F.regexp_replace("line", _CITE, ""))
+    return lines.select(id_column, claim.alias("claim"), F.explode(_all(F.col("line"), _CITE, 1)).alias("uri"))

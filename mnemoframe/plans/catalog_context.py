@@ -6,6 +6,7 @@ from mnemoframe.operators import assembly as A
 from mnemoframe.operators import envelopes as E
 from mnemoframe.operators import graph as G
 from mnemoframe.operators import store as S
+from mnemoframe.operators import wiki as W
 from mnemoframe.plans.catalog import query
 from mnemoframe.sources.views import AS_OF
 
@@ -87,7 +88,7 @@ query("CO07_erasure_preview", "contexts", "chunks", "mentions", "holds", sql="""
         S.delete(c.where("node = 'src8'").select("id"), h.where("released_at IS NULL").select(F.col("context_id").alias("id")), "id"),
     )
 )
-query("CO08_subject_export", "customer", "orders", "documents", sql="""SELECT 'identity' AS section, concat('customer/', c_custkey) AS item FROM {customer} WHERE c_custkey = 7 UNION ALL SELECT 'orders', concat('order/', o_orderkey) FROM {orders} WHERE o_custkey = 7
+query("CO08_export_sections", "customer", "orders", "documents", sql="""SELECT 'identity' AS section, concat('customer/', c_custkey) AS item FROM {customer} WHERE c_custkey = 7 UNION ALL SELECT 'orders', concat('order/', o_orderkey) FROM {orders} WHERE o_custkey = 7
     UNION ALL SELECT 'mentions', concat('doc/', doc_id) FROM (SELECT doc_id FROM {documents} WHERE contains(lower(text), 'rerean') ORDER BY doc_id LIMIT 100)""")(
     lambda c, o, d: (
         c.where("c_custkey = 7").select(F.lit("identity").alias("section"), F.concat(F.lit("customer/"), "c_custkey").alias("item"))
@@ -213,3 +214,14 @@ query("SX09_category", "seeded", sql="""SELECT doc_id, CASE WHEN contains(lower(
     FROM (SELECT *, CASE doc_id % 5 WHEN 0 THEN 'Schedule-a' WHEN 1 THEN 'the-owner' WHEN 2 THEN 'spec-1' ELSE 'x' END AS name, lower(CASE doc_id % 5 WHEN 0 THEN 'Schedule-a' WHEN 1 THEN 'the-owner' WHEN 2 THEN 'spec-1' ELSE 'x' END) AS slug FROM {seeded})""")(
     lambda s: s.select("doc_id", E.category(F.when(F.col("doc_id") % 5 == 0, "Schedule-a").when(F.col("doc_id") % 5 == 1, "the-owner").when(F.col("doc_id") % 5 == 2, "spec-1").otherwise("x"), F.col("text")).alias("category"))
 )
+
+_CITE = "'\\x7b\\x7b\\s*cite\\s*:\\s*[^\\x7d]+?\\s*\\x7d\\x7d'"
+_CLAIMS = f"""WITH c AS (SELECT doc_id, regexp_extract_all(body, {_CITE}) AS cites, regexp_extract_all(body, '\\x7b\\x7b\\s*cite\\s*:\\s*([^\\x7d]+?)\\s*\\x7d\\x7d', 1) AS uris, regexp_split_to_array(body, {_CITE}) AS segs FROM {{claims}}),
+    p AS (SELECT doc_id, k, uris[k] AS uri, right(array_to_string(list_transform(range(1, k + 1), lambda i: concat(segs[i], CASE WHEN i < k THEN cites[i] ELSE '' END)), ''), 200) AS passage FROM (SELECT *, unnest(range(1, len(cites) + 1)) AS k FROM c)),
+    l AS (SELECT doc_id, k, uri, unnest(string_split(passage, chr(10))) AS line FROM p), e AS (SELECT *, unnest(regexp_extract_all(line, '[*][*]([^*]+)[*][*]', 1)) AS entity FROM l),
+    v AS (SELECT DISTINCT doc_id, lower(entity) AS entity, value, uri, k, CASE WHEN regexp_matches(value, '[0-9]+-[0-9]+-[0-9]+') THEN 'date' ELSE 'numeric' END AS attr FROM (SELECT *, unnest(regexp_extract_all(line, '[$][0-9,]+(?:[.][0-9]+)?[KMB]?|[0-9,]+(?:[.][0-9]+)?%|[0-9]+-[0-9]+-[0-9]+')) AS value FROM e))"""
+query("WK07_contradictions", "claims", sql=f"{_CLAIMS} SELECT doc_id, entity, attr, count(DISTINCT lower(replace(value, ',', ''))) AS n FROM v GROUP BY 1, 2, 3 HAVING count(DISTINCT lower(replace(value, ',', ''))) >= 2")(W.contradictions)
+query("WK08_resolved", "claims", sql=f"""{_CLAIMS} SELECT doc_id, entity, attr, max(struct_pack(k := k, value := value)).value AS value FROM v GROUP BY 1, 2, 3 HAVING count(DISTINCT lower(replace(value, ',', ''))) >= 2""")(W.resolved)
+query("ME25_cited_claims", "claims", sql=f"""WITH l AS (SELECT doc_id, unnest(string_split(body, chr(10))) AS line FROM {{claims}}) SELECT doc_id, trim(regexp_replace(line, {_CITE}, '', 'g')) AS claim, unnest(regexp_extract_all(line, '\\x7b\\x7b\\s*cite\\s*:\\s*([^\\x7d]+?)\\s*\\x7d\\x7d', 1)) AS uri FROM l""")(
+    lambda w: W.cited_claims(w)
+)

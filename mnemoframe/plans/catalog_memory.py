@@ -82,9 +82,9 @@ query("HD02_stale", "contexts", sql=f"SELECT id, modified_at FROM {{contexts}} W
 query("HD03_missing_references", "routed", sql="SELECT id, string_agg(DISTINCT destination, ',' ORDER BY destination) AS missing FROM {routed} WHERE destination <> node AND destination NOT IN ('src1', 'src2') GROUP BY id")(
     lambda r: H.missing_references(r, r.where("destination IN ('src1', 'src2')").select(F.col("id").alias("source_id"), F.col("destination").alias("target_id")))
 )
-query("HD05_case_collisions", "documents", sql="""WITH w AS (SELECT DISTINCT split_part(text, ' ', 1) AS name FROM {documents} UNION SELECT DISTINCT split_part(text, ' ', 2) FROM {documents})
+query("HD05_case_collisions", "documents", sql="""WITH w AS (SELECT DISTINCT unnest(string_split(text, ' ')) AS name FROM {documents})
     SELECT lower(name) AS folded, count(DISTINCT name) AS n, string_agg(DISTINCT name, ',' ORDER BY name) AS names FROM w GROUP BY 1 HAVING count(DISTINCT name) > 1""")(
-    lambda d: H.case_collisions(d.select(F.explode(F.array(F.split_part("text", F.lit(" "), F.lit(1)), F.split_part("text", F.lit(" "), F.lit(2)))).alias("name")))
+    lambda d: H.case_collisions(d.select(F.explode(F.split("text", " ")).alias("name")).distinct())
 )
 query("HD06_imbalance", "contexts", sql="WITH n AS (SELECT node, count(*) AS n FROM {contexts} GROUP BY node) SELECT node, n FROM n WHERE n > (SELECT avg(n) FROM n) * 0.9")(lambda c: H.imbalance(c, 0.9))
 query("HD07_duplicate_titles", "contexts", sql="SELECT node, title, count(*) AS n FROM {contexts} GROUP BY node, title HAVING count(*) > 1")(H.duplicate_titles)
