@@ -90,13 +90,14 @@ class Searcher:
         """``(item index, distance, end)`` of each place of a normalised text that holds an item within its budget."""
         if not self.items or not text:
             return
-        tried: dict[int, list[int]] = {}
+        # Starts that were tried, by cells of a budget's width: a cell holds one, so a start is held against three.
+        tried: dict[int, dict[int, int]] = {}
         for last, found in self.automaton.iter(text):
             for i, offset, size in found:
                 _, item, budget = self.items[i]
                 start = last + 1 - size - offset
-                seen = tried.setdefault(i, [])
-                if any(abs(start - x) <= budget for x in reversed(seen)):
+                seen, cell = tried.setdefault(i, {}), start // (budget + 1)
+                if any(abs(start - seen[c]) <= budget for c in (cell - 1, cell, cell + 1) if c in seen):
                     continue
                 # The item may begin or end up to a budget away, and a hit nearby in the same stretch is the same place.
                 low = max(0, start - 2 * budget)
@@ -104,7 +105,7 @@ class Searcher:
                 if budget == 0 and not _on_word_borders(text, start, len(item)):
                     continue
                 distance, end = distance_within(item, stretch)
-                seen.append(start)
+                seen[cell] = start
                 if distance <= budget:
                     yield i, distance, low + end
 
@@ -164,6 +165,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_
     case with single spaces; ``error_rate`` of an item's characters may
     differ.  An item too short for any edit must stand on word borders.
 
+    The benchmark is a table that fits on the driver: its items go into the
+    tasks, and documents are read once for each ``block_chars`` of them.
+
     Null and empty texts hold nothing; null, empty or unnamed items are left
     out.  Items of equal text are each reported.  Repeated rows are each
     reported; other columns are not read.  Without documents or items the
