@@ -77,6 +77,13 @@ def tiers(hits: DataFrame, contexts: DataFrame) -> DataFrame:
     return named(inventory(contexts).withColumn("id", F.lit(None).cast("string")), "l0").unionByName(named(l1, "l1")).unionByName(named(l2, "l2"))
 
 
+def top_permitted(hits: DataFrame, grants: DataFrame, principals: list[str], limit: int) -> DataFrame:
+    """The best hits that a caller may read: those without a grant, and those granted to one of their names."""
+    restricted = hits.join(grants.select("id").distinct(), "id", "left_anti")
+    own = hits.join(grants.where(F.col("principal").isin(principals)).select("id").distinct(), "id", "left_semi")
+    return restricted.unionByName(own).orderBy(F.desc("score"), "id").limit(limit)
+
+
 def grep(hits: DataFrame, chunks: DataFrame, query: str, limit: int = 10, intent: str | None = None) -> DataFrame:
     """``(chunk_id, score, snippet)``: chunks of the hits, at most CHUNKS_OF_A_CONTEXT each, weighted by their scale."""
     found = chunks.join(F.broadcast(hits.select(F.col("id").alias("context_id"), "score")), "context_id")

@@ -75,6 +75,15 @@ def json_keys(docs: DataFrame, text: str) -> DataFrame:
     return keys.select("id", "key", (F.expr("locate(concat('\"', key, '\"'), t)") - 1).alias("offset"))
 
 
+def memory_entries(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``(doc_id, id, category, stamp, content)`` of the entries ``## [category] stamp`` of a memory file; the id is the head of a hash of the rest."""
+    head = r"\A## \[([^\]]+)\][ \t]+([^\n]+)"
+    parts = docs.select("doc_id", F.explode(F.split(text, r"(?m)^(?=## \[)")).alias("part")).where(F.col("part").rlike(head))
+    content = F.trim(F.regexp_replace("part", head, ""), F.lit(" \t\r\n"))
+    found = parts.select("doc_id", F.regexp_extract("part", head, 1).alias("category"), F.regexp_extract("part", head, 2).alias("stamp"), content.alias("content"))
+    return found.select("doc_id", F.substring(F.sha2(F.concat_ws(":", "category", "stamp", "content"), 256), 1, 16).alias("id"), "category", "stamp", "content")
+
+
 def frontmatter(docs: DataFrame, text: str = "text") -> DataFrame:
     """``(doc_id, name, value)`` of the lines ``name: value`` between a first line ``---`` and the next one."""
     block = F.regexp_extract(text, r"(?s)\A---\n(.*?)\n---(?:\n|\z)", 1)

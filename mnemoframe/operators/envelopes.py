@@ -10,14 +10,15 @@ TYPES = ["direct", "inform", "commit", "decide", "express"]
 LARGE_DATA_BYTES, LEAST_RATIO, MANY_EXTENSIONS, TOO_MANY_EXTENSIONS, OLD_SECONDS = 100_000, 0.3, 20, 50, 86_400
 
 
-def _unresolved() -> Column:
+def unresolved() -> Column:
+    """How many dimensions of a signal have no value."""
     return sum((F.col(d).isNull().cast("int") for d in DIMENSIONS), F.lit(0))
 
 
 def failures(signals: DataFrame, as_of: str, inferred: Column) -> DataFrame:
     """``(id, failure)``: every failure mode of every signal; ``inferred`` is the genre that a signal's type suggests."""
     age = F.unix_timestamp(F.lit(as_of).cast("timestamp")) - F.unix_timestamp("time")
-    missing = _unresolved()
+    missing = unresolved()
     modes = {
         "routing_failure": F.col("source").isNull(),
         "bandwidth_overload": F.octet_length("data") > LARGE_DATA_BYTES,
@@ -46,7 +47,7 @@ def constraints(signals: DataFrame, most_bytes: int) -> DataFrame:
     return signals.join(answered, "id", "left").select(
         "id",
         (F.coalesce(F.octet_length("data"), F.lit(0)) <= most_bytes).alias("shannon"),
-        (_unresolved() == 0).alias("ashby"),
+        (unresolved() == 0).alias("ashby"),
         (typed & ~(F.col("parent_id").isNotNull() & F.col("correlation_id").isNull())).alias("beer"),
         (F.col("parent_id").isNotNull() | F.coalesce("answered", F.lit(False))).alias("wiener"),
     )

@@ -84,3 +84,35 @@ def cited_claims(pages: DataFrame, id_column: str = "doc_id", body: str = "body"
     lines = pages.select(id_column, F.explode(F.split(body, "\n")).alias("line"))
     claim = F.trim(F.regexp_replace("line", _CITE, ""))
     return lines.select(id_column, claim.alias("claim"), F.explode(_all(F.col("line"), _CITE, 1)).alias("uri"))
+
+
+#: How each format marks the n-th citation, wraps a directive that isn't resolved, and lists the sources (fixed values).
+FORMATS = {
+    "plain": (" [{}]", "⟨", "⟩", "\n\nSources:\n", "[{}] "),
+    "markdown": (" [^{}]", "`", "`", "\n\n---\n\n", "[^{}]: "),
+    "claude": ("", "", "", "\n\n", ""),
+}
+
+
+def rendered(pages: DataFrame, format: str = "markdown", id_column: str = "doc_id", body: str = "body") -> DataFrame:
+    """``(doc_id, text)``: pages with numbered citations and a list of their sources; other directives stay as marked text."""
+    mark, opened, closed, head, label = FORMATS[format]
+    raw, verbs, arguments = _all(F.col(body), _DIRECTIVE, 0), _all(F.col(body), _DIRECTIVE, 1), _all(F.col(body), _DIRECTIVE, 2)
+    segments = F.split(body, _DIRECTIVE)
+    parts = F.arrays_zip(F.slice(segments, F.lit(1), F.size(raw)).alias("before"), raw.alias("raw"), verbs.alias("verb"), arguments.alias("argument"))
+    numbered = lambda pattern, n: F.concat(*(x for k, piece in enumerate(pattern.split("{}")) for x in ([n.cast("string")] if k else []) + [F.lit(piece)]))
+    start = F.struct(F.lit("").alias("text"), F.lit("").alias("sources"), F.lit(0).alias("n"))
+
+    def step(state: Column, part: Column) -> Column:
+        cite = part["verb"] == "cite"
+        n = state["n"] + 1
+        listed = F.concat(F.lit('<document index="'), n.cast("string"), F.lit('" source="'), part["argument"], F.lit('"></document>')) if format == "claude" else F.concat(numbered(label, n), part["argument"])
+        text = F.concat(state["text"], part["before"], F.when(cite, numbered(mark, n)).otherwise(F.concat(F.lit(opened), part["raw"], F.lit(closed))))
+        sources = F.when(cite, F.concat(state["sources"], F.when(state["n"] > 0, F.lit("\n")).otherwise(F.lit("")), listed)).otherwise(state["sources"])
+        return F.struct(text.alias("text"), sources.alias("sources"), F.when(cite, n).otherwise(state["n"]).alias("n"))
+
+    done = F.aggregate(parts, start, step)
+    text = F.concat(F.col("d.text"), F.element_at(segments, -1), F.when(F.col("d.n") > 0, F.concat(F.lit(head), F.col("d.sources"))).otherwise(F.lit("")))
+    if format == "claude":
+        text = F.concat(F.lit("<context>\n"), text, F.lit("\n</context>"))
+    return pages.withColumn("d", done).select(id_column, text.alias("text"))

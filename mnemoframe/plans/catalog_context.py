@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from mnemoframe.operators import assembly as A
+from mnemoframe.operators import decompose as D
 from mnemoframe.operators import envelopes as E
 from mnemoframe.operators import graph as G
 from mnemoframe.operators import store as S
@@ -215,6 +216,16 @@ query("SX09_category", "seeded", sql="""SELECT doc_id, CASE WHEN contains(lower(
     lambda s: s.select("doc_id", E.category(F.when(F.col("doc_id") % 5 == 0, "Schedule-a").when(F.col("doc_id") % 5 == 1, "the-owner").when(F.col("doc_id") % 5 == 2, "spec-1").otherwise("x"), F.col("text")).alias("category"))
 )
 
+_DIR = "'\\x7b\\x7b\\s*([a-z_]+)\\s*:\\s*([^\\x7d]*?)\\s*\\x7d\\x7d'"
+_PARTS = f"""WITH d AS (SELECT doc_id, body, regexp_extract_all(body, {_DIR}) AS raws, regexp_extract_all(body, {_DIR}, 1) AS verbs, regexp_extract_all(body, {_DIR}, 2) AS args, regexp_split_to_array(body, {_DIR}) AS segs FROM {{claims}}),
+    n AS (SELECT *, list_transform(range(1, len(raws) + 1), lambda i: len(list_filter(verbs[1:i], lambda v: v = 'cite'))) AS ns FROM d)"""
+query("WK04_render_markdown", "claims", sql=f"""{_PARTS} SELECT doc_id, concat(array_to_string(list_transform(range(1, len(raws) + 1), lambda i: concat(segs[i], CASE WHEN verbs[i] = 'cite' THEN concat(' [^', ns[i], ']') ELSE concat('`', raws[i], '`') END)), ''), segs[len(segs)],
+    chr(10), chr(10), '---', chr(10), chr(10), array_to_string(list_transform(range(1, len(raws) + 1), lambda i: concat('[^', ns[i], ']: ', args[i])), chr(10))) AS text FROM n""")(W.rendered)
+query("WK04_render_documents", "wiki", sql=f"""{_PARTS.replace('claims', 'wiki')} SELECT doc_id, concat('<context>', chr(10), array_to_string(list_transform(range(1, len(raws) + 1), lambda i: concat(segs[i], CASE WHEN verbs[i] = 'cite' THEN '' ELSE raws[i] END)), ''), segs[len(segs)],
+    CASE WHEN ns[-1] > 0 THEN concat(chr(10), chr(10), array_to_string(list_transform(list_filter(range(1, len(raws) + 1), lambda i: verbs[i] = 'cite'), lambda i: concat('<document index="', ns[i], '" source="', args[i], '"></document>')), chr(10))) ELSE '' END, chr(10), '</context>') AS text FROM n""")(
+    lambda w: W.rendered(w, "claude")
+)
+
 _CITE = "'\\x7b\\x7b\\s*cite\\s*:\\s*[^\\x7d]+?\\s*\\x7d\\x7d'"
 _CLAIMS = f"""WITH c AS (SELECT doc_id, regexp_extract_all(body, {_CITE}) AS cites, regexp_extract_all(body, '\\x7b\\x7b\\s*cite\\s*:\\s*([^\\x7d]+?)\\s*\\x7d\\x7d', 1) AS uris, regexp_split_to_array(body, {_CITE}) AS segs FROM {{claims}}),
     p AS (SELECT doc_id, k, uris[k] AS uri, right(array_to_string(list_transform(range(1, k + 1), lambda i: concat(segs[i], CASE WHEN i < k THEN cites[i] ELSE '' END)), ''), 200) AS passage FROM (SELECT *, unnest(range(1, len(cites) + 1)) AS k FROM c)),
@@ -225,3 +236,23 @@ query("WK08_resolved", "claims", sql=f"""{_CLAIMS} SELECT doc_id, entity, attr,
 query("ME25_cited_claims", "claims", sql=f"""WITH l AS (SELECT doc_id, unnest(string_split(body, chr(10))) AS line FROM {{claims}}) SELECT doc_id, trim(regexp_replace(line, {_CITE}, '', 'g')) AS claim, unnest(regexp_extract_all(line, '\\x7b\\x7b\\s*cite\\s*:\\s*([^\\x7d]+?)\\s*\\x7d\\x7d', 1)) AS uri FROM l""")(
     lambda w: W.cited_claims(w)
 )
+
+query("SC34_memory_file", "journals", sql="""SELECT doc_id, substr(sha256(concat('decision:2024-01-0', 1 + doc_id % 9, ':Chosen ', doc_id)), 1, 16) AS id, 'decision' AS category, concat('2024-01-0', 1 + doc_id % 9) AS stamp, concat('Chosen ', doc_id) AS content FROM {documents}
+    UNION ALL SELECT doc_id, substr(sha256(concat('lesson:later:', trim(text, ' ' || chr(9) || chr(10) || chr(13)))), 1, 16), 'lesson', 'later', trim(text, ' ' || chr(9) || chr(10) || chr(13)) FROM {documents}""")(D.memory_entries)
+query("RT17_ranked_pages", "part", sql="""SELECT p_partkey, CASE WHEN starts_with(p_name, 'red') THEN 2 ELSE 1 END AS score FROM {part} WHERE contains(p_name, 'red') ORDER BY score DESC, p_partkey LIMIT 5""")(
+    lambda p: p.where("contains(p_name, 'red')").select("p_partkey", F.when(F.col("p_name").startswith("red"), 2).otherwise(1).alias("score")).orderBy(F.desc("score"), "p_partkey").limit(5)
+)
+query("RT24_permitted_hits", "contexts", "holds", sql="""SELECT id, sn_ratio AS score FROM {contexts} WHERE id NOT IN (SELECT context_id FROM {holds}) OR id IN (SELECT context_id FROM {holds} WHERE principal IN ('user/3', 'user/7')) ORDER BY score DESC, id LIMIT 25""")(
+    lambda c, h: A.top_permitted(c.select("id", F.col("sn_ratio").alias("score")), h.select(F.col("context_id").alias("id"), "principal"), ["user/3", "user/7"], 25)
+)
+query("ME17_recent_within_budget", "conversations", sql="SELECT conv_id, turn FROM (SELECT conv_id, turn, sum(length(text) // 4) OVER (PARTITION BY conv_id ORDER BY turn DESC) AS spent FROM {conversations}) WHERE spent <= 120")(
+    lambda c: c.selectExpr("conv_id", "turn", "sum(length(text) div 4) OVER (PARTITION BY conv_id ORDER BY turn DESC) AS spent").where("spent <= 120").select("conv_id", "turn")
+)
+query("PL11_confidence", "envelopes", sql=f"SELECT id, (5 - {_MISSING}) / 5.0 AS confidence FROM {{envelopes}}")(lambda e: e.select("id", ((5 - E.unresolved()) / 5.0).alias("confidence")))
+query("GR11_payload", "edges", sql="SELECT 'node' AS kind, count(DISTINCT n) AS n FROM (SELECT source_id AS n FROM {edges} UNION ALL SELECT target_id FROM {edges}) UNION ALL SELECT relation, count(*) FROM {edges} GROUP BY relation")(
+    lambda e: G.degrees(e).agg(F.count("*").alias("n")).select(F.lit("node").alias("kind"), "n").unionByName(e.groupBy(F.col("relation").alias("kind")).agg(F.count("*").alias("n")))
+)
+query("SX01_bounded_journal", "signals", sql="SELECT id FROM {signals} ORDER BY time DESC, id DESC LIMIT 100")(lambda s: s.select("id", "time").orderBy(F.desc("time"), F.desc("id")).limit(100).select("id"))
+query("WS02_active_workspaces", "nation", "customer", sql="SELECT n_name AS workspace, count(c_custkey) AS members FROM {nation} LEFT JOIN {customer} ON n_nationkey = c_nationkey WHERE n_regionkey <> 2 GROUP BY n_name")(
+    lambda n, c: n.where("n_regionkey <> 2").join(c.groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count("*").alias("members")), "n_nationkey", "left").select(F.col("n_name").alias("workspace"), F.coalesce("members", F.lit(0)).alias("members"))
+)

@@ -95,6 +95,8 @@ VIEWS = {
     "curated": """
         SELECT concat('page/', p_partkey) AS slug, p_partkey % 3 AS audience, CAST(v AS BIGINT) AS version, TIMESTAMP '2024-01-01 00:00:00' + INTERVAL '1' HOUR * (p_partkey % 40 + v) AS curated_at, concat('# Page ', p_partkey, chr(10), p_name) AS body
         FROM {part}, (SELECT 1 AS v UNION ALL SELECT 2 UNION ALL SELECT 3) versions WHERE p_partkey % 4 >= v""",
+    "journals": """
+        SELECT doc_id, concat('# Memory', chr(10), chr(10), '## [decision] 2024-01-0', 1 + doc_id % 9, chr(10), 'Chosen ', doc_id, chr(10), chr(10), '## [lesson] later', chr(10), text, chr(10)) AS text FROM {documents}""",
     "claims": """
         SELECT doc_id, concat('**Acme Widget** costs $', doc_id % 3, ',000. ', chr(123), chr(123), 'cite: doc/1', chr(125), chr(125), chr(10), '**Acme Widget** costs $', doc_id % 2, '000 and **Beta** is due 2024-01-0', 1 + doc_id % 4, ' ', chr(123), chr(123), ' cite : doc/2', chr(125), chr(125),
                ' or 2024-01-02 ', chr(123), chr(123), 'cite:doc/3 ', chr(125), chr(125), chr(10), split_part(text, chr(10), 1)) AS body
