@@ -26,6 +26,8 @@ HIDDEN = 12
 #: Documents of each language, and segments of each document, that training reads at most.
 TRAIN_DOCUMENTS, TRAIN_SEGMENTS = 400, 4
 EPOCHS, BATCH, RATE = 6, 128, 0.02
+#: Steps of training at least: few segments are gone through more often.
+LEAST_STEPS = 200
 #: Segments that are scored at once.
 _COLUMNS = 4096
 
@@ -115,11 +117,12 @@ def _softmax(logits: np.ndarray) -> np.ndarray:
     return logits / logits.sum(axis=0)
 
 
-def train(segments: np.ndarray, labels: np.ndarray, languages: list[str], epochs: int = EPOCHS, seed: int = 3) -> Network:
+def train(segments: np.ndarray, labels: np.ndarray, languages: list[str], epochs: int | None = None, seed: int = 3) -> Network:
     """Fit a network to segments (rows of SEGMENT bytes) and the index of each one's language, with Adam.
 
     Every position of a segment is to be labelled with its language.
     """
+    epochs = epochs or max(EPOCHS, -(-LEAST_STEPS // -(-len(segments) // BATCH)))
     network, rng = new_network(languages, seed=seed), np.random.default_rng(seed)
     weights = [network.inputs, network.recurrent, network.out, network.bias]
     moments = [(np.zeros_like(w), np.zeros_like(w)) for w in weights]
