@@ -19,7 +19,7 @@ def folded(text: Column) -> Column:
 
 def terms(text: Column) -> Column:
     """Search terms in order: folded runs of letters and digits."""
-    return F.filter(F.split(folded(text), "[^a-z0-9ß]+"), lambda t: t != "")
+    return F.array_remove(F.split(folded(text), "[^a-z0-9ß]+"), "")
 
 
 def trimmed(text: Column) -> Column:

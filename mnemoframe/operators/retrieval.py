@@ -5,6 +5,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from mnemoframe.functions.durable import checkpointed
 from mnemoframe.functions.text import slug, terms, token_estimate
 
 K1, B = 1.2, 0.75
@@ -12,27 +13,22 @@ HALF_LIFE_HOURS, UNDATED_DECAY = 720.0, 0.5
 BLEND, RRF_K, ITEM_OVERHEAD = 0.6, 60, 64
 
 
-def postings(docs: DataFrame, id_column: str = "id", text_column: str = "content") -> DataFrame:
-    """``(id, term, tf, size)``: a row for each distinct term of a document."""
-    split = docs.select(F.col(id_column).alias("id"), terms(F.col(text_column)).alias("terms"))
-    return split.select("id", F.size("terms").alias("size"), F.explode("terms").alias("term")).groupBy("id", "size", "term").agg(F.count("*").alias("tf"))
-
-
 def _occurrences(array: str, word: str) -> Column:
-    return F.size(F.filter(array, lambda t: t == word))
+    return F.size(array) - F.size(F.array_remove(array, word))
 
 
 def bm25(docs: DataFrame, text: str, id_column: str = "id", text_column: str = "content") -> DataFrame:
     """``(id, bm25)`` of the documents that hold every term of the query.
 
-    Only counts of the query's terms leave the scan, so no index of the whole
-    corpus is shuffled for one query.  The inverse document frequency is
-    floored at a small positive value.
+    For one query over texts without an index: texts are split once, and only
+    counts of the query's terms are written, from which corpus facts and hits
+    follow.  For many queries ``textindex`` splits texts once for all.  The
+    inverse document frequency is floored at a small positive value.
     """
     wanted = [r[0] for r in docs.sparkSession.range(1).select(F.explode(F.array_distinct(terms(F.lit(text))))).collect()]
     counted = docs.select(F.col(id_column).alias("id"), terms(F.col(text_column)).alias("terms"))
     tfs = [_occurrences("terms", w).cast("double").alias(f"tf{i}") for i, w in enumerate(wanted)]
-    counted = counted.select("id", F.size("terms").alias("size"), *tfs)
+    counted = checkpointed(counted.select("id", F.size("terms").alias("size"), *tfs))
     facts = counted.agg(F.count("*").alias("n"), F.avg("size").alias("mean"), *(F.sum((F.col(f"tf{i}") > 0).cast("int")).alias(f"df{i}") for i in range(len(wanted))))
     hits = counted
     for i in range(len(wanted)):
@@ -77,6 +73,7 @@ def nearest(vectors: DataFrame, to: DataFrame, least: float = 0.1, limit: int =
 
 def blend(text_scores: DataFrame, vector_scores: DataFrame, alpha: float = BLEND) -> DataFrame:
     """``alpha`` times the text score over its maximum plus the rest of the cosine, over the union of ids."""
+    text_scores = checkpointed(text_scores)
     largest = text_scores.agg(F.max("score").alias("most"))
     both = text_scores.join(vector_scores, "id", "full_outer").crossJoin(F.broadcast(largest))
     text_part = F.when(F.col("most") > 0, F.coalesce("score", F.lit(0.0)) / F.col("most")).otherwise(0.0)

@@ -108,6 +108,32 @@ VIEWS = {
                CASE WHEN event_id % 4 <> 0 THEN 'markdown' END AS format, CASE WHEN event_id % 12 <> 0 THEN 'default' END AS structure, value / 50.0 AS sn_ratio, props AS data, CAST(event_id % 60 AS INT) AS extensions, ts AS time,
                CASE WHEN event_id % 7 <> 0 THEN event_id - 1 END AS parent_id, CASE WHEN event_id % 3 = 0 THEN CAST(floor(event_id / 5) AS BIGINT) END AS correlation_id
         FROM {events}""",
+    "sources": """
+        SELECT doc_id, concat('src/part', doc_id % 11, '/mod', doc_id, CASE doc_id % 5 WHEN 0 THEN '.py' WHEN 1 THEN '.EX' WHEN 2 THEN '.go' WHEN 3 THEN '.odd' ELSE '' END) AS path,
+               concat('import os', chr(10), '  def run_', doc_id, '(x): é', chr(10), coalesce(text, ''), chr(10), 'public class Big.Thing', doc_id % 7, chr(123), chr(10), chr(9), 'fn  helper::new(é)', chr(10), 'private def hidden_', doc_id, chr(10), 'define x', chr(10), chr(10), 'impl end') AS text
+        FROM {documents}""",
+    "configs": """
+        SELECT c_custkey, CASE WHEN c_custkey % 10 = 0 THEN concat('name: ', c_custkey, chr(10), chr(9), 'bad: 1') ELSE concat('# customer', chr(10), 'customer:', chr(10), '  key: ', c_custkey, '  # its key', chr(10), '  segment: ', chr(39), c_mktsegment, chr(39), chr(10),
+            '  nation: ', chr(123), 'id: ', c_nationkey, ', active: true', chr(125), chr(10), 'tags: [a, "b, c", 1.5]', chr(10), 'steps:', chr(10), '  - name: one', chr(10), '    note: |', chr(10), '      two', chr(10), '        lines', chr(10), '  - ~', chr(10), 'empty:', chr(10)) END AS text
+        FROM {customer}""",
+    "dialogues": """
+        SELECT conv_id, turn, role, concat(CASE turn % 4 WHEN 0 THEN 'We decided on option ' WHEN 1 THEN 'Alice Smith prefers the plan of Bob. Beta needs option ' WHEN 2 THEN 'The Team should always ask Carol Jones! It is better to wait, Dora has seen nr ' ELSE 'hm ok. Alice and bob met in town nr ' END,
+            conv_id % 3, CASE WHEN turn % 4 = 3 THEN '? ' ELSE '. ' END, CASE WHEN turn % 2 = 0 THEN 'Acme owns it. ' ELSE '' END, text) AS text
+        FROM {conversations}""",
+    "principals": """
+        SELECT concat('user/', c_custkey) AS id, CASE c_custkey % 4 WHEN 0 THEN 'user' WHEN 1 THEN 'agent' WHEN 2 THEN 'service' END AS kind, CASE WHEN c_custkey % 5 = 0 THEN 'small' END AS bandwidth, CASE WHEN c_custkey % 7 = 0 THEN 'plain' END AS format,
+               CASE WHEN c_custkey % 3 = 0 THEN c_mktsegment END AS audience, CASE WHEN c_custkey % 11 = 0 THEN 'pitch' END AS genre
+        FROM {customer}""",
+    "packed": """
+        SELECT o_custkey % 50 AS answer_id, CASE o_custkey % 50 % 5 WHEN 0 THEN 'plain' WHEN 1 THEN 'markdown' WHEN 2 THEN 'claude' WHEN 3 THEN 'openai' ELSE 'other' END AS format, o_orderkey AS place,
+               CASE WHEN o_orderkey % 3 <> 0 THEN concat('Order ', o_orderkey) END AS title, concat('  Status "', o_orderstatus, '"', chr(10), o_orderpriority, ' ') AS content, CASE o_orderkey % 4 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE concat('order/', o_orderkey % 6) END AS uri
+        FROM {orders}""",
+    "reports": """
+        SELECT concat('sig-', doc_id) AS id, CASE WHEN doc_id % 9 <> 0 THEN concat('Report ', doc_id) END AS title, source AS node, lang AS genre, 'markdown' AS format, CASE WHEN doc_id % 6 <> 0 THEN TIMESTAMP '2024-01-01 00:00:00' + INTERVAL '1' HOUR * doc_id END AS modified_at, CAST(doc_id % 10 AS INT) AS sn_ratio,
+               CASE doc_id % 5 WHEN 0 THEN 'brief' WHEN 1 THEN 'spec' WHEN 2 THEN 'runbook' WHEN 3 THEN 'note' ELSE 'pitch' END AS target_genre, concat('Summary ', doc_id) AS summary, CASE WHEN doc_id % 4 <> 0 THEN concat('About ', doc_id) END AS description,
+               concat(CASE WHEN doc_id % 3 = 0 THEN concat('## Objective', chr(10), 'Reach ', doc_id, chr(10)) ELSE '' END, CASE WHEN doc_id % 2 = 0 THEN concat('- first ', doc_id, chr(10), '*  second', chr(10), '-not one', chr(10)) ELSE concat('1. step', chr(10), '22.  other ', chr(10)) END,
+                   coalesce(text, ''), chr(10), CASE WHEN doc_id % 7 = 0 THEN concat('## action items ', chr(10), 'Call ', doc_id, chr(10), '## Requirements', chr(10), chr(10), 'Must fit', chr(10)) ELSE '' END) AS content
+        FROM {documents}""",
 }
 #: Triples of the store with a schema for one inference rule each.
 ONTOLOGIES = {
