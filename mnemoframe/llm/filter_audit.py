@@ -16,6 +16,7 @@ import re
 from collections import Counter
 from collections.abc import Callable, Iterator
 from itertools import permutations
+from math import ceil
 
 import numpy as np
 import xxhash
@@ -31,8 +32,8 @@ DISTINCT_PERCENT, CAPITAL_PERCENT = 50, 2
 SIGNS = b"#$%&*|"
 #: Bytes of texts that a task holds to put equal ones together; then it sends what it has.
 HELD_BYTES = 32 << 20
-#: Partitions that texts are routed to for each partition that is read, so that the chains of one fit in memory.
-ROUTED = 4
+#: Bytes of texts for each partition that they are routed to, so that the chains of one fit in memory.
+ROUTED_BYTES = 32 << 20
 
 _SIGNS = re.compile(b"[" + re.escape(SIGNS) + b"]")
 _CAPITALS = bytes(range(65, 91))
@@ -118,9 +119,9 @@ def masks(docs: DataFrame, part: Column | None = None, id_column: str = "doc_id"
     each other.  A null part is "".
     """
     part = F.lit("") if part is None else F.coalesce(part.cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_column).cast("long"), part, F.col(text_column).cast("string")).rdd
-    n = max(ROUTED * rows.getNumPartitions(), 1)
-    chained = rows.mapPartitions(_marked).partitionBy(n, lambda address: address).mapPartitions(_chained)
+    rows = docs.select(F.col(id_column).cast("long").alias("id"), part.alias("part"), F.col(text_column).cast("string").alias("text"))
+    n = max(ceil((rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / ROUTED_BYTES), 1)
+    chained = rows.rdd.mapPartitions(_marked).partitionBy(n, lambda address: address).mapPartitions(_chained)
     return docs.sparkSession.createDataFrame(chained, "doc_id long, part string, mask int", verifySchema=False)
 
 
