@@ -38,6 +38,12 @@ from .packing import Encoder
 BLOCK_BYTES, BLOCK_UNITS = 32 << 20, 400_000
 #: Places where texts are cut to units: before a single space between other signs.
 _CUT = re.compile(r"(?<=\S) (?=\S)")
+#: Texts in which some spaces aren't such places.
+_LOOSE = re.compile(r"\A | \Z| \s|\s ")
+#: Longer units are left to the tokenizers' own libraries.
+LONG_UNIT = 64
+#: Words of documents whose new units are encoded together.
+TOGETHER = 100_000
 #: Rows of a block that are sent to Spark at once.
 _SENT = 20_000
 
@@ -60,19 +66,72 @@ class TokenBytes:
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         self.cut = not any(re.search(r"[^▁]▁", p) for p in pieces) and self.b.decode(self.b.encode("a  b")) == "a  b" and self.a.fast is not None
+        self.lengths_a, self.lengths_b = (np.array([len(x) for x in table], dtype=np.int64) for table in (self.bytes_a, self.bytes_b))
+        # What a token adds to the text of its group: with a comma, or with what ends its side of a group.
+        texts = [(b"%d," % i, b"%d|" % i) for i in range(len(self.bytes_a))], [(b"%d," % i, b"%d;" % i) for i in range(len(self.bytes_b))]
+        self.written = [x[k] for side in texts for k in (0, 1) for x in side]
+        self._latin = self._latin_merges(pieces)
+
+    def _latin_merges(self, pieces: list[str]):
+        """The B pieces of single-byte signs as a byte-pair vocabulary, with its ids and a pattern of what it can't encode.
+
+        Both libraries merge the adjacent pair whose piece stands first, so on
+        units of signs that are pieces themselves they give the same ids.
+        """
+        import tiktoken
+
+        single = {p for i, p in enumerate(pieces) if len(p) == 1 and not self.b.is_byte(i) and p <= "\xff"}
+        known = [(self.b.get_score(i), i, p) for i, p in enumerate(pieces) if not (self.b.is_byte(i) or self.b.is_control(i) or self.b.is_unknown(i)) and set(p) <= single | {"▁"} and " " not in p]
+        scores = [score for score, _, p in known if len(p) > 1]
+        if not self.cut or len(set(scores)) < len(scores):
+            return None
+        # Single signs are no merges, so where they stand among the ranks is of no matter.
+        order = sorted((x for x in known if len(x[2]) > 1), reverse=True)
+        ranks = {p.replace("▁", " ").encode("latin-1"): k for k, (_, _, p) in enumerate(order)}
+        ids = [i for _, i, _ in order]
+        own = {p.replace("▁", " ").encode("latin-1"): i for _, i, p in known if len(p) == 1}
+        for byte in (bytes([b]) for b in range(256)):
+            ranks[byte] = len(ids)
+            ids.append(own.get(byte, -1))
+        odd = re.compile("[^" + re.escape("".join(sorted(single - {" "}))) + "]")
+        return tiktoken.Encoding("latin", pat_str=r"(?s).+", mergeable_ranks=ranks, special_tokens={})._core_bpe, ids, odd
 
     def units(self, text: str) -> list[str]:
         """Pieces of a text whose tokens are those of the whole text; each lacks the space before it."""
-        return _CUT.split(text) if self.cut else [text]
+        if not self.cut:
+            return [text]
+        return _CUT.split(text) if _LOOSE.search(text) else text.split(" ")
+
+    def _ids_b(self, units: list[str]) -> list[list[int]]:
+        out: list = [None] * len(units)
+        rest = range(len(units))
+        if self._latin:
+            merges, ids, odd = self._latin
+            encode, rest = merges.encode_single_piece, []
+            for k, unit in enumerate(units):
+                if len(unit) > LONG_UNIT or odd.search(unit):
+                    rest.append(k)
+                else:
+                    out[k] = [ids[i] for i in encode(b" " + unit.encode("latin-1"))]
+        for k, found in zip(rest, self.b.encode([units[k] for k in rest], num_threads=1), strict=True):
+            out[k] = found
+        return out
+
+    def _ids_a(self, units: list[str]) -> list[list[int]]:
+        piece = self.a.fast._core_bpe.encode_single_piece if self.a.fast is not None else None
+        # Letters alone are one word of the pattern, so no pattern is needed to cut them.
+        return [piece(b" " + u.encode()) if piece and len(u) <= LONG_UNIT and u.isascii() and u.isalpha() else self.a(f" {u}") for u in units]
 
     def encode(self, units: list[str]) -> list[tuple[list[int], list[int]] | None]:
         """Ids of each unit on either side; None where their bytes aren't those of a space and the unit."""
-        out = []
-        for unit, ids_b in zip(units, self.b.encode(units, num_threads=1), strict=True):
-            ids_a, whole = self.a(f" {unit}"), f" {unit}".encode()
-            same = b"".join(map(self.bytes_a.__getitem__, ids_a)) == whole == b"".join(map(self.bytes_b.__getitem__, ids_b))
-            out.append((ids_a, ids_b) if same else None)
-        return out
+        every_a, every_b = self._ids_a(units), self._ids_b(units)
+        whole = "".join(f" {u}" for u in units).encode()
+        spelt = [b"".join(map(table.__getitem__, (i for ids in side for i in ids))) for table, side in ((self.bytes_a, every_a), (self.bytes_b, every_b))]
+        pairs = list(zip(every_a, every_b, strict=True))
+        if spelt[0] == whole == spelt[1]:
+            return pairs
+        same = lambda u, a, b: b"".join(map(self.bytes_a.__getitem__, a)) == f" {u}".encode() == b"".join(map(self.bytes_b.__getitem__, b))
+        return [(a, b) if same(u, a, b) else None for u, (a, b) in zip(units, pairs, strict=True)]
 
 
 _LOADED: dict[tuple[str, str], TokenBytes] = {}
@@ -91,8 +150,7 @@ class Intervals:
     def __init__(self, encoded: list[tuple[list[int], list[int]]], tokens: TokenBytes) -> None:
         self.ids_a = np.array([i for a, _ in encoded for i in a], dtype=np.int64)
         self.ids_b = np.array([i for _, b in encoded for i in b], dtype=np.int64)
-        self.ends_a = np.cumsum([len(tokens.bytes_a[i]) for i in self.ids_a], dtype=np.int64)
-        self.ends_b = np.cumsum([len(tokens.bytes_b[i]) for i in self.ids_b], dtype=np.int64)
+        self.ends_a, self.ends_b = np.cumsum(tokens.lengths_a[self.ids_a]), np.cumsum(tokens.lengths_b[self.ids_b])
         self.n_a, self.n_b = np.array([len(a) for a, _ in encoded], dtype=np.int64), np.array([len(b) for _, b in encoded], dtype=np.int64)
         self.edges = np.union1d(self.ends_a, self.ends_b)
         self.own_a, self.own_b = np.searchsorted(self.ends_a, self.edges), np.searchsorted(self.ends_b, self.edges)
@@ -100,6 +158,16 @@ class Intervals:
         unit_ends = self.ends_a[np.cumsum(self.n_a) - 1] if len(encoded) else np.zeros(0, dtype=np.int64)
         self.bounds = np.concatenate([[0], np.searchsorted(self.edges, unit_ends) + 1])
 
+    def written(self, tokens: TokenBytes) -> tuple[np.ndarray, np.ndarray]:
+        """The groups as places among ``tokens.written``, group by group and A first, and each unit's number of them."""
+        ends = self.edges[self.shared]
+        at_a, at_b = np.searchsorted(ends, self.ends_a), np.searchsorted(ends, self.ends_b)
+        last_a, last_b = ends[at_a] == self.ends_a, ends[at_b] == self.ends_b
+        size_a, size_b = len(tokens.bytes_a), len(tokens.bytes_b)
+        place = np.concatenate([self.ids_a + size_a * last_a, self.ids_b + 2 * size_a + size_b * last_b])
+        order = np.argsort(np.concatenate([2 * at_a, 2 * at_b + 1]), kind="stable")
+        return place[order].astype(np.int32), self.n_a + self.n_b
+
     def groups(self) -> Iterator[tuple[int, int, list[int], list[int]]]:
         """``(start, end, A ids, B ids)`` of each group in order."""
         ends = self.edges[self.shared]
@@ -111,57 +179,84 @@ class Intervals:
             start, a, b = end, last_a + 1, last_b + 1
 
 
+class _Grown:
+    """An array that is added to, with room for more."""
+
+    def __init__(self, kind: type, width: tuple[int, ...] = ()) -> None:
+        self.data, self.n = np.zeros((1024, *width), dtype=kind), 0
+
+    def add(self, values: np.ndarray) -> None:
+        if self.n + len(values) > len(self.data):
+            self.data = np.concatenate([self.data[: self.n], np.zeros((max(len(self.data), len(values)) + len(values), *self.data.shape[1:]), dtype=self.data.dtype)])
+        self.data[self.n : self.n + len(values)] = values
+        self.n += len(values)
+
+    def all(self) -> np.ndarray:
+        return self.data[: self.n]
+
+
 class _Block:
     """The units of a block of documents, and each document as the units that it holds."""
 
     def __init__(self, tokens: TokenBytes) -> None:
         self.tokens = tokens
         self.known: dict[str, int] = {}
-        self.texts: list[bytes] = []  # the groups of each unit, as text
-        self.figures: list[np.ndarray] = []  # rows of n_a, n_b, n_groups, n_links
-        self.codes: list[np.ndarray] = []
-        self.links: list[np.ndarray] = []
+        self.odd: set[str] = set()
+        self.figures, self.codes = _Grown(np.int64, (4,)), _Grown(np.int64)
+        self.written, self.first = _Grown(np.int32), _Grown(np.int64)
         self.docs: list[tuple] = []
-        self.bytes = 0
+        self.waiting: list[tuple[int | None, list[str]]] = []
+        self.words = self.bytes = 0
 
-    def add_units(self, units: list[str]) -> set[str]:
-        """Make units known; returns those whose bytes the tokens don't give."""
+    def _add_units(self, units: list[str]) -> None:
         encoded = self.tokens.encode(units)
-        odd = {u for u, e in zip(units, encoded, strict=True) if e is None}
+        self.odd.update(u for u, e in zip(units, encoded, strict=True) if e is None)
         found = [(u, e) for u, e in zip(units, encoded, strict=True) if e is not None]
-        if found:
-            x = Intervals([e for _, e in found], self.tokens)
-            n_links = np.diff(x.bounds)
-            n_groups = np.add.reduceat(x.shared.astype(np.int64), x.bounds[:-1])
-            self.figures.append(np.column_stack([x.n_a, x.n_b, n_groups, n_links]))
-            self.codes.append(x.ids_a[x.own_a] * len(self.tokens.bytes_b) + x.ids_b[x.own_b])
-            self.links.append(n_links)
-            groups = x.groups()
-            for (unit, _), n in zip(found, n_groups.tolist(), strict=True):
-                self.known[unit] = len(self.known)
-                self.texts.append(b";".join(b"%s|%s" % (",".join(map(str, a)).encode(), ",".join(map(str, b)).encode()) for _, _, a, b in (next(groups) for _ in range(n))))
-        return odd
+        if not found:
+            return
+        x = Intervals([e for _, e in found], self.tokens)
+        n_groups = np.add.reduceat(x.shared.astype(np.int64), x.bounds[:-1])
+        self.figures.add(np.column_stack([x.n_a, x.n_b, n_groups, np.diff(x.bounds)]))
+        self.codes.add(x.ids_a[x.own_a] * len(self.tokens.bytes_b) + x.ids_b[x.own_b])
+        written, sizes = x.written(self.tokens)
+        self.first.add(self.written.n + np.cumsum(sizes) - sizes)
+        self.written.add(written)
+        self.known.update(zip((u for u, _ in found), range(len(self.known), len(self.known) + len(found)), strict=True))
 
     def add(self, doc_id: int | None, text: str | None) -> None:
         self.bytes += len(text or "")
         units = self.tokens.units(text) if text else []
-        new = list(dict.fromkeys(u for u in units if u not in self.known))
-        if new and self.add_units(new):
-            units = []
-        if units:
+        self.waiting.append((doc_id, units))
+        self.words += len(units)
+        if self.words >= TOGETHER:
+            self._settle()
+
+    def _settle(self) -> None:
+        """Make the units of the documents that wait known, and reduce these documents to places and a hash."""
+        new = {u: None for _, units in self.waiting for u in units if u not in self.known and u not in self.odd}
+        if new:
+            self._add_units(list(new))
+        figures, written, first = self.figures.all(), self.written.all(), self.first.all()
+        for doc_id, units in self.waiting:
+            if not units or (self.odd and not self.odd.isdisjoint(units)):
+                self.docs.append((doc_id, "", np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int32)))
+                continue
             at = np.fromiter(map(self.known.__getitem__, units), dtype=np.int32, count=len(units))
-            digest = hashlib.sha256(b";".join(map(self.texts.__getitem__, at.tolist()))).hexdigest()
+            sizes = figures[at, 0] + figures[at, 1]
+            ends = np.cumsum(sizes)
+            places = written[np.repeat(first[at] - ends + sizes, sizes) + np.arange(ends[-1])]
+            text = b"".join(map(self.tokens.written.__getitem__, places.tolist()))
             own, times = np.unique(at, return_counts=True)
-        else:
-            own, times, digest = np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int32), ""
-        self.docs.append((doc_id, digest, own, times.astype(np.int32)))
+            self.docs.append((doc_id, hashlib.sha256(text[:-1]).hexdigest(), own, times.astype(np.int32)))
+        self.waiting, self.words = [], 0
 
     def full(self) -> bool:
         return self.bytes >= BLOCK_BYTES or len(self.known) >= BLOCK_UNITS
 
     def batches(self, number: int) -> Iterator[pa.RecordBatch]:
         """The block's documents, and one row with its units: for each its links as places among the block's distinct id pairs."""
-        figures = np.concatenate([*self.figures, np.zeros((1, 4), dtype=np.int64)])
+        self._settle()
+        figures = self.figures.all()
         sums = np.array([(figures[own] * times[:, None]).sum(axis=0) for _, _, own, times in self.docs], dtype=np.int64).reshape(-1, 4)
         for first in range(0, len(self.docs), _SENT):
             docs = self.docs[first : first + _SENT]
@@ -174,8 +269,8 @@ class _Block:
             uses = np.zeros(len(self.known), dtype=np.int64)
             for _, _, own, times in self.docs:
                 uses[own] += times
-            links = np.concatenate(self.links)
-            codes, place = np.unique(np.concatenate(self.codes), return_inverse=True)
+            links = figures[:, 3]
+            codes, place = np.unique(self.codes.all(), return_inverse=True)
             # Sums of whole numbers as floats are exact up to 2**53.
             n = np.bincount(place, weights=np.repeat(uses, links)).astype(np.int64)
             own = [pa.array([v.tobytes()], pa.binary()) for v in (codes, n, links.astype(np.int32), place.astype(np.int32))]
@@ -193,7 +288,7 @@ def _blocks(path_a: str, path_b: str):
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 block.add(doc_id, text.as_py())
-                if block.full():
+                if block.full():  # at most TOGETHER words wait beyond BLOCK_UNITS
                     yield from block.batches(number)
                     block, number = _Block(tokens), number + 1
         yield from block.batches(number)
