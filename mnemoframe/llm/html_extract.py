@@ -1,11 +1,11 @@
 """Main-text extraction: flat text blocks classified by a small decision tree.
 
-A page is cut into flat blocks at block-level tags.  Each block is described
-by its word count and link density, those of its neighbours, and those of the
-element that holds it and its siblings.  A decision tree grown from LABELLED
-decides by these numbers which blocks belong to the article.  Where the page's
-own markup says otherwise (an article element; a menu, footer, form, advert or
-comment by element, class, id or role), the markup corrects the tree.
+A page is cut into flat blocks at block-level tags.  A block is described by
+its own word count and link density and by those of its neighbours, two on
+either side; a decision tree grown from LABELLED decides by these numbers alone
+which blocks belong to the article.  Where the page's own markup says otherwise
+(an article element; a menu, footer, form, advert or comment by element, class,
+id or role), the markup corrects the tree.
 """
 
 import html
@@ -21,37 +21,42 @@ from pyspark.sql import functions as F
 
 from .columns import bounded_batches
 
-FEATURES = ["words", "density", "words_before", "density_before", "words_after", "density_after", "words_around", "density_around", "heading"]
+#: Neighbours on either side that describe a block.
+NEIGHBOURS = 2
+FEATURES = [f"{what}{at:+d}" if at else what for at in (0, *(k for n in range(1, NEIGHBOURS + 1) for k in (-n, n))) for what in ("words", "density")]
 
-#: Labelled blocks: the values of FEATURES, then 1 for article and 0 for the rest.
+#: Labelled pages: for each block its words, its link density, and 1 for article or 0 for the rest.
 LABELLED = [
-    # menus, header bars, breadcrumbs, lists of links
-    (1, 1.0, 0, 0.0, 1, 1.0, 6, 1.0, 0, 0), (2, 1.0, 1, 1.0, 2, 1.0, 9, 1.0, 0, 0), (1, 1.0, 1, 1.0, 8, 0.0, 6, 1.0, 0, 0), (3, 0.9, 2, 1.0, 3, 1.0, 14, 0.95, 0, 0),
-    (2, 1.0, 3, 1.0, 2, 1.0, 30, 1.0, 0, 0), (1, 1.0, 2, 1.0, 40, 0.0, 5, 1.0, 0, 0), (4, 1.0, 0, 0.0, 3, 1.0, 60, 1.0, 0, 0), (5, 0.8, 4, 1.0, 60, 0.02, 22, 0.9, 0, 0),
-    (9, 0.7, 6, 0.9, 5, 0.9, 80, 0.8, 0, 0), (20, 0.85, 15, 0.9, 18, 0.9, 120, 0.9, 0, 0), (12, 0.6, 5, 1.0, 10, 0.8, 45, 0.7, 0, 0), (3, 0.0, 2, 1.0, 2, 1.0, 18, 0.9, 0, 0),
-    (2, 0.0, 4, 0.0, 3, 1.0, 25, 0.9, 1, 0), (4, 0.0, 0, 0.0, 5, 1.0, 34, 0.9, 1, 0), (8, 1.0, 50, 0.0, 7, 1.0, 40, 0.95, 0, 0), (6, 1.0, 9, 1.0, 0, 0.0, 40, 1.0, 0, 0),
-    (70, 0.9, 30, 0.9, 20, 0.8, 150, 0.85, 0, 0), (1, 1.0, 60, 0.0, 1, 1.0, 3, 1.0, 0, 0), (2, 0.5, 1, 1.0, 1, 1.0, 12, 0.8, 0, 0), (3, 0.0, 0, 0.0, 1, 1.0, 9, 0.7, 0, 0),
-    # short boxes between other things: adverts, notices, forms, lines above and below the article
-    (8, 0.0, 1, 1.0, 12, 0.0, 8, 0.0, 0, 0), (14, 0.0, 3, 1.0, 9, 0.0, 14, 0.0, 0, 0), (11, 0.0, 1, 1.0, 5, 0.0, 11, 0.0, 0, 0), (5, 0.0, 3, 1.0, 2, 1.0, 7, 0.3, 0, 0),
-    (2, 0.0, 2, 0.0, 2, 0.0, 6, 0.0, 0, 0), (3, 0.0, 2, 1.0, 6, 0.0, 3, 0.0, 0, 0), (4, 0.0, 2, 1.0, 4, 0.0, 4, 0.0, 0, 0), (12, 0.2, 1, 1.0, 14, 0.0, 12, 0.2, 0, 0),
-    (6, 0.0, 1, 1.0, 10, 0.0, 6, 0.0, 0, 0), (9, 0.0, 2, 1.0, 3, 0.0, 9, 0.0, 0, 0), (15, 0.0, 1, 1.0, 7, 0.0, 15, 0.0, 0, 0), (3, 0.0, 1, 1.0, 15, 0.0, 3, 0.0, 0, 0),
-    # the page's last lines
-    (10, 0.2, 80, 0.0, 0, 0.0, 10, 0.2, 0, 0), (14, 0.0, 55, 0.0, 0, 0.0, 14, 0.0, 0, 0), (4, 0.0, 20, 0.3, 0, 0.0, 4, 0.0, 0, 0), (6, 0.0, 3, 1.0, 0, 0.0, 6, 0.0, 0, 0),
-    (17, 0.0, 120, 0.0, 0, 0.0, 17, 0.0, 0, 0), (8, 0.0, 1, 0.0, 0, 0.0, 8, 0.0, 0, 0), (2, 0.0, 1, 1.0, 0, 0.0, 2, 0.0, 0, 0), (12, 0.0, 33, 0.0, 0, 0.0, 12, 0.0, 0, 0),
-    # paragraphs, headlines and odd lines of articles
-    (10, 0.0, 8, 0.0, 30, 0.0, 400, 0.0, 1, 1), (30, 0.0, 10, 0.0, 55, 0.0, 400, 0.0, 0, 1), (1, 0.0, 55, 0.0, 40, 0.0, 250, 0.0, 0, 1), (3, 0.0, 1, 0.0, 1, 0.0, 300, 0.02, 0, 1),
-    (120, 0.1, 3, 0.0, 80, 0.0, 500, 0.05, 0, 1), (2, 0.0, 90, 0.0, 0, 0.0, 220, 0.0, 0, 1), (6, 0.0, 0, 0.0, 0, 0.0, 130, 0.0, 0, 1), (45, 0.4, 50, 0.0, 60, 0.0, 320, 0.1, 0, 1),
-    (5, 1.0, 40, 0.0, 45, 0.0, 600, 0.04, 0, 1), (12, 0.9, 60, 0.1, 70, 0.0, 450, 0.08, 0, 1), (8, 0.5, 7, 0.4, 9, 0.6, 380, 0.15, 0, 1), (4, 0.0, 45, 0.0, 60, 0.0, 700, 0.0, 1, 1),
-    (60, 0.0, 1, 1.0, 10, 0.2, 260, 0.02, 0, 1), (7, 0.0, 2, 0.0, 14, 0.0, 90, 0.0, 0, 1), (2, 0.0, 1, 1.0, 3, 0.0, 150, 0.0, 1, 1), (5, 0.0, 3, 1.0, 2, 1.0, 900, 0.03, 0, 1),
-    (3, 0.0, 2, 1.0, 40, 0.0, 210, 0.0, 1, 1), (6, 0.0, 4, 0.9, 1, 0.9, 330, 0.1, 0, 1), (14, 0.0, 55, 0.0, 15, 0.0, 160, 0.0, 0, 1), (9, 0.0, 70, 0.0, 17, 0.0, 110, 0.0, 0, 1),
-    (40, 0.0, 8, 0.0, 55, 0.0, 2000, 0.0, 0, 1), (1, 0.0, 12, 0.0, 35, 0.0, 60, 0.0, 0, 1), (12, 0.0, 8, 0.0, 13, 0.0, 55, 0.0, 1, 1), (13, 0.0, 12, 0.0, 15, 0.0, 70, 0.0, 0, 1),
-    # articles of one or two paragraphs
-    (40, 0.0, 8, 0.0, 12, 0.0, 50, 0.0, 0, 1), (12, 0.0, 9, 0.0, 40, 0.0, 52, 0.0, 1, 1), (60, 0.05, 1, 1.0, 14, 0.0, 60, 0.05, 0, 1), (33, 0.3, 2, 1.0, 20, 0.0, 33, 0.3, 0, 1),
-    (25, 0.1, 5, 1.0, 45, 0.0, 25, 0.1, 0, 1), (28, 0.0, 6, 0.0, 9, 0.0, 28, 0.0, 0, 1), (90, 0.2, 20, 0.0, 4, 0.0, 90, 0.2, 0, 1), (200, 0.02, 1, 1.0, 0, 0.0, 200, 0.02, 0, 1),
-    # articles whose paragraphs stand in boxes of their own
-    (35, 0.0, 40, 0.0, 0, 0.0, 35, 0.0, 0, 1), (22, 0.0, 30, 0.0, 3, 0.0, 22, 0.0, 0, 1), (50, 0.1, 25, 0.0, 2, 1.0, 50, 0.1, 0, 1), (16, 0.0, 45, 0.0, 26, 0.0, 16, 0.0, 0, 1),
-    (8, 0.0, 40, 0.0, 50, 0.0, 8, 0.0, 0, 1), (5, 0.0, 60, 0.0, 35, 0.0, 5, 0.0, 1, 1), (7, 0.0, 2, 1.0, 45, 0.0, 7, 0.0, 1, 1), (3, 0.0, 30, 0.0, 25, 0.1, 3, 0.0, 0, 1),
-    (4, 0.0, 0, 0.0, 33, 0.0, 4, 0.0, 1, 1), (2, 0.0, 24, 0.0, 31, 0.0, 2, 0.0, 0, 1), (31, 0.2, 12, 0.0, 0, 0.0, 31, 0.2, 0, 1), (70, 0.0, 2, 1.0, 12, 0.0, 70, 0.0, 0, 1),
+    # menu, advert, article, footer
+    [(1, 1.0, 0), (2, 1.0, 0), (1, 1.0, 0), (1, 1.0, 0), (8, 0.0, 0), (9, 0.0, 1), (44, 0.0, 1), (30, 0.0, 1), (6, 0.0, 1), (71, 0.0, 1), (12, 0.0, 0)],
+    [(1, 1.0, 0), (1, 1.0, 0), (3, 1.0, 0), (2, 1.0, 0), (5, 0.0, 0), (11, 0.0, 1), (24, 0.0, 1), (9, 0.0, 0)],
+    [(2, 1.0, 0), (2, 1.0, 0), (1, 1.0, 0), (12, 0.0, 0), (7, 0.0, 1), (9, 0.0, 1), (14, 0.0, 0)],
+    [(1, 1.0, 0), (1, 1.0, 0), (1, 1.0, 0), (4, 0.0, 0), (3, 0.0, 1), (3, 0.0, 1), (18, 0.0, 1), (60, 0.0, 1), (2, 0.0, 1), (1, 0.0, 1), (5, 0.0, 1), (35, 0.0, 1), (4, 0.0, 1), (7, 0.0, 0)],
+    [(1, 1.0, 0), (4, 1.0, 0), (1, 1.0, 0), (15, 0.0, 0), (10, 0.0, 1), (120, 0.0, 1), (17, 0.0, 0)],
+    [(2, 1.0, 0), (1, 1.0, 0), (1, 1.0, 0), (10, 0.0, 0), (6, 0.0, 1), (52, 0.1, 1), (11, 0.0, 1), (13, 0.0, 1), (4, 0.0, 0)],
+    # an article with links, quotations, lists and odd lines
+    [(1, 1.0, 0), (2, 1.0, 0), (3, 1.0, 0), (7, 0.0, 0), (8, 0.0, 1), (55, 0.3, 1), (6, 1.0, 1), (48, 0.2, 1), (2, 0.0, 1), (3, 0.5, 1), (40, 0.0, 1), (1, 0.0, 1), (28, 0.4, 1), (11, 0.2, 0)],
+    [(2, 1.0, 0), (1, 1.0, 0), (9, 0.0, 0), (12, 0.0, 1), (33, 0.0, 1), (1, 0.0, 1), (6, 1.0, 1), (50, 0.0, 1), (1, 0.0, 1), (5, 1.0, 1), (64, 0.0, 1), (22, 0.0, 1), (15, 0.0, 0)],
+    [(1, 1.0, 0), (2, 1.0, 0), (1, 1.0, 0), (10, 0.0, 0), (4, 0.0, 1), (18, 0.05, 1), (49, 0.0, 1), (1, 0.0, 1), (6, 1.0, 1), (12, 0.0, 1), (30, 0.15, 1), (9, 0.0, 1), (7, 0.0, 0)],
+    [(2, 1.0, 0), (1, 1.0, 0), (8, 0.0, 0), (5, 0.0, 1), (20, 0.3, 1), (14, 0.0, 1), (3, 0.1, 1), (36, 0.0, 1), (4, 1.0, 1), (8, 0.0, 1), (51, 0.25, 1), (5, 0.0, 1), (16, 0.05, 1), (9, 0.0, 1), (6, 0.0, 0)],
+    [(1, 1.0, 0), (3, 1.0, 0), (2, 1.0, 0), (14, 0.0, 0), (7, 0.0, 1), (2, 0.0, 1), (5, 1.0, 1), (15, 0.0, 1), (25, 0.2, 1), (60, 0.0, 1), (8, 1.0, 1), (3, 0.0, 1), (45, 0.0, 1), (13, 0.0, 0)],
+    [(2, 1.0, 0), (1, 1.0, 0), (1, 1.0, 0), (9, 0.0, 0), (6, 0.0, 1), (22, 0.0, 1), (57, 0.0, 1), (2, 0.0, 1), (5, 1.0, 1), (11, 0.0, 1), (13, 0.0, 1), (6, 0.0, 0)],
+    [(1, 1.0, 0), (1, 1.0, 0), (7, 0.0, 0), (9, 0.0, 1), (41, 0.0, 1), (4, 0.0, 1), (7, 1.0, 1), (10, 0.0, 1), (8, 0.0, 0)],
+    # a notice before the article, related links and comments after it
+    [(3, 1.0, 0), (2, 1.0, 0), (2, 1.0, 0), (11, 0.0, 0), (8, 0.0, 1), (80, 0.0, 1), (46, 0.1, 1), (2, 0.0, 0), (9, 1.0, 0), (7, 1.0, 0), (8, 1.0, 0), (10, 0.3, 0)],
+    [(1, 1.0, 0), (1, 1.0, 0), (6, 0.0, 0), (9, 0.0, 1), (38, 0.0, 1), (90, 0.0, 1), (3, 1.0, 0), (4, 1.0, 0), (3, 1.0, 0), (5, 1.0, 0), (16, 0.0, 0)],
+    # long lists of teasers, whole pages of links
+    [(2, 1.0, 0), (2, 1.0, 0), (12, 0.8, 0), (10, 0.9, 0), (14, 0.7, 0), (9, 1.0, 0), (11, 0.8, 0), (3, 1.0, 0), (6, 0.0, 0)],
+    [(1, 1.0, 0), (1, 1.0, 0), (1, 1.0, 0), (2, 1.0, 0), (1, 1.0, 0), (8, 0.6, 0), (2, 1.0, 0), (1, 1.0, 0)],
+    # long articles of long and short blocks
+    [(1, 1.0, 0), (2, 1.0, 0), (1, 1.0, 0), (9, 0.0, 0), (8, 0.0, 1), (98, 0.0, 1), (26, 0.0, 1), (8, 0.0, 1), (11, 0.0, 1), (94, 0.0, 1), (11, 0.0, 1), (210, 0.0, 1), (4, 0.0, 1), (20, 0.0, 1), (222, 0.0, 1), (12, 0.0, 1), (2, 0.0, 1), (19, 0.0, 1), (13, 0.0, 1), (8, 0.0, 0)],
+    [(2, 1.0, 0), (1, 1.0, 0), (1, 1.0, 0), (13, 0.0, 0), (12, 0.0, 1), (5, 0.0, 1), (140, 0.0, 1), (130, 0.0, 1), (7, 0.0, 1), (79, 0.0, 1), (16, 0.0, 1), (1, 0.0, 1), (108, 0.0, 1), (3, 0.0, 1), (75, 0.0, 1), (12, 0.0, 1), (123, 0.0, 1), (9, 0.0, 1), (17, 0.0, 0)],
+    [(1, 1.0, 0), (1, 1.0, 0), (3, 1.0, 0), (6, 0.0, 0), (4, 0.0, 1), (4, 0.0, 1), (161, 0.0, 1), (45, 0.0, 1), (7, 0.0, 1), (25, 0.0, 1), (84, 0.0, 1), (2, 0.0, 1), (60, 0.0, 1), (13, 0.0, 1), (19, 0.0, 1), (104, 0.0, 1), (11, 0.0, 0)],
+    # no menu; no footer
+    [(7, 0.0, 1), (42, 0.0, 1), (66, 0.0, 1), (31, 0.0, 1), (10, 0.0, 0)],
+    [(1, 1.0, 0), (2, 1.0, 0), (5, 0.0, 0), (6, 0.0, 1), (29, 0.0, 1), (58, 0.0, 1), (45, 0.0, 1)],
+    [(60, 0.0, 1), (75, 0.0, 1), (34, 0.0, 1)],
+    [(28, 0.0, 1)],
 ]
 
 _QUOTED = r"""(?:[^>"']|"[^"]*"|'[^']*')*+"""
@@ -65,9 +70,6 @@ _WORDS = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
 _INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr input picture source".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-#: Elements that belong to what stands around them, as the paragraphs and lists of a text do.
-_FLOWING = _INLINE | _HEADINGS | frozenset("p ul ol li dl dt dd blockquote pre figure figcaption table caption thead tbody tfoot tr address details summary center".split())
 _FURNITURE = frozenset("nav footer aside form menu dialog fieldset".split())
 _ARTICLE = frozenset("article main".split())
 #: Words in class, id or role that mark an element as no part of the article.
@@ -86,9 +88,6 @@ class Block:
     density: float
     in_article: bool
     in_furniture: bool
-    heading: bool
-    words_around: int = 0
-    density_around: float = 0.0
 
 
 def _marks(tag: str, attributes: str, in_article: bool) -> tuple[bool, bool]:
@@ -107,8 +106,7 @@ def blocks_of(page: str) -> list[Block]:
     out: list[Block] = []
     parts: list[tuple[str, bool]] = []
     stack: list[tuple[str, bool, bool]] = []  # tag, whether it opens the article, whether it is furniture
-    boxes, open_boxes, in_box = [[0, 0, 0]], [0], []  # words, linked and all signs of each element that isn't flowing; those open; each block's
-    articles = furniture = links = headings = 0
+    articles = furniture = links = 0
 
     def close() -> None:
         nonlocal parts
@@ -117,23 +115,15 @@ def blocks_of(page: str) -> list[Block]:
             if text:
                 linked = sum(len(_SPACE.sub("", p)) for p, in_link in parts if in_link)
                 whole = sum(len(_SPACE.sub("", p)) for p, _ in parts)
-                out.append(Block(text, text.count(" ") + 1, linked / max(whole, 1), articles > 0, furniture > 0, headings > 0))
-                in_box.append(open_boxes[-1])
-                box = boxes[open_boxes[-1]]
-                box[0] += out[-1].words
-                box[1] += linked
-                box[2] += whole
+                out.append(Block(text, text.count(" ") + 1, linked / max(whole, 1), articles > 0, furniture > 0))
             parts = []
 
     def pop() -> None:
-        nonlocal articles, furniture, links, headings
+        nonlocal articles, furniture, links
         tag, article, noise = stack.pop()
         articles -= article
         furniture -= noise
         links -= tag == "a"
-        headings -= tag in _HEADINGS
-        if tag not in _FLOWING:
-            open_boxes.pop()
 
     at = 0
     for token in _TOKEN.finditer(page):
@@ -162,26 +152,24 @@ def blocks_of(page: str) -> list[Block]:
                 pop()
             article, noise = _marks(tag, attributes, articles > 0)
             stack.append((tag, article, noise))
-            if tag not in _FLOWING:
-                open_boxes.append(len(boxes))
-                boxes.append([0, 0, 0])
             articles += article
             furniture += noise
             links += tag == "a"
-            headings += tag in _HEADINGS
     parts.append((page[at:], links > 0))
     close()
-    for block, k in zip(out, in_box, strict=True):
-        block.words_around, block.density_around = boxes[k][0], boxes[k][1] / max(boxes[k][2], 1)
     return out
 
 
 def features(blocks: list[Block]) -> np.ndarray:
     """A row of FEATURES for each block; neighbours beyond the page's ends count as empty."""
-    own = np.array([[b.words, b.density] for b in blocks], dtype=float).reshape(-1, 2)
-    edge = np.zeros((1, 2))
-    around = np.array([[b.words_around, b.density_around, b.heading] for b in blocks], dtype=float).reshape(-1, 3)
-    return np.hstack([own, np.vstack([edge, own[:-1]])[: len(own)], np.vstack([own[1:], edge])[-len(own) :] if len(own) else own, around])
+    return _with_neighbours([(b.words, b.density) for b in blocks])
+
+
+def _with_neighbours(own: list[tuple[int, float]]) -> np.ndarray:
+    n, edge = len(own), np.zeros((NEIGHBOURS, 2))
+    padded = np.vstack([edge, np.array(own, dtype=float).reshape(-1, 2), edge])
+    shifts = [0, *(k for d in range(1, NEIGHBOURS + 1) for k in (-d, d))]
+    return np.hstack([padded[NEIGHBOURS + k : NEIGHBOURS + k + n] for k in shifts])
 
 
 def grow(x: np.ndarray, y: np.ndarray, depth: int = 6):
@@ -204,8 +192,8 @@ def grow(x: np.ndarray, y: np.ndarray, depth: int = 6):
 
 @cache
 def tree():
-    table = np.array(LABELLED, dtype=float)
-    return grow(table[:, :-1], table[:, -1])
+    x = np.vstack([_with_neighbours([block[:2] for block in page]) for page in LABELLED])
+    return grow(x, np.array([block[2] for page in LABELLED for block in page], dtype=float))
 
 
 def classify(node, row: np.ndarray) -> int:
