@@ -119,16 +119,19 @@ def kth_largest(keys: DataFrame, k: int) -> float:
 
 
 def _share_threshold(good: np.ndarray, bad: np.ndarray, stands_for: tuple[float, float] = (1.0, 1.0)) -> float:
-    """The weight that separates the classes at the least cost; ties go to the middle of the widest such gap.
+    """A weight that separates the classes at about the least cost: within the cost of one rejected good value, that where values stand closest.
 
-    ``stands_for`` is how many labels of all each good and each bad value stands for.
+    A cut in a gap of the weights would leave nothing to the draw; of the cuts
+    that serve as well, this one has the documents around it between which
+    the noise decides.  ``stands_for`` is how many labels of all each good and
+    each bad value stands for.
     """
     values = np.unique(np.concatenate([good, bad]))
     cuts = np.concatenate([[values[0] - 1], (values[1:] + values[:-1]) / 2])
     costs = COST_OF_REJECTION * stands_for[0] * np.searchsorted(np.sort(good), cuts) + stands_for[1] * (len(bad) - np.searchsorted(np.sort(bad), cuts))
-    best = np.flatnonzero(np.isclose(costs, costs.min(), rtol=1e-9, atol=0))
-    gaps = np.concatenate([[0], values[1:] - values[:-1]])
-    return float(cuts[best[np.argmax(gaps[best])]])
+    near = np.flatnonzero(costs <= costs.min() + COST_OF_REJECTION * stands_for[0])
+    gaps = np.concatenate([[np.inf], values[1:] - values[:-1]])
+    return float(cuts[near[np.argmin(gaps[near])]])
 
 
 def fit(docs: DataFrame, labels: DataFrame, seed: int = 17, share: float | None = None) -> tuple[Sampler, DataFrame]:
@@ -137,9 +140,9 @@ def fit(docs: DataFrame, labels: DataFrame, seed: int = 17, share: float | None
     The raw model counts all documents; the target model those of a bounded
     sample with ``quality`` 1.  The sample's size k is ``share`` of the
     documents with an n-gram.  Without ``share`` it is the number of documents
-    whose weight reaches the threshold that best separates labelled documents
-    outside the target model; which documents make up the sample is still
-    drawn.  Each label counts as the labels of its class that it stands for,
+    whose weight reaches a threshold that separates labelled documents outside
+    the target model about best, where weights stand close; which documents
+    make up the sample is drawn.  Each label counts as the labels of its class that it stands for,
     so that the size follows all labels' ratio whatever was read.  Without
     labels of both kinds every document with an n-gram stays.
     """

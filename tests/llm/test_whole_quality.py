@@ -37,3 +37,13 @@ def test_thinned_classes_give_the_same_threshold():
     whole = quality._share_threshold(good, bad)
     assert quality._share_threshold(good[::20], bad[::4], (20.0, 4.0)) == pytest.approx(whole, abs=0.4)
     assert quality._share_threshold(np.repeat(good[:50], 2), bad[:50]) == quality._share_threshold(good[:50], bad[:50], (2.0, 1.0))
+
+
+def test_seeds_draw_different_documents(spark):
+    """With the registered query's settings the noise decides over documents, few of them, and hardly over good ones."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    kept = [{r["doc_id"] for r in quality.classify_quality(docs, labels, seed=seed).where("kept").select("doc_id").collect()} for seed in range(1, 7)]
+    assert len({len(k) for k in kept}) == 1
+    assert 2 <= len(set.union(*kept) - set.intersection(*kept)) < 0.05 * len(kept[0])
+    good = {r["doc_id"] for r in labels.where("quality = 1").collect()}
+    assert all(len(good - k) <= 0.01 * len(good) for k in kept)
