@@ -103,6 +103,6 @@ def assign_shards(docs: DataFrame, shards: int = 16, id_column: str = "doc_id",
     counts = rows.groupBy("shard", "part").agg(F.count("*").alias("n"))
     before = counts.selectExpr("shard", "part", "sum(n) OVER (PARTITION BY shard ORDER BY part) - n AS before")
     numbered = rows.selectExpr("*", "row_number() OVER (PARTITION BY shard, part ORDER BY doc_id, text_crc32, size) - 1 AS place")
-    placed = numbered.join(F.broadcast(before), ["shard", "part"])
+    placed = numbered.join(before, ["shard", "part"])
     slot = (F.col("before") + F.col("place")).cast("long").alias("slot")
     return placed.select(F.col("doc_id").alias(id_column), "size", "text_crc32", F.lit("key").alias("law"), "shard", slot, "grown_shard")
