@@ -15,12 +15,6 @@ PART_WEIGHTS = {"cosine": 0.60, "entities": 0.20, "intent": 0.15, "node": 0.05}
 CHUNKS_OF_A_CONTEXT = 50
 
 
-def sanitised(query: str) -> str:
-    """A query without the signs that mean something to a search engine; ``*`` for an empty one."""
-    plain = query.translate(str.maketrans(dict.fromkeys('"*^()', " ")))
-    return " ".join(plain.split()) or "*"
-
-
 def uri_filter(uri: str) -> tuple[str | None, str | None]:
     """Node and type that a ``scheme://node/type/...`` prefix names."""
     parts = [p for p in uri.partition("://")[2].split("/") if p]

@@ -117,3 +117,41 @@ def audit(events: DataFrame, principal: str, kind: str | None, since: str, until
     if kind is not None:
         found = found.where(F.col("type") == kind)
     return found.select("id", "time", "type").orderBy(F.desc("time"), F.desc("id")).limit(limit)
+
+
+#: Mentions of a subject that an export lists (fixed value).
+MENTIONS = 100
+#: Levels of a skill, lowest first (fixed values).
+LEVELS = ["novice", "intermediate", "advanced", "lead"]
+
+
+def skilled(principal_skills: DataFrame, skills: DataFrame, principals: DataFrame, least: str = LEVELS[0]) -> DataFrame:
+    """``(principal_id, kind, skill, level)``: known principals with known skills at ``least`` or above.
+
+    ``principal_skills`` has ``(principal_id, skill_id, level)``, ``skills``
+    ``(id, name)``, ``principals`` ``(id, kind)``.  An unknown level is under
+    all others.
+    """
+    rank = F.array_position(F.array(*map(F.lit, LEVELS)), F.col("level"))
+    own = principal_skills.where(rank >= LEVELS.index(least) + 1)
+    named = own.join(skills.select(F.col("id").alias("skill_id"), F.col("name").alias("skill")), "skill_id")
+    return named.join(principals.select(F.col("id").alias("principal_id"), "kind"), "principal_id").select("principal_id", "kind", "skill", "level")
+
+
+def subject_export(principal: str, name: str | None, principals: DataFrame, contexts: DataFrame, owned: dict[str, tuple[DataFrame, str]]) -> DataFrame:
+    """``(section, item)``: all that the store holds on a principal.
+
+    ``identity`` is the principal's own row; ``contexts`` those that it created;
+    ``mentions`` the first MENTIONS contexts, by id, whose content holds its
+    name.  ``owned`` gives the other sections: for each a table with a
+    ``principal_id``, and the column whose values are listed, each once.  A
+    principal without a name has no mentions; sections without rows have none.
+    """
+    section = lambda rows, title, column: rows.select(F.lit(title).alias("section"), F.col(column).cast("string").alias("item"))
+    out = section(principals.where(F.col("id") == principal), "identity", "id").unionByName(section(contexts.where(F.col("created_by") == principal), "contexts", "id"))
+    if name:
+        held = contexts.where(F.contains("content", F.lit(name))).select("id").orderBy("id").limit(MENTIONS)
+        out = out.unionByName(section(held, "mentions", "id"))
+    for title, (rows, column) in owned.items():
+        out = out.unionByName(section(rows.where(F.col("principal_id") == principal).select(column).distinct(), title, column))
+    return out

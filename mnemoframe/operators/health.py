@@ -3,6 +3,8 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mnemoframe.operators.retrieval import bm25
+
 # Thresholds, and words that don't count for fidelity.
 STALE_DAYS, LOW_QUALITY, IMBALANCE = 30, 0.4, 3.0
 STOP_WORDS = "this that with from they have been were will would could should about after before under over between through during".split()
@@ -73,3 +75,14 @@ def escalations(observations: DataFrame, least: int = 3, ready: float = 1.5) ->
     """Categories observed often enough, and whether their confidence adds up."""
     found = observations.groupBy("category").agg(F.count("*").alias("n"), F.round(F.sum("confidence"), 6).alias("confidence"))
     return found.where(F.col("n") >= least).withColumn("ready", F.col("confidence") >= ready)
+
+
+def reweave(contexts: DataFrame, mentions: DataFrame, question: str, entity: str, as_of: str, days: int = 30, limit: int = 10) -> DataFrame:
+    """``(id, staleness)``: the stalest contexts that a search for ``question`` finds or that mention ``entity``.
+
+    Staleness is the age in parts of ``days``, 1 at most; ties go by id.
+    """
+    found = bm25(contexts, question).select("id").unionByName(mentions.where(F.col("name") == entity).select(F.col("context_id").alias("id"))).distinct()
+    age = (F.unix_timestamp(F.lit(as_of).cast("timestamp")) - F.unix_timestamp("modified_at")) / 86400.0 / days
+    scored = contexts.select("id", "modified_at").join(found, "id").select("id", F.round(F.least(age, F.lit(1.0)), 4).alias("staleness"))
+    return scored.where("staleness > 0").orderBy(F.desc("staleness"), "id").limit(limit)

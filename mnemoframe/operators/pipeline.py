@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mnemoframe.functions.text import ascii_borders, first_match
+from mnemoframe.functions.text import ascii_borders, first_match, terms
 
 # Classification patterns and labels, in order of precedence.
 GENRES = [
@@ -95,11 +95,65 @@ def windows(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
     return cut.select(id_column, "paragraph", "chunk", (F.col("chunk") * step).alias("start"), F.least(F.lit(WINDOW_BYTES), F.col("size") - F.col("chunk") * step).alias("length"))
 
 
-def route(signals: DataFrame, rules: DataFrame) -> DataFrame:
-    """Destinations of each signal by the (bounded) table of rules ``(field, pattern, destination)``; ``inbox`` without a match."""
-    fits = F.when(F.col("field") == "signal_type", F.col("signal_type") == F.col("pattern")).when(F.col("field") == "genre", F.col("genre") == F.col("pattern")).when(F.col("field") == "content", F.lower("text").contains(F.col("pattern"))).otherwise(False)
-    matched = signals.join(F.broadcast(rules), fits, "left")
-    return matched.select("doc_id", F.coalesce("destination", F.lit("inbox")).alias("destination")).distinct()
+#: Where signals of some genres go besides (fixed genres; the destinations are parameters).
+FINANCIAL_GENRES, TEAM_GENRES = ["invoice", "profit-loss", "budget"], ["standup"]
+
+
+def route(signals: DataFrame, rules: DataFrame, finance: str | None = None, team: str | None = None) -> DataFrame:
+    """``(doc_id, destination)``: where each signal goes by ``rules (field, pattern, destination)``; ``inbox`` without a match.
+
+    A rule asks for a signal type, a genre, a source node (where signals have
+    a ``node``), or a pattern or an entity that the text holds in any case of
+    letters.  Financial genres also go to ``finance`` and those of a team to
+    ``team``, if these are given.  The rules are a short table: they meet the
+    signals as one row.  A null text holds nothing.
+    """
+    listed = rules.agg(F.collect_set(F.struct("field", "pattern", "destination")).alias("rules"))
+    text = F.lower(F.coalesce("text", F.lit("")))
+    node = F.col("node") if "node" in signals.columns else F.lit(None).cast("string")
+    equal = {"signal_type": F.col("signal_type"), "genre": F.col("genre"), "source_node": node}
+
+    def fits(rule: Column) -> Column:
+        found = F.when(rule["field"].isin("content", "entity_mention"), F.contains(text, F.lower(rule["pattern"])))
+        for field, column in equal.items():
+            found = found.when(rule["field"] == field, F.coalesce(column == rule["pattern"], F.lit(False)))
+        return F.coalesce(found, F.lit(False))
+
+    matched = F.transform(F.filter("rules", fits), lambda r: r["destination"])
+    beside = [F.when(F.col("genre").isin(genres), place) for genres, place in ((FINANCIAL_GENRES, finance), (TEAM_GENRES, team)) if place is not None]
+    if beside:
+        matched = F.concat(matched, F.filter(F.array(*beside), lambda d: d.isNotNull()))
+    destinations = F.array_distinct(matched)
+    rows = signals.crossJoin(F.broadcast(listed))
+    return rows.select("doc_id", F.explode(F.when(F.size(destinations) == 0, F.array(F.lit("inbox"))).otherwise(destinations)).alias("destination"))
+
+
+#: Words of a name that are looked for, at most.
+NAME_WORDS = 5
+
+
+def mentioned(docs: DataFrame, names: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """``(doc_id, name)``: the names of ``names (name)`` that stand in a text as whole words, in any case of letters and without marks.
+
+    Names may have several words, NAME_WORDS at most; those of two signs or
+    less aren't looked for.  Each text's runs of as many words as names have
+    are joined with the names, so the number of names doesn't matter.
+    """
+    spelt = names.where(F.length("name") > 2).select("name", terms(F.col("name")).alias("words")).where(F.size("words").between(1, NAME_WORDS))
+    spelt = spelt.select("name", F.size("words").alias("n"), F.array_join("words", " ").alias("phrase")).distinct()
+    split = docs.select(id_column, terms(F.col(text_column)).alias("words"))
+
+    def phrases(n: int) -> Column:
+        places = F.when(F.size("words") >= n, F.sequence(F.lit(1), F.size("words") - (n - 1))).otherwise(F.array().cast("array<int>"))
+        return F.col("words") if n == 1 else F.transform(places, lambda i: F.array_join(F.slice("words", i, F.lit(n)), " "))
+
+    runs = None
+    for n in sorted(r[0] for r in spelt.select("n").distinct().collect()):
+        own = split.select(id_column, F.lit(n).alias("n"), F.explode(F.array_distinct(phrases(n))).alias("phrase"))
+        runs = own if runs is None else runs.unionByName(own)
+    if runs is None:
+        return docs.where("false").select(id_column, F.lit("").alias("name"))
+    return runs.join(spelt, ["n", "phrase"]).select(id_column, "name").distinct()
 
 
 def greedy_clusters(vectors: DataFrame, threshold: float = 0.65) -> DataFrame:

@@ -126,3 +126,9 @@ def page_score(slug_column: Column, title: Column, query: str) -> Column:
     by_slug = F.when(slug_column == wanted, 100).when(slug_column.startswith(wanted) | F.startswith(wanted, slug_column), 50).when(long_enough & (F.contains(slug_column, wanted) | F.contains(wanted, slug_column)), 10).otherwise(0)
     by_title = F.when(F.lower(title) == query.lower(), 40).when(F.contains(F.lower(title), F.lit(query.lower())), 10).otherwise(0)
     return by_slug + by_title
+
+
+def ranked_pages(pages: DataFrame, query: str, id_column: str = "id", limit: int = 5) -> DataFrame:
+    """``(id, score)``: the pages ``(id, slug, title)`` that match a question best by ``page_score``, ties by id."""
+    scored = pages.select(id_column, page_score(F.col("slug"), F.col("title"), query).alias("score"))
+    return scored.where("score > 0").orderBy(F.desc("score"), id_column).limit(limit)

@@ -184,3 +184,21 @@ def surfaced(pages: DataFrame, subscriptions: DataFrame, least: float = 0.5) ->
     rows = [tuple(r) for r in subscriptions.select("subscription", "scope", "value").collect()]
     each = F.explode(F.array(*(F.struct(F.lit(s).alias("subscription"), F.lit(k).alias("scope"), F.lit(v).alias("value")) for s, k, v in rows)))
     return pages.withColumn("to", each).select("*", "to.*").select("id", "subscription", score.alias("score")).where(F.col("score") >= least)
+
+
+def journal_kept(signals: DataFrame, max_size: int, key: str = "agent") -> DataFrame:
+    """``(key, id)`` of the signals that each key's bounded journal still holds after all of them have been recorded.
+
+    A journal that holds ``max_size`` signals gives up its oldest tenth (one at
+    least) before it records the next.  So n recordings of different ids leave
+    all but the tenths that were given up: as many as it takes to bring n
+    down to ``max_size``.  Only the last ``max_size`` rows of a key are ranked,
+    and each task sends no more of a key than that.  Signals go by time, then
+    id; those without a key share one journal.
+    """
+    tenth = max(1, max_size // 10)
+    totals = signals.groupBy(F.struct(key).alias("journal")).agg(F.count("*").alias("n"))
+    given_up = F.ceil(F.greatest(F.col("n") - max_size, F.lit(0)) / F.lit(tenth)) * tenth
+    newest = Window.partitionBy("journal").orderBy(F.desc("time"), F.desc("id"))
+    last = signals.select(F.struct(key).alias("journal"), "time", "id").withColumn("r", F.row_number().over(newest)).where(F.col("r") <= max_size)
+    return last.join(totals, "journal").where(F.col("r") <= F.col("n") - given_up).select(F.col(f"journal.{key}").alias(key), "id")

@@ -116,3 +116,53 @@ def rendered(pages: DataFrame, format: str = "markdown", id_column: str = "doc_i
     if format == "claude":
         text = F.concat(F.lit("<context>\n"), text, F.lit("\n</context>"))
     return pages.withColumn("d", done).select(id_column, text.alias("text"))
+
+
+def headings(body: Column) -> Column:
+    """The page's second-level headings, in lower case."""
+    return F.transform(F.regexp_extract_all(F.coalesce(body, F.lit("")), F.lit(r"(?m)^##[ \t]+(\S.*?)[ \t\r]*$"), F.lit(1)), lambda h: F.lower(h))
+
+
+def schema_issues(pages: DataFrame, rules: DataFrame, id_column: str = "slug", body: str = "body", frontmatter: str = "frontmatter") -> DataFrame:
+    """``(slug, issue, detail)``: pages held against ``rules (kind, value)``.
+
+    A ``required_section`` is a second-level heading, whatever its case; a
+    ``required_frontmatter`` key must be there and not be empty; ``max_bytes``
+    bounds the body, by the least of several.  The rules are a short table and
+    meet the pages as one row.  A null body is empty, null front matter has no
+    key; other kinds of rules are left out.
+    """
+    kind = lambda name: F.array_sort(F.collect_set(F.when(F.col("kind") == name, F.col("value"))))
+    listed = rules.agg(kind("required_section").alias("_sections"), kind("required_frontmatter").alias("_keys"), F.min(F.when(F.col("kind") == "max_bytes", F.col("value").cast("long"))).alias("_most"))
+    met = pages.crossJoin(F.broadcast(listed))
+    present, size = headings(F.col(body)), F.octet_length(F.coalesce(F.col(body), F.lit("")))
+    meta = F.coalesce(F.col(frontmatter), F.create_map().cast("map<string,string>"))
+    issue = lambda name, detail: F.struct(F.lit(name).alias("issue"), detail.alias("detail"))
+    sections = F.transform(F.filter("_sections", lambda s: ~F.array_contains(present, F.lower(s))), lambda s: issue("missing_section", s))
+    keys = F.filter("_keys", lambda k: F.coalesce(F.try_element_at(meta, k), F.lit("")) == "")
+    keys = F.transform(keys, lambda k: F.struct(F.when(F.try_element_at(meta, k).isNull(), "missing_frontmatter").otherwise("empty_frontmatter").alias("issue"), k.alias("detail")))
+    large = F.when(size > F.col("_most"), F.array(issue("schema_size_exceeded", size.cast("string")))).otherwise(F.array().cast("array<struct<issue:string,detail:string>>"))
+    return met.select(id_column, F.explode(F.concat(sections, keys, large)).alias("i")).select(id_column, "i.issue", "i.detail")
+
+
+#: Characters of a citation's text that a curated page shows (fixed value).
+PREVIEW = 240
+
+
+def curated(pages: DataFrame, citations: DataFrame) -> DataFrame:
+    """The next version ``(slug, version, body, curated_by)`` of each page ``(slug, audience, version, body)`` with new citations.
+
+    ``citations`` has ``(slug, uri, text)``; they are listed under ``## New
+    signals`` at the page's end, in order of uri, in place of such a section
+    that stands there.  Pages without a citation are not returned, citations
+    of no page are left out.  A null text is empty; one citation twice is
+    listed once.
+    """
+    trimmed = lambda t: F.regexp_replace(t, r"^\s+|\s+$", "")
+    preview = F.regexp_replace(F.left(trimmed(F.coalesce("text", F.lit(""))), F.lit(PREVIEW)), r"\s+", " ")
+    entry = F.struct("uri", F.concat(F.lit("- "), preview, F.lit(" {{cite: "), "uri", F.lit("}}")).alias("line"))
+    listed = citations.where("uri IS NOT NULL").groupBy("slug").agg(F.array_join(F.transform(F.array_sort(F.collect_set(entry)), lambda e: e["line"]), "\n").alias("lines"))
+    rest = F.regexp_replace(F.regexp_extract(F.coalesce("body", F.lit("")), r"(?is)\A(.*?)(?:\n##\s+New signals\s*\n.*)?\z", 1), r"\s+\z", "")
+    kept = F.when(F.coalesce("body", F.lit("")).rlike(r"(?i)\n##\s+New signals\s*\n"), rest).otherwise(F.coalesce("body", F.lit("")))
+    body = F.concat(F.regexp_replace(F.concat(kept, F.lit("\n\n## New signals\n\n"), "lines"), r"\s+\z", ""), F.lit("\n"))
+    return pages.join(listed, "slug").select("slug", (F.col("version") + 1).alias("version"), body.alias("body"), F.concat(F.lit("deterministic:"), F.col("audience").cast("string")).alias("curated_by"))

@@ -13,9 +13,6 @@ from mnemoframe.sources.views import AS_OF
 
 _top = lambda c, n: c.select("id", F.col("sn_ratio").alias("score")).orderBy(F.desc("score"), "id").limit(n)
 _HITS = "hits AS (SELECT id, sn_ratio AS score FROM {contexts} ORDER BY score DESC, id LIMIT %d)"
-query("RT02_sanitised", "region", sql="""SELECT r_regionkey, CASE WHEN r_regionkey = 0 THEN '*' ELSE concat('a ', r_regionkey, ' b') END AS query FROM {region}""")(
-    lambda r: r.sparkSession.createDataFrame([(k, A.sanitised('"(*)^' if k == 0 else f'a* "{k}" (b)')) for k in range(5)], "r_regionkey int, query string")
-)
 query("RT05_FA01_listed", "contexts", sql="SELECT id, modified_at FROM {contexts} WHERE node = 'src8' AND type = 'memory' ORDER BY modified_at DESC, id LIMIT 50")(lambda c: A.listed(c, "mem://src8/memory/x").select("id", "modified_at"))
 query("RT09_graph_boost", "contexts", "mentions", "edges", sql="""WITH c AS (SELECT DISTINCT target_id AS name FROM {edges} WHERE contains(lower(source_id), 'order/1') OR contains(lower(source_id), 'supplier/2') UNION SELECT source_id FROM {edges} WHERE contains(lower(target_id), 'order/1') OR contains(lower(target_id), 'supplier/2')),
     n AS (SELECT context_id, count(DISTINCT name) AS n FROM {mentions} WHERE name IN (SELECT name FROM c) GROUP BY 1) SELECT id, round(sn_ratio * (1 + 0.1 * coalesce(n, 0)), 4) AS score FROM {contexts} LEFT JOIN n ON id = context_id""")(
@@ -28,7 +25,7 @@ query("RT13_tiers", "contexts", sql=f"""WITH {_INVENTORY}, {_HITS % 20}, f AS (S
     l1 AS (SELECT *, sum(length(text) // 4) OVER (ORDER BY score DESC, id) AS spent FROM s), l2 AS (SELECT *, sum(length(text) // 4) OVER (ORDER BY score DESC, id) AS spent FROM b)
     SELECT 'l0' AS tier, NULL AS id, substr(text, 1, 12000) AS text FROM inv UNION ALL SELECT 'l1', id, text FROM l1 WHERE spent <= 10000 UNION ALL SELECT 'l2', id, text FROM l2 WHERE spent <= 50000""")(lambda c: A.tiers(_top(c, 20), c))
 query("RT14_grep", "contexts", "chunks", sql=f"""WITH {_HITS % 40} SELECT chunk_id, round(score * CASE idx WHEN 0 THEN 1.0 ELSE 0.95 END, 6) AS score, nullif(trim(substr(text, greatest(coalesce(nullif(strpos(lower(text), 'the'), 0), 1) - 50, 1), 200), ' '), '') AS snippet
-    FROM {{chunks}} JOIN hits ON context_id = id WHERE intent = 'specify' ORDER BY score DESC, chunk_id LIMIT 10""")(
+    FROM {{chunks}} JOIN hits ON context_id = id WHERE idx < 50 AND intent = 'specify' ORDER BY score DESC, chunk_id LIMIT 10""")(
     lambda c, k: A.grep(_top(c, 40), k.withColumn("scale", F.when(F.col("idx") == 0, "section").otherwise("paragraph")), "the", 10, "specify")
 )
 query("RT29_recent_decisions", "contexts", sql=f"SELECT id, modified_at FROM {{contexts}} WHERE type = 'signal' AND modified_at >= TIMESTAMP '{AS_OF}' - INTERVAL '30' DAY ORDER BY modified_at DESC, id LIMIT 5")(
@@ -67,12 +64,6 @@ query("JN19_cited_contexts", "citations", "chunks", "contexts", sql="SELECT DIST
 query("JN21_three_way", "chunks", "citations", sql="SELECT k.chunk_id, intent, count(slug) AS pages FROM {chunks} k LEFT JOIN {citations} c ON k.chunk_id = c.chunk_id GROUP BY 1, 2")(
     lambda k, c: k.join(c.groupBy("chunk_id").agg(F.count("*").alias("pages")), "chunk_id", "left").select("chunk_id", "intent", F.coalesce("pages", F.lit(0)).alias("pages"))
 )
-query("JN22_CO10_skills", "customer", "part", sql="""SELECT c_custkey AS principal, concat('skill/', c_nationkey) AS skill, level FROM (SELECT c_custkey, c_nationkey, CASE c_custkey % 4 WHEN 0 THEN 'novice' WHEN 1 THEN 'skilled' WHEN 2 THEN 'expert' ELSE 'guru' END AS level FROM {customer}) WHERE level IN ('expert', 'guru')""")(
-    lambda c, p: (
-        c.select(F.col("c_custkey").alias("principal"), F.concat(F.lit("skill/"), "c_nationkey").alias("skill"), F.element_at(F.array(*map(F.lit, ("novice", "skilled", "expert", "guru"))), (F.col("c_custkey") % 4 + 1).cast("int")).alias("level"))
-        .join(F.broadcast(c.sparkSession.createDataFrame(list(enumerate(("novice", "skilled", "expert", "guru"))), "rank int, level string")), "level").where("rank >= 2").select("principal", "skill", "level")
-    )
-)
 query("JN24_workspaces_of", "customer", "nation", sql="SELECT n_name AS workspace, c_custkey AS principal FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey WHERE c_mktsegment = 'BUILDING'")(
     lambda c, n: c.where("c_mktsegment = 'BUILDING'").join(n, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("n_name").alias("workspace"), F.col("c_custkey").alias("principal"))
 )
@@ -89,14 +80,6 @@ query("CO07_erasure_preview", "contexts", "chunks", "mentions", "holds", sql="""
         S.delete(c.where("node = 'src8'").select("id"), h.where("released_at IS NULL").select(F.col("context_id").alias("id")), "id"),
     )
 )
-query("CO08_export_sections", "customer", "orders", "documents", sql="""SELECT 'identity' AS section, concat('customer/', c_custkey) AS item FROM {customer} WHERE c_custkey = 7 UNION ALL SELECT 'orders', concat('order/', o_orderkey) FROM {orders} WHERE o_custkey = 7
-    UNION ALL SELECT 'mentions', concat('doc/', doc_id) FROM (SELECT doc_id FROM {documents} WHERE contains(lower(text), 'rerean') ORDER BY doc_id LIMIT 100)""")(
-    lambda c, o, d: (
-        c.where("c_custkey = 7").select(F.lit("identity").alias("section"), F.concat(F.lit("customer/"), "c_custkey").alias("item"))
-        .unionByName(o.where("o_custkey = 7").select(F.lit("orders").alias("section"), F.concat(F.lit("order/"), "o_orderkey").alias("item")))
-        .unionByName(d.where("contains(lower(text), 'rerean')").orderBy("doc_id").limit(100).select(F.lit("mentions").alias("section"), F.concat(F.lit("doc/"), "doc_id").alias("item")))
-    )
-)
 
 _words = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), "[^a-z]+"), lambda w: F.length(w) >= 4))
 query("ME10_memory_search", "memories", sql="""WITH k AS (SELECT id, category, version, list_distinct(list_filter(regexp_split_to_array(lower(content), '[^a-z]+'), lambda w: length(w) >= 4)) AS words FROM {memories}),
@@ -151,9 +134,6 @@ query("WK01_latest", "curated", sql="SELECT slug, audience, max(version) AS vers
 query("WK01_upsert", "curated", sql="SELECT slug, version, body FROM {curated} WHERE NOT (version = 1 AND audience = 0) UNION ALL SELECT slug, version, 'new' FROM {curated} WHERE version = 1 AND audience = 0")(
     lambda w: S.upsert(w, w.where("version = 1 AND audience = 0").withColumn("body", F.lit("new")), "slug", "audience", "version").select("slug", "version", "body")
 )
-query("WK06_schema", "wiki", sql="SELECT doc_id, 'missing section' AS issue FROM {wiki} WHERE NOT contains(body, '## ') UNION ALL SELECT doc_id, 'too long' FROM {wiki} WHERE strlen(body) > 2000")(
-    lambda w: w.select("doc_id", F.explode(F.filter(F.array(F.when(~F.contains("body", F.lit("## ")), "missing section"), F.when(F.octet_length("body") > 2000, "too long")), lambda x: x.isNotNull())).alias("issue"))
-)
 _STALE = f"""SELECT DISTINCT w.slug FROM (SELECT slug, max(curated_at) AS curated_at FROM {{curated}} GROUP BY slug) w JOIN {{citations}} c ON w.slug = c.slug JOIN {{chunks}} k ON c.chunk_id = k.chunk_id JOIN {{contexts}} x ON k.context_id = x.id
     WHERE w.curated_at < TIMESTAMP '{AS_OF}' - INTERVAL '7' DAY AND EXISTS (SELECT 1 FROM {{contexts}} y WHERE y.node = x.node AND y.modified_at > w.curated_at)"""
 query("WK10_stale_pages", "curated", "citations", "chunks", "contexts", sql=_STALE)(
@@ -190,13 +170,6 @@ query("GR23_visual_edges", "entities", "related", sql="""SELECT a.name AS a, b.n
     UNION SELECT least(source_id, target_id), greatest(source_id, target_id), 'cross_ref' FROM {related} WHERE source_id <> target_id""")(
     lambda e, r: G.cooccurrence(e).select("a", "b", F.lit("shared_entity").alias("kind")).unionByName(r.where("source_id <> target_id").select(F.least("source_id", "target_id").alias("a"), F.greatest("source_id", "target_id").alias("b"), F.lit("cross_ref").alias("kind")).distinct())
 )
-query("HD12_reweave", "contexts", "mentions", sql=f"""WITH s AS (SELECT id, round(least((epoch(TIMESTAMP '{AS_OF}') - epoch(modified_at)) / 86400.0 / 30, 1), 4) AS staleness FROM {{contexts}} WHERE id IN (SELECT context_id FROM {{mentions}} WHERE name = 'part/7') OR contains(lower(content), 'rerean'))
-    SELECT id, staleness FROM s WHERE staleness > 0 ORDER BY staleness DESC, id LIMIT 10""")(
-    lambda c, m: (
-        c.where("contains(lower(content), 'rerean')").select("id", "modified_at").unionByName(c.select("id", "modified_at").join(m.where("name = 'part/7'").select(F.col("context_id").alias("id")), "id", "left_semi")).distinct()
-        .select("id", F.round(F.least((F.unix_timestamp(F.lit(AS_OF).cast("timestamp")) - F.unix_timestamp("modified_at")) / 86400.0 / 30, F.lit(1.0)), 4).alias("staleness")).where("staleness > 0").orderBy(F.desc("staleness"), "id").limit(10)
-    )
-)
 
 _AGE = f"epoch(TIMESTAMP '{AS_OF}') - epoch(time) > 86400"
 _MISSING = "(CAST(mode IS NULL AS INT) + CAST(genre IS NULL AS INT) + CAST(signal_type IS NULL AS INT) + CAST(format IS NULL AS INT) + CAST(structure IS NULL AS INT))"
@@ -239,9 +212,6 @@ query("ME25_cited_claims", "claims", sql=f"""WITH l AS (SELECT doc_id, unnest(st
 
 query("SC34_memory_file", "journals", sql="""SELECT doc_id, substr(sha256(concat('decision:2024-01-0', 1 + doc_id % 9, ':Chosen ', doc_id)), 1, 16) AS id, 'decision' AS category, concat('2024-01-0', 1 + doc_id % 9) AS stamp, concat('Chosen ', doc_id) AS content FROM {documents}
     UNION ALL SELECT doc_id, substr(sha256(concat('lesson:later:', trim(text, ' ' || chr(9) || chr(10) || chr(13)))), 1, 16), 'lesson', 'later', trim(text, ' ' || chr(9) || chr(10) || chr(13)) FROM {documents}""")(D.memory_entries)
-query("RT17_ranked_pages", "part", sql="""SELECT p_partkey, CASE WHEN starts_with(p_name, 'red') THEN 2 ELSE 1 END AS score FROM {part} WHERE contains(p_name, 'red') ORDER BY score DESC, p_partkey LIMIT 5""")(
-    lambda p: p.where("contains(p_name, 'red')").select("p_partkey", F.when(F.col("p_name").startswith("red"), 2).otherwise(1).alias("score")).orderBy(F.desc("score"), "p_partkey").limit(5)
-)
 query("RT24_permitted_hits", "contexts", "holds", sql="""SELECT id, sn_ratio AS score FROM {contexts} WHERE id NOT IN (SELECT context_id FROM {holds}) OR id IN (SELECT context_id FROM {holds} WHERE principal IN ('user/3', 'user/7')) ORDER BY score DESC, id LIMIT 25""")(
     lambda c, h: A.top_permitted(c.select("id", F.col("sn_ratio").alias("score")), h.select(F.col("context_id").alias("id"), "principal"), ["user/3", "user/7"], 25)
 )
@@ -252,7 +222,6 @@ query("PL11_confidence", "envelopes", sql=f"SELECT id, (5 - {_MISSING}) / 5.0 AS
 query("GR11_payload", "edges", sql="SELECT 'node' AS kind, count(DISTINCT n) AS n FROM (SELECT source_id AS n FROM {edges} UNION ALL SELECT target_id FROM {edges}) UNION ALL SELECT relation, count(*) FROM {edges} GROUP BY relation")(
     lambda e: G.degrees(e).agg(F.count("*").alias("n")).select(F.lit("node").alias("kind"), "n").unionByName(e.groupBy(F.col("relation").alias("kind")).agg(F.count("*").alias("n")))
 )
-query("SX01_bounded_journal", "signals", sql="SELECT id FROM {signals} ORDER BY time DESC, id DESC LIMIT 100")(lambda s: s.select("id", "time").orderBy(F.desc("time"), F.desc("id")).limit(100).select("id"))
 query("WS02_active_workspaces", "nation", "customer", sql="SELECT n_name AS workspace, count(c_custkey) AS members FROM {nation} LEFT JOIN {customer} ON n_nationkey = c_nationkey WHERE n_regionkey <> 2 GROUP BY n_name")(
     lambda n, c: n.where("n_regionkey <> 2").join(c.groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count("*").alias("members")), "n_nationkey", "left").select(F.col("n_name").alias("workspace"), F.coalesce("members", F.lit(0)).alias("members"))
 )

@@ -59,16 +59,9 @@ query("PL03_paragraphs", "wiki", sql="""WITH p AS (SELECT doc_id, unnest(regexp_
     .select("doc_id", F.posexplode("sizes").alias("paragraph", "length"), "sizes")
     .select("doc_id", "paragraph", "length", F.aggregate(F.slice("sizes", F.lit(1), F.col("paragraph")), F.lit(0).cast("long"), lambda a, x: a + x + 2).alias("start"))
 )
-query("PL13_entities", "documents", sql="""WITH k AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(lower(text), 'àâäáãåçéèêëíìîïñóòôöõúùûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[^a-z0-9ß]+'), lambda x: x <> '') AS t FROM {documents})
-    SELECT doc_id, name FROM k, (VALUES ('hation'), ('rerean'), ('license'), ('apache')) n(name) WHERE list_contains(t, name)""")(
-    lambda d: d.select("doc_id", F.explode(F.array_intersect(terms(F.col("text")), F.array(*map(F.lit, ["hation", "rerean", "license", "apache"])))).alias("name"))
-)
 query("GR04_related_contexts", "edges", sql="SELECT DISTINCT source_id AS id FROM {edges} WHERE target_id = 'part/119' AND relation = 'mentioned_in'")(
     lambda e: e.where("target_id = 'part/119' AND relation = 'mentioned_in'").select(F.col("source_id").alias("id")).distinct()
 )
 query("GR10_entity_context", "edges", sql="SELECT relation, count(*) AS n, min(source_id) AS first_source, max(target_id) AS last_target FROM {edges} WHERE contains(source_id, 'part/11') OR contains(target_id, 'part/11') GROUP BY relation")(
     lambda e: e.where(F.col("source_id").contains("part/11") | F.col("target_id").contains("part/11")).groupBy("relation").agg(F.count("*").alias("n"), F.min("source_id").alias("first_source"), F.max("target_id").alias("last_target"))
 )
-query("CO08_subject_export", "contexts", sql="SELECT id, node, modified_at FROM {contexts} WHERE contains(lower(content), 'hation') ORDER BY modified_at, id LIMIT 100")(
-    lambda c: c.where(F.lower("content").contains("hation")).select("id", "node", "modified_at").orderBy("modified_at", "id").limit(100)
-)

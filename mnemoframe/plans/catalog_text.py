@@ -66,8 +66,4 @@ query("PL10_density", "documents", sql="""WITH t AS (SELECT doc_id, text, list_f
 query("PL18_gate", "contexts", sql="SELECT id, CASE WHEN sn_ratio < 0.3 THEN 'reject' WHEN sn_ratio < 0.6 THEN 'quarantine' ELSE 'accept' END AS verdict FROM {contexts}")(lambda c: c.select("id", P.gate(F.col("sn_ratio")).alias("verdict")))
 query("PL04_windows", "documents", sql="""WITH p AS (SELECT doc_id, unnest(regexp_split_to_array(text, '\\n+')) AS body, generate_subscripts(regexp_split_to_array(text, '\\n+'), 1) - 1 AS paragraph FROM {documents}), s AS (SELECT doc_id, paragraph, strlen(body) AS size FROM p WHERE body <> ''),
     w AS (SELECT doc_id, paragraph, size, unnest(range(0, greatest(CAST(ceil((size - 256) / 1792.0) AS BIGINT), 1))) AS chunk FROM s) SELECT doc_id, paragraph, chunk, chunk * 1792 AS start, least(2048, size - chunk * 1792) AS length FROM w""")(P.windows)
-query("PL17_route", "seeded", sql="""WITH c AS (SELECT doc_id, text, @T AS signal_type FROM {seeded}), r(field, pattern, destination) AS (VALUES ('signal_type', 'decide', 'leads'), ('content', 'invoice', 'finance'), ('content', 'budget', 'finance'), ('signal_type', 'commit', 'team'))
-    SELECT DISTINCT doc_id, coalesce(destination, 'inbox') AS destination FROM c LEFT JOIN r ON (field = 'signal_type' AND signal_type = pattern) OR (field = 'content' AND contains(lower(text), pattern))""".replace("@T", _case(P.TYPES, "inform")))(
-    lambda d: P.route(P.classify(d), d.sparkSession.createDataFrame([("signal_type", "decide", "leads"), ("content", "invoice", "finance"), ("content", "budget", "finance"), ("signal_type", "commit", "team")], "field string, pattern string, destination string"))
-)
 query("CL01_greedy_clusters", "embeddings")(P.greedy_clusters)

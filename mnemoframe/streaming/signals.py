@@ -65,3 +65,27 @@ def journal(signals: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Append signals to Parquet, a folder for each day, until what has arrived is written; exactly once, from ``checkpoint`` on."""
     daily = signals.withColumn("day", F.to_date("time"))
     return daily.writeStream.partitionBy("day").format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def bounded_journals(signals: DataFrame, max_size: int, key: str = "agent", late: str = "10 minutes") -> DataFrame:
+    """``(key, id, recorded)`` as a stream: what enters each key's journal, and what leaves it.
+
+    A full journal gives up its oldest tenth (one at least) before it records
+    the next signal.  The state of a key is the ids that it holds, in order:
+    ``max_size`` at most.  Signals of one micro-batch are recorded in order of
+    time, then id; a repeated id is a recording of its own.
+    """
+    tenth = max(1, max_size // 10)
+
+    def run(name: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = list(state.get[0]) if state.exists else []
+        # A key's share of a micro-batch arrives in pieces; ids and times alone are put in order.
+        for _, i in sorted((t, i) for pdf in batches for t, i in zip(pdf["time"], pdf["id"], strict=True)):
+            gone = []
+            if len(held) >= max_size:
+                gone, held = held[:tenth], held[tenth:]
+            held.append(i)
+            yield pd.DataFrame({"journal": [name[0]] * (len(gone) + 1), "id": [*gone, i], "recorded": [False] * len(gone) + [True]})
+        state.update((held,))
+
+    return _timed(signals, late).groupBy(key).applyInPandasWithState(run, "journal string, id long, recorded boolean", "held array<long>", "append", GroupStateTimeout.NoTimeout)
