@@ -1,5 +1,7 @@
 """Text expressions shared by operators: JVM-side columns, no Python in tasks."""
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -36,11 +38,27 @@ def token_estimate(text: Column) -> Column:
     return F.floor(F.length(text) / 4)
 
 
-def first_match(text: Column, rules: list[tuple[str, str]], default: str) -> Column:
-    """The label of the first rule whose pattern a text matches."""
+def required(pattern: str) -> list[str] | None:
+    """Lower-case strings of which a text must hold one to match, if that can be told from the pattern: one of each alternative."""
+    plain = re.sub(r"^\(\?[a-z]+\)", "", pattern)
+    if re.search(r"[()\[\]{}$^?]|(?<![\\.])[*+]", re.sub(r"\\[bsdwnt][+*?]?|\.[+*?]?", "", plain)):
+        return None
+    found = [max(re.split(r"\\[bsdwnt][+*?]?|\.[+*?]?", part), key=len).lower() for part in plain.split("|")]
+    return found if all(len(x) > 1 for x in found) else None
+
+
+def first_match(text: Column, rules: list[tuple[str, str]], default: str, lower: Column | None = None) -> Column:
+    """The label of the first rule whose pattern a text matches.
+
+    A rule's strings are looked for first, in ``lower``, the text in lower
+    case, so that patterns are only tried on the few texts that can match.
+    """
+    lower = F.lower(text) if lower is None else lower
     label = None
     for name, pattern in rules:
-        found = text.rlike(ascii_borders(pattern))
+        found, words = text.rlike(ascii_borders(pattern)), required(pattern)
+        if words:
+            found = occurs(lower, words) & found
         label = F.when(found, name) if label is None else label.when(found, name)
     return label.otherwise(default)
 

@@ -53,8 +53,10 @@ def inventory(contexts: DataFrame) -> DataFrame:
     """One row with the store's structure as a text: a line for each node, with its types' counts."""
     counts = contexts.groupBy("node", "type").agg(F.count("*").alias("n"))
     parts = counts.groupBy("node").agg(F.sum("n").alias("n"), F.concat_ws(", ", F.sort_array(F.collect_list(F.concat("type", F.lit(" "), F.col("n").cast("string"))))).alias("types"))
-    line = F.concat(F.lit("- "), "node", F.lit(" ("), F.col("n").cast("string"), F.lit("): "), "types")
-    text = F.concat_ws("\n", F.sort_array(F.collect_list(line)))
+    line = F.concat(F.lit("- "), "node", F.lit(" ("), F.col("n").cast("string"), F.lit("): "), "types").alias("line")
+    # Each line takes several characters, so more lines than characters are never part of the text.
+    parts = parts.select(line).where("line IS NOT NULL").orderBy("line").limit(4 * TIER_TOKENS["l0"])
+    text = F.concat_ws("\n", F.sort_array(F.collect_list("line")))
     return parts.agg(F.concat(F.lit("# Inventory\n"), text).alias("text")).select(F.substring("text", 1, 4 * TIER_TOKENS["l0"]).alias("text"))
 
 
@@ -63,7 +65,7 @@ def tiers(hits: DataFrame, contexts: DataFrame) -> DataFrame:
 
     ``hits (id, score)`` is a bounded list; only its contexts' texts are read.
     """
-    texts = contexts.join(F.broadcast(hits), "id").select("id", "score", "content")
+    texts = contexts.join(hits, "id").select("id", "score", "content")
     l1 = within(texts.select("id", "score", summary(F.col("content")).alias("text")), TIER_TOKENS["l1"])
     best = texts.orderBy(F.desc("score"), "id").limit(DEEP_TEXTS).select("id", "score", F.col("content").alias("text"))
     l2 = within(best, TIER_TOKENS["l2"])
@@ -80,7 +82,7 @@ def top_permitted(hits: DataFrame, grants: DataFrame, principals: list[str], lim
 
 def grep(hits: DataFrame, chunks: DataFrame, query: str, limit: int = 10, intent: str | None = None) -> DataFrame:
     """``(chunk_id, score, snippet)``: chunks of the hits, at most CHUNKS_OF_A_CONTEXT each, weighted by their scale."""
-    found = chunks.join(F.broadcast(hits.select(F.col("id").alias("context_id"), "score")), "context_id")
+    found = chunks.join(hits.select(F.col("id").alias("context_id"), "score"), "context_id")
     found = found.withColumn("r", F.row_number().over(Window.partitionBy("context_id").orderBy("idx", "scale"))).where(F.col("r") <= CHUNKS_OF_A_CONTEXT)
     if intent is not None:
         found = found.where(F.col("intent") == intent)

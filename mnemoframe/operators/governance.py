@@ -60,23 +60,36 @@ def find_pii(text: str | None) -> list[tuple[str, int, int]]:
 PLAIN_KINDS = ("email", "ssn", "ipv4", "url")
 
 
+def may_hold(text: Column, kind: str) -> Column:
+    """A cheap test that no text fails which holds personal data of a kind."""
+    return {"email": text.contains("@"), "url": text.contains("://"), "ipv4": text.rlike(r"[0-9]\.[0-9]"), "ssn": text.rlike("[0-9]-[0-9]")}.get(kind, text.rlike("[0-9]"))
+
+
+def _suspects(docs: DataFrame, text_column: str) -> Column:
+    """Rows whose texts have to be read in Python."""
+    text, found = F.coalesce(F.col(text_column).cast("string"), F.lit("")), F.lit(False)
+    for kind in PII:
+        found = found | may_hold(text, kind)
+    return found
+
+
 def pii_counts(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``(doc_id, kind, n)``: matches of the plain kinds in each text that has any; built-in expressions only."""
     text = F.coalesce(F.col(text_column), F.lit(""))
-    counts = F.array(*(F.struct(F.lit(kind).alias("kind"), F.size(F.regexp_extract_all(text, F.lit(f"({ascii_borders(PII[kind])})"), F.lit(1))).cast("long").alias("n")) for kind in PLAIN_KINDS))
+    counts = F.array(*(F.struct(F.lit(kind).alias("kind"), F.when(may_hold(text, kind), F.size(F.regexp_extract_all(text, F.lit(f"({ascii_borders(PII[kind])})"), F.lit(1)))).otherwise(0).cast("long").alias("n")) for kind in PLAIN_KINDS))
     found = docs.select(F.col(id_column).alias("doc_id"), F.explode(F.filter(counts, lambda x: x["n"] > 0)).alias("x"))
     return found.select("doc_id", "x.kind", "x.n")
 
 
 def scan_pii(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """A row for each match.  Texts are read in Arrow batches; a null text has none."""
+    """A row for each match.  Texts that may hold one are read in Arrow batches; a null text has none."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = [(i, *m) for i, text in zip(pdf["id"], pdf["text"], strict=True) for m in find_pii(text)]
             yield pd.DataFrame(rows, columns=["doc_id", "kind", "offset", "length"])
 
-    return docs.selectExpr(f"{id_column} AS id", f"{text_column} AS text").mapInPandas(run, "doc_id long, kind string, offset long, length long")
+    return docs.where(_suspects(docs, text_column)).selectExpr(f"{id_column} AS id", f"{text_column} AS text").mapInPandas(run, "doc_id long, kind string, offset long, length long")
 
 
 def redact_text(text: str | None, strategy: str = "placeholder") -> str | None:
@@ -95,16 +108,24 @@ def redact_text(text: str | None, strategy: str = "placeholder") -> str | None:
 
 
 def redacted(docs: DataFrame, strategy: str = "placeholder", text_column: str = "text") -> DataFrame:
+    """``docs`` with a column ``redacted``; texts that can't hold personal data pass as they are, without Python."""
     apply = F.pandas_udf(lambda s: s.map(lambda t: redact_text(t, strategy)), StringType())
-    return docs.withColumn("redacted", apply(F.col(text_column)))
+    suspect = _suspects(docs, text_column)
+    return docs.where(suspect).withColumn("redacted", apply(F.col(text_column))).unionByName(docs.where(~suspect).withColumn("redacted", F.col(text_column)))
 
 
 def retention(contexts: DataFrame, policies: DataFrame, holds: DataFrame, as_of: str) -> DataFrame:
-    """What a sweep does to each context that a (bounded) policy's scope covers and that is older than its days: the action, or ``held``."""
-    scope = (F.col("scope") == "global") | ((F.col("scope") == "node") & (F.col("value") == F.col("node"))) | ((F.col("scope") == "genre") & (F.col("value") == F.col("genre")))
-    due = contexts.join(F.broadcast(policies), scope & (F.col("modified_at") < F.lit(as_of).cast("timestamp") - F.make_interval(days=F.col("days"))))
+    """What a sweep does to each context that a policy's scope covers and that is older than its days: the action, or ``held``.
+
+    ``policies (policy, scope, value, days, action)`` are a short table: they
+    meet the contexts as one row.
+    """
+    listed = policies.agg(F.collect_list(F.struct("policy", "scope", "value", "days", "action")).alias("policies"))
+    covers = lambda p: F.coalesce((p["scope"] == "global") | ((p["scope"] == "node") & (p["value"] == F.col("node"))) | ((p["scope"] == "genre") & (p["value"] == F.col("genre"))), F.lit(False))
+    old = lambda p: F.coalesce(F.col("modified_at") < F.lit(as_of).cast("timestamp") - F.make_interval(days=p["days"]), F.lit(False))
+    due = contexts.crossJoin(F.broadcast(listed)).select("id", F.explode(F.filter("policies", lambda p: covers(p) & old(p))).alias("p"))
     held = holds.select("id").distinct().withColumn("held", F.lit(True))
-    return due.join(held, "id", "left").select("id", "policy", F.when(F.col("held"), "held").otherwise(F.col("action")).alias("action"))
+    return due.join(held, "id", "left").select("id", "p.policy", F.when(F.col("held"), "held").otherwise(F.col("p.action")).alias("action"))
 
 
 def erased(name: Column) -> Column:

@@ -58,6 +58,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def open_triangles(edges: DataFrame) -> DataFrame:
     """Pairs of targets of one source that no edge joins in either direction."""
+    edges = checkpointed(edges.select("source_id", "target_id").distinct())
     one = edges.select("source_id", F.col("target_id").alias("b")).distinct()
     pairs = one.join(one.select("source_id", F.col("b").alias("c")), "source_id").where("b < c")
     joined = edges.select(F.least("source_id", "target_id").alias("b"), F.greatest("source_id", "target_id").alias("c")).distinct()

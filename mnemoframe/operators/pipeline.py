@@ -56,8 +56,9 @@ WINDOW_BYTES, OVERLAP_BYTES = 2048, 256
 
 def classify(docs: DataFrame, text: str = "text") -> DataFrame:
     """Adds genre, mode and signal type."""
-    t = F.col(text)
-    return docs.withColumns({"genre": first_match(t, GENRES, "note"), "mode": first_match(t, MODES, "linguistic"), "signal_type": first_match(t, TYPES, "inform")})
+    t, lower = F.col(text), F.col("_lower")
+    found = {"genre": first_match(t, GENRES, "note", lower), "mode": first_match(t, MODES, "linguistic", lower), "signal_type": first_match(t, TYPES, "inform", lower)}
+    return docs.withColumn("_lower", F.lower(t)).withColumns(found).drop("_lower")
 
 
 def intent(text: Column) -> Column:

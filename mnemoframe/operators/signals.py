@@ -75,25 +75,33 @@ def percentiles(samples: DataFrame, key: str, value: str, order: str, last: int
     return held.select(key, at(0.5).alias("p50"), at(0.95).alias("p95"), at(0.99).alias("p99"))
 
 
-def _in_time_order(events: DataFrame, key: list[str], step: Callable) -> DataFrame:
+def _in_time_order(events: DataFrame, key: list[str], step: Callable, silence: float) -> DataFrame:
     """``(id, allowed)``, where ``step(state, time)`` gives a key's next state and whether the event is allowed.
 
-    A key's events arrive in order in Arrow batches of bounded size; nothing
-    but the state of the key at hand is held, however many events it has.
+    After ``silence`` seconds without an event a key starts afresh, so its
+    events fall into pieces that don't depend on each other.  Pieces are told
+    from the slots of that length which hold events: an empty slot between
+    two is such a silence.  A piece's events arrive in order in Arrow batches
+    of bounded size; nothing but its state is held, however many they are.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at, state = None, None
         for pdf in batches:
             out = []
-            for *own, t in zip(*(pdf[k] for k in key), pdf["time"], strict=True):
+            for own, t in zip(pdf["piece"], pdf["time"], strict=True):
                 if own != at:
                     at, state = own, None
                 state, ok = step(state, t)
                 out.append(ok)
             yield pdf[["id"]].assign(allowed=out)
 
-    ordered = events.select("id", "time", *key).repartition(*key).sortWithinPartitions(*key, "time", "id")
+    slotted = events.select("id", "time", F.struct(*key).alias("key"), F.floor(F.unix_micros(F.col("time").cast("timestamp")) / F.lit(silence * 1e6)).alias("slot"))
+    slots = slotted.select("key", "slot").distinct()
+    by_slot = Window.partitionBy("key").orderBy("slot")
+    pieces = slots.withColumn("new", F.coalesce((F.col("slot") - F.lag("slot").over(by_slot) > 1).cast("int"), F.lit(0))).select("key", "slot", F.sum("new").over(by_slot).alias("n"))
+    placed = slotted.join(pieces, ["key", "slot"]).withColumn("piece", F.to_json(F.struct("key", "n")))
+    ordered = placed.select("id", "time", "piece").repartition("piece").sortWithinPartitions("piece", "time", "id")
     return ordered.mapInPandas(run, "id long, allowed boolean")
 
 
@@ -104,7 +112,7 @@ def cooled_down(events: DataFrame, key: list[str], seconds: int = 3600) -> DataF
         ok = last is None or (t - last).total_seconds() >= seconds
         return (t if ok else last), ok
 
-    return _in_time_order(events, key, step).where("allowed").select("id")
+    return _in_time_order(events, key, step, seconds).where("allowed").select("id")
 
 
 def rate_limited(events: DataFrame, key: str, capacity: float, per_second: float) -> DataFrame:
@@ -116,7 +124,8 @@ def rate_limited(events: DataFrame, key: str, capacity: float, per_second: float
         ok = tokens >= 1
         return (t, tokens - 1 if ok else tokens), ok
 
-    return _in_time_order(events, [key], step)
+    # A bucket is full again after so long a silence, whatever was in it.
+    return _in_time_order(events, [key], step, capacity / per_second)
 
 
 # What a segment of a signal's type says of genre and structure, and its last one of the action.
@@ -169,21 +178,26 @@ def subscribed(signals: DataFrame, patterns: list[str]) -> DataFrame:
 def surfaced(pages: DataFrame, subscriptions: DataFrame, least: float = 0.5) -> DataFrame:
     """``(id, subscription, score)`` of pages ``(id, slug, body, audience)`` that reach a subscription ``(subscription, scope, value)``.
 
-    Subscriptions are a bounded table and go to every task; each page meets
-    each of them, which is what the score asks for.
+    Subscriptions are a short table and meet the pages as one row; only those
+    that a page reaches become rows of their own.
     """
-    topic = F.lower("value")
-    score = (
-        F.when(F.col("scope") == "workspace", 1.0)
-        .when((F.col("scope") == "node") & F.contains("slug", "value"), 1.0)
-        .when((F.col("scope") == "topic") & (topic != "") & F.contains("slug", topic), 1.0)
-        .when((F.col("scope") == "topic") & (topic != "") & F.contains(F.lower("body"), topic), 0.7)
-        .when((F.col("scope") == "audience") & (F.coalesce("audience", F.lit("default")) == F.col("value")), 1.0)
-        .otherwise(0.0)
-    )
-    rows = [tuple(r) for r in subscriptions.select("subscription", "scope", "value").collect()]
-    each = F.explode(F.array(*(F.struct(F.lit(s).alias("subscription"), F.lit(k).alias("scope"), F.lit(v).alias("value")) for s, k, v in rows)))
-    return pages.withColumn("to", each).select("*", "to.*").select("id", "subscription", score.alias("score")).where(F.col("score") >= least)
+    listed = subscriptions.agg(F.collect_list(F.struct("subscription", "scope", "value")).alias("_subscriptions"))
+    lower_body = F.lower("body")
+
+    def score(s: Column) -> Column:
+        topic = F.lower(s["value"])
+        return (
+            F.when(s["scope"] == "workspace", 1.0)
+            .when((s["scope"] == "node") & F.contains("slug", s["value"]), 1.0)
+            .when((s["scope"] == "topic") & (topic != "") & F.contains("slug", topic), 1.0)
+            .when((s["scope"] == "topic") & (topic != "") & F.contains(lower_body, topic), 0.7)
+            .when((s["scope"] == "audience") & (F.coalesce("audience", F.lit("default")) == s["value"]), 1.0)
+            .otherwise(0.0)
+        )
+
+    scored = F.transform("_subscriptions", lambda s: F.struct(s["subscription"].alias("subscription"), score(s).alias("score")))
+    met = pages.crossJoin(F.broadcast(listed)).select("id", F.explode(F.filter(scored, lambda s: s["score"] >= least)).alias("s"))
+    return met.select("id", "s.subscription", "s.score")
 
 
 def journal_kept(signals: DataFrame, max_size: int, key: str = "agent") -> DataFrame:
