@@ -153,3 +153,8 @@ def cluster_table(members: DataFrame, vectors: DataFrame) -> DataFrame:
     sized = members.groupBy("label", "cluster").agg(F.count("*").alias("members"))
     named = _means(vectors.select("vec_id", "label", "embedding"), both.select("vec_id", F.col("cluster").alias("centroid_id")))
     return sized.join(named.select(F.col("centroid_id").alias("cluster"), "centroid"), "cluster").select("label", "cluster", "members", "centroid")
+
+
+def clusters_of(chunks: DataFrame, members: DataFrame, table: DataFrame) -> DataFrame:
+    """``(vec_id, cluster, members)``: the cluster of each asked chunk ``(vec_id)`` and its size; chunks in no cluster are left out."""
+    return chunks.select("vec_id").distinct().join(members.select("vec_id", "cluster"), "vec_id").join(table.select("cluster", "members"), "cluster").select("vec_id", "cluster", "members")

@@ -91,3 +91,41 @@ def category(slug: Column, body: Column) -> Column:
                 found = found | text.contains(w)
         out = F.when(found, name) if out is None else out.when(found, name)
     return out.otherwise("unassigned")
+
+
+#: Attributes that a converted event has in its own right, and those that become extensions (fixed values).
+ATTRIBUTES = ["specversion", "id", "source", "type", "time", "subject", "data", "datacontenttype", "dataschema"]
+EXTENSIONS = ["mode", "genre", "signal_type", "format", "structure", "sn_ratio", "parent_id", "correlation_id"]
+SPECVERSION, CONTENT_TYPE = "1.0.2", "application/json"
+
+
+def to_events(signals: DataFrame, prefix: str = "sig") -> DataFrame:
+    """``(id, event)``: each signal as the JSON of an event; nulls are left out.
+
+    Columns of EXTENSIONS are named with the prefix, ``time`` is an ISO
+    instant in UTC.  Columns that a table lacks are left out.
+    """
+    there = set(signals.columns)
+    own = [(F.date_format(F.to_utc_timestamp(F.col("time").cast("timestamp"), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'") if c == "time" else F.col(c).cast("string") if c == "id" else F.col(c)).alias(c) for c in ATTRIBUTES if c in there]
+    more = [F.col(c).alias(f"{prefix}_{c}") for c in EXTENSIONS if c in there]
+    return signals.select("id", F.to_json(F.struct(*own, *more)).alias("event"))
+
+
+def from_events(events: DataFrame, prefix: str = "sig") -> DataFrame:
+    """Signals ``(id, error, ...)`` from a column ``event`` of JSON: ATTRIBUTES and EXTENSIONS as text, ``sn_ratio`` as a number.
+
+    A missing version or content type gets its default; dimensions beyond the
+    allowed values become null.  ``error`` names the first required attribute
+    that is missing or empty (id, source, type), or says ``not an object``.
+    """
+    shape = ", ".join([*(f"`{c}` string" for c in ATTRIBUTES), *(f"`{prefix}_{c}` {'double' if c == 'sn_ratio' else 'string'}" for c in EXTENSIONS)])
+    read = events.select(F.from_json("event", shape, {"mode": "PERMISSIVE"}).alias("e"), F.substring(F.ltrim("event"), 1, 1).alias("opened"))
+    allowed = {"mode": MODES, "signal_type": TYPES}
+    value = lambda c: F.col(f"e.{prefix}_{c}")
+    columns = {c: F.col(f"e.{c}") for c in ATTRIBUTES} | {c: F.when(value(c).isin(allowed[c]), value(c)) if c in allowed else value(c) for c in EXTENSIONS}
+    columns["specversion"], columns["datacontenttype"] = F.coalesce(columns["specversion"], F.lit(SPECVERSION)), F.coalesce(columns["datacontenttype"], F.lit(CONTENT_TYPE))
+    columns["time"] = F.try_to_timestamp(columns["time"])
+    missing = F.when(F.coalesce(F.col("opened"), F.lit("")) != "{", "not an object")
+    for c in ("id", "source", "type"):
+        missing = missing.when(F.coalesce(columns[c], F.lit("")) == "", f"{c} is required")
+    return read.select(*(v.alias(c) for c, v in columns.items()), missing.alias("error"))

@@ -195,3 +195,36 @@ def greedy_clusters(vectors: DataFrame, threshold: float = 0.65) -> DataFrame:
 
     ordered = vectors.repartition("label").sortWithinPartitions("label", "vec_id").select("label", "vec_id", "embedding")
     return ordered.mapInPandas(run, "vec_id long, label int, cluster int")
+
+
+def context_type(path: Column, content: Column, signal_folders: list[str]) -> Column:
+    """``memory``, ``skill``, ``signal`` or ``resource``: by folder, then by front matter with ``signal`` or ``node``, then Markdown under ``signal_folders``."""
+    where = F.coalesce(path, F.lit(""))
+    block = F.regexp_extract(F.coalesce(content, F.lit("")), r"(?s)\A---\r?\n(.*?)\r?\n---(?:\r?\n|\z)", 1)
+    inside = F.lit(False)
+    for folder in signal_folders:
+        inside = inside | where.contains(folder)
+    return (
+        F.when(where.contains("_memories/"), "memory")
+        .when(where.contains("_skills/"), "skill")
+        .when(block.rlike(r"(?m)^(signal|node)[ \t]*:"), "signal")
+        .when(where.endswith(".md") & inside, "signal")
+        .otherwise("resource")
+    )
+
+
+def with_skeleton(docs: DataFrame, skeletons: DataFrame, fallback: str = "note", text_column: str = "text") -> DataFrame:
+    """``docs`` with a column ``structured``: the text under the first section of its ``genre``, the other sections empty with their hints.
+
+    ``skeletons`` has ``(genre, place, name, hint)``, a short table that meets
+    the texts as one row.  A genre without sections takes those of
+    ``fallback``; without these too, the text stays alone.
+    """
+    by_genre = skeletons.groupBy("genre").agg(F.array_sort(F.collect_list(F.struct("place", "name", F.coalesce("hint", F.lit("")).alias("hint")))).alias("sections"))
+    listed = by_genre.agg(F.map_from_entries(F.collect_list(F.struct("genre", "sections"))).alias("_skeletons"))
+    own = F.coalesce(F.try_element_at("_skeletons", F.coalesce("genre", F.lit(fallback))), F.try_element_at("_skeletons", F.lit(fallback)))
+    content = F.regexp_replace(F.coalesce(F.col(text_column), F.lit("")), r"^\s+|\s+$", "")
+    hint = lambda s: F.when(s["hint"] != "", F.concat(F.lit("<!-- "), s["hint"], F.lit(" -->\n\n"))).otherwise("")
+    blocks = F.transform("_own", lambda s, i: F.concat(F.lit("## "), s["name"], F.lit("\n\n"), F.when(i == 0, F.concat(content, F.lit("\n\n"))).otherwise(hint(s))))
+    met = docs.crossJoin(F.broadcast(listed)).withColumn("_own", own)
+    return met.withColumn("structured", F.when(F.col("_own").isNull(), content).otherwise(F.array_join(blocks, ""))).drop("_own", "_skeletons")

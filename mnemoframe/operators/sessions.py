@@ -104,3 +104,57 @@ def extracted_memories(messages: DataFrame, people: list[str], session: str = "c
     place = F.row_number().over(Window.partitionBy("session").orderBy("m.rank", "m.at", "m.n", "m.content"))
     ranked = kept.withColumn("place", place).where(F.col("place") <= MEMORIES)
     return ranked.select(F.col("session").alias(session), "place", "m.category", "m.content", "m.confidence", "m.entities")
+
+
+#: Words of a sentence that corrects something (fixed values).
+CORRECTIONS = ["no not", "actually", "wrong", "should have", "instead", "not that", "mistake"]
+FRICTIONS, FRICTION_CONFIDENCE = 20, 0.5
+
+
+def frictions(signals: DataFrame, documents: int = 50, most: int = FRICTIONS) -> DataFrame:
+    """``(id, n, content, confidence)``: sentences that correct something in the newest signals ``(id, content, modified_at)``.
+
+    Only the ``documents`` newest with a content are read, ties by id; of their
+    sentences the first ``most`` are returned, newest signals first.
+    """
+    newest = signals.where("content <> ''").orderBy(F.desc("modified_at"), "id").limit(documents)
+    said = newest.select("id", "modified_at", F.posexplode(sentences(F.col("content"))).alias("n", "content"))
+    found = said.where(occurs(F.lower("content"), CORRECTIONS)).orderBy(F.desc("modified_at"), "id", "n").limit(most)
+    return found.select("id", "n", "content", F.lit(FRICTION_CONFIDENCE).alias("confidence"))
+
+
+#: Confidence that a topic's observations have to add up to, confidence of those that are patterns, and patterns shown (fixed values).
+ENOUGH, SURE, PATTERNS = 1.5, 0.7, 5
+
+
+def rethought(observations: DataFrame, topics: DataFrame) -> DataFrame:
+    """``(topic, status, observations, total_confidence, summary, patterns)`` of each topic by what was observed of it.
+
+    An observation ``(id, category, content, confidence)`` belongs to a topic
+    that is its category or stands in its content.  With less than ENOUGH
+    confidence in all the status is ``insufficient_evidence``, without summary
+    and patterns; else ``synthesized``, with the number of observations by
+    category and the contents of the first PATTERNS sure ones, best first,
+    ties by id.  The topics are a short table and meet the observations as
+    one row; topics that nothing belongs to have no evidence.
+    """
+    listed = topics.agg(F.collect_set("topic").alias("topics"))
+    belongs = F.filter("topics", lambda t: F.coalesce(F.col("category") == t, F.lit(False)) | F.coalesce(F.contains("content", t), F.lit(False)))
+    seen = observations.crossJoin(F.broadcast(listed)).select("id", "category", "content", "confidence", F.explode(belongs).alias("topic"))
+    counts = seen.groupBy("topic", "category").agg(F.count("*").alias("n"), F.sum("confidence").alias("c"))
+    part = F.concat(F.col("n").cast("string"), F.lit(" "), F.coalesce("category", F.lit("")), F.lit(" observations"))
+    totals = counts.groupBy("topic").agg(F.sum("n").alias("observations"), F.round(F.sum("c"), 2).alias("total"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("category", part.alias("part")))), lambda p: p["part"]), ", ").alias("parts"))
+    first = Window.partitionBy("topic").orderBy(F.desc("confidence"), "id")
+    sure = seen.where(F.col("confidence") >= SURE).withColumn("r", F.row_number().over(first)).where(F.col("r") <= PATTERNS)
+    patterns = sure.groupBy("topic").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "content"))), lambda p: p["content"]).alias("patterns"))
+    rows = topics.select("topic").distinct().join(totals, "topic", "left").join(patterns, "topic", "left")
+    total, enough = F.coalesce("total", F.lit(0.0)), F.coalesce(F.col("total") >= ENOUGH, F.lit(False))
+    summary = F.concat(F.lit('Rethink on "'), "topic", F.lit('": '), "parts", F.lit(". Total confidence: "), F.col("total").cast("string"), F.lit("."))
+    return rows.select(
+        "topic",
+        F.when(enough, "synthesized").otherwise("insufficient_evidence").alias("status"),
+        F.coalesce("observations", F.lit(0)).alias("observations"),
+        total.alias("total_confidence"),
+        F.when(enough, summary).alias("summary"),
+        F.when(enough, F.coalesce("patterns", F.array().cast("array<string>"))).alias("patterns"),
+    )

@@ -109,3 +109,24 @@ def overlap(a: Column, b: Column) -> Column:
     """Size of the intersection over that of the union of two arrays; 0 where both are empty."""
     union = F.size(F.array_union(a, b))
     return F.when(union > 0, F.size(F.array_intersect(a, b)) / union).otherwise(0.0)
+
+
+def sampled(rows: DataFrame, n: int, seed: int = 0, key: str = "id") -> DataFrame:
+    """``n`` rows drawn by a seeded hash of their key: the same for a seed wherever and however the table lies.
+
+    Equal keys go by the whole row.  No more than ``n`` rows of a task are
+    sorted together.
+    """
+    return rows.orderBy(F.xxhash64(F.lit(seed), F.col(key)), key).limit(n)
+
+
+def collection_to_json(rows: DataFrame, collection: str = "collection", key: str = "key") -> DataFrame:
+    """``(collection, key, json)``: each entry of a key-value store as a line of JSON, all its columns by name."""
+    return rows.select(collection, key, F.to_json(F.struct(*(F.col(c) for c in sorted(rows.columns)))).alias("json"))
+
+
+def collection_from_json(lines: DataFrame, schema: str, json: str = "json") -> tuple[DataFrame, DataFrame]:
+    """Entries of ``schema`` from lines of JSON, and the lines that don't hold one."""
+    read = lines.select(json, F.from_json(json, f"{schema}, _bad string", {"columnNameOfCorruptRecord": "_bad"}).alias("_e"))
+    wrong = F.col("_e").isNull() | F.col("_e._bad").isNotNull()
+    return read.where(~wrong).select("_e.*").drop("_bad"), read.where(wrong).select(json)

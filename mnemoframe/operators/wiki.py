@@ -166,3 +166,34 @@ def curated(pages: DataFrame, citations: DataFrame) -> DataFrame:
     kept = F.when(F.coalesce("body", F.lit("")).rlike(r"(?i)\n##\s+New signals\s*\n"), rest).otherwise(F.coalesce("body", F.lit("")))
     body = F.concat(F.regexp_replace(F.concat(kept, F.lit("\n\n## New signals\n\n"), "lines"), r"\s+\z", ""), F.lit("\n"))
     return pages.join(listed, "slug").select("slug", (F.col("version") + 1).alias("version"), body.alias("body"), F.concat(F.lit("deterministic:"), F.col("audience").cast("string")).alias("curated_by"))
+
+
+def page_fields(files: DataFrame, text: str = "text") -> DataFrame:
+    """``files`` with ``frontmatter`` (a map of text), ``slug``, ``audience``, ``version`` and ``body`` read from a page file.
+
+    Front matter stands between a first line ``---`` and the next one, as
+    ``key: value`` lines, the first of a key counting; without it the whole
+    text is the body.  A missing audience is ``default``, a version that isn't
+    a whole number 1; a missing slug is null.
+    """
+    pattern = r"(?s)\A---\r?\n(.*?)\r?\n---\r?\n?(.*)\z"
+    content = F.coalesce(F.col(text), F.lit(""))
+    found = content.rlike(pattern)
+    lines = F.filter(F.split(F.regexp_extract(content, pattern, 1), r"\r?\n"), lambda x: x.contains(":"))
+    pairs = F.transform(lines, lambda x: F.struct(F.trim(F.regexp_extract(x, r"^([^:]*):", 1)).alias("key"), F.trim(F.regexp_replace(x, r"^[^:]*:", "")).alias("value")))
+    first = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, F.lit(1), i), lambda q: q["key"] == p["key"]))
+    meta = F.when(found, F.map_from_entries(first)).otherwise(F.create_map().cast("map<string,string>"))
+    named = files.withColumn("frontmatter", meta)
+    value = lambda key: F.try_element_at("frontmatter", F.lit(key))
+    version = F.when(value("version").rlike("^[0-9]{1,9}$"), value("version").cast("int")).otherwise(1)
+    body = F.when(found, F.regexp_replace(F.regexp_extract(content, pattern, 2), r"\A\n+", "")).otherwise(content)
+    return named.withColumns({"slug": value("slug"), "audience": F.coalesce(value("audience"), F.lit("default")), "version": version, "body": body})
+
+
+def page_file(frontmatter: str = "frontmatter") -> Column:
+    """A page's file: its front matter, with slug, audience and version, as sorted lines, then its body."""
+    own = F.create_map(*(x for c in ("slug", "audience", "version") for x in (F.lit(c), F.col(c).cast("string"))))
+    kept = F.map_filter(F.coalesce(F.col(frontmatter), F.create_map().cast("map<string,string>")), lambda k, v: ~k.isin("slug", "audience", "version"))
+    entries = F.array_sort(F.map_entries(F.map_concat(kept, F.map_filter(own, lambda k, v: v.isNotNull()))))
+    lines = F.array_join(F.transform(entries, lambda e: F.concat(e["key"], F.lit(": "), F.coalesce(e["value"], F.lit("")), F.lit("\n"))), "")
+    return F.concat(F.lit("---\n"), lines, F.lit("---\n\n"), F.coalesce("body", F.lit("")))

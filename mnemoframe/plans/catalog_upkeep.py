@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from mnemoframe.functions.text import slug
-from mnemoframe.operators import architecture, governance, health, pipeline, questions, retrieval, scenarios, signals, wiki
+from mnemoframe.operators import architecture, clusters, envelopes, governance, health, pipeline, questions, retrieval, scenarios, sessions, signals, store, wiki
 from mnemoframe.plans.catalog import query
 from mnemoframe.plans.catalog_text import _case
 from mnemoframe.sources.views import AS_OF
@@ -113,3 +113,34 @@ query("CO08_subject_export", "people", "contexts", "principal_skills", "holds",
 )
 query("HD12_reweave", "contexts", "mentions", sql=f"""WITH s AS (SELECT id, round(least((epoch(TIMESTAMP '{AS_OF}') - epoch(modified_at)) / 86400.0 / 30, 1), 4) AS staleness FROM {{contexts}} WHERE id IN (SELECT context_id FROM {{mentions}} WHERE name = 'part/7') OR list_contains(regexp_split_to_array(translate(lower(content), 'àâäáãåçéèêëíìîïñóòôöõúùûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[^a-z0-9ß]+'), 'hation'))
     SELECT id, staleness FROM s WHERE staleness > 0 ORDER BY staleness DESC, id LIMIT 10""")(lambda c, m: health.reweave(c, m, "hation", "part/7", AS_OF))
+
+query("ME23_frictions", "dialogues", sql=r"""WITH n AS (SELECT conv_id * 100 + turn AS id, text FROM {dialogues} ORDER BY conv_id DESC, turn DESC LIMIT 30), s AS (SELECT id, unnest(string_split(regexp_replace(text, '([.!?])\s+', concat('\1', chr(1)), 'g'), chr(1))) AS c FROM n),
+    t AS (SELECT id, regexp_replace(c, '^\s+|\s+$', '', 'g') AS content FROM s) SELECT id, content, CAST(0.5 AS DOUBLE) AS confidence FROM t WHERE length(content) >= 10 AND regexp_matches(lower(content), 'no not|actually|wrong|should have|instead|not that|mistake')""")(
+    lambda d: sessions.frictions(d.select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), F.col("text").alias("content"), F.timestamp_seconds(F.col("conv_id") * 100 + F.col("turn")).alias("modified_at")), 30, 10_000).select("id", "content", "confidence")
+)
+query("HD13_rethought", "observed", "topics", sql="""WITH m AS (SELECT topic, id, category, content, confidence FROM {observed} JOIN {topics} ON coalesce(category = topic, false) OR contains(content, topic)),
+    c AS (SELECT topic, category, count(*) AS n, sum(confidence) AS c FROM m GROUP BY 1, 2), t AS (SELECT topic, CAST(sum(n) AS BIGINT) AS n, round(sum(c), 2) AS total, string_agg(concat(n, ' ', coalesce(category, ''), ' observations'), ', ' ORDER BY category NULLS FIRST) AS parts FROM c GROUP BY 1),
+    r AS (SELECT topic, content, row_number() OVER (PARTITION BY topic ORDER BY confidence DESC, id) AS r FROM m WHERE confidence >= 0.7), p AS (SELECT topic, list(content ORDER BY r) AS patterns FROM r WHERE r <= 5 GROUP BY 1)
+    SELECT a.topic, CASE WHEN total >= 1.5 THEN 'synthesized' ELSE 'insufficient_evidence' END AS status, coalesce(n, 0) AS observations, coalesce(total, 0.0) AS total_confidence, CASE WHEN total >= 1.5 THEN concat('Rethink on "', a.topic, '": ', parts, '. Total confidence: ', total, '.') END AS summary,
+        CASE WHEN total >= 1.5 THEN coalesce(patterns, []) END AS patterns FROM {topics} a LEFT JOIN t ON t.topic = a.topic LEFT JOIN p ON p.topic = a.topic""")(sessions.rethought)
+query("SG07_round_trip", "envelopes", sql="""SELECT CAST(id AS VARCHAR) AS id, source, type, coalesce(specversion, '') AS specversion, CASE WHEN mode = 'linguistic' THEN mode END AS mode, genre, CASE WHEN signal_type IN ('direct', 'inform') THEN signal_type END AS signal_type, round(sn_ratio, 6) AS sn_ratio, CAST(correlation_id AS VARCHAR) AS correlation_id,
+    date_trunc('second', time) AS time, data, CASE WHEN coalesce(source, '') = '' THEN 'source is required' WHEN coalesce(type, '') = '' THEN 'type is required' END AS error FROM {envelopes}""")(
+    lambda e: envelopes.from_events(envelopes.to_events(e)).select("id", "source", "type", "specversion", "mode", "genre", "signal_type", F.round("sn_ratio", 6).alias("sn_ratio"), "correlation_id", F.to_timestamp_ntz(F.date_format("time", "yyyy-MM-dd HH:mm:ss")).alias("time"), "data", "error")
+)
+query("WK12_page_fields", "page_files", sql=r"""SELECT doc_id, CASE doc_id % 4 WHEN 1 THEN concat('page-', doc_id) END AS slug, CASE doc_id % 4 WHEN 2 THEN 'sales' ELSE 'default' END AS audience, CAST(CASE doc_id % 4 WHEN 1 THEN doc_id ELSE 1 END AS INT) AS version, CASE doc_id % 4 WHEN 1 THEN 'Ann: B' END AS owner,
+    CASE WHEN doc_id % 4 IN (1, 2) THEN regexp_replace(d.text, '^\n+', '') ELSE p.text END AS body FROM {page_files} p JOIN (SELECT doc_id, text FROM {documents}) d USING (doc_id)""")(
+    lambda p: wiki.page_fields(p).select("doc_id", "slug", "audience", "version", F.try_element_at("frontmatter", F.lit("owner")).alias("owner"), "body")
+)
+query("WK12_page_file", "page_files", sql=r"""WITH f AS (SELECT doc_id, doc_id % 4 AS k, CASE WHEN doc_id % 4 IN (1, 2) THEN regexp_replace(d.text, '^\n+', '') ELSE p.text END AS body FROM {page_files} p JOIN (SELECT doc_id, text FROM {documents}) d USING (doc_id))
+    SELECT doc_id, concat('---', chr(10), 'audience: ', CASE k WHEN 2 THEN 'sales' ELSE 'default' END, chr(10), CASE k WHEN 1 THEN concat('owner: Ann: B', chr(10), 'slug: page-', doc_id, chr(10)) ELSE '' END, 'version: ', CASE k WHEN 1 THEN doc_id ELSE 1 END, chr(10), '---', chr(10), chr(10), body) AS text FROM f""")(
+    lambda p: wiki.page_fields(p).select("doc_id", wiki.page_file().alias("text"))
+)
+query("PL05_context_type", "sources", "page_files", sql="""SELECT doc_id, CASE WHEN doc_id % 11 = 3 THEN 'memory' WHEN doc_id % 11 = 4 THEN 'skill' WHEN doc_id % 5 = 3 THEN 'signal' WHEN doc_id % 11 = 5 THEN 'signal' ELSE 'resource' END AS type FROM {sources}""")(
+    lambda s, p: s.select("doc_id", pipeline.context_type(F.when(F.col("doc_id") % 11 == 3, "x/_memories/a.md").when(F.col("doc_id") % 11 == 4, "_skills/b.md").when(F.col("doc_id") % 11 == 5, "org/c.md").when(F.col("doc_id") % 11 == 6, "else/c.md").otherwise(F.col("path")), F.when(F.col("doc_id") % 5 == 3, F.concat(F.lit("---\nmode: x\nnode : y\n---\n"), "text")).otherwise(F.col("text")), ["org/"]).alias("type"))
+)
+query("PL23_skeleton", "documents", "skeletons", sql=r"""SELECT doc_id, CASE WHEN lang = 'de' THEN concat('## Inhalt', chr(10), chr(10), t, chr(10), chr(10), '## Fragen', chr(10), chr(10), '## Folgen', chr(10), chr(10), '<!-- what follows -->', chr(10), chr(10)) ELSE concat('## Context', chr(10), chr(10), t, chr(10), chr(10), '## Route', chr(10), chr(10)) END AS structured
+    FROM (SELECT doc_id, lang, regexp_replace(text, '^\s+|\s+$', '', 'g') AS t FROM {documents})""")(lambda d, s: pipeline.with_skeleton(d.withColumn("genre", F.col("lang")), s).select("doc_id", "structured"))
+query("ST03_sample", "contexts")(lambda c: store.sampled(c.where("content <> ''").select("id", "title", "node"), 40, seed=3))
+query("ME28_collection", "memories", sql="SELECT id, category, content, root_id FROM {memories}")(
+    lambda m: store.collection_from_json(store.collection_to_json(m.select(F.col("category").alias("collection"), F.col("id").alias("key"), "content", "root_id")), "collection string, content string, key string, root_id long")[0].select(F.col("key").alias("id"), F.col("collection").alias("category"), "content", "root_id")
+)

@@ -117,7 +117,7 @@ VIEWS = {
             '  nation: ', chr(123), 'id: ', c_nationkey, ', active: true', chr(125), chr(10), 'tags: [a, "b, c", 1.5]', chr(10), 'steps:', chr(10), '  - name: one', chr(10), '    note: |', chr(10), '      two', chr(10), '        lines', chr(10), '  - ~', chr(10), 'empty:', chr(10)) END AS text
         FROM {customer}""",
     "dialogues": """
-        SELECT conv_id, turn, role, concat(CASE turn % 4 WHEN 0 THEN 'We decided on option ' WHEN 1 THEN 'Alice Smith prefers the plan of Bob. Beta needs option ' WHEN 2 THEN 'The Team should always ask Carol Jones! It is better to wait, Dora has seen nr ' ELSE 'hm ok. Alice and bob met in town nr ' END,
+        SELECT conv_id, turn, role, concat(CASE turn % 4 WHEN 0 THEN 'We decided on option ' WHEN 1 THEN 'Alice Smith prefers the plan of Bob. Beta needs option ' WHEN 2 THEN 'The Team should always ask Carol Jones! It was wrong of Bob, take the other one instead! It is better to wait, Dora has seen nr ' ELSE 'hm ok. Alice and bob met in town nr ' END,
             conv_id % 3, CASE WHEN turn % 4 = 3 THEN '? ' ELSE '. ' END, CASE WHEN turn % 2 = 0 THEN 'Acme owns it. ' ELSE '' END, text) AS text
         FROM {conversations}""",
     "principals": """
@@ -150,6 +150,13 @@ VIEWS = {
     "people": "SELECT concat('user/', c_custkey) AS id, CASE WHEN c_custkey % 4 = 0 THEN 'agent' ELSE 'user' END AS kind, c_name AS display_name FROM {customer}",
     "skills": "SELECT p_partkey AS id, p_name AS name FROM {part} WHERE p_partkey % 3 <> 0",
     "principal_skills": "SELECT DISTINCT concat('user/', o_custkey) AS principal_id, o_orderkey % 50 AS skill_id, CASE o_orderstatus WHEN 'O' THEN 'novice' WHEN 'F' THEN 'advanced' ELSE 'lead' END AS level FROM {orders}",
+    "observed": """
+        SELECT event_id AS id, CASE WHEN event_id % 5 = 0 THEN NULL ELSE event_type END AS category, concat('Seen ', props, ' by user ', user_id % 3) AS content, CAST(event_id % 11 AS DOUBLE) / 10 AS confidence FROM {events} WHERE event_id % 2 = 0""",
+    "topics": "SELECT DISTINCT event_type AS topic FROM {events} UNION SELECT 'user 2' UNION SELECT 'nothing like it'",
+    "page_files": """
+        SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN text WHEN doc_id % 4 = 1 THEN concat('---', chr(10), 'slug: page-', doc_id, chr(10), 'version: ', doc_id, chr(10), 'owner:  Ann: B ', chr(10), 'slug: other', chr(10), '---', chr(10), chr(10), text) WHEN doc_id % 4 = 2 THEN concat('---', chr(13), chr(10), 'audience: sales', chr(13), chr(10), 'version: x', chr(13), chr(10), '---', chr(13), chr(10), text) ELSE concat('---', chr(10), 'slug: open', chr(10), text) END AS text
+        FROM {documents}""",
+    "skeletons": "SELECT 'de' AS genre, 2 AS place, 'Fragen' AS name, '' AS hint UNION ALL SELECT 'de', 1, 'Inhalt', 'first' UNION ALL SELECT 'de', 3, 'Folgen', 'what follows' UNION ALL SELECT 'note', 1, 'Context', NULL UNION ALL SELECT 'note', 2, 'Route', NULL",
     "packed": """
         SELECT o_custkey % 50 AS answer_id, CASE o_custkey % 50 % 5 WHEN 0 THEN 'plain' WHEN 1 THEN 'markdown' WHEN 2 THEN 'claude' WHEN 3 THEN 'openai' ELSE 'other' END AS format, o_orderkey AS place,
                CASE WHEN o_orderkey % 3 <> 0 THEN concat('Order ', o_orderkey) END AS title, concat('  Status "', o_orderstatus, '"', chr(10), o_orderpriority, ' ') AS content, CASE o_orderkey % 4 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE concat('order/', o_orderkey % 6) END AS uri

@@ -216,3 +216,69 @@ def test_export_of_nobody(spark):
     owned = {"roles": (spark.createDataFrame([("u", "r"), ("u", "r"), ("v", "s")], "principal_id string, role string"), "role")}
     assert rows(governance.subject_export("u", "Ann", empty, contexts, owned)) == Counter([("contexts", "c"), ("mentions", "c"), ("roles", "r")])
     assert rows(governance.subject_export("w", None, empty, contexts, owned)) == Counter()
+
+
+def test_sample_is_the_same_for_a_seed(spark):
+    from mnemoframe.operators import store
+
+    frame = spark.range(500).selectExpr("id", "id % 7 AS k")
+    one = rows(store.sampled(frame, 50, seed=1))
+    assert one == rows(store.sampled(frame.repartition(9), 50, seed=1)) and sum(one.values()) == 50
+    assert one != rows(store.sampled(frame, 50, seed=2)) and rows(store.sampled(frame, 600)) == rows(frame)
+    seen = Counter(r["k"] for r in store.sampled(frame, 350, seed=5).collect())
+    assert all(25 < n < 75 for n in seen.values())
+
+
+def test_collections_survive_json(spark):
+    from mnemoframe.operators import store
+
+    frame = spark.createDataFrame([("c", "k1", 'a "quoted"\nline', 5, [1, 2]), ("c", "k2", None, None, None)], "collection string, key string, value string, n long, list array<int>")
+    lines = store.collection_to_json(frame)
+    broken = lines.select("json").unionByName(spark.createDataFrame([("{bad",), (None,), ('{"n": "x"}',)], "json string"))
+    good, bad = store.collection_from_json(broken, "collection string, key string, list array<int>, n long, value string")
+    assert {(r["key"], r["value"], r["n"], tuple(r["list"] or ())) for r in good.collect()} == {("k1", 'a "quoted"\nline', 5, (1, 2)), ("k2", None, None, ())}
+    assert {r["json"] for r in bad.collect()} == {"{bad", None, '{"n": "x"}'}
+
+
+def test_events_with_errors(spark):
+    from mnemoframe.operators import envelopes
+
+    frame = spark.createDataFrame([('{"id": "1", "source": "s", "type": "t", "sig_mode": "smell", "time": "2024-05-01T10:00:00Z"}',), ("[1]",), ('{"id": "", "source": "s"}',), (None,)], "event string")
+    found = [(r["id"], r["mode"], r["specversion"], r["datacontenttype"], r["error"]) for r in envelopes.from_events(frame).collect()]
+    assert found[0] == ("1", None, "1.0.2", "application/json", None)
+    assert [f[4] for f in found[1:]] == ["not an object", "id is required", "not an object"]
+
+
+def test_page_files_round_trip(spark):
+    pages = spark.createDataFrame([("p", "team", 3, {"owner": "a: b"}, "Body\n---\n"), ("q", "default", 1, None, "")], "slug string, audience string, version int, frontmatter map<string,string>, body string")
+    again = wiki.page_fields(pages.select(wiki.page_file().alias("text")))
+    assert {(r["slug"], r["audience"], r["version"], r["frontmatter"].get("owner"), r["body"]) for r in again.collect()} == {("p", "team", 3, "a: b", "Body\n---\n"), ("q", "default", 1, None, "")}
+    plain = wiki.page_fields(spark.createDataFrame([("no matter",), (None,)], "text string")).collect()
+    assert [(r["slug"], r["version"], r["body"], r["frontmatter"]) for r in plain] == [(None, 1, "no matter", {}), (None, 1, "", {})]
+
+
+def test_skeletons_of_no_genre(spark):
+    docs = spark.createDataFrame([(1, "x", " t "), (2, None, None)], "doc_id long, genre string, text string")
+    none = spark.createDataFrame([], "genre string, place int, name string, hint string")
+    assert [r["structured"] for r in pipeline.with_skeleton(docs, none).orderBy("doc_id").collect()] == ["t", ""]
+
+
+def test_silences_split_a_hot_key(spark):
+    """One key with silences between its bursts: pieces give what one pass gives."""
+    rng, at, events = random.Random(2), 0, []
+    for i in range(600):
+        at += rng.choice([5, 30, 400, 3600, 3601, 9000])
+        events.append((i, "hot", at))
+    frame = spark.createDataFrame(events, "id long, agent string, s long").selectExpr("id", "agent", "timestamp_seconds(s) AS time")
+    last, wanted = None, set()
+    for i, _, s in events:
+        if last is None or s - last >= 3600:
+            wanted.add(i)
+            last = s
+    assert {r["id"] for r in signals.cooled_down(frame, ["agent"]).collect()} == wanted
+    tokens, last, allowed = 2.0, events[0][2], {}
+    for i, _, s in events:
+        tokens, last = min(2.0, tokens + (s - last) * 0.001), s
+        allowed[i] = tokens >= 1
+        tokens -= tokens >= 1
+    assert {r["id"]: r["allowed"] for r in signals.rate_limited(frame, "agent", 2.0, 0.001).collect()} == allowed
