@@ -1,5 +1,9 @@
 """Graph operators over ``edges (source_id, target_id, relation, weight)`` and ``entities (context_id, name)``."""
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -7,6 +11,8 @@ from mnemoframe.functions.durable import checkpointed
 
 #: Rounds after which an iteration that still moves raises an error.
 MOST_ROUNDS = 60
+#: Links that one task closes at most.
+FEW_LINKS = 250_000
 
 
 def degrees(edges: DataFrame) -> DataFrame:
@@ -23,19 +29,52 @@ def hubs(edges: DataFrame, sigmas: float = 2.0) -> DataFrame:
     return above.where("deviation > 0").select("node", "degree", F.round((F.col("degree") - F.col("mean")) / F.col("deviation"), 2).alias("sigma"))
 
 
+def _roots(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """``(u, v)`` of each node but the smallest of its component, with that smallest one, from all links at once."""
+    pieces = [pdf for pdf in batches if len(pdf)]
+    if not pieces:
+        return
+    links = pd.concat(pieces, ignore_index=True)
+    codes, names = pd.factorize(pd.concat([links["u"], links["v"]]), sort=True)
+    u, v = codes[: len(links)], codes[len(links) :]
+    root = np.arange(len(names))
+    while True:
+        # Both ends take the smaller root of the two, then each root its own root's.
+        least = np.minimum(root[u], root[v])
+        new = root.copy()
+        for ends in (root[u], root[v], u, v):
+            np.minimum.at(new, ends, least)
+        new = new[new]
+        if np.array_equal(new, root):
+            break
+        root = new
+    held = np.flatnonzero(root != np.arange(len(names)))
+    names = np.asarray(names)
+    for first in range(0, len(held), 10_000):
+        part = held[first : first + 10_000]
+        yield pd.DataFrame({"u": names[part], "v": names[root[part]]})
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``(node, component, size)``: the smallest node reachable, and how many nodes reach it.
 
-    Alternates two steps until the links form stars: every larger neighbour of
-    a node is linked to the smallest node around it, then every smaller one.
-    The number of rounds grows with the logarithm of the longest path, and no
-    round holds more links than there are edges and nodes.  Raises where
-    MOST_ROUNDS rounds don't settle; rows with a null end are left out.
+    Alternates two steps until the links stay as they are, as stars: every
+    larger neighbour of a node is linked to the smallest node around it, then
+    every smaller one.  The number of rounds grows with the logarithm of the
+    longest path, and no round holds more links than there are edges and
+    nodes.  Once no more than FEW_LINKS are left, one task finishes them.
+    Raises where MOST_ROUNDS rounds don't settle; rows with a null end are
+    left out.
     """
     ends = edges.select(F.greatest("source_id", "target_id").alias("u"), F.least("source_id", "target_id").alias("v")).where("source_id IS NOT NULL AND target_id IS NOT NULL")
     alone = ends.where("u = v").select(F.col("u").alias("node"))
+    facts = lambda t: tuple(t.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
     links = checkpointed(ends.where("u <> v").distinct())
+    before = facts(links)
     for _ in range(MOST_ROUNDS):
+        if before[0] <= FEW_LINKS:
+            links = checkpointed(links.coalesce(1).mapInPandas(_roots, links.schema))
+            break
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         upward = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -43,10 +82,10 @@ def components(edges: DataFrame) -> DataFrame:
         moved = upward.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         new = moved.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
         links = checkpointed(new)
-        forked = links.groupBy("u").count().where("count > 1").select("u")
-        chained = links.select(F.col("v").alias("u")).join(links, "u", "left_semi").select("u")
-        if forked.unionByName(chained).isEmpty():
+        after = facts(links)
+        if after == before:
             break
+        before = after
     else:
         raise RuntimeError(f"components did not settle in {MOST_ROUNDS} rounds")
     roots = links.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()

@@ -57,7 +57,9 @@ def brute_components(edges):
     return label
 
 
-def test_components_of_paths_stars_and_loops(spark):
+@pytest.mark.parametrize("few", [0, graph.FEW_LINKS])
+def test_components_of_paths_stars_and_loops(spark, monkeypatch, few):
+    monkeypatch.setattr(graph, "FEW_LINKS", few)
     edges = [(f"p{k:02}", f"p{k + 1:02}") for k in range(40)] + [("hub", f"s{k}") for k in range(30)] + [("solo", "solo"), (None, "x"), ("b", "a"), ("a", "b")]
     frame = spark.createDataFrame([(a, b, "r", 1.0) for a, b in edges], "source_id string, target_id string, relation string, weight double")
     got = {r["node"]: (r["component"], r["size"]) for r in graph.components(frame).collect()}
