@@ -6,6 +6,7 @@ from mnemoframe.operators import assembly as A
 from mnemoframe.operators import decompose as D
 from mnemoframe.operators import envelopes as E
 from mnemoframe.operators import graph as G
+from mnemoframe.operators import reports as R
 from mnemoframe.operators import store as S
 from mnemoframe.operators import wiki as W
 from mnemoframe.plans.catalog import query
@@ -28,9 +29,7 @@ query("RT14_grep", "contexts", "chunks", sql=f"""WITH {_HITS % 40} SELECT chunk_
     FROM {{chunks}} JOIN hits ON context_id = id WHERE idx < 50 AND intent = 'specify' ORDER BY score DESC, chunk_id LIMIT 10""")(
     lambda c, k: A.grep(_top(c, 40), k.withColumn("scale", F.when(F.col("idx") == 0, "section").otherwise("paragraph")), "the", 10, "specify")
 )
-query("RT29_recent_decisions", "contexts", sql=f"SELECT id, modified_at FROM {{contexts}} WHERE type = 'signal' AND modified_at >= TIMESTAMP '{AS_OF}' - INTERVAL '30' DAY ORDER BY modified_at DESC, id LIMIT 5")(
-    lambda c: c.where(f"type = 'signal' AND modified_at >= TIMESTAMP '{AS_OF}' - INTERVAL '30' DAY").select("id", "modified_at").orderBy(F.desc("modified_at"), "id").limit(5)
-)
+query("RT29_recent_decisions", "contexts", sql=f"SELECT id, modified_at FROM {{contexts}} WHERE type = 'signal' AND modified_at >= TIMESTAMP '{AS_OF}' - INTERVAL '30' DAY ORDER BY modified_at DESC, id LIMIT 5")(lambda c: R.recent(c, "signal", AS_OF, 30, 5))
 _FEATURES = "SELECT vec_id, embedding, CASE WHEN vec_id % 5 <> 0 THEN list_distinct([concat('e', vec_id % 3), concat('e', vec_id % 4), 'e9']) END AS entities, CASE WHEN vec_id % 3 <> 0 THEN concat('i', vec_id % 2) END AS intent, CASE WHEN vec_id % 7 <> 0 THEN concat('n', vec_id % 4) END AS node_id, [concat('r', vec_id % 2)] AS ancestors FROM {embeddings}"
 query("CL02_composite_similarity", "embeddings", sql=f"""WITH f AS ({_FEATURES}), p AS (SELECT x.vec_id, x.entities IS NOT NULL AND y.entities IS NOT NULL AS e, x.intent IS NOT NULL AND y.intent IS NOT NULL AS i, x.node_id IS NOT NULL AND y.node_id IS NOT NULL AS n,
     (list_cosine_similarity(CAST(x.embedding AS DOUBLE[]), CAST(y.embedding AS DOUBLE[])) + 1) / 2 AS c, len(list_intersect(x.entities, y.entities)) / len(list_distinct(list_concat(x.entities, y.entities))) AS j, CAST(x.intent = y.intent AS DOUBLE) AS m, CASE WHEN x.node_id = y.node_id THEN 1.0 WHEN x.ancestors = y.ancestors THEN 0.5 ELSE 0.0 END AS a
@@ -49,30 +48,14 @@ def _similar_to(vectors, vec_id):
     return features.join(F.broadcast(one), F.lit(True)).select("vec_id", F.round(A.composite_similarity("a", "b"), 6).alias("similarity"))
 
 
-query("JN08_chunk_intents", "contexts", "chunks", sql="SELECT id, chunk_id, coalesce(intent, 'none') AS intent FROM {contexts} JOIN {chunks} ON id = context_id WHERE node = 'src8'")(
-    lambda c, k: k.join(c.where("node = 'src8'").select(F.col("id").alias("context_id")), "context_id").select(F.col("context_id").alias("id"), "chunk_id", F.coalesce("intent", F.lit("none")).alias("intent"))
-)
-query("JN07_vectors_of_contexts", "embeddings", "contexts", sql="SELECT id, vec_id, label FROM {embeddings} JOIN {contexts} ON vec_id = seq WHERE type = 'resource' AND node = 'src8'")(
-    lambda e, c: e.join(c.where("type = 'resource' AND node = 'src8'").select("id", F.col("seq").alias("vec_id")), "vec_id").select("id", "vec_id", "label")
-)
-query("JN14_broken_supersedes", "versions", sql="SELECT id FROM {versions} WHERE parent_id IS NOT NULL AND parent_id NOT IN (SELECT id FROM {versions} WHERE audience <> 'user')")(
-    lambda v: v.where("parent_id IS NOT NULL").join(v.where("audience <> 'user'").select(F.col("id").alias("parent_id")), "parent_id", "left_anti").select("id")
-)
-query("JN19_cited_contexts", "citations", "chunks", "contexts", sql="SELECT DISTINCT slug, id, node FROM {citations} c JOIN {chunks} k ON c.chunk_id = k.chunk_id JOIN {contexts} x ON k.context_id = x.id")(
-    lambda c, k, x: c.join(k.select("chunk_id", F.col("context_id").alias("id")), "chunk_id").join(x.select("id", "node"), "id").select("slug", "id", "node").distinct()
-)
-query("JN21_three_way", "chunks", "citations", sql="SELECT k.chunk_id, intent, count(slug) AS pages FROM {chunks} k LEFT JOIN {citations} c ON k.chunk_id = c.chunk_id GROUP BY 1, 2")(
-    lambda k, c: k.join(c.groupBy("chunk_id").agg(F.count("*").alias("pages")), "chunk_id", "left").select("chunk_id", "intent", F.coalesce("pages", F.lit(0)).alias("pages"))
-)
-query("JN24_workspaces_of", "customer", "nation", sql="SELECT n_name AS workspace, c_custkey AS principal FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey WHERE c_mktsegment = 'BUILDING'")(
-    lambda c, n: c.where("c_mktsegment = 'BUILDING'").join(n, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("n_name").alias("workspace"), F.col("c_custkey").alias("principal"))
-)
-query("JN25_CO06_holds", "holds", "contexts", sql="SELECT principal, count(*) AS held FROM {holds} JOIN {contexts} ON context_id = id WHERE released_at IS NULL GROUP BY principal")(
-    lambda h, c: h.where("released_at IS NULL").join(c.select(F.col("id").alias("context_id")), "context_id").groupBy("principal").agg(F.count("*").alias("held"))
-)
-query("CO06_is_held", "contexts", "holds", sql="SELECT id, id IN (SELECT context_id FROM {holds} WHERE released_at IS NULL) AS held FROM {contexts}")(
-    lambda c, h: c.select("id").join(h.where("released_at IS NULL").select(F.col("context_id").alias("id"), F.lit(True).alias("held")).distinct(), "id", "left").select("id", F.coalesce("held", F.lit(False)).alias("held"))
-)
+query("JN08_chunk_intents", "contexts", "chunks", sql="SELECT id, chunk_id, coalesce(intent, 'none') AS intent FROM {contexts} JOIN {chunks} ON id = context_id WHERE node = 'src8'")(lambda c, k: R.chunk_intents(k, c, "src8"))
+query("JN07_vectors_of_contexts", "embeddings", "contexts", sql="SELECT id, vec_id, label FROM {embeddings} JOIN {contexts} ON vec_id = seq WHERE type = 'resource' AND node = 'src8'")(lambda e, c: R.vectors_of(e, c, "src8", "resource"))
+query("JN14_broken_supersedes", "versions", sql="SELECT id FROM {versions} WHERE parent_id IS NOT NULL AND parent_id NOT IN (SELECT id FROM {versions} WHERE audience <> 'user')")(lambda v: R.broken_parents(v, v.where("audience <> 'user'")))
+query("JN19_cited_contexts", "citations", "chunks", "contexts", sql="SELECT DISTINCT slug, id, node FROM {citations} c JOIN {chunks} k ON c.chunk_id = k.chunk_id JOIN {contexts} x ON k.context_id = x.id")(R.cited_contexts)
+query("JN21_three_way", "chunks", "citations", sql="SELECT k.chunk_id, intent, count(slug) AS pages FROM {chunks} k LEFT JOIN {citations} c ON k.chunk_id = c.chunk_id GROUP BY 1, 2")(R.citing_pages)
+query("JN24_workspaces_of", "customer", "nation", sql="SELECT n_name AS workspace, c_custkey AS principal FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey WHERE c_mktsegment = 'BUILDING'")(lambda c, n: R.workspaces_of(c.where("c_mktsegment = 'BUILDING'").selectExpr("c_custkey AS principal", "c_nationkey AS workspace_id"), n.selectExpr("n_nationkey AS workspace_id", "n_name AS workspace")))
+query("JN25_CO06_holds", "holds", "contexts", sql="SELECT principal, count(*) AS held FROM {holds} JOIN {contexts} ON context_id = id WHERE released_at IS NULL GROUP BY principal")(R.active_holds)
+query("CO06_is_held", "contexts", "holds", sql="SELECT id, id IN (SELECT context_id FROM {holds} WHERE released_at IS NULL) AS held FROM {contexts}")(R.held)
 query("CO07_erasure_preview", "contexts", "chunks", "mentions", "holds", sql="""WITH w AS (SELECT id FROM {contexts} WHERE node = 'src8' AND id NOT IN (SELECT context_id FROM {holds} WHERE released_at IS NULL)) SELECT 'contexts' AS section, count(*) AS n FROM {contexts} WHERE id IN (SELECT id FROM w)
     UNION ALL SELECT 'chunks', count(*) FROM {chunks} WHERE context_id IN (SELECT id FROM w) UNION ALL SELECT 'mentions', count(*) FROM {mentions} WHERE context_id IN (SELECT id FROM w)""")(
     lambda c, k, m, h: S.cascade(
@@ -112,23 +95,13 @@ query("ME16_injection", "memories", sql="""WITH s AS (SELECT id, content, round(
         .orderBy(F.desc("score"), "id").limit(20), 4000).select("id", "score")
 )
 query("AG26_topics", "conversations", sql="""WITH w AS (SELECT conv_id, turn, role, unnest(list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda w: length(w) >= 4))) AS topic FROM {conversations})
-    SELECT topic, sum(CASE WHEN role = 'user' THEN 2 ELSE 1 END) AS weight FROM w GROUP BY topic HAVING sum(CASE WHEN role = 'user' THEN 2 ELSE 1 END) >= 2 ORDER BY weight DESC, topic LIMIT 15""")(
-    lambda c: c.select("role", F.explode(_words(F.col("text"))).alias("topic")).groupBy("topic").agg(F.sum(F.when(F.col("role") == "user", 2).otherwise(1)).alias("weight")).where("weight >= 2").orderBy(F.desc("weight"), "topic").limit(15)
-)
-query("AG19_severities", "signals", sql="SELECT CASE WHEN contains(type, 'error') THEN 'critical' WHEN latency > 50 THEN 'warning' ELSE 'info' END AS severity, count(*) AS n FROM {signals} GROUP BY 1")(
-    lambda s: s.groupBy(F.when(F.contains("type", F.lit("error")), "critical").when(F.col("latency") > 50, "warning").otherwise("info").alias("severity")).agg(F.count("*").alias("n"))
-)
-query("AG21_confident_topics", "signals", sql="SELECT agent, type, round(sum(latency) / 100.0, 6) AS confidence, count(*) AS n FROM {signals} GROUP BY 1, 2 HAVING round(sum(latency) / 100.0, 6) >= 1.5")(
-    lambda s: s.groupBy("agent", "type").agg(F.round(F.sum("latency") / 100.0, 6).alias("confidence"), F.count("*").alias("n")).where("confidence >= 1.5")
-)
-query("AG24_histogram", "signals", sql="SELECT type, CAST(least(floor(latency / 10), 9) AS BIGINT) AS bucket, count(*) AS n FROM {signals} GROUP BY 1, 2")(lambda s: s.groupBy("type", F.least(F.floor(F.col("latency") / 10), F.lit(9)).cast("long").alias("bucket")).agg(F.count("*").alias("n")))
-query("AG27_tool_windows", "signals", sql="""SELECT agent, win, count(*) AS n, CAST(floor(avg(latency)) AS BIGINT) AS duration, round(avg(CAST(NOT contains(type, 'error') AS INT)), 4) AS success FROM (SELECT *, (row_number() OVER (PARTITION BY agent ORDER BY id) - 1) // 5 AS win FROM {signals}) GROUP BY 1, 2""")(
-    lambda s: s.selectExpr("*", "(row_number() OVER (PARTITION BY agent ORDER BY id) - 1) div 5 AS win").groupBy("agent", "win").agg(F.count("*").alias("n"), F.floor(F.avg("latency")).alias("duration"), F.round(F.avg((~F.contains("type", F.lit("error"))).cast("int")), 4).alias("success"))
-)
-query("AG31_counts", "versions", "curated", sql="SELECT 'memories' AS kind, count(*) AS n, count(*) FILTER (is_latest) AS latest FROM {versions} UNION ALL SELECT 'wiki', count(*), count(DISTINCT (slug, audience)) FROM {curated}")(
-    lambda v, w: v.agg(F.lit("memories").alias("kind"), F.count("*").alias("n"), F.count_if("is_latest").alias("latest")).unionByName(w.agg(F.lit("wiki").alias("kind"), F.count("*").alias("n"), F.countDistinct("slug", "audience").alias("latest")))
-)
-query("AG34_dominant_intent", "chunks", sql="SELECT context_id, arg_min(intent, idx) AS intent FROM {chunks} WHERE intent IS NOT NULL GROUP BY context_id")(lambda k: k.where("intent IS NOT NULL").groupBy("context_id").agg(F.min_by("intent", "idx").alias("intent")))
+    SELECT topic, sum(CASE WHEN role = 'user' THEN 2 ELSE 1 END) AS weight FROM w GROUP BY topic HAVING sum(CASE WHEN role = 'user' THEN 2 ELSE 1 END) >= 2 ORDER BY weight DESC, topic LIMIT 15""")(lambda c: R.topics(c, _words(F.col("text")), F.when(F.col("role") == "user", 2).otherwise(1), 2, 15))
+query("AG19_severities", "signals", sql="SELECT CASE WHEN contains(type, 'error') THEN 'critical' WHEN latency > 50 THEN 'warning' ELSE 'info' END AS severity, count(*) AS n FROM {signals} GROUP BY 1")(lambda s: R.counted(s, "severity", F.when(F.contains("type", F.lit("error")), "critical").when(F.col("latency") > 50, "warning").otherwise("info")))
+query("AG21_confident_topics", "signals", sql="SELECT agent, type, round(sum(latency) / 100.0, 6) AS confidence, count(*) AS n FROM {signals} GROUP BY 1, 2 HAVING round(sum(latency) / 100.0, 6) >= 1.5")(lambda s: R.confident(s, ["agent", "type"], F.col("latency") / 100.0, 1.5))
+query("AG24_histogram", "signals", sql="SELECT type, CAST(least(floor(latency / 10), 9) AS BIGINT) AS bucket, count(*) AS n FROM {signals} GROUP BY 1, 2")(lambda s: R.histogram(s, "type", "latency", 10, 10))
+query("AG27_tool_windows", "signals", sql="""SELECT agent, win, count(*) AS n, CAST(floor(avg(latency)) AS BIGINT) AS duration, round(avg(CAST(NOT contains(type, 'error') AS INT)), 4) AS success FROM (SELECT *, (row_number() OVER (PARTITION BY agent ORDER BY id) - 1) // 5 AS win FROM {signals}) GROUP BY 1, 2""")(lambda s: R.window_stats(s, "agent", "id", 5, "latency", ~F.contains("type", F.lit("error"))))
+query("AG31_counts", "versions", "curated", sql="SELECT 'memories' AS kind, count(*) AS n, count(*) FILTER (is_latest) AS latest FROM {versions} UNION ALL SELECT 'wiki', count(*), count(DISTINCT (slug, audience)) FROM {curated}")(R.version_counts)
+query("AG34_dominant_intent", "chunks", sql="SELECT context_id, arg_min(intent, idx) AS intent FROM {chunks} WHERE intent IS NOT NULL GROUP BY context_id")(lambda k: R.first_value(k, "context_id", "intent", "idx"))
 
 query("WK01_latest", "curated", sql="SELECT slug, audience, max(version) AS version, arg_max(body, version) AS body FROM {curated} GROUP BY 1, 2")(lambda w: w.groupBy("slug", "audience").agg(F.max("version").alias("version"), F.max_by("body", "version").alias("body")))
 query("WK01_upsert", "curated", sql="SELECT slug, version, body FROM {curated} WHERE NOT (version = 1 AND audience = 0) UNION ALL SELECT slug, version, 'new' FROM {curated} WHERE version = 1 AND audience = 0")(
@@ -136,29 +109,18 @@ query("WK01_upsert", "curated", sql="SELECT slug, version, body FROM {curated} W
 )
 _STALE = f"""SELECT DISTINCT w.slug FROM (SELECT slug, max(curated_at) AS curated_at FROM {{curated}} GROUP BY slug) w JOIN {{citations}} c ON w.slug = c.slug JOIN {{chunks}} k ON c.chunk_id = k.chunk_id JOIN {{contexts}} x ON k.context_id = x.id
     WHERE w.curated_at < TIMESTAMP '{AS_OF}' - INTERVAL '7' DAY AND EXISTS (SELECT 1 FROM {{contexts}} y WHERE y.node = x.node AND y.modified_at > w.curated_at)"""
-query("WK10_stale_pages", "curated", "citations", "chunks", "contexts", sql=_STALE)(
-    lambda w, c, k, x: (
-        w.groupBy("slug").agg(F.max("curated_at").alias("curated_at")).where(f"curated_at < TIMESTAMP '{AS_OF}' - INTERVAL '7' DAY").join(c.select("slug", "chunk_id").distinct(), "slug").join(k.select("chunk_id", F.col("context_id").alias("id")), "chunk_id")
-        .join(x.select("id", "node"), "id").join(x.groupBy("node").agg(F.max("modified_at").alias("latest")), "node").where("latest > curated_at").select("slug").distinct()
-    )
-)
-query("WK11_new_citations", "curated", "citations", sql="SELECT c.slug, chunk_id FROM {citations} c JOIN (SELECT slug, max(curated_at) AS curated_at FROM {curated} GROUP BY slug) w ON c.slug = w.slug WHERE cited_at > curated_at")(
-    lambda w, c: c.join(w.groupBy("slug").agg(F.max("curated_at").alias("curated_at")), "slug").where("cited_at > curated_at").select("slug", "chunk_id")
-)
+query("WK10_stale_pages", "curated", "citations", "chunks", "contexts", sql=_STALE)(lambda w, c, k, x: R.stale_pages(w, c, k, x, AS_OF))
+query("WK11_new_citations", "curated", "citations", sql="SELECT c.slug, chunk_id FROM {citations} c JOIN (SELECT slug, max(curated_at) AS curated_at FROM {curated} GROUP BY slug) w ON c.slug = w.slug WHERE cited_at > curated_at")(R.uncurated_citations)
 
 query("GR01_GR02_edges", "contexts", "mentions", "versions", sql="""SELECT context_id AS source_id, name AS target_id, 'mentioned_in' AS relation, 1.0 AS weight FROM {mentions} UNION SELECT id, node, 'lives_in', 1.0 FROM {contexts} WHERE node IS NOT NULL UNION SELECT id, parent_id, 'supersedes', 1.0 FROM {versions} WHERE parent_id IS NOT NULL
     UNION SELECT name, n, 'cross_ref', 0.8 FROM {mentions} JOIN (SELECT id, node AS n FROM {contexts}) x ON id = context_id WHERE n IS NOT NULL""")(lambda c, m, v: G.built_edges(c, m, v))
-query("GR14_seeds", "mentions", "contexts", sql="SELECT id FROM (SELECT context_id AS id FROM {mentions} WHERE contains(name, 'part/1') UNION SELECT id FROM {contexts} WHERE node = 'src8') ORDER BY id LIMIT 50")(
-    lambda m, c: m.where("contains(name, 'part/1')").select(F.col("context_id").alias("id")).unionByName(c.where("node = 'src8'").select("id")).distinct().orderBy("id").limit(50)
-)
+query("GR14_seeds", "mentions", "contexts", sql="SELECT id FROM (SELECT context_id AS id FROM {mentions} WHERE contains(name, 'part/1') UNION SELECT id FROM {contexts} WHERE node = 'src8') ORDER BY id LIMIT 50")(lambda m, c: R.seeds(m, c, "part/1", "src8"))
 query("GR16_critical_dependencies", "mentions", "contexts", sql="""WITH t AS (SELECT node, count(*) AS total FROM {contexts} GROUP BY node), n AS (SELECT node, count(*) AS n FROM {contexts} JOIN {mentions} ON id = context_id WHERE contains(name, 'part/1') GROUP BY node)
     SELECT node, 'mentioned_in' AS relation, round(CAST(n AS DOUBLE) / total, 3) AS weight FROM n JOIN t USING (node) WHERE CAST(n AS DOUBLE) / total > 0.5""")(lambda m, c: G.critical_dependencies(m, c, "part/1"))
 query("GR17_severity", "mentions", "contexts", sql="""WITH t AS (SELECT node, count(*) AS total FROM {contexts} GROUP BY node), n AS (SELECT name, node, count(*) AS n FROM {contexts} JOIN {mentions} ON id = context_id GROUP BY 1, 2),
     a AS (SELECT name, sum(n) AS contexts, count(*) AS nodes, count(*) FILTER (CAST(n AS DOUBLE) / total > 0.5) AS critical FROM n JOIN t USING (node) GROUP BY name)
     SELECT name, CASE WHEN critical >= 3 THEN 'critical' WHEN critical >= 1 OR nodes >= 5 THEN 'high' WHEN nodes >= 3 OR contexts > 15 THEN 'medium' ELSE 'low' END AS severity FROM a""")(lambda m, c: G.severities(m, c))
-query("GR19_affected", "mentions", sql="""SELECT name, count(DISTINCT context_id) AS n FROM {mentions} WHERE context_id IN (SELECT context_id FROM {mentions} WHERE name = 'part/7') AND name <> 'part/7' GROUP BY name ORDER BY n DESC, name LIMIT 10""")(
-    lambda m: m.join(m.where("name = 'part/7'").select("context_id").distinct(), "context_id", "left_semi").where("name <> 'part/7'").groupBy("name").agg(F.countDistinct("context_id").alias("n")).orderBy(F.desc("n"), "name").limit(10)
-)
+query("GR19_affected", "mentions", sql="""SELECT name, count(DISTINCT context_id) AS n FROM {mentions} WHERE context_id IN (SELECT context_id FROM {mentions} WHERE name = 'part/7') AND name <> 'part/7' GROUP BY name ORDER BY n DESC, name LIMIT 10""")(lambda m: R.affected(m, "part/7"))
 query("GR20_node_ancestors", "nation", "region", sql="""SELECT concat('nation/', n_nationkey) AS id, concat('region/', n_regionkey) AS ancestor, 1 AS steps FROM {nation} UNION ALL SELECT concat('nation/', n_nationkey), 'world', 2 FROM {nation} UNION ALL SELECT concat('region/', r_regionkey), 'world', 1 FROM {region}""")(
     lambda n, r: G.ancestors(
         n.select(F.concat(F.lit("nation/"), "n_nationkey").alias("id"), F.concat(F.lit("region/"), "n_regionkey").alias("parent_id"))
@@ -225,3 +187,7 @@ query("GR11_payload", "edges", sql="SELECT 'node' AS kind, count(DISTINCT n) AS
 query("WS02_active_workspaces", "nation", "customer", sql="SELECT n_name AS workspace, count(c_custkey) AS members FROM {nation} LEFT JOIN {customer} ON n_nationkey = c_nationkey WHERE n_regionkey <> 2 GROUP BY n_name")(
     lambda n, c: n.where("n_regionkey <> 2").join(c.groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count("*").alias("members")), "n_nationkey", "left").select(F.col("n_name").alias("workspace"), F.coalesce("members", F.lit(0)).alias("members"))
 )
+query("RT30_profile", "contexts", "curated", "mentions", sql="""WITH n AS (SELECT node, arg_min(content, struct_pack(m := modified_at, i := id)) AS text FROM {contexts} WHERE node IS NOT NULL GROUP BY 1), d AS (SELECT node, arg_max(content, struct_pack(m := modified_at, i := id)) AS text FROM {contexts} WHERE node IS NOT NULL AND type = 'signal' GROUP BY 1),
+    w AS (SELECT slug, arg_max(body, version) AS text FROM {curated} WHERE audience = 1 GROUP BY 1), a AS (SELECT id, title, modified_at FROM {contexts} ORDER BY modified_at DESC, id LIMIT 20), e AS (SELECT name, count(DISTINCT context_id) AS n FROM {mentions} GROUP BY 1 ORDER BY n DESC, name LIMIT 15)
+    SELECT 'static' AS tier, row_number() OVER (ORDER BY node) AS place, node AS item, substr(text, 1, 400) AS text FROM n UNION ALL SELECT 'dynamic', row_number() OVER (ORDER BY node), node, substr(text, 1, 400) FROM d UNION ALL SELECT 'curated', row_number() OVER (ORDER BY slug), slug, substr(text, 1, 400) FROM w
+    UNION ALL SELECT 'activity', row_number() OVER (ORDER BY modified_at DESC, id), id, title FROM a UNION ALL SELECT 'entities', row_number() OVER (ORDER BY n DESC, name), name, CAST(n AS VARCHAR) FROM e""")(lambda c, w, m: R.profile(c, w, m, 1, characters=400))
