@@ -33,8 +33,11 @@ def _compiled() -> tuple[ahocorasick.Automaton, list[Rule]]:
 def detections(text: str) -> list[tuple[int, int, Rule]]:
     """Detections ``(start, end, rule)`` in a lower-cased text, in order of their places.
 
-    Rules are tried in order of priority.  A match that lies within one that
-    is already kept, or overlaps one of higher priority, is suppressed.
+    Matches are taken in order of priority, then of their start, then of their
+    length.  One that shares a character with a match taken before it is
+    suppressed: whether it lies within that one, overlaps a part of it, or, of
+    lower priority, contains it.  So a long match gives way as a whole to a
+    short one of higher priority inside it.
     """
     words, ordered = _compiled()
     due = sorted({i for _, found in words.iter(text) for i in found})

@@ -47,3 +47,24 @@ def test_wrapped_phrases(spark, text, label):
 def test_gate_is_a_superset():
     assert not any(re.search(r"\s", word) for word in license_scan.GATE)
     assert all(any(word in r.keyword for word in license_scan.GATE) for r in license_scan.rules())
+
+
+@pytest.mark.parametrize(
+    "kinds,kept",
+    [
+        ([("long", 50, "aa bb cc"), ("short", 60, "bb")], ["short"]),  # a contained match of higher priority
+        ([("long", 60, "aa bb cc"), ("short", 50, "bb")], ["long"]),
+        ([("left", 50, "aa bb"), ("right", 50, "bb cc")], ["left"]),  # equal priority, a part in common
+        ([("left", 50, "aa bb"), ("right", 60, "bb cc")], ["right"]),
+        ([("one", 50, "aa"), ("two", 50, "aa bb")], ["two"]),  # equal priority and start: the longer
+        ([("left", 50, "aa"), ("right", 60, "bb cc")], ["left", "right"]),
+    ],
+)
+def test_what_overlaps_leave(monkeypatch, kinds, kept):
+    made = sorted((license_scan.Rule(label, priority, 1.0, text.split()[0], re.compile(text)) for label, priority, text in kinds), key=lambda r: -r.priority)
+    words = license_scan.ahocorasick.Automaton()
+    for i, rule in enumerate(made):
+        words.add_word(rule.keyword, (*words.get(rule.keyword, ()), i))
+    words.make_automaton()
+    monkeypatch.setattr(license_scan, "_compiled", lambda: (words, made))
+    assert [rule.label for _, _, rule in license_scan.detections("xx aa bb cc yy")] == kept
