@@ -143,3 +143,19 @@ def reencoded(signals: DataFrame, genre: Column | str = "target_genre") -> DataF
         .otherwise(lines("# ", value("title"), "\n\n> Genre: ", value("genre"), " | Node: ", value("node"), " | S/N: ", value("sn_ratio"), "\n\n", content))
     )
     return signals.select("id", text.alias("text"))
+
+
+def rendered_for(signals: DataFrame, competences: DataFrame) -> DataFrame:
+    """``(id, receiver, genre, text)``: each signal for each of its receivers, in a genre that the receiver reads.
+
+    ``signals`` has the columns of ``reencoded`` and a ``receiver``;
+    ``competences (receiver, place, genre)`` are what a receiver reads, the
+    favourite first.  A signal keeps its genre if the receiver reads it, else
+    takes the favourite; a receiver that isn't known gets it as it is.
+    """
+    known = competences.groupBy("receiver").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "genre"))), lambda c: c["genre"]).alias("_reads"))
+    met = signals.join(known, "receiver", "left")
+    target = F.when(F.col("_reads").isNull() | F.array_contains("_reads", F.col("genre")), F.col("genre")).otherwise(F.element_at("_reads", 1))
+    met = met.withColumn("target_genre", F.coalesce(target, F.lit("note"))).withColumn("_row", F.struct("id", "receiver", "target_genre"))
+    texts = reencoded(met.drop("id").withColumnRenamed("_row", "id"))
+    return texts.select("id.id", "id.receiver", F.col("id.target_genre").alias("genre"), "text")

@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mnemoframe.functions.text import occurs, token_estimate, trimmed
+from mnemoframe.functions.text import first_match, occurs, token_estimate, trimmed
 
 # Stop words, category signals, importances, error patterns.
 STOP_WORDS = """the and for are but not you all any can had her was one our out day been have from this that with what when will more about which them than been would make
@@ -141,3 +141,26 @@ def observation_kind(text: Column) -> Column:
         .when(text.rlike("[A-Z][a-z]+ (prefers|wants|needs|likes)"), "people")
         .otherwise("pattern")
     )
+
+
+def correction_key(text: Column) -> Column:
+    """What a correction is remembered under: the first five words in lower case, letters and digits alone."""
+    plain = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^a-z0-9\s]", "")
+    return F.array_join(F.slice(F.array_remove(F.split(plain, r"\s+"), ""), 1, 5), "_")
+
+
+def learnt_corrections(corrections: DataFrame) -> DataFrame:
+    """``(key, correction, n)`` of ``corrections (wrong, right, time)``: the latest for each key, ties by text, and how often it was corrected."""
+    keyed = corrections.select(correction_key(F.col("wrong")).alias("key"), "right", "time")
+    return keyed.groupBy("key").agg(F.max_by("right", F.struct("time", "right")).alias("correction"), F.count("*").alias("n"))
+
+
+def error_kind(message: Column) -> Column:
+    """The kind of the first pattern of ERRORS that an error's message matches, ``unknown_error`` without one."""
+    return first_match(F.coalesce(message, F.lit("")), ERRORS, "unknown_error")
+
+
+def recoverable(errors: DataFrame, solutions: DataFrame) -> DataFrame:
+    """``(id, kind, correction)`` of ``errors (id, message)``: what is known against errors of a kind, by ``solutions (key, correction)``; else null."""
+    kinds = errors.select("id", error_kind(F.col("message")).alias("kind"))
+    return kinds.join(solutions.select(F.col("key").alias("kind"), "correction"), "kind", "left").select("id", "kind", "correction")

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from mnemoframe.functions.text import slug
-from mnemoframe.operators import architecture, clusters, envelopes, governance, health, pipeline, questions, retrieval, scenarios, sessions, signals, store, wiki
+from mnemoframe.operators import architecture, clusters, delivery, envelopes, governance, health, memory, pipeline, questions, retrieval, scenarios, sessions, signals, store, textindex, wiki
 from mnemoframe.plans.catalog import query
 from mnemoframe.plans.catalog_text import _case
 from mnemoframe.sources.views import AS_OF
@@ -144,3 +144,22 @@ query("ST03_sample", "contexts")(lambda c: store.sampled(c.where("content <> ''"
 query("ME28_collection", "memories", sql="SELECT id, category, content, root_id FROM {memories}")(
     lambda m: store.collection_from_json(store.collection_to_json(m.select(F.col("category").alias("collection"), F.col("id").alias("key"), "content", "root_id")), "collection string, content string, key string, root_id long")[0].select(F.col("key").alias("id"), F.col("collection").alias("category"), "content", "root_id")
 )
+
+query("FA04_rendered_for", "reports", sql=r"""WITH r AS (SELECT *, CAST(substr(id, 5) AS INT) % 4 AS who FROM {reports}), t AS (SELECT *, CASE who WHEN 0 THEN CASE WHEN genre IN ('fr', 'es') THEN genre ELSE 'fr' END WHEN 1 THEN 'note' WHEN 2 THEN CASE WHEN genre IN ('note', 'de') THEN genre ELSE 'note' END ELSE coalesce(genre, 'note') END AS target FROM r)
+    SELECT id, concat('r', who) AS receiver, target AS genre, regexp_replace(CASE WHEN target = 'note' THEN concat('# Note: ', coalesce(title, ''), chr(10), chr(10), '**Node:** ', coalesce(node, ''), ' | **Genre:** ', coalesce(genre, ''), ' | **S/N:** ', sn_ratio, chr(10), chr(10), coalesce(description, ''))
+        ELSE concat('# ', coalesce(title, ''), chr(10), chr(10), '> Genre: ', coalesce(genre, ''), ' | Node: ', coalesce(node, ''), ' | S/N: ', sn_ratio, chr(10), chr(10), content) END, '^\s+|\s+$', '', 'g') AS text FROM t""")(
+    lambda r: delivery.rendered_for(r.withColumn("receiver", F.concat(F.lit("r"), F.substring("id", 5, 9).cast("int") % 4)), r.sparkSession.createDataFrame([("r0", 2, "es"), ("r0", 1, "fr"), ("r1", 1, "note"), ("r2", 1, "note"), ("r2", 2, "de")], "receiver string, place int, genre string"))
+)
+query("ME24_corrections", "seeded", sql=r"""WITH k AS (SELECT array_to_string(list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^a-z0-9\s]', '', 'g'), '\s+'), lambda w: w <> '')[:5], '_') AS key, concat('answer ', doc_id) AS a, doc_id // 3 AS t FROM {seeded}) SELECT key, arg_max(a, struct_pack(t := t, a := a)) AS correction, count(*) AS n FROM k GROUP BY key""")(
+    lambda s: memory.learnt_corrections(s.select(F.col("text").alias("wrong"), F.concat(F.lit("answer "), F.col("doc_id").cast("string")).alias("right"), F.expr("doc_id div 3").alias("time")))
+)
+query("ME24_recoverable", "seeded", sql=r"""SELECT doc_id AS id, kind, CASE kind WHEN 'timeout_error' THEN 'wait' WHEN 'unknown_error' THEN 'look' END AS correction FROM (SELECT doc_id, CASE WHEN regexp_matches(m, 'file.*not found|no such file') THEN 'file_not_found' WHEN contains(m, 'permission denied') THEN 'permission_denied' WHEN contains(m, 'syntax error') THEN 'syntax_error' WHEN regexp_matches(m, 'import.*error|module.*not found') THEN 'import_error'
+    WHEN regexp_matches(m, 'type.*error|expected.*got') THEN 'type_error' WHEN regexp_matches(m, 'network|connection.*refused') THEN 'network_error' WHEN contains(m, 'memory') THEN 'memory_error' WHEN contains(m, 'timeout') THEN 'timeout_error' WHEN regexp_matches(m, 'compilation.*error|compile.*fail') THEN 'compilation_error' WHEN regexp_matches(m, 'test.*fail') THEN 'test_failure' ELSE 'unknown_error' END AS kind FROM (SELECT doc_id, lower(text) AS m FROM {seeded}))""")(
+    lambda s: memory.recoverable(s.select(F.col("doc_id").alias("id"), F.col("text").alias("message")), s.sparkSession.createDataFrame([("timeout_error", "wait"), ("unknown_error", "look"), ("other", "x")], "key string, correction string"))
+)
+query("JN26_clusters_of", "embeddings", sql="SELECT vec_id, label AS cluster, n AS members FROM {embeddings} JOIN (SELECT label, count(*) AS n FROM {embeddings} GROUP BY label) USING (label) WHERE vec_id % 5 = 0")(
+    lambda e: clusters.clusters_of(e.where("vec_id % 5 = 0"), e.select("vec_id", F.col("label").alias("cluster")), e.groupBy(F.col("label").alias("cluster")).agg(F.count("*").alias("members")))
+)
+query("JN27_matching_memories", "versions", sql="""WITH t AS (SELECT id, list_filter(regexp_split_to_array(translate(lower(content), 'àâäáãåçéèêëíìîïñóòôöõúùûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[^a-z0-9ß]+'), lambda x: x <> '') AS w FROM {versions}) SELECT id, root_id, version FROM {versions} JOIN t USING (id) WHERE list_contains(w, 'de') AND list_contains(w, 'la')""")(
+    lambda v: textindex.matches(textindex.build_index(v), "la de").join(v, "id").select("id", "root_id", "version")
+)
