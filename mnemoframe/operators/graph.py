@@ -12,7 +12,7 @@ from mnemoframe.functions.durable import checkpointed
 #: Rounds after which an iteration that still moves raises an error.
 MOST_ROUNDS = 60
 #: Links that one task closes at most.
-FEW_LINKS = 250_000
+FEW_LINKS = 1_500_000
 
 
 def degrees(edges: DataFrame) -> DataFrame:
