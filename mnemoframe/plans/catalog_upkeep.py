@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from mnemoframe.functions.text import slug
-from mnemoframe.operators import architecture, clusters, delivery, envelopes, governance, health, memory, pipeline, questions, retrieval, scenarios, sessions, signals, store, textindex, wiki
+from mnemoframe.operators import architecture, clusters, delivery, envelopes, files, governance, health, memory, pipeline, questions, retrieval, scenarios, sessions, signals, store, textindex, wiki
 from mnemoframe.plans.catalog import query
 from mnemoframe.plans.catalog_text import _case
 from mnemoframe.sources.views import AS_OF
@@ -163,3 +163,29 @@ query("JN26_clusters_of", "embeddings", sql="SELECT vec_id, label AS cluster, n
 query("JN27_matching_memories", "versions", sql="""WITH t AS (SELECT id, list_filter(regexp_split_to_array(translate(lower(content), 'àâäáãåçéèêëíìîïñóòôöõúùûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[^a-z0-9ß]+'), lambda x: x <> '') AS w FROM {versions}) SELECT id, root_id, version FROM {versions} JOIN t USING (id) WHERE list_contains(w, 'de') AND list_contains(w, 'la')""")(
     lambda v: textindex.matches(textindex.build_index(v), "la de").join(v, "id").select("id", "root_id", "version")
 )
+
+query("SC16_indexable", "tree", sql="""SELECT path, size, CASE WHEN doc_id % 5 = 1 THEN 'binary' ELSE 'text' END AS kind FROM {tree} WHERE doc_id % 7 NOT IN (1, 3, 4) AND doc_id % 5 NOT IN (2, 3) AND size BETWEEN 1 AND 1048576""")(lambda t: files.indexable(t.select("path", "size")))
+query("SC17_SC18_contexts", "tree", "folders", sql=r"""SELECT substr(sha256(path), 1, 32) AS id, concat('mem://', path) AS uri, CASE WHEN doc_id % 5 = 1 THEN 'resource' WHEN doc_id % 7 = 2 THEN 'memory' ELSE 'resource' END AS type, CASE doc_id % 7 WHEN 0 THEN 'north-hub' WHEN 5 THEN 'south-hub' ELSE 'inbox' END AS node, path,
+    CASE WHEN doc_id % 5 <> 1 AND regexp_matches(content, '(?m)^# +.+$') THEN trim(regexp_extract(content, '(?m)^# +(.+)$', 1)) ELSE concat('my file ', doc_id, CASE doc_id % 5 WHEN 0 THEN '.md' WHEN 1 THEN '.pdf' ELSE '.txt' END) END AS title, CASE WHEN doc_id % 5 = 1 THEN '' ELSE content END AS content,
+    CASE WHEN doc_id % 5 = 1 THEN concat('Binary file: my-file_', doc_id, '.pdf (.pdf, ', size, ' bytes)') END AS summary, CASE WHEN doc_id % 5 = 1 THEN CAST(0.3 AS DOUBLE) END AS sn_ratio FROM {tree} WHERE doc_id % 7 NOT IN (1, 3, 4) AND doc_id % 5 NOT IN (2, 3) AND size BETWEEN 1 AND 1048576""")(
+    lambda t, f: files.file_contexts(files.indexable(t), f)
+)
+query("SV01_coverage", "sources", "surfaces", sql="SELECT count(*) AS total, count(*) FILTER (path IN (SELECT path FROM {surfaces})) AS covered, round(100.0 * count(*) FILTER (path IN (SELECT path FROM {surfaces})) / count(*), 1) AS percentage FROM (SELECT DISTINCT path FROM {sources})")(files.coverage)
+query("SV02_verified", "surfaces", "sources", sql="""WITH r AS (SELECT DISTINCT spec, path, CASE spec WHEN 'spec-0' THEN 'claimed' WHEN 'spec-1' THEN 'linked' ELSE 'executed' END AS minimum FROM {surfaces}), c AS (SELECT *, CASE length(path) % 4 WHEN 0 THEN 'test_file' WHEN 1 THEN 'command' WHEN 2 THEN 'other' END AS kind FROM r),
+    s AS (SELECT *, CASE WHEN kind IS NULL THEN 'none' WHEN kind = 'command' AND spec <> 'spec-2' THEN 'executed' WHEN kind = 'test_file' AND path IN (SELECT path FROM {sources}) THEN 'linked' ELSE 'claimed' END AS strength FROM c)
+    SELECT spec, path AS requirement, coalesce(kind, 'none') AS kind, CASE WHEN kind IS NULL THEN '' ELSE path END AS target, strength, CASE strength WHEN 'none' THEN minimum = 'claimed' WHEN 'claimed' THEN minimum = 'claimed' WHEN 'linked' THEN minimum <> 'executed' ELSE true END AS meets_minimum FROM s""")(
+    lambda u, s: files.verified(
+        u.select("spec", F.col("path").alias("requirement"), F.when(F.col("spec") == "spec-0", "claimed").when(F.col("spec") == "spec-1", "linked").otherwise("executed").alias("minimum")).distinct(),
+        u.where("length(path) % 4 < 3").select("spec", F.col("path").alias("requirement"), F.element_at(F.array(*map(F.lit, ("test_file", "command", "other"))), F.length("path") % 4 + 1).alias("kind"), F.col("path").alias("target"), (F.col("spec") != "spec-2").alias("passed")).distinct(), s,
+    )
+)
+query("SC37_signal_files", "reports", "folders", "skeletons", sql=r"""WITH r AS (SELECT *, CAST(substr(id, 5) AS INT) AS k FROM {reports}), t AS (SELECT *, CASE WHEN k % 3 = 0 THEN 'north-hub' ELSE 'other' END AS own, CASE WHEN k % 2 = 0 THEN ['south-hub', 'other'] ELSE [] END AS routed FROM r),
+    e AS (SELECT *, own AS target FROM t UNION ALL SELECT *, 'south-hub' FROM t WHERE k % 2 = 0 UNION ALL SELECT *, 'other' FROM t WHERE k % 2 = 0 AND own <> 'other'),
+    b AS (SELECT *, regexp_replace(content, '^\s+|\s+$', '', 'g') AS body, CASE target WHEN 'north-hub' THEN 'north' WHEN 'south-hub' THEN 'south' ELSE 'inbox' END AS folder, coalesce(title, 'Untitled') AS name FROM e)
+    SELECT id, concat(folder, '/signals/2024-03-01-', regexp_replace(regexp_replace(lower(name), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), '.md') AS path, target AS node, concat('---', chr(10), 'node: ', target, chr(10), 'title: ', name, chr(10), 'date: 2024-03-01', chr(10), CASE WHEN target <> own THEN concat('cross_ref_from: ', own, chr(10)) ELSE '' END,
+        'signal:', chr(10), '  mode: linguistic', chr(10), '  genre: ', genre, chr(10), '  type: inform', chr(10), '  format: markdown', chr(10), '  sn_ratio: 0.6', chr(10), 'tiers:', chr(10), '  l0: "', summary, '"', chr(10), '  l1: "', coalesce(description, ''), '"', chr(10), 'entities:', chr(10), '  - Ann', chr(10), 'routed_to:', chr(10),
+        CASE WHEN k % 2 = 0 THEN concat('  - south-hub', chr(10), '  - other', chr(10)) ELSE concat('  []', chr(10)) END, '---', chr(10), chr(10), '# ', name, chr(10), chr(10), CASE WHEN genre = 'de' THEN concat('## Inhalt', chr(10), chr(10), body, chr(10), chr(10), '## Fragen', chr(10), chr(10), '## Folgen', chr(10), chr(10), '<!-- what follows -->', chr(10), chr(10)) ELSE concat('## Context', chr(10), chr(10), body, chr(10), chr(10), '## Route', chr(10), chr(10)) END) AS content FROM b""")(
+    lambda r, f, s: files.signal_files(
+        r.withColumn("k", F.substring("id", 5, 9).cast("int")).select("id", F.when(F.col("k") % 3 == 0, "north-hub").otherwise("other").alias("node"), "title", "genre", F.lit(None).cast("string").alias("signal_type"), F.lit(None).cast("string").alias("mode"), "format", F.lit(None).cast("double").alias("sn_ratio"),
+            F.lit("2024-03-01").alias("day"), "content", "summary", "description", F.array(F.lit("Ann")).alias("entities"), F.when(F.col("k") % 2 == 0, F.array(F.lit("south-hub"), F.lit("other"))).otherwise(F.array().cast("array<string>")).alias("routed_to")), f.select("node", "folder"), s)
+)

@@ -157,6 +157,12 @@ VIEWS = {
         SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN text WHEN doc_id % 4 = 1 THEN concat('---', chr(10), 'slug: page-', doc_id, chr(10), 'version: ', doc_id, chr(10), 'owner:  Ann: B ', chr(10), 'slug: other', chr(10), '---', chr(10), chr(10), text) WHEN doc_id % 4 = 2 THEN concat('---', chr(13), chr(10), 'audience: sales', chr(13), chr(10), 'version: x', chr(13), chr(10), '---', chr(13), chr(10), text) ELSE concat('---', chr(10), 'slug: open', chr(10), text) END AS text
         FROM {documents}""",
     "skeletons": "SELECT 'de' AS genre, 2 AS place, 'Fragen' AS name, '' AS hint UNION ALL SELECT 'de', 1, 'Inhalt', 'first' UNION ALL SELECT 'de', 3, 'Folgen', 'what follows' UNION ALL SELECT 'note', 1, 'Context', NULL UNION ALL SELECT 'note', 2, 'Route', NULL",
+    "tree": """
+        SELECT doc_id, concat(CASE doc_id % 7 WHEN 0 THEN 'north/' WHEN 1 THEN 'south/.git/' WHEN 2 THEN '_memories/' WHEN 3 THEN '_old/' WHEN 4 THEN 'docs/tools/' WHEN 5 THEN 'south/' ELSE '' END, 'my-file_', doc_id, CASE doc_id % 5 WHEN 0 THEN '.md' WHEN 1 THEN '.pdf' WHEN 2 THEN '.abstract.md' WHEN 3 THEN '.exe' ELSE '.txt' END) AS path,
+               CASE WHEN doc_id % 11 = 0 THEN 0 WHEN doc_id % 13 = 0 THEN 2000000 ELSE 10 + doc_id END AS size, concat(CASE WHEN doc_id % 2 = 0 THEN concat('# Head ', doc_id, chr(10)) ELSE '' END, text) AS content
+        FROM {documents}""",
+    "folders": "SELECT 'north' AS folder, 'north-hub' AS node UNION ALL SELECT 'south', 'south-hub'",
+    "surfaces": "SELECT concat('spec-', p_partkey % 5) AS spec, concat('src/part', p_partkey % 9, '/mod', p_partkey, CASE p_partkey % 5 WHEN 0 THEN '.py' WHEN 1 THEN '.EX' WHEN 2 THEN '.go' ELSE '' END) AS path FROM {part}",
     "packed": """
         SELECT o_custkey % 50 AS answer_id, CASE o_custkey % 50 % 5 WHEN 0 THEN 'plain' WHEN 1 THEN 'markdown' WHEN 2 THEN 'claude' WHEN 3 THEN 'openai' ELSE 'other' END AS format, o_orderkey AS place,
                CASE WHEN o_orderkey % 3 <> 0 THEN concat('Order ', o_orderkey) END AS title, concat('  Status "', o_orderstatus, '"', chr(10), o_orderpriority, ' ') AS content, CASE o_orderkey % 4 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE concat('order/', o_orderkey % 6) END AS uri

@@ -282,3 +282,17 @@ def test_silences_split_a_hot_key(spark):
         allowed[i] = tokens >= 1
         tokens -= tokens >= 1
     assert {r["id"]: r["allowed"] for r in signals.rate_limited(frame, "agent", 2.0, 0.001).collect()} == allowed
+
+
+def test_files_of_any_kind(spark):
+    from mnemoframe.operators import files
+
+    tree = spark.createDataFrame([("a.md", 5, "x"), (".hidden.md", 5, "x"), ("_skills/b.txt", 5, "x"), ("_x/b.txt", 5, "x"), ("engine/c.py", 5, "x"), ("d.MD", 5, "x"), ("e.pdf", files.MOST_BYTES, None), ("f.pdf", files.MOST_BYTES + 1, None), ("g", 5, "x"), (None, 5, "x"), ("h.md", 0, ""), ("i.overview.md", 3, "x"), ("j.txt", None, "x"), ("k.txt", 3, None)], "path string, size long, content string")
+    kept = files.indexable(tree)
+    assert {(r["path"], r["kind"]) for r in kept.collect()} == {("a.md", "text"), ("_skills/b.txt", "text"), ("e.pdf", "binary"), ("k.txt", "text")}
+    folders = spark.createDataFrame([("a.md", "odd")], "folder string, node string")
+    found = {r["path"]: (r["type"], r["node"], r["title"], r["content"]) for r in files.file_contexts(kept, folders).collect()}
+    assert found == {"a.md": ("resource", "odd", "a.md", "x"), "_skills/b.txt": ("skill", "inbox", "b.txt", "x"), "e.pdf": ("resource", "inbox", "e.pdf", "")}
+    empty = spark.createDataFrame([], "path string")
+    assert tuple(files.coverage(empty, spark.createDataFrame([], "spec string, path string")).first()) == (0, 0, 0.0)
+    assert tuple(files.coverage(tree.select("path").where("path IS NOT NULL"), spark.createDataFrame([("s", "a.md"), ("t", "a.md"), ("t", "zz")], "spec string, path string")).first()) == (13, 1, 7.7)
