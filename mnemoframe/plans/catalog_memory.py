@@ -117,8 +117,11 @@ query("SX04_routes", "signals", sql="""WITH m AS (SELECT id, route, spec, prio F
     SELECT id, route, row_number() OVER (PARTITION BY id ORDER BY spec DESC, prio DESC, route) - 1 AS place FROM m""")(lambda s: S.routed(s, _ROUTES))
 query("AG23_percentiles", "signals", sql="""WITH s AS (SELECT type, latency FROM (SELECT *, row_number() OVER (PARTITION BY type ORDER BY id DESC) AS b FROM {signals}) WHERE b <= 1000), v AS (SELECT type, list(latency ORDER BY latency) AS v FROM s GROUP BY type)
     SELECT type, v[CAST(round((len(v) - 1) * 0.5) AS INT) + 1] AS p50, v[CAST(round((len(v) - 1) * 0.95) AS INT) + 1] AS p95, v[CAST(round((len(v) - 1) * 0.99) AS INT) + 1] AS p99 FROM v""")(lambda s: S.percentiles(s, "type", "latency", "id"))
-query("SX08_cooldown", "signals")(lambda s: S.cooled_down(s, ["agent", "type"]))
-query("SX10_token_bucket", "signals")(lambda s: S.rate_limited(s, "agent", 3.0, 0.0001))
+query("SX08_cooldown", "signals", sql="""WITH RECURSIVE e AS (SELECT agent, type, id, epoch_us(time) AS t, row_number() OVER (PARTITION BY agent, type ORDER BY time, id) AS r FROM {signals}),
+    w AS (SELECT agent, type, id, r, t AS last, true AS ok FROM e WHERE r = 1 UNION ALL SELECT e.agent, e.type, e.id, e.r, CASE WHEN e.t - w.last >= 3600000000 THEN e.t ELSE w.last END, e.t - w.last >= 3600000000 FROM w JOIN e ON e.agent = w.agent AND e.type = w.type AND e.r = w.r + 1) SELECT id FROM w WHERE ok""")(lambda s: S.cooled_down(s, ["agent", "type"]))
+query("SX10_token_bucket", "signals", sql="""WITH RECURSIVE e AS (SELECT agent, id, epoch_us(time) AS t, row_number() OVER (PARTITION BY agent ORDER BY time, id) AS r FROM {signals}),
+    w AS (SELECT agent, id, r, t, CAST(2.0 AS DOUBLE) AS tokens, true AS allowed FROM e WHERE r = 1 UNION ALL SELECT agent, id, r, t, CASE WHEN filled >= 1 THEN filled - 1 ELSE filled END, filled >= 1
+        FROM (SELECT e.agent, e.id, e.r, e.t, least(CAST(3.0 AS DOUBLE), w.tokens + (e.t - w.t) / CAST(1000000 AS DOUBLE) * CAST(0.0001 AS DOUBLE)) AS filled FROM w JOIN e ON e.agent = w.agent AND e.r = w.r + 1) x) SELECT id, allowed FROM w""")(lambda s: S.rate_limited(s, "agent", 3.0, 0.0001))
 query("SX13_sessions", "signals", sql="""WITH g AS (SELECT agent, time, CASE WHEN time - lag(time) OVER (PARTITION BY agent ORDER BY time, id) < INTERVAL '60' MINUTE THEN 0 ELSE 1 END AS fresh FROM {signals}), s AS (SELECT agent, time, sum(fresh) OVER (PARTITION BY agent ORDER BY time ROWS UNBOUNDED PRECEDING) AS n FROM g)
     SELECT agent, min(time) AS started, count(*) AS signals FROM s GROUP BY agent, n""")(
     lambda s: s.groupBy("agent", F.session_window("time", "60 minutes").alias("w")).agg(F.count("*").alias("signals")).select("agent", F.col("w.start").alias("started"), "signals")

@@ -32,7 +32,8 @@ query("RT12_rank_fusion", "contexts", sql="""WITH a AS (SELECT id, row_number()
     SELECT id, round(sum(1.0 / (60 + r)), 6) AS score FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY id""")(
     lambda c: R.fuse_ranks(c.select("id", F.col("sn_ratio").alias("score")).orderBy(F.desc("score"), "id").limit(50), c.select("id", F.length("content").cast("double").alias("score")).orderBy(F.desc("score"), "id").limit(50))
 )
-query("RT10_budget", "contexts")(lambda c: R.within_budget(c.select("id", "content", F.col("sn_ratio").alias("score")).orderBy(F.desc("score"), "id").limit(20), 3000))
+query("RT10_budget", "contexts", sql="""WITH RECURSIVE c AS (SELECT id, length(content) // 4 + 64 AS cost, row_number() OVER (ORDER BY sn_ratio DESC, id) AS r FROM (SELECT * FROM {contexts} ORDER BY sn_ratio DESC, id LIMIT 20) t),
+    w AS (SELECT id, cost, r, cost <= 3000 AS kept, CASE WHEN cost <= 3000 THEN 3000 - cost ELSE 3000 END AS room FROM c WHERE r = 1 UNION ALL SELECT c.id, c.cost, c.r, c.cost <= w.room, CASE WHEN c.cost <= w.room THEN w.room - c.cost ELSE w.room END FROM w JOIN c ON c.r = w.r + 1) SELECT id, cost, kept FROM w""")(lambda c: R.within_budget(c.select("id", "content", F.col("sn_ratio").alias("score")).orderBy(F.desc("score"), "id").limit(20), 3000))
 query("RT11_truncate", "contexts", sql="SELECT id, CASE WHEN length(content) > 400 THEN concat(substr(content, 1, 400), '…') ELSE content END AS text FROM {contexts}")(lambda c: c.select("id", R.truncated(F.col("content"), 100).alias("text")))
 query("RT15_snippet", "documents", sql="""SELECT doc_id, nullif(trim(substr(text, greatest(coalesce(nullif(strpos(lower(text), 'rerean'), 0), nullif(strpos(lower(text), 'hation'), 0), 1) - 50, 1), 200), ' '), '') AS snippet FROM {documents}""")(
     lambda d: d.select("doc_id", R.snippet(F.col("text"), "rerean hation").alias("snippet"))
