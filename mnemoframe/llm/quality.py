@@ -27,6 +27,8 @@ BUCKETS = 1 << 14
 LABELLED = 6000
 #: Rejecting a good document counts as so many accepted bad ones when the size of the sample is fitted.
 COST_OF_REJECTION = 5
+#: How much a threshold may cost beyond the best one, in rejected good documents of the sample.
+SLACK = 0.5
 _BINS, _FEW = 4096, 10_000
 
 _KIND = np.full(256, 2, dtype=np.uint8)
@@ -118,20 +120,38 @@ def kth_largest(keys: DataFrame, k: int) -> float:
             return sorted((r[0] for r in keys.where(F.col("key").between(low, high)).select("key").collect()), reverse=True)[k - 1]
 
 
-def _share_threshold(good: np.ndarray, bad: np.ndarray, stands_for: tuple[float, float] = (1.0, 1.0)) -> float:
-    """A weight that separates the classes at about the least cost: within the cost of one rejected good value, that where values stand closest.
+def _share_range(good: np.ndarray, bad: np.ndarray, stands_for: tuple[float, float] = (1.0, 1.0)) -> tuple[float, float]:
+    """The weights between which a threshold separates the classes about best: each costs no more than the best one and SLACK rejected good values.
 
-    A cut in a gap of the weights would leave nothing to the draw; of the cuts
-    that serve as well, this one has the documents around it between which
-    the noise decides.  ``stands_for`` is how many labels of all each good and
-    each bad value stands for.
+    ``stands_for`` is how many labels of all each good and each bad value stands for.
     """
     values = np.unique(np.concatenate([good, bad]))
-    cuts = np.concatenate([[values[0] - 1], (values[1:] + values[:-1]) / 2])
-    costs = COST_OF_REJECTION * stands_for[0] * np.searchsorted(np.sort(good), cuts) + stands_for[1] * (len(bad) - np.searchsorted(np.sort(bad), cuts))
-    near = np.flatnonzero(costs <= costs.min() + COST_OF_REJECTION * stands_for[0])
-    gaps = np.concatenate([[np.inf], values[1:] - values[:-1]])
-    return float(cuts[near[np.argmin(gaps[near])]])
+    edges = np.concatenate([[values[0] - 1], values])
+    # A threshold above edges[i] and up to edges[i + 1] rejects the good values up to edges[i] and accepts the bad ones from edges[i + 1].
+    costs = COST_OF_REJECTION * stands_for[0] * np.searchsorted(np.sort(good), values) + stands_for[1] * (len(bad) - np.searchsorted(np.sort(bad), values))
+    fair = costs <= costs.min() + SLACK * COST_OF_REJECTION * stands_for[0]
+    first = last = int(costs.argmin())
+    while first and fair[first - 1]:
+        first -= 1
+    while last + 1 < len(fair) and fair[last + 1]:
+        last += 1
+    return float(edges[first]), float(edges[last + 1])
+
+
+def _sample_size(present: DataFrame, low: float, high: float) -> int:
+    """The documents above the place between two weights where most lie within a unit of weight, and half of those there.
+
+    The noise is about as wide as such a place, so the draw decides which half
+    of it stays.  Ties go to the lower weights.
+    """
+    width = max(1.0, (high - low) / _FEW)
+    place = F.floor((F.col("_weight") - F.lit(low)) / F.lit(width))
+    between = present.where((F.col("_weight") > low) & (F.col("_weight") < high)).groupBy(place.alias("place")).agg(F.count("*").alias("n")).collect()
+    above = present.where(F.col("_weight") >= high).count()
+    if not between:
+        return above
+    most = min(between, key=lambda r: (-r["n"], r["place"]))
+    return above + sum(r["n"] for r in between if r["place"] > most["place"]) + most["n"] // 2
 
 
 def fit(docs: DataFrame, labels: DataFrame, seed: int = 17, share: float | None = None) -> tuple[Sampler, DataFrame]:
@@ -140,9 +160,9 @@ def fit(docs: DataFrame, labels: DataFrame, seed: int = 17, share: float | None
     The raw model counts all documents; the target model those of a bounded
     sample with ``quality`` 1.  The sample's size k is ``share`` of the
     documents with an n-gram.  Without ``share`` it is the number of documents
-    whose weight reaches a threshold that separates labelled documents outside
-    the target model about best, where weights stand close; which documents
-    make up the sample is drawn.  Each label counts as the labels of its class that it stands for,
+    above a weight that separates labelled documents outside the target model
+    about best, where documents lie closest; which documents make up the
+    sample is drawn.  Each label counts as the labels of its class that it stands for,
     so that the size follows all labels' ratio whatever was read.  Without
     labels of both kinds every document with an n-gram stays.
     """
@@ -177,7 +197,7 @@ def fit(docs: DataFrame, labels: DataFrame, seed: int = 17, share: float | None
         by_class = {q: np.array([r["_weight"] for r in seen if r["quality"] == q]) for q in (0, 1)}
         if len(by_class[0]) and len(by_class[1]):
             stands_for = labelled[1] / len(checked), labelled[0] / len(bad)
-            k = present.where(F.col("_weight") >= _share_threshold(by_class[1], by_class[0], stands_for)).count()
+            k = _sample_size(present, *_share_range(by_class[1], by_class[0], stands_for))
         else:
             k = present.count()
     cut = kth_largest(present, k) if k else float("inf")
