@@ -17,7 +17,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     if context.getCheckpointDir() is not None:
         return
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared is None and not context.master.startswith("local["):
+    if shared is None and context.master.partition("[")[0] != "local":
         raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="checkpoints-"))
 
