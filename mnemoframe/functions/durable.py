@@ -14,7 +14,7 @@ def shared_folder(spark: SparkSession) -> str:
     """
     if spark.sparkContext.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
-        if shared is None and spark.sparkContext.master.startswith("local["):
+        if shared is None and spark.sparkContext.master.partition("[")[0] == "local":
             shared = tempfile.mkdtemp(prefix="mnemoframe-")
         if shared is None:
             raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
