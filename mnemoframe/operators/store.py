@@ -117,7 +117,7 @@ def sampled(rows: DataFrame, n: int, seed: int = 0, key: str = "id") -> DataFram
     Equal keys go by the whole row.  No more than ``n`` rows of a task are
     sorted together.
     """
-    return rows.orderBy(F.xxhash64(F.lit(seed), F.col(key)), key).limit(n)
+    return rows.orderBy(F.md5(F.concat_ws(":", F.lit(seed), F.col(key).cast("string"))), key).limit(n)
 
 
 def collection_to_json(rows: DataFrame, collection: str = "collection", key: str = "key") -> DataFrame:

@@ -62,6 +62,8 @@ ORACLES["PL07_PL09_classify"] = oracle("SELECT doc_id, @G AS genre, @M AS mode,
 query("PL14_intent", "seeded")(lambda d: d.select("doc_id", P.intent(F.col("text")).alias("intent")))
 ORACLES["PL14_intent"] = oracle("SELECT doc_id, @I AS intent FROM {seeded}").replace("@I", _case(P.INTENTS, "record_fact").replace("{{", "{").replace("}}", "}"))
 query("PL14_intent_confidence", "seeded")(lambda d: d.select("doc_id", P.intent_confidence(F.col("text")).alias("confidence")))
+_MORE = " ".join("WHEN regexp_matches(text, @P, 'i') THEN round(least(0.65 + least(len(regexp_extract_all(text, @P, 0, 'i')) - 1, 6) * 0.05, 0.95), 2)".replace("@P", "'" + p.removeprefix("(?i)").replace("'", "''") + "'") for _, p in P.INTENTS)
+ORACLES["PL14_intent_confidence"] = oracle("SELECT doc_id, CAST(CASE WHEN text = '' THEN 0.3 @M ELSE 0.5 END AS DOUBLE) AS confidence FROM {seeded}").replace("@M", _MORE)
 query("PL10_density", "documents", sql="""WITH t AS (SELECT doc_id, text, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '') AS k FROM {documents})
     SELECT doc_id, CASE WHEN strlen(text) = 0 THEN 0.0 WHEN strlen(text) < 40 THEN 0.3 WHEN len(k) = 0 THEN 0.0 ELSE round(0.4 + 0.5 * len(list_distinct(k)) / len(k), 3) END AS density FROM t""")(lambda d: d.select("doc_id", P.density(F.col("text")).alias("density")))
 query("PL18_gate", "contexts", sql="SELECT id, CASE WHEN sn_ratio < 0.3 THEN 'reject' WHEN sn_ratio < 0.6 THEN 'quarantine' ELSE 'accept' END AS verdict FROM {contexts}")(lambda c: c.select("id", P.gate(F.col("sn_ratio")).alias("verdict")))

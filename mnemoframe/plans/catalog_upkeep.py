@@ -85,7 +85,10 @@ query("GR18_recommendations", "scenarios", "aliases", "nation", sql=f"""WITH s A
     SELECT id, CAST(unnest(range(len(texts[:5]))) AS INT) AS place, unnest(texts[:5]) AS text FROM l""")(
     lambda s, a, n: scenarios.recommendations(scenarios.parse(s, a, "treasury"), s.join(n, F.col("n_nationkey") % 5 == F.col("id") % 5).select("id", F.col("n_name").alias("node"), ((F.col("id") * 7 + F.col("n_nationkey") * 3) % 11).cast("double").alias("score")))
 )
-query("GR13_what_if", "mentions", "contexts")(
+query("GR13_what_if", "mentions", "contexts", sql="""WITH s AS (SELECT context_id FROM {mentions} WHERE name = 'part/7'), n AS (SELECT DISTINCT name FROM {mentions} WHERE context_id IN (SELECT context_id FROM s) AND name <> 'part/7'),
+    c AS (SELECT context_id, count(*) * 0.5 AS score FROM {mentions} WHERE name IN (SELECT name FROM n) AND context_id NOT IN (SELECT context_id FROM s) GROUP BY 1), h AS (SELECT id, node FROM {contexts} WHERE node IS NOT NULL),
+    b AS (SELECT node, round(sum(score), 3) AS score FROM c JOIN h ON id = context_id GROUP BY 1), a AS (SELECT node, count(*) AS n FROM {mentions} JOIN h ON id = context_id GROUP BY 1), g AS (SELECT node, count(*) AS n FROM s JOIN h ON id = context_id GROUP BY 1)
+    SELECT a.node, CAST(coalesce(score, 0) AS DOUBLE) AS score, a.n AS edges_before, a.n - coalesce(g.n, 0) AS edges_after FROM a LEFT JOIN b ON b.node = a.node LEFT JOIN g ON g.node = a.node WHERE b.node IS NOT NULL OR g.node IS NOT NULL""")(
     lambda m, c: scenarios.what_if(m.select(F.col("context_id").alias("source_id"), F.col("name").alias("target_id"), F.lit("mentioned_in").alias("relation")), c.select("id", "node"), "entity_removal", "part/7", depth=2)
 )
 
@@ -140,7 +143,7 @@ query("PL05_context_type", "sources", "page_files", sql="""SELECT doc_id, CASE W
 )
 query("PL23_skeleton", "documents", "skeletons", sql=r"""SELECT doc_id, CASE WHEN lang = 'de' THEN concat('## Inhalt', chr(10), chr(10), t, chr(10), chr(10), '## Fragen', chr(10), chr(10), '## Folgen', chr(10), chr(10), '<!-- what follows -->', chr(10), chr(10)) ELSE concat('## Context', chr(10), chr(10), t, chr(10), chr(10), '## Route', chr(10), chr(10)) END AS structured
     FROM (SELECT doc_id, lang, regexp_replace(text, '^\s+|\s+$', '', 'g') AS t FROM {documents})""")(lambda d, s: pipeline.with_skeleton(d.withColumn("genre", F.col("lang")), s).select("doc_id", "structured"))
-query("ST03_sample", "contexts")(lambda c: store.sampled(c.where("content <> ''").select("id", "title", "node"), 40, seed=3))
+query("ST03_sample", "contexts", sql="SELECT id, title, node FROM {contexts} WHERE content <> '' ORDER BY md5(concat('3:', id)), id LIMIT 40")(lambda c: store.sampled(c.where("content <> ''").select("id", "title", "node"), 40, seed=3))
 query("ME28_collection", "memories", sql="SELECT id, category, content, root_id FROM {memories}")(
     lambda m: store.collection_from_json(store.collection_to_json(m.select(F.col("category").alias("collection"), F.col("id").alias("key"), "content", "root_id")), "collection string, content string, key string, root_id long")[0].select(F.col("key").alias("id"), F.col("collection").alias("category"), "content", "root_id")
 )
