@@ -375,3 +375,23 @@ def html_pages(pages: DataFrame, id_column: str = "page_id", html_column: str =
     offset 0.  An empty page has an empty text, and null as its title.
     """
     return parsed(pages, _html, "title string, text string, headings array<struct<level:int,text:string,offset:long,length:long>>, html_bytes long", id_column, html_column)
+
+
+def merged_settings(configs: DataFrame, defaults: DataFrame, id_column: str = "workspace", text_column: str = "text") -> DataFrame:
+    """``(workspace, path, kind, value)``: each workspace's settings, its YAML over the ``defaults (path, kind, value)``.
+
+    Maps are merged key by key; a list, a scalar or null of the YAML takes the
+    place of whatever the defaults have there, and so does a map that stands
+    where they have a scalar.  A text that can't be read, or is null or empty,
+    leaves the defaults.  These are a short table that meets the workspaces as
+    one row.
+    """
+    own = yaml_leaves(configs, id_column, text_column).where("warning IS NULL").select(id_column, "path", "kind", "value")
+    named = own.groupBy(id_column).agg(F.collect_set(F.regexp_extract("path", r"^([^\[]*)", 1)).alias("own_paths"))
+    listed = defaults.agg(F.collect_list(F.struct("path", "kind", "value")).alias("defaults"))
+    rows = configs.select(id_column).distinct().join(named, id_column, "left").crossJoin(F.broadcast(listed))
+    base = lambda d: F.regexp_extract(d["path"], r"^([^\[]*)", 1)
+    under = lambda a, b: F.startswith(a, F.concat(b, F.lit(".")))
+    replaced = lambda d: F.exists(F.coalesce("own_paths", F.array().cast("array<string>")), lambda q: (q == base(d)) | under(q, base(d)) | under(base(d), q))
+    kept = rows.select(id_column, F.explode(F.filter("defaults", lambda d: ~replaced(d))).alias("d")).select(id_column, "d.path", "d.kind", "d.value")
+    return own.unionByName(kept)

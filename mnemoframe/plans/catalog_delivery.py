@@ -100,3 +100,9 @@ query("RT23_reencoded", "reports", sql=r"""WITH b AS (SELECT *, coalesce(strftim
         WHEN 'runbook' THEN concat('# Runbook: ', t, chr(10), chr(10), '**Node:** ', node, ' | **Date:** ', d, chr(10), chr(10), '## Procedure', chr(10), chr(10), CASE WHEN len(bullets) > 0 THEN array_to_string(list_transform(bullets, lambda x, i: concat(i, '. ', x)), chr(10)) WHEN strlen(body) > 300 THEN concat(body[:300], '...') ELSE body END)
         WHEN 'note' THEN concat('# Note: ', t, chr(10), chr(10), '**Node:** ', node, ' | **Genre:** ', genre, ' | **S/N:** ', sn_ratio, chr(10), chr(10), note) WHEN 'pitch' THEN concat('# ', t, chr(10), chr(10), '## Problem', chr(10), objective, chr(10), chr(10), '## Solution', chr(10), messages, chr(10), chr(10), '## Next Step', chr(10), call) END AS text FROM p)
     SELECT id, regexp_replace(text, '^\s+|\s+$', '', 'g') AS text FROM o""")(delivery.reencoded)
+query("WS01_settings", "configs", "defaults", sql="""WITH g AS (SELECT x.c_custkey, k.c_mktsegment, k.c_nationkey FROM {configs} x JOIN {customer} k ON x.c_custkey = k.c_custkey WHERE x.c_custkey % 10 <> 0),
+    r AS (SELECT c_custkey, unnest(['customer.key', 'customer.segment', 'customer.nation.id', 'customer.nation.active', 'tags[0]', 'tags[1]', 'tags[2]', 'steps[0].name', 'steps[0].note', 'steps[1]', 'empty']) AS path, unnest(['integer', 'string', 'integer', 'boolean', 'string', 'string', 'float', 'string', 'string', 'null', 'null']) AS kind,
+        unnest([CAST(c_custkey AS VARCHAR), c_mktsegment, CAST(c_nationkey AS VARCHAR), 'true', 'a', 'b, c', '1.5', 'one', concat('two', chr(10), '  lines', chr(10)), '', '']) AS value FROM g)
+    SELECT c_custkey, path, kind, value FROM r UNION ALL SELECT c_custkey, path, kind, value FROM g, {defaults} WHERE path IN ('customer.extra', 'limits.most') UNION ALL SELECT c_custkey, path, kind, value FROM {configs}, {defaults} WHERE c_custkey % 10 = 0""")(
+    lambda c, d: parsers.merged_settings(c, d, "c_custkey")
+)

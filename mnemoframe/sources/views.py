@@ -163,6 +163,7 @@ VIEWS = {
         FROM {documents}""",
     "folders": "SELECT 'north' AS folder, 'north-hub' AS node UNION ALL SELECT 'south', 'south-hub'",
     "surfaces": "SELECT concat('spec-', p_partkey % 5) AS spec, concat('src/part', p_partkey % 9, '/mod', p_partkey, CASE p_partkey % 5 WHEN 0 THEN '.py' WHEN 1 THEN '.EX' WHEN 2 THEN '.go' ELSE '' END) AS path FROM {part}",
+    "defaults": "SELECT 'customer.key' AS path, 'integer' AS kind, '0' AS value UNION ALL SELECT 'customer.extra', 'string', 'x' UNION ALL SELECT 'tags[0]', 'string', 'none' UNION ALL SELECT 'tags[7]', 'string', 'none' UNION ALL SELECT 'limits.most', 'integer', '9' UNION ALL SELECT 'steps.deep', 'string', 'z' UNION ALL SELECT 'empty.more', 'null', ''",
     "packed": """
         SELECT o_custkey % 50 AS answer_id, CASE o_custkey % 50 % 5 WHEN 0 THEN 'plain' WHEN 1 THEN 'markdown' WHEN 2 THEN 'claude' WHEN 3 THEN 'openai' ELSE 'other' END AS format, o_orderkey AS place,
                CASE WHEN o_orderkey % 3 <> 0 THEN concat('Order ', o_orderkey) END AS title, concat('  Status "', o_orderstatus, '"', chr(10), o_orderpriority, ' ') AS content, CASE o_orderkey % 4 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE concat('order/', o_orderkey % 6) END AS uri

@@ -288,3 +288,13 @@ def test_intermediate_tables_can_be_cleared(spark):
     folder = spark._jvm.org.apache.hadoop.fs.Path(f"{durable.shared_folder(spark)}/tables")
     assert not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
     assert Counter(r[0] for r in durable.checkpointed(spark.range(2)).collect()) == Counter([0, 1])
+
+
+def test_settings_replace_lists_and_scalars(spark):
+    defaults = spark.createDataFrame([("a.b", "integer", "1"), ("a.c", "integer", "2"), ("l[0]", "string", "x"), ("l[1]", "string", "y"), ("s", "string", "old"), ("ab", "string", "z")], "path string, kind string, value string")
+    configs = spark.createDataFrame([("w", "a:\n  b: 5\nl: [q]\ns: {t: 1}"), ("n", None), ("e", ""), ("bad", "a: [1"), ("z", "a: 7")], "workspace string, text string")
+    found = {}
+    for r in parsers.merged_settings(configs, defaults).collect():
+        found.setdefault(r["workspace"], {})[r["path"]] = r["value"]
+    whole = {"a.b": "1", "a.c": "2", "l[0]": "x", "l[1]": "y", "s": "old", "ab": "z"}
+    assert found == {"w": {"a.b": "5", "a.c": "2", "l[0]": "q", "s.t": "1", "ab": "z"}, "n": whole, "e": whole, "bad": whole, "z": {"a": "7", "l[0]": "x", "l[1]": "y", "s": "old", "ab": "z"}}
