@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from mnemoframe.operators import assembly, decompose, envelopes, graph, reasoner, store
+from mnemoframe.operators import assembly, decompose, envelopes, graph, questions, reasoner, store
 from mnemoframe.plans import patterns
 
 KNOWS = [("alice", "knows", "bob"), ("alice", "knows", "carol"), ("bob", "knows", "carol"), ("carol", "knows", "alice"), ("alice", "name", "Alice"), ("bob", "name", "Bob"), ("dave", "name", "Dave"), ("bob", "age", "30"), ("carol", "age", "x7")]
@@ -124,8 +124,9 @@ def test_composite_similarity(spark):
     assert got == pytest.approx([w for _, _, w in cases])
 
 
-def test_queries_and_uris():
-    assert assembly.sanitised('"a*b" (c)^') == "a b c" and assembly.sanitised(" * ") == "*"
+def test_queries_and_uris(spark):
+    asked = spark.createDataFrame([('"a*b" (c)^',), (" * ",)], "q string")
+    assert [r[0] for r in asked.select(questions.sanitised(F.col("q"))).collect()] == ["a b c", "*"]
     assert assembly.uri_filter("mem://team/signal/x") == ("team", "signal") and assembly.uri_filter("mem://") == (None, None)
 
 
