@@ -1,6 +1,6 @@
 """Delivery to receivers: profiles, cited envelopes in four formats, and re-encoding by genre."""
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Token budgets by bandwidth, and defaults by kind of receiver.
@@ -54,31 +54,25 @@ def envelopes(chunks: DataFrame, key: str = "answer_id") -> DataFrame:
     without a title is called by its number; formats other than the four give
     the sections alone.
     """
-    row = F.struct(F.col("place"), F.coalesce("title", F.lit("")).alias("title"), F.regexp_replace(F.coalesce("content", F.lit("")), r"^\s+|\s+$", "").alias("content"), F.nullif(F.col("uri"), F.lit("")).alias("uri"))
-    grouped = chunks.groupBy(key, "format").agg(F.array_sort(F.collect_list(row)).alias("rows"))
-    cited = F.filter("rows", lambda r: r["uri"].isNotNull())
-    grouped = grouped.withColumn("cited", F.transform(cited, lambda r: r["uri"]))
-    number = lambda i: F.size(F.filter(F.slice("rows", F.lit(1), i + 1), lambda r: r["uri"].isNotNull())).cast("string")
-    mark = lambda i: F.when(F.col("format") == "plain", F.concat(F.lit(" ["), number(i), F.lit("]"))).when(F.col("format") == "markdown", F.concat(F.lit(" [^"), number(i), F.lit("]"))).otherwise("")
-
-    def section(r: Column, i: Column) -> Column:
-        title = F.when(r["title"] != "", r["title"]).otherwise(F.concat(F.lit("Chunk "), (i + 1).cast("string")))
-        # A citation stands after a space of its own.
-        return F.concat(F.lit("### "), title, F.when(r["uri"].isNotNull(), F.concat(F.lit(" "), mark(i))).otherwise(""), F.lit("\n\n"), r["content"])
-
-    sections = F.array_join(F.transform("rows", section), "\n\n")
-    listed = lambda before, after: F.array_join(F.transform("cited", lambda u, i: F.concat(F.lit(before), (i + 1).cast("string"), F.lit(after[0]), u, F.lit(after[1]))), "\n")
-    any_cited = F.size("cited") > 0
+    parts = chunks.select(key, "format", "place", F.coalesce("title", F.lit("")).alias("title"), F.regexp_replace(F.coalesce("content", F.lit("")), r"^\s+|\s+$", "").alias("content"), F.nullif(F.col("uri"), F.lit("")).alias("uri"))
+    order = Window.partitionBy(key, "format").orderBy("place", "title", "content", "uri")
+    parts = parts.withColumns({"i": F.row_number().over(order), "c": F.count("uri").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)).cast("string")})
     message = lambda text: F.concat(F.lit('{"role":"system","content":'), _json(text), F.lit("}"))
-    grouped = grouped.withColumn("sections", sections)
+    form = lambda plain, markdown: F.when(F.col("format") == "plain", plain).when(F.col("format") == "markdown", markdown)
+    title = F.when(F.col("title") != "", F.col("title")).otherwise(F.concat(F.lit("Chunk "), F.col("i").cast("string")))
+    # A citation stands after a space of its own.
+    mark = F.when(F.col("uri").isNotNull(), F.concat(F.lit(" "), form(F.concat(F.lit(" ["), "c", F.lit("]")), F.concat(F.lit(" [^"), "c", F.lit("]"))).otherwise(""))).otherwise("")
+    listed = form(F.concat(F.lit("["), "c", F.lit("] "), "uri"), F.concat(F.lit("[^"), "c", F.lit("]: "), "uri"))
+    listed = listed.when(F.col("format") == "claude", F.concat(F.lit('<document index="'), "c", F.lit('" source="'), "uri", F.lit('"></document>'))).when(F.col("format") == "openai", message(F.concat(F.lit("Source "), "c", F.lit(": "), "uri")))
+    parts = parts.select(key, "format", "i", F.concat(F.lit("### "), title, mark, F.lit("\n\n"), "content").alias("section"), listed.alias("listed"), "uri")
+    grouped = parts.groupBy(key, "format").agg(F.array_sort(F.collect_list(F.struct("i", "section", "listed", "uri"))).alias("rows"))
+    cited = F.filter("rows", lambda r: r["uri"].isNotNull())
+    grouped = grouped.select(key, "format", F.array_join(F.col("rows.section"), "\n\n").alias("sections"), F.transform(cited, lambda r: r["listed"]).alias("listed"), F.transform(cited, lambda r: r["uri"]).alias("cited"))
+    lines = lambda before: F.when(F.size("cited") > 0, F.concat(F.lit(before), F.array_join("listed", "\n"))).otherwise("")
     body = (
-        F.when(F.col("format") == "plain", F.concat("sections", F.when(any_cited, F.concat(F.lit("\n\nSources:\n"), listed("[", ("] ", "")))).otherwise("")))
-        .when(F.col("format") == "markdown", F.concat("sections", F.when(any_cited, F.concat(F.lit("\n\n---\n\n"), listed("[^", ("]: ", "")))).otherwise("")))
-        .when(F.col("format") == "claude", F.concat(F.lit("<context>\n"), "sections", F.when(any_cited, F.concat(F.lit("\n\n"), listed('<document index="', ('" source="', '"></document>')))).otherwise(""), F.lit("\n</context>")))
-        .when(
-            F.col("format") == "openai",
-            F.concat(F.lit("["), F.array_join(F.concat(F.array(message(F.col("sections"))), F.transform("cited", lambda u, i: message(F.concat(F.lit("Source "), (i + 1).cast("string"), F.lit(": "), u)))), ","), F.lit("]")),
-        )
+        form(F.concat("sections", lines("\n\nSources:\n")), F.concat("sections", lines("\n\n---\n\n")))
+        .when(F.col("format") == "claude", F.concat(F.lit("<context>\n"), "sections", lines("\n\n"), F.lit("\n</context>")))
+        .when(F.col("format") == "openai", F.concat(F.lit("["), F.array_join(F.concat(F.array(message(F.col("sections"))), "listed"), ","), F.lit("]")))
         .otherwise(F.col("sections"))
     )
     return grouped.select(key, "format", body.alias("body"), F.array_distinct("cited").alias("sources"))

@@ -3,6 +3,7 @@
 import json
 import random
 import re
+import time
 from collections import Counter
 from html import unescape
 
@@ -298,3 +299,13 @@ def test_settings_replace_lists_and_scalars(spark):
         found.setdefault(r["workspace"], {})[r["path"]] = r["value"]
     whole = {"a.b": "1", "a.c": "2", "l[0]": "x", "l[1]": "y", "s": "old", "ab": "z"}
     assert found == {"w": {"a.b": "5", "a.c": "2", "l[0]": "q", "s.t": "1", "ab": "z"}, "n": whole, "e": whole, "bad": whole, "z": {"a": "7", "l[0]": "x", "l[1]": "y", "s": "old", "ab": "z"}}
+
+
+def test_long_envelopes_take_linear_time(spark):
+    n = 60_000
+    chunks = spark.range(n).selectExpr("1 AS answer_id", "'plain' AS format", "id AS place", "concat('T', id) AS title", "'c' AS content", "IF(id % 2 = 0, concat('u', id % 3), NULL) AS uri")
+    began = time.monotonic()
+    row = delivery.envelopes(chunks).first()
+    assert time.monotonic() - began < 30
+    lines = row["body"].split("\n")
+    assert lines[:5] == ["### T0  [1]", "", "c", "", "### T1"] and lines[-1] == f"[{n // 2}] u1" and row["sources"] == ["u0", "u2", "u1"]
