@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 #: Letters with marks that occur in the supported languages, and their plain forms.
 _MARKED, _PLAIN = "àâäáãåçéèêëíìîïñóòôöõúùûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
 
+#: Signs of a term, one by one: Java looks single signs up in a table, ranges by a call each.
+_SIGNS = "abcdefghijklmnopqrstuvwxyz0123456789ß"
+
 
 def ascii_borders(pattern: str) -> str:
     r"""``pattern`` with ``\b`` as a border of ASCII word characters, whatever the engine's Unicode rules."""
@@ -21,7 +24,7 @@ def folded(text: Column) -> Column:
 
 def terms(text: Column) -> Column:
     """Search terms in order: folded runs of letters and digits."""
-    return F.array_remove(F.split(folded(text), "[^a-z0-9ß]+"), "")
+    return F.array_remove(F.split(folded(text), f"[^{_SIGNS}]+"), "")
 
 
 def trimmed(text: Column) -> Column:

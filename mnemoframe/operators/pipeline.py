@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mnemoframe.functions.durable import checkpointed
 from mnemoframe.functions.text import ascii_borders, first_match, terms
 
 # Classification patterns and labels, in order of precedence.
@@ -141,12 +142,14 @@ def mentioned(docs: DataFrame, names: DataFrame, id_column: str = "doc_id", text
     are joined with the names, so the number of names doesn't matter.
     """
     spelt = names.where(F.length("name") > 2).select("name", terms(F.col("name")).alias("words")).where(F.size("words").between(1, NAME_WORDS))
-    spelt = spelt.select("name", F.size("words").alias("n"), F.array_join("words", " ").alias("phrase")).distinct()
-    split = docs.select(id_column, terms(F.col(text_column)).alias("words"))
+    spelt = checkpointed(spelt.select("name", F.size("words").alias("n"), F.array_join("words", " ").alias("phrase")).distinct())
+    # Written once: read from a column, the words of a text aren't split anew for each of its places.
+    split = checkpointed(docs.select(id_column, terms(F.col(text_column)).alias("words")))
 
     def phrases(n: int) -> Column:
-        places = F.when(F.size("words") >= n, F.sequence(F.lit(1), F.size("words") - (n - 1))).otherwise(F.array().cast("array<int>"))
-        return F.col("words") if n == 1 else F.transform(places, lambda i: F.array_join(F.slice("words", i, F.lit(n)), " "))
+        if n == 1:
+            return F.col("words")
+        return F.transform(F.slice("words", F.lit(1), F.greatest(F.size("words") - (n - 1), F.lit(0))), lambda w, i: F.concat_ws(" ", w, *(F.get("words", i + k) for k in range(1, n))))
 
     runs = None
     for n in sorted(r[0] for r in spelt.select("n").distinct().collect()):
@@ -154,7 +157,8 @@ def mentioned(docs: DataFrame, names: DataFrame, id_column: str = "doc_id", text
         runs = own if runs is None else runs.unionByName(own)
     if runs is None:
         return docs.where("false").select(id_column, F.lit("").alias("name"))
-    return runs.join(spelt, ["n", "phrase"]).select(id_column, "name").distinct()
+    # The written table says little of how many runs come from it: without the hint they may be taken for the smaller side.
+    return runs.join(spelt.hint("shuffle_hash"), ["n", "phrase"]).select(id_column, "name").distinct()
 
 
 def greedy_clusters(vectors: DataFrame, threshold: float = 0.65) -> DataFrame:

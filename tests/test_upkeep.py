@@ -3,6 +3,7 @@
 import json
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import pytest
@@ -296,3 +297,13 @@ def test_files_of_any_kind(spark):
     empty = spark.createDataFrame([], "path string")
     assert tuple(files.coverage(empty, spark.createDataFrame([], "spec string, path string")).first()) == (0, 0, 0.0)
     assert tuple(files.coverage(tree.select("path").where("path IS NOT NULL"), spark.createDataFrame([("s", "a.md"), ("t", "a.md"), ("t", "zz")], "spec string, path string")).first()) == (13, 1, 7.7)
+
+
+def test_mentioned_splits_long_texts_once(spark):
+    words = [f"w{i}" for i in range(40_000)]
+    docs = spark.createDataFrame([(k, " ".join(words[k:])) for k in range(24)], "doc_id long, text string")
+    names = spark.createDataFrame([("w39998 W39999",), ("w5 w6",), ("w0",), ("w10",)], "name string")
+    began = time.monotonic()
+    found = Counter(tuple(r) for r in pipeline.mentioned(docs, names).collect())
+    assert time.monotonic() - began < 60
+    assert found == Counter([(k, "w39998 W39999") for k in range(24)] + [(k, "w5 w6") for k in range(6)] + [(k, "w10") for k in range(11)])
