@@ -13,6 +13,8 @@ from mnemoframe.functions.durable import checkpointed
 MOST_ROUNDS = 60
 #: Links that one task closes at most.
 FEW_LINKS = 1_500_000
+#: Groups that an item takes along at most, and items beyond which a group is large.
+FEW_GROUPS, LARGE_GROUP = 8, 1_000
 
 
 def degrees(edges: DataFrame) -> DataFrame:
@@ -107,25 +109,45 @@ def open_triangles(edges: DataFrame) -> DataFrame:
 def pairs_sharing(rows: DataFrame, item: str, group: str, least: int = 2) -> DataFrame:
     """``(a, b, shared)``: pairs ``a < b`` of items that share at least ``least`` groups.
 
-    Items in fewer groups are dropped first.  A pair that shares two groups
-    shares one that isn't the largest group of ``a``; so each item leaves its
-    largest group out of the self-join, and whether the partner is in it is
-    looked up afterwards.  A group that holds a large share of all items is the
-    largest of most of its members, so its pairs are hardly ever made.
+    Items in fewer groups are dropped first.  Items in up to FEW_GROUPS take
+    their groups along, large ones last; a pair is made at the first group it
+    shares, and no others, so pairs are never shuffled.  A pair that shares
+    ``least`` groups shares one before the last ``least - 1`` of either, which
+    are left out of the join.  Pairs with an item in more groups are counted.
     """
     named = rows.select(F.col(item).alias("i"), F.col(group).alias("g")).where("i IS NOT NULL AND g IS NOT NULL").distinct()
-    common = named.groupBy("i").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("i")
-    named = named.join(common, "i", "left_semi")
-    sizes = named.groupBy("g").agg(F.count("*").alias("size"))
-    largest = named.join(sizes, "g").groupBy("i").agg(F.max(F.struct("size", "g")).getField("g").alias("g"))
-    if least < 2:
-        largest = largest.limit(0)
-    rest = named.join(largest, ["i", "g"], "left_anti").select(F.col("i").alias("a"), "g")
-    met = rest.join(named.select(F.col("i").alias("b"), "g"), "g").where("a < b").groupBy("a", "b").agg(F.count("*").alias("n"))
-    looked = met.join(largest.select(F.col("i").alias("a"), "g"), "a", "left")
-    also = named.select(F.col("i").alias("b"), "g", F.lit(1).alias("one"))
-    shared = looked.join(also, ["b", "g"], "left").select("a", "b", (F.col("n") + F.coalesce("one", F.lit(0))).alias("shared"))
-    return shared.where(F.col("shared") >= least)
+    named = checkpointed(named.join(named.groupBy("i").agg(F.count("*").alias("n")).where(F.col("n") >= least), "i"))
+    large = checkpointed(named.groupBy("g").agg(F.count("*").alias("size")).where(F.col("size") > LARGE_GROUP))
+    any_large = not large.isEmpty()
+    sized = named.join(large, "g", "left").withColumn("size", F.coalesce("size", F.lit(0))) if any_large else named.withColumn("size", F.lit(0).cast("long"))
+    held = sized.where(F.col("n") <= FEW_GROUPS).groupBy("i").agg(F.sort_array(F.collect_list(F.struct("size", "g"))).getField("g").alias("all"))
+    dealt = held.select("i", "all", F.explode(F.slice("all", F.lit(1), F.size("all") - (least - 1))).alias("g"))
+    side = lambda x: dealt.select(F.col("i").alias(x), F.col("all").alias(f"all_{x}"), "g")
+    common = F.array_intersect("all_a", "all_b")
+    light = side("a").join(side("b"), "g").where("a < b").where((F.size(common) >= least) & (F.get(common, F.lit(0)) == F.col("g"))).select("a", "b", F.size(common).cast("long").alias("shared"))
+    if named.where(F.col("n") > FEW_GROUPS).isEmpty():
+        return light
+    return light.unionByName(_counted(named, sized.where("size > 0") if any_large else None, least))
+
+
+def _counted(named: DataFrame, large: DataFrame | None, least: int) -> DataFrame:
+    """Pairs of ``named (i, g, n)`` of which one is in more than FEW_GROUPS groups, by counting the groups they share.
+
+    A pair that shares two groups shares one that isn't the largest group of
+    ``a``; so each item in a ``large`` one leaves its largest out of the
+    self-join, and whether the partner is in it is looked up afterwards.
+    """
+    rest = named
+    if large is not None and least >= 2:
+        largest = checkpointed(large.groupBy("i").agg(F.max(F.struct("size", "g")).getField("g").alias("g")))
+        rest = named.join(largest, ["i", "g"], "left_anti")
+    sides = rest.select(F.col("i").alias("a"), "g", F.col("n").alias("na")).join(named.select(F.col("i").alias("b"), "g", F.col("n").alias("nb")), "g")
+    met = sides.where("a < b").where(F.greatest("na", "nb") > FEW_GROUPS).groupBy("a", "b").agg(F.count("*").alias("shared"))
+    if large is not None and least >= 2:
+        looked = met.join(largest.select(F.col("i").alias("a"), "g"), "a", "left")
+        also = named.select(F.col("i").alias("b"), "g", F.lit(1).alias("one"))
+        met = looked.join(also, ["b", "g"], "left").select("a", "b", (F.col("shared") + F.coalesce("one", F.lit(0))).alias("shared"))
+    return met.where(F.col("shared") >= least)
 
 
 def cooccurrence(entities: DataFrame, least: int = 2) -> DataFrame:

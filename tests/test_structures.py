@@ -149,3 +149,14 @@ def test_categories_in_order(spark):
     cases = [("pricing", "", "recent_actions"), ("rfc-owner", "", "ownership"), (None, "they contradict", "contradictions"), ("x", None, "unassigned")]
     frame = spark.createDataFrame([(a, b) for a, b, _ in cases], "a string, b string")
     assert [r[0] for r in frame.select(envelopes.category(F.col("a"), F.col("b"))).collect()] == [c for _, _, c in cases]
+
+
+@pytest.mark.parametrize("few, large", [(0, 3), (3, 3), (4, 1_000), (99, 3)])
+def test_pairs_taken_along_or_counted(spark, monkeypatch, few, large):
+    monkeypatch.setattr(graph, "FEW_GROUPS", few)
+    monkeypatch.setattr(graph, "LARGE_GROUP", large)
+    rng = np.random.default_rng(5)
+    data = {f"i{k}": set(rng.choice(np.arange(9), 1 + k % 6, replace=False).tolist()) for k in range(30)}
+    frame = spark.createDataFrame([(i, int(g)) for i, gs in data.items() for g in gs], "item string, grp long")
+    wanted = sorted((a, b, len(data[a] & data[b])) for a, b in combinations(sorted(data), 2) if len(data[a] & data[b]) >= 2)
+    assert rows(graph.pairs_sharing(frame, "item", "grp")) == wanted
