@@ -203,7 +203,12 @@ DEPTH_WEIGHTS = {1: 1.0, 2: 0.5, 3: 0.25}
 
 def impact(edges: DataFrame, seeds: DataFrame, depth: int = 3) -> DataFrame:
     """``(node, depth)`` of all nodes within ``depth`` steps of the seeds, either way; the first visit counts."""
-    both = edges.select(F.col("source_id").alias("node"), F.col("target_id").alias("next")).unionByName(edges.select(F.col("target_id").alias("node"), F.col("source_id").alias("next"))).distinct()
+    # Written once, so that no round derives the edges anew; each only scans them against its frontier.
+    return _visited(checkpointed(edges.select("source_id", "target_id")), seeds, depth)
+
+
+def _visited(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
+    both = edges.select(F.col("source_id").alias("node"), F.col("target_id").alias("next")).unionByName(edges.select(F.col("target_id").alias("node"), F.col("source_id").alias("next")))
     visited = frontier = checkpointed(seeds.select("node").distinct().withColumn("depth", F.lit(0)))
     for d in range(1, depth + 1):
         step = frontier.join(both, "node").select(F.col("next").alias("node")).distinct().join(visited, "node", "left_anti")
@@ -221,7 +226,8 @@ def _weighted(weights: dict, key: Column, default: float) -> Column:
 
 def impact_scores(edges: DataFrame, seeds: DataFrame, depth: int = 3) -> DataFrame:
     """Sum over edges into each visited node of relation weight times depth weight, and the node's depth."""
-    visited = impact(edges, seeds, depth)
+    edges = checkpointed(edges.select("source_id", "target_id", "relation"))
+    visited = _visited(edges, seeds, depth)
     reached = visited.where("depth > 0")
     from_nodes = visited.select(F.col("node").alias("from_node"), F.col("depth").alias("from_depth"))
     ends = edges.select(F.col("source_id").alias("from_node"), F.col("target_id").alias("node"), "relation").unionByName(

@@ -160,3 +160,17 @@ def test_pairs_taken_along_or_counted(spark, monkeypatch, few, large):
     frame = spark.createDataFrame([(i, int(g)) for i, gs in data.items() for g in gs], "item string, grp long")
     wanted = sorted((a, b, len(data[a] & data[b])) for a, b in combinations(sorted(data), 2) if len(data[a] & data[b]) >= 2)
     assert rows(graph.pairs_sharing(frame, "item", "grp")) == wanted
+
+
+def test_impact_derives_edges_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+    frame = spark.createDataFrame([(f"n{k}", f"n{k + 1}", "works_on", 1.0) for k in range(9)], "source_id string, target_id string, relation string, weight double")
+
+    def noted(batches):
+        for pdf in batches:
+            seen.add(len(pdf))
+            yield pdf
+
+    scores = graph.impact_scores(frame.mapInPandas(noted, frame.schema), spark.createDataFrame([("n0",)], "node string"))
+    assert rows(scores) == [("n1", 1, 1.5), ("n2", 2, 0.75), ("n3", 3, 0.375)]
+    assert seen.value == 9
