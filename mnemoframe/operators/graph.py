@@ -177,8 +177,11 @@ def three_hops(entities: DataFrame) -> DataFrame:
     named = entities.select("context_id", "name").distinct()
     sizes = named.groupBy("context_id").agg(F.count("*").alias("m")).where("m > 2")
     kept = named.join(sizes, "context_id")
-    pairs = kept.select("context_id", "m", F.col("name").alias("seed")).join(named.select("context_id", F.col("name").alias("target")), "context_id").where("seed <> target")
-    return pairs.groupBy("seed", "target").agg(F.sum(F.col("m") - 2).alias("n"))
+    pairs = kept.select("context_id", "m", F.col("name").alias("seed")).join(named.select("context_id", F.col("name").alias("target")), "context_id").where("seed < target")
+    # As many ways lead back: pairs are counted one way round.
+    ways = pairs.groupBy("seed", "target").agg(F.sum(F.col("m") - 2).alias("n"))
+    ends = F.array(F.struct("seed", "target"), F.struct(F.col("target").alias("seed"), F.col("seed").alias("target")))
+    return ways.select("n", F.explode(ends).alias("way")).select("way.seed", "way.target", "n")
 
 
 def shared_contexts(entities: DataFrame, a: str, b: str) -> DataFrame:
