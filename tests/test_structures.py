@@ -174,3 +174,8 @@ def test_impact_derives_edges_once(spark):
     scores = graph.impact_scores(frame.mapInPandas(noted, frame.schema), spark.createDataFrame([("n0",)], "node string"))
     assert rows(scores) == [("n1", 1, 1.5), ("n2", 2, 0.75), ("n3", 3, 0.375)]
     assert seen.value == 9
+
+
+def test_components_take_codes_that_differ(spark):
+    code = graph._coded(spark.range(1000).selectExpr("concat('n', id) AS node"))
+    assert spark.range(1000).selectExpr("concat('n', id) AS node").select(code("node")).distinct().count() == 1000
