@@ -23,7 +23,7 @@ def _triple(df: DataFrame, s, p, o) -> DataFrame:
 
 def _joined(a: DataFrame, b: DataFrame, da: DataFrame, db: DataFrame, on) -> DataFrame:
     """Pairs of the two sides of which at least one is new."""
-    return da.join(b, on).unionByName(a.join(db, on))
+    return a.join(b, on) if da is a and db is b else da.join(b, on).unionByName(a.join(db, on))
 
 
 def vocabulary(triples: DataFrame) -> set[str]:
@@ -38,11 +38,16 @@ def rules(known: DataFrame, new: DataFrame, words: set[str]) -> list[DataFrame]:
     out = []
 
     def both(make):
-        return make(known), make(new)
+        # In the first round all is new, and pairs are made once.
+        made = make(known)
+        return (made, made) if known is new else (made, make(new))
 
     def infer(needs, left, right, on, s, p, o):
         if needs <= words:
             (a, da), (b, db) = both(left), both(right)
+            if on == "p":
+                # A schema of properties is short; by property, all triples of a common one would meet in one task.
+                a, da = (F.broadcast(a),) * 2 if da is a else (F.broadcast(a), F.broadcast(da))
             out.append(_triple(_joined(a, b, da, db, on), s, p, o))
 
     triple = lambda t: t.select("s", "p", "o")

@@ -179,3 +179,9 @@ def test_impact_derives_edges_once(spark):
 def test_components_take_codes_that_differ(spark):
     code = graph._coded(spark.range(1000).selectExpr("concat('n', id) AS node"))
     assert spark.range(1000).selectExpr("concat('n', id) AS node").select(code("node")).distinct().count() == 1000
+
+
+def test_first_round_infers_once(spark):
+    known = spark.createDataFrame([("p", reasoner.INVERSE, "q"), ("a", "p", "b"), ("c", "p", "d")], "s string, p string, o string")
+    found = [r for part in reasoner.rules(known, known, {reasoner.INVERSE}) for r in rows(part)]
+    assert sorted(found) == [("b", "q", "a"), ("d", "q", "c")]
