@@ -309,3 +309,9 @@ def test_long_envelopes_take_linear_time(spark):
     assert time.monotonic() - began < 30
     lines = row["body"].split("\n")
     assert lines[:5] == ["### T0  [1]", "", "c", "", "### T1"] and lines[-1] == f"[{n // 2}] u1" and row["sources"] == ["u0", "u2", "u1"]
+
+
+def test_yaml_texts_are_dealt_to_tasks(spark):
+    docs = spark.range(400).selectExpr("id AS doc_id", "concat('a: ', id) AS text").coalesce(1)
+    leaves = parsers.yaml_leaves(docs)
+    assert leaves.count() == 400 and leaves.rdd.getNumPartitions() > 1
