@@ -148,7 +148,8 @@ def rendered_for(signals: DataFrame, competences: DataFrame) -> DataFrame:
     takes the favourite; a receiver that isn't known gets it as it is.
     """
     known = competences.groupBy("receiver").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "genre"))), lambda c: c["genre"]).alias("_reads"))
-    met = signals.join(known, "receiver", "left")
+    # Competences are a short table; by receiver, all signals of a busy one would meet in one task.
+    met = signals.join(F.broadcast(known), "receiver", "left")
     target = F.when(F.col("_reads").isNull() | F.array_contains("_reads", F.col("genre")), F.col("genre")).otherwise(F.element_at("_reads", 1))
     met = met.withColumn("target_genre", F.coalesce(target, F.lit("note"))).withColumn("_row", F.struct("id", "receiver", "target_genre"))
     texts = reencoded(met.drop("id").withColumnRenamed("_row", "id"))
