@@ -45,7 +45,7 @@ def rules(known: DataFrame, new: DataFrame, words: set[str]) -> list[DataFrame]:
     def infer(needs, left, right, on, s, p, o):
         if needs <= words:
             (a, da), (b, db) = both(left), both(right)
-            if on == "p":
+            if on == "p" and SAME not in needs:
                 # A schema of properties is short; by property, all triples of a common one would meet in one task.
                 a, da = (F.broadcast(a),) * 2 if da is a else (F.broadcast(a), F.broadcast(da))
             out.append(_triple(_joined(a, b, da, db, on), s, p, o))
