@@ -22,10 +22,17 @@ def histogram(rows: DataFrame, key: str, value: str, width: float, buckets: int)
 
 
 def window_stats(rows: DataFrame, key: str, order: str, size: int, duration: str, success: Column) -> DataFrame:
-    """``(key, win, n, duration, success)``: each key's rows in windows of ``size``, with whole mean duration and share of successes."""
+    """``(key, win, n, duration, success)``: each key's rows in windows of ``size``, with whole mean duration and share of successes.
+
+    Durations are added up by ``order``: the floor of a mean that is nearly
+    whole would else change with the order in which partial sums meet.
+    """
     place = F.row_number().over(Window.partitionBy(key).orderBy(order))
-    windowed = rows.withColumn("win", F.floor((place - 1) / size).cast("int"))
-    return windowed.groupBy(key, "win").agg(F.count("*").alias("n"), F.floor(F.avg(duration)).alias("duration"), F.round(F.avg(success.cast("int")), 4).alias("success"))
+    windowed = rows.withColumn("win", F.floor((place - 1) / size).cast("int")).withColumn("_place", place)
+    listed = F.array_sort(F.collect_list(F.when(F.col(duration).isNotNull(), F.struct("_place", F.col(duration).cast("double").alias("value")))))
+    grouped = windowed.groupBy(key, "win").agg(F.count("*").alias("n"), listed.alias("_listed"), F.round(F.avg(success.cast("int")), 4).alias("success"))
+    mean = F.when(F.size("_listed") > 0, F.aggregate("_listed", F.lit(0.0), lambda total, x: total + x["value"]) / F.size("_listed"))
+    return grouped.select(key, "win", "n", F.floor(mean).alias("duration"), "success")
 
 
 def version_counts(memories: DataFrame, pages: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__  # noqa: F401  (fills the catalogue)
-from mnemoframe.operators import architecture, governance, pipeline, questions, scenarios, signals, wiki
+from mnemoframe.operators import architecture, governance, pipeline, questions, reports, scenarios, signals, wiki
 from mnemoframe.streaming import signals as streams
 
 
@@ -307,3 +307,17 @@ def test_mentioned_splits_long_texts_once(spark):
     found = Counter(tuple(r) for r in pipeline.mentioned(docs, names).collect())
     assert time.monotonic() - began < 60
     assert found == Counter([(k, "w39998 W39999") for k in range(24)] + [(k, "w5 w6") for k in range(6)] + [(k, "w10") for k in range(11)])
+
+
+def test_window_means_add_up_by_order(spark):
+    values = [29.51, 56.91, 11.91, 140.38, 6.29], [66.5, 77.01, 5.28, 22.23, 8.98], [100.91, 121.23, 72.28, 99.24, 16.34], [189.39, 26.57, 72.84, 39.02, 52.18], [None, 3.0, None], [None]
+    rows = [(f"a{k}-{n}", at, v) for k in range(6) for n in range(40) for at, v in enumerate(values[k])]
+    events = spark.createDataFrame(rows, "agent string, id int, latency double")
+    key = "spark.sql.TungstenAggregate.testFallbackStartsAt"
+    spark.conf.set(key, "2, 3")  # partial sums meet as they do when memory is short
+    try:
+        found = reports.window_stats(events, "agent", "id", 5, "latency", F.lit(True)).collect()
+    finally:
+        spark.conf.unset(key)
+    whole = [48, 35, 81, 75, 3, None]
+    assert sorted(map(tuple, found)) == sorted((f"a{k}-{n}", 0, len(values[k]), whole[k], 1.0) for k in range(6) for n in range(40))
