@@ -62,8 +62,9 @@ def classify(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.withColumn("_lower", F.lower(t)).withColumns(found).drop("_lower")
 
 
-def intent(text: Column) -> Column:
-    return F.when(text == "", "record_fact").otherwise(first_match(text, INTENTS, "record_fact"))
+def intent(text: Column, lower: Column | None = None) -> Column:
+    """The first intent whose rule a text matches; ``lower``, the text in lower case, is best a column of its own."""
+    return F.when(text == "", "record_fact").otherwise(first_match(text, INTENTS, "record_fact", lower))
 
 
 def intent_confidence(text: Column) -> Column:

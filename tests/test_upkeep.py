@@ -10,7 +10,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__  # noqa: F401  (fills the catalogue)
-from mnemoframe.operators import architecture, governance, pipeline, questions, reports, scenarios, signals, wiki
+from mnemoframe.functions.text import alternatives, ascii_borders, matches
+from mnemoframe.operators import architecture, governance, memory, pipeline, questions, reports, scenarios, signals, wiki
 from mnemoframe.streaming import signals as streams
 
 
@@ -321,3 +322,37 @@ def test_window_means_add_up_by_order(spark):
         spark.conf.unset(key)
     whole = [48, 35, 81, 75, 3, None]
     assert sorted(map(tuple, found)) == sorted((f"a{k}-{n}", 0, len(values[k]), whole[k], 1.0) for k in range(6) for n in range(40))
+
+
+def test_alternatives_match_as_whole_patterns_do(spark):
+    rng = random.Random(14)
+    rules = [p for rules in (pipeline.INTENTS, pipeline.GENRES, pipeline.MODES, pipeline.TYPES, memory.ERRORS) for _, p in rules] + [r"\b[A-Z]\w*(?:a|b)+|x{2,}(?:y|z)|(?:no|on)+\s", r"(?:a|ab)(?:c|bcd)|(?:)q"]
+    pieces = sorted({w for p in rules for words, _ in alternatives(p)[1] for w in words}) + "ed s y ing . , : ; \n é K İ ß _ 12 3.5 2024-01-02 % € send share this that we friday week day the spec doc error fail go with XX y z no A ba ab bcd [ { ``` ![ ]( ) ? ( # please".split(" ")
+    texts = ["".join(rng.choice(["", "", " ", "  "]) + (w.upper() if rng.random() < 0.2 else w.title() if rng.random() < 0.2 else w) for w in rng.choices(pieces, k=rng.randint(0, 14))) for _ in range(1500)] + [None, ""]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").withColumn("lower", F.lower("text"))
+    text, lower = F.col("text"), F.col("lower")
+    wrong, found = [], []
+    for pattern in rules:
+        whole = text.rlike(ascii_borders(pattern))
+        wrong.append(F.count_if(~matches(text, pattern, lower).eqNullSafe(whole)))
+        found.append(F.count_if(whole))
+    counts = docs.agg(F.array(*wrong).alias("wrong"), F.array(*found).alias("found")).first()
+    assert [p for p, n in zip(rules, counts["wrong"]) if n] == [] and sum(map(bool, counts["found"])) > 0.9 * len(rules)
+
+
+def test_intents_look_for_words_before_patterns(spark):
+    rng = random.Random(16)
+    words = ["".join(rng.choices("abdeilmnorstuvé", k=rng.randint(3, 9))) for _ in range(2000)]
+    docs = spark.createDataFrame([(" ".join(rng.choices(words, k=20_000)),) for _ in range(64)], "text string").withColumn("lower", F.lower("text")).localCheckpoint()
+    whole = F.lit(None)
+    for name, pattern in reversed(pipeline.INTENTS):
+        whole = F.when(F.col("text").rlike(ascii_borders(pattern)), name).otherwise(whole)
+
+    def seconds(column):
+        docs.agg(F.max(column)).collect()
+        began = time.monotonic()
+        docs.agg(F.max(column)).collect()
+        return time.monotonic() - began
+
+    plain = seconds(whole)
+    assert seconds(pipeline.intent(F.col("text"), F.col("lower"))) < plain / 2
