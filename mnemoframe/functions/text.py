@@ -136,6 +136,13 @@ def matches(text: Column, pattern: str, lower: Column) -> Column:
     return found
 
 
+def match_count(text: Column, pattern: str, lower: Column) -> Column:
+    """How many matches a text has, as many as of the whole pattern; only alternatives whose strings it holds are searched for."""
+    flags, listed = alternatives(pattern)
+    held = F.concat_ws("|", *(F.when(occurs(lower, words), piece) if words else F.lit(piece) for words, piece in listed))
+    return F.when(held == "", 0).otherwise(F.regexp_count(text, F.concat(F.lit(flags), held)))
+
+
 def first_match(text: Column, rules: list[tuple[str, str]], default: str, lower: Column | None = None) -> Column:
     """The label of the first rule whose pattern a text matches.
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mnemoframe.functions.durable import checkpointed
-from mnemoframe.functions.text import ascii_borders, first_match, terms
+from mnemoframe.functions.text import first_match, match_count, matches, terms
 
 # Classification patterns and labels, in order of precedence.
 GENRES = [
@@ -67,13 +67,13 @@ def intent(text: Column, lower: Column | None = None) -> Column:
     return F.when(text == "", "record_fact").otherwise(first_match(text, INTENTS, "record_fact", lower))
 
 
-def intent_confidence(text: Column) -> Column:
+def intent_confidence(text: Column, lower: Column | None = None) -> Column:
     """0.65 and 0.05 for each further match of the intent's rule, up to 0.95; 0.5 by default, 0.3 for an empty text."""
+    lower = F.lower(text) if lower is None else lower
     out = F.when(text == "", 0.3)
     for _, pattern in INTENTS:
-        pattern = ascii_borders(pattern)
-        more = F.least(F.size(F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))) - 1, F.lit(6))
-        out = out.when(text.rlike(pattern), F.round(F.least(0.65 + more * 0.05, F.lit(0.95)), 2))
+        more = F.least(match_count(text, pattern, lower) - 1, F.lit(6))
+        out = out.when(matches(text, pattern, lower), F.round(F.least(0.65 + more * 0.05, F.lit(0.95)), 2))
     return out.otherwise(0.5)
 
 

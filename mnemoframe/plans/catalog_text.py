@@ -61,7 +61,7 @@ query("PL07_PL09_classify", "seeded")(lambda d: P.classify(d).select("doc_id", "
 ORACLES["PL07_PL09_classify"] = oracle("SELECT doc_id, @G AS genre, @M AS mode, @T AS signal_type FROM {seeded}").replace("@G", _case(P.GENRES, "note").replace("{{", "{").replace("}}", "}")).replace("@M", _case(P.MODES, "linguistic").replace("{{", "{").replace("}}", "}")).replace("@T", _case(P.TYPES, "inform"))
 query("PL14_intent", "seeded")(lambda d: d.withColumn("lower", F.lower("text")).select("doc_id", P.intent(F.col("text"), F.col("lower")).alias("intent")))
 ORACLES["PL14_intent"] = oracle("SELECT doc_id, @I AS intent FROM {seeded}").replace("@I", _case(P.INTENTS, "record_fact").replace("{{", "{").replace("}}", "}"))
-query("PL14_intent_confidence", "seeded")(lambda d: d.select("doc_id", P.intent_confidence(F.col("text")).alias("confidence")))
+query("PL14_intent_confidence", "seeded")(lambda d: d.withColumn("lower", F.lower("text")).select("doc_id", P.intent_confidence(F.col("text"), F.col("lower")).alias("confidence")))
 _MORE = " ".join("WHEN regexp_matches(text, @P, 'i') THEN round(least(0.65 + least(len(regexp_extract_all(text, @P, 0, 'i')) - 1, 6) * 0.05, 0.95), 2)".replace("@P", "'" + p.removeprefix("(?i)").replace("'", "''") + "'") for _, p in P.INTENTS)
 ORACLES["PL14_intent_confidence"] = oracle("SELECT doc_id, CAST(CASE WHEN text = '' THEN 0.3 @M ELSE 0.5 END AS DOUBLE) AS confidence FROM {seeded}").replace("@M", _MORE)
 query("PL10_density", "documents", sql="""WITH t AS (SELECT doc_id, text, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '') AS k FROM {documents})

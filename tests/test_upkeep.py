@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__  # noqa: F401  (fills the catalogue)
-from mnemoframe.functions.text import alternatives, ascii_borders, matches
+from mnemoframe.functions.text import alternatives, ascii_borders, match_count, matches
 from mnemoframe.operators import architecture, governance, memory, pipeline, questions, reports, scenarios, signals, wiki
 from mnemoframe.streaming import signals as streams
 
@@ -333,8 +333,8 @@ def test_alternatives_match_as_whole_patterns_do(spark):
     text, lower = F.col("text"), F.col("lower")
     wrong, found = [], []
     for pattern in rules:
-        whole = text.rlike(ascii_borders(pattern))
-        wrong.append(F.count_if(~matches(text, pattern, lower).eqNullSafe(whole)))
+        whole, plain = text.rlike(ascii_borders(pattern)), F.regexp_count(text, F.lit(ascii_borders(pattern)))
+        wrong.append(F.count_if(~matches(text, pattern, lower).eqNullSafe(whole) | ~F.coalesce(match_count(text, pattern, lower), F.lit(0)).eqNullSafe(F.coalesce(plain, F.lit(0)))))
         found.append(F.count_if(whole))
     counts = docs.agg(F.array(*wrong).alias("wrong"), F.array(*found).alias("found")).first()
     assert [p for p, n in zip(rules, counts["wrong"]) if n] == [] and sum(map(bool, counts["found"])) > 0.9 * len(rules)
@@ -356,3 +356,4 @@ def test_intents_look_for_words_before_patterns(spark):
 
     plain = seconds(whole)
     assert seconds(pipeline.intent(F.col("text"), F.col("lower"))) < plain / 2
+    assert seconds(pipeline.intent_confidence(F.col("text"), F.col("lower"))) < plain / 2
