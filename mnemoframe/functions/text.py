@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 _MARKED, _PLAIN = "àâäáãåçéèêëíìîïñóòôöõúùûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
 
 #: Signs of a term, one by one: Java looks single signs up in a table, ranges by a call each.
-_SIGNS = "abcdefghijklmnopqrstuvwxyz0123456789ß"
+SIGNS = "abcdefghijklmnopqrstuvwxyz0123456789ß"
 
 
 def ascii_borders(pattern: str) -> str:
@@ -24,7 +24,7 @@ def folded(text: Column) -> Column:
 
 def terms(text: Column) -> Column:
     """Search terms in order: folded runs of letters and digits."""
-    return F.array_remove(F.split(folded(text), f"[^{_SIGNS}]+"), "")
+    return F.array_remove(F.split(folded(text), f"[^{SIGNS}]+"), "")
 
 
 def trimmed(text: Column) -> Column:

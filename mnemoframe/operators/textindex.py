@@ -1,18 +1,25 @@
 """Search over a written index: postings by term or stem, read only for the terms of a query."""
 
+import re
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mnemoframe.functions.durable import checkpointed, table_folder
 from mnemoframe.functions.stemming import stemmed
-from mnemoframe.functions.text import terms
+from mnemoframe.functions.text import SIGNS, folded, terms
 from mnemoframe.operators.retrieval import B, K1
 
 #: Folders that postings are dealt to by a hash of their term: a query reads those of its terms only.
 BUCKETS = 32
 
+#: Postings that a task makes at a time (those of one text more at most).
+POSTINGS = 100_000
+
 
 @dataclass
 class TextIndex:
@@ -27,17 +34,38 @@ def _bucket(term: str) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
 
+def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``(id, size, term, tf)`` of folded texts ``(id, text)``, some rows at a time."""
+    sign_runs = re.compile(f"[{SIGNS}]+")
+    for batch in batches:
+        ids, texts = batch.columns
+        places, sizes, found, counts = [], [], [], []
+        for place, text in enumerate(texts):
+            tfs = Counter(sign_runs.findall(text.as_py() or ""))
+            places += [place] * len(tfs)
+            sizes += [tfs.total()] * len(tfs)
+            found += tfs
+            counts += tfs.values()
+            if len(found) >= POSTINGS or place == batch.num_rows - 1:
+                columns = [ids.take(pa.array(places, pa.int64())), pa.array(sizes, pa.int32()), pa.array(found, pa.string()), pa.array(counts, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "size", "term", "tf"])
+                places, sizes, found, counts = [], [], [], []
+
+
 def build_index(docs: DataFrame, id_column: str = "id", text_column: str = "content", stems: bool = False, folder: str | None = None) -> TextIndex:
     """Split all texts once and write their postings to ``folder`` (one of its own in the shared folder if it is None).
 
+    A row's terms are counted where it is read; counts are only gathered if some id repeats.
     With ``stems`` terms are brought to their stems, each distinct term once.
     A bucket with a term that all documents hold is split over several tasks
     by its size; files are sorted by term, so that a read of few terms skips
     most of a bucket too.  Null and empty texts have no postings and count among the
     documents with size 0.  Rows that repeat an id add up.
     """
-    split = docs.select(F.col(id_column).alias("id"), terms(F.col(text_column)).alias("terms"))
-    found = split.select("id", F.coalesce(F.size("terms"), F.lit(0)).alias("size"), F.explode("terms").alias("term")).groupBy("id", "size", "term").agg(F.count("*").alias("tf"))
+    kind = docs.schema[id_column].dataType.simpleString()
+    found = docs.select(F.col(id_column).alias("id"), folded(F.col(text_column)).alias("text")).mapInArrow(_postings, f"id {kind}, size int, term string, tf long")
+    if docs.groupBy(id_column).count().where("count > 1").limit(1).count():
+        found = found.groupBy("id", "size", "term").agg(F.sum("tf").alias("tf"))
     if stems:
         found = checkpointed(found)
         by_term = stemmed(found.select("term").distinct())
@@ -45,7 +73,7 @@ def build_index(docs: DataFrame, id_column: str = "id", text_column: str = "cont
     folder = folder or table_folder(docs.sparkSession)
     dealt = found.withColumn("bucket", _bucket("term")).hint("rebalance", F.col("bucket")).sortWithinPartitions("bucket", "term")
     dealt.select("bucket", "term", "id", "tf", "size").write.partitionBy("bucket").parquet(folder)
-    shape = f"term string, id {docs.schema[id_column].dataType.simpleString()}, tf long, size int, bucket int"
+    shape = f"term string, id {kind}, tf long, size int, bucket int"
     postings = docs.sparkSession.read.schema(shape).parquet(folder)
     sizes = postings.agg(F.sum("tf").alias("total"))
     facts = checkpointed(docs.agg(F.count("*").alias("n")).crossJoin(sizes).selectExpr("n", "coalesce(total, 0) / nullif(n, 0) AS mean"))

@@ -8,11 +8,14 @@ from collections import Counter
 from html import unescape
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__  # noqa: F401  (fills the catalogue)
 from mnemoframe.functions import durable
 from mnemoframe.functions.stemming import stemmed
+from mnemoframe.functions.text import terms
 from mnemoframe.operators import clusters, delivery, parsers, sessions, textindex
 from mnemoframe.plans.catalog import QUERIES
 
@@ -315,3 +318,17 @@ def test_yaml_texts_are_dealt_to_tasks(spark):
     docs = spark.range(400).selectExpr("id AS doc_id", "concat('a: ', id) AS text").coalesce(1)
     leaves = parsers.yaml_leaves(docs)
     assert leaves.count() == 400 and leaves.rdd.getNumPartitions() > 1
+
+
+def test_index_counts_terms_where_texts_are_read(spark, monkeypatch):
+    texts = ["Straße É é, ÀB ab\nab_x İi Σας K1 1", "", None, "  ..", "x" * 5000 + " y y", "a b c d e f g a"]
+    docs = spark.createDataFrame([(k % 5, t) for k, t in enumerate([*texts, "y x y", "a b c d e f g a"])], "id long, content string")
+    split = docs.select("id", F.size(terms(F.col("content"))).alias("size"), F.explode(terms(F.col("content"))).alias("term"))
+    wanted = sorted(map(tuple, split.groupBy("id", "size", "term").count().collect()))
+    index = textindex.build_index(docs)
+    assert sorted((r["id"], r["size"], r["term"], r["tf"]) for r in index.postings.collect()) == wanted
+    assert index.facts.first()["n"] == len(texts) + 2
+    monkeypatch.setattr(textindex, "POSTINGS", 3)
+    batches = list(textindex._postings(iter([pa.RecordBatch.from_pydict({"id": [5, 6, 7], "text": ["a b a", "c c d", None]}), pa.RecordBatch.from_pydict({"id": [8], "text": ["e"]})])))
+    assert [b.num_rows for b in batches if b.num_rows] == [4, 1]
+    assert [tuple(r.values()) for b in batches for r in b.to_pylist()] == [(5, 3, "a", 2), (5, 3, "b", 1), (6, 3, "c", 2), (6, 3, "d", 1), (8, 1, "e", 1)]
