@@ -27,6 +27,12 @@ def terms(text: Column) -> Column:
     return F.array_remove(F.split(folded(text), f"[^{SIGNS}]+"), "")
 
 
+def first_terms(text: Column, n: int, head: int = 400) -> Column:
+    """The first ``n`` search terms; a text is only split beyond its first ``head`` characters if these don't hold more terms."""
+    own = terms(F.substring(text, 1, head))
+    return F.slice(F.when((F.size(own) > n) | (F.length(text) <= head), own).otherwise(terms(text)), 1, n)
+
+
 def trimmed(text: Column) -> Column:
     """Without white space at either end."""
     return F.regexp_replace(text, r"^\s+|\s+$", "")

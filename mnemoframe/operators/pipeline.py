@@ -133,6 +133,31 @@ def route(signals: DataFrame, rules: DataFrame, finance: str | None = None, team
 
 #: Words of a name that are looked for, at most.
 NAME_WORDS = 5
+#: Bytes of names, with what a table of them takes beside, up to which each task gets them whole.
+WHOLE_BYTES, NAME_BYTES = 256_000_000, 128
+#: Bits by which the runs of words are sifted when there are more names, as a power of two.
+SIEVE = 26
+
+
+def _runs(words: Column, sizes: list[int]) -> Column:
+    """The different runs of as many words as ``sizes`` has, one run a string."""
+
+    def sized(listed: Column, n: int) -> Column:
+        if n == 1:
+            return listed
+        starts = F.slice(listed, F.lit(1), F.greatest(F.size(listed) - (n - 1), F.lit(0)))
+        return F.transform(starts, lambda w, i: F.concat_ws(" ", w, *(F.get(listed, i + k) for k in range(1, n))))
+
+    # As the variable of a lambda the words stand for their value: as an expression they would be split anew for each place.
+    return F.get(F.transform(F.array(words), lambda listed: F.array_distinct(F.concat(*(sized(listed, n) for n in sizes)))), 0)
+
+
+def _sifted(runs: DataFrame, spelt: DataFrame) -> DataFrame:
+    """The runs whose bit is set by a name: all that are names, and few others unless there are very many names."""
+    place = F.shiftrightunsigned(F.xxhash64("phrase"), 64 - SIEVE)
+    group, bit = F.shiftright(place, 6), place.bitwiseAND(F.lit(63)).cast("int")
+    masks = spelt.groupBy(group.alias("_group")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), bit)).alias("_mask"))
+    return runs.withColumn("_group", group).join(F.broadcast(masks), "_group").where(F.getbit("_mask", bit) == 1).drop("_group", "_mask")
 
 
 def mentioned(docs: DataFrame, names: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -140,26 +165,22 @@ def mentioned(docs: DataFrame, names: DataFrame, id_column: str = "doc_id", text
 
     Names may have several words, NAME_WORDS at most; those of two signs or
     less aren't looked for.  Each text's runs of as many words as names have
-    are joined with the names, so the number of names doesn't matter.
+    are looked up among the names where the text is read: most runs are no
+    name, and all of them take several times the space of the texts.  If the
+    names are more than WHOLE_BYTES, runs that can be names are joined with
+    them by a shuffle, so the number of names doesn't matter.
     """
     spelt = names.where(F.length("name") > 2).select("name", terms(F.col("name")).alias("words")).where(F.size("words").between(1, NAME_WORDS))
     spelt = checkpointed(spelt.select("name", F.size("words").alias("n"), F.array_join("words", " ").alias("phrase")).distinct())
-    # Written once: read from a column, the words of a text aren't split anew for each of its places.
-    split = checkpointed(docs.select(id_column, terms(F.col(text_column)).alias("words")))
-
-    def phrases(n: int) -> Column:
-        if n == 1:
-            return F.col("words")
-        return F.transform(F.slice("words", F.lit(1), F.greatest(F.size("words") - (n - 1), F.lit(0))), lambda w, i: F.concat_ws(" ", w, *(F.get("words", i + k) for k in range(1, n))))
-
-    runs = None
-    for n in sorted(r[0] for r in spelt.select("n").distinct().collect()):
-        own = split.select(id_column, F.lit(n).alias("n"), F.explode(F.array_distinct(phrases(n))).alias("phrase"))
-        runs = own if runs is None else runs.unionByName(own)
-    if runs is None:
+    sizes = spelt.groupBy("n").agg(F.sum(F.octet_length("name") + F.octet_length("phrase") + NAME_BYTES)).collect()
+    if not sizes:
         return docs.where("false").select(id_column, F.lit("").alias("name"))
-    # The written table says little of how many runs come from it: without the hint they may be taken for the smaller side.
-    return runs.join(spelt.hint("shuffle_hash"), ["n", "phrase"]).select(id_column, "name").distinct()
+    runs = docs.select(id_column, F.explode(_runs(terms(F.col(text_column)), sorted(r[0] for r in sizes))).alias("phrase"))
+    spelt = spelt.select("phrase", "name")
+    if sum(r[1] for r in sizes) <= WHOLE_BYTES:
+        return runs.join(F.broadcast(spelt), "phrase").select(id_column, "name")
+    # The sizes of the inputs say little of how many runs come from them: without the hint the runs may be taken for the smaller side.
+    return _sifted(runs, spelt).join(spelt.hint("shuffle_hash"), "phrase").select(id_column, "name")
 
 
 def greedy_clusters(vectors: DataFrame, threshold: float = 0.65) -> DataFrame:

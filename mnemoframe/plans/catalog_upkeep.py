@@ -48,9 +48,9 @@ query("PL13_entities", "documents", "skills", sql="""WITH k AS (SELECT doc_id, l
 def _entities(docs):
     """Names taken from the documents' own first words."""
     from mnemoframe.functions.durable import checkpointed
-    from mnemoframe.functions.text import terms
+    from mnemoframe.functions.text import first_terms
 
-    words = checkpointed(docs.select("doc_id", F.slice(terms(F.col("text")), 1, 3).alias("t")))
+    words = checkpointed(docs.select("doc_id", first_terms(F.col("text"), 3).alias("t")))
     names = words.where("doc_id % 3 = 0").select(F.try_element_at("t", F.lit(1)).alias("name")).where("name IS NOT NULL")
     names = names.unionByName(words.where("size(t) > 2").select(F.concat(F.element_at("t", 2), F.lit(" "), F.element_at("t", 3)).alias("name")))
     names = names.unionByName(docs.sparkSession.createDataFrame([("MIT License",), ("le",)], "name string")).distinct()

@@ -5,11 +5,13 @@ import random
 import re
 import time
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__  # noqa: F401  (fills the catalogue)
+from mnemoframe.functions import durable, text
 from mnemoframe.functions.text import alternatives, ascii_borders, match_count, matches
 from mnemoframe.operators import architecture, governance, memory, pipeline, questions, reports, scenarios, signals, wiki
 from mnemoframe.streaming import signals as streams
@@ -357,3 +359,35 @@ def test_intents_look_for_words_before_patterns(spark):
     plain = seconds(whole)
     assert seconds(pipeline.intent(F.col("text"), F.col("lower"))) < plain / 2
     assert seconds(pipeline.intent_confidence(F.col("text"), F.col("lower"))) < plain / 2
+
+
+def test_mentioned_moves_no_runs_that_are_no_names(spark, monkeypatch):
+    draw = random.Random(4)
+    words = [f"word{i}" for i in range(3000)]
+    texts = {k: [draw.choice(words) for _ in range(600)] for k in range(200)}
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in texts.items()], "doc_id long, text string")
+    wanted = [texts[k][5] for k in range(0, 60, 3)] + [" ".join(texts[k][7:9]).upper() for k in range(40)] + ["Word1 absent word2"]
+    names = spark.createDataFrame([(n,) for n in wanted], "name string").distinct()
+    expected = Counter((k, n) for k, t in texts.items() for n in set(wanted) if f" {n.lower()} " in f" {' '.join(t)} ")
+    tables = Path(durable.shared_folder(spark).removeprefix("file:")) / "tables"
+    size = lambda: sum(f.stat().st_size for f in tables.rglob("*.parquet"))
+    before = size()
+    found = pipeline.mentioned(docs, names)
+    assert rows(found) == expected
+    assert size() - before < sum(len(" ".join(t)) for t in texts.values()) / 20
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+    monkeypatch.setattr(pipeline, "WHOLE_BYTES", 0)
+    found = pipeline.mentioned(docs, names)
+    assert rows(found) == expected
+    assert "ShuffledHashJoin" in found._jdf.queryExecution().executedPlan().toString()
+    runs = docs.select("doc_id", F.explode(pipeline._runs(text.terms(F.col("text")), [1, 2])).alias("phrase"))
+    hits = sum(expected.values())
+    assert hits <= pipeline._sifted(runs, names.select(F.lower("name").alias("phrase"))).count() < hits + 200 < runs.count() / 10
+
+
+def test_first_terms(spark):
+    texts = [None, "", "One", "  one, Two;three four", "é-e ß 3 x", "a" * 30 + " b c d", "....." * 9 + "a b", "a b c" + "d" * 40 + " e", "a b c", "a b", "x y." + " " * 40 + "z w"]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    for n, head in [(3, 400), (3, 8), (1, 1), (2, 3)]:
+        assert all(r.own == r.whole for r in docs.select(text.first_terms(F.col("text"), n, head).alias("own"), F.slice(text.terms(F.col("text")), 1, n).alias("whole")).collect())
