@@ -168,7 +168,8 @@ def mentioned(docs: DataFrame, names: DataFrame, id_column: str = "doc_id", text
     are looked up among the names where the text is read: most runs are no
     name, and all of them take several times the space of the texts.  If the
     names are more than WHOLE_BYTES, runs that can be names are joined with
-    them by a shuffle, so the number of names doesn't matter.
+    them by a shuffle, so the number of names doesn't matter.  Texts that
+    share an id give rows each.
     """
     spelt = names.where(F.length("name") > 2).select("name", terms(F.col("name")).alias("words")).where(F.size("words").between(1, NAME_WORDS))
     spelt = checkpointed(spelt.select("name", F.size("words").alias("n"), F.array_join("words", " ").alias("phrase")).distinct())
